@@ -95,7 +95,8 @@ CALLS_EVENTS = r"""
 
 SPECS_WIDE = """
   SELECT f.function, p.ord, p.key,
-         CASE WHEN p.key = 'o_totalprice' AND f.function <> 'order_f' THEN 'float' ELSE p.type END AS type
+         CASE WHEN p.key = 'o_totalprice' AND f.function <> 'order_f' THEN 'float'
+              WHEN p.key = 'note' AND f.function = 'order_p' THEN 'string' ELSE p.type END AS type
   FROM (SELECT DISTINCT 'order_' || lower(o_orderstatus) AS function FROM orders) f,
        (VALUES (0, 'o_orderkey', 'integer'), (1, 'o_totalprice', 'number'),
                (2, 'o_orderstatus', 'string'), (3, 'urgent', 'boolean'), (4, 'note', 'null')) p(ord, key, type)
@@ -128,7 +129,7 @@ SPECS_BENCH = """
   SELECT f.function, p.ord, p.key, p.type
   FROM (SELECT DISTINCT 'line_' || lower(l_linestatus) AS function FROM lineitem) f,
        (VALUES (0, 'l_orderkey', 'integer'), (1, 'l_quantity', 'number'),
-               (2, 'l_returnflag', 'string')) p(ord, key, type)
+               (2, 'l_returnflag', 'STRING')) p(ord, key, type)
 """
 
 CALLS_BENCH = r"""
@@ -154,24 +155,25 @@ FIXTURES = {
 # Parsing chain: calls -> schema -> head/tail -> status, fields
 # --------------------------------------------------------------------------
 
-def parse_ctes(fixture: str) -> str:
-    """CTEs ``specs``, ``calls``, ``schema`` and ``parsed`` for one fixture."""
-    specs, calls = FIXTURES[fixture]
-    schema = f"""
+SCHEMA = f"""
   SELECT function, list(key ORDER BY ord) AS keys, list({canonical('type')} ORDER BY ord) AS types
   FROM specs GROUP BY function
 """
+
+
+def chain(source: str, tag: str) -> dict[str, str]:
+    """Parsing CTEs over ``source(call_id, function, text, ...)``; last is ``{tag}parsed``."""
     p1 = f"""
-  SELECT c.call_id, c.function, c.text,
+  SELECT c.*,
          coalesce(s.keys, []::VARCHAR[]) AS keys, coalesce(s.types, []::VARCHAR[]) AS types,
          regexp_extract(c.text, {q(R.head)}, 0) AS head
-  FROM calls c LEFT JOIN schema s ON c.function = s.function
+  FROM {source} c LEFT JOIN schema s ON c.function = s.function
 """
     p2 = f"""
   SELECT *, regexp_extract_all(head, {q(R.item_comma)}, 1) AS hkeys,
          list_transform(regexp_extract_all(head, {q(R.item_comma)}, 2), lambda v: {strip('v')}) AS hvals,
          substr(text, length(head) + 1) AS tail
-  FROM p1
+  FROM {tag}p1
 """
     p3 = f"""
   SELECT *, list_filter(keys, lambda k: NOT list_contains(hkeys, k)) AS rem,
@@ -184,7 +186,7 @@ def parse_ctes(fixture: str) -> str:
          regexp_matches(tail, {q(R.leading_item)}) AS has_last,
          regexp_extract(tail, {q(R.leading_item)}, 1) AS lkey,
          {strip(f"regexp_extract(tail, {q(R.leading_item)}, 2)")} AS lval
-  FROM p2
+  FROM {tag}p2
 """
     typed_ok = (
         "coalesce(list_bool_and(list_transform(hkeys, lambda k, i: "
@@ -207,9 +209,18 @@ def parse_ctes(fixture: str) -> str:
          ELSE 'REJECTED' END AS status,
     CASE WHEN head <> '' AND has_last THEN list_append(hkeys, lkey) ELSE hkeys END AS fkeys,
     CASE WHEN head <> '' AND has_last THEN list_append(hvals, lval) ELSE hvals END AS fvals
-  FROM p3
+  FROM {tag}p3
 """
-    return _ctes(specs=specs, calls=calls, schema=schema, p1=p1, p2=p2, p3=p3, parsed=p4)
+    return {f"{tag}p1": p1, f"{tag}p2": p2, f"{tag}p3": p3, f"{tag}parsed": p4}
+
+
+def parse_ctes(fixture: str, **extra: str) -> str:
+    """CTEs ``specs``, ``calls``, ``schema`` and ``parsed`` for one fixture."""
+    specs, calls = FIXTURES[fixture]
+    ctes = {"specs": specs, "calls": calls, "schema": SCHEMA}
+    ctes.update(chain("calls", ""))
+    ctes.update(extra)
+    return _ctes(**ctes)
 
 
 def with_parse(fixture: str, select: str) -> str:
@@ -256,3 +267,270 @@ SELECT function, CAST(count(*) AS BIGINT) AS n,
        round(count(*) FILTER (WHERE status = 'TERMINAL') / count(*), 6) AS accept_rate
 FROM parsed GROUP BY function
 """)
+
+
+# --------------------------------------------------------------------------
+# C3-C13, C15
+# --------------------------------------------------------------------------
+
+FIELDS_CTE = """
+  SELECT call_id, function, keys, types, status, text,
+         unnest(range(len(fkeys))) AS pos, unnest(fkeys) AS key, unnest(fvals) AS raw_value
+  FROM parsed
+"""
+
+
+def first_error_sql(fixture: str) -> str:
+    """C3 by brute force: the status of every prefix, no binary search."""
+    pre = """
+  SELECT call_id, function, text AS full_text, unnest(range(0, length(text) + 1)) AS len
+  FROM parsed WHERE status = 'REJECTED'
+"""
+    pcalls = "  SELECT call_id, function, full_text, len, substr(full_text, 1, len) AS text FROM pre"
+    extra = {"pre": pre, "pcalls": pcalls}
+    extra.update(chain("pcalls", "q_"))
+    return f"WITH {parse_ctes(fixture, **extra)}\n" + """
+SELECT call_id, function, CAST(max(len) AS INTEGER) AS valid_prefix_len,
+       substr(any_value(full_text), CAST(max(len) AS INTEGER) + 1, 1) AS bad_char
+FROM q_parsed WHERE status <> 'REJECTED' GROUP BY call_id, function
+"""
+
+
+def fields_sql(fixture: str, select: str) -> str:
+    return f"WITH {parse_ctes(fixture, fields=FIELDS_CTE)}\n{select}"
+
+
+def call_fields_sql(fixture: str) -> str:
+    return fields_sql(fixture, "SELECT call_id, function, CAST(pos AS INTEGER) AS pos, key, raw_value FROM fields")
+
+
+def unknown_keys_sql(fixture: str) -> str:
+    return fields_sql(fixture, """
+SELECT call_id, function, CAST(pos AS INTEGER) AS pos, key, status
+FROM fields WHERE NOT list_contains(keys, key)""")
+
+
+def missing_keys_sql(fixture: str) -> str:
+    return with_parse(fixture, """
+SELECT call_id, function, key, status FROM (
+  SELECT call_id, function, status,
+         unnest(list_filter(keys, lambda k: NOT list_contains(fkeys, k))) AS key
+  FROM parsed)""")
+
+
+def duplicate_keys_sql(fixture: str) -> str:
+    return fields_sql(fixture, """
+SELECT call_id, function, key, CAST(count(*) AS BIGINT) AS n, status
+FROM fields GROUP BY call_id, function, key, status HAVING count(*) > 1""")
+
+
+def type_mismatches_sql(fixture: str) -> str:
+    t = type_of("keys", "types", "key")
+    cls = lexical_class("raw_value")
+    return fields_sql(fixture, f"""
+SELECT call_id, function, key, {t} AS type, raw_value, {cls} AS lexical_class, status
+FROM fields WHERE {t} IS NOT NULL AND NOT {admits(t, cls)}""")
+
+
+def param_profile_sql(fixture: str) -> str:
+    cls = lexical_class("raw_value")
+    counts = ",\n       ".join(
+        f"CAST(count(*) FILTER (WHERE cls = '{c}') AS BIGINT) AS n_{c}"
+        for c in ("integer", "number", "string", "boolean", "null", "invalid")
+    )
+    return fields_sql(fixture, f"""
+SELECT *, CASE WHEN n_integer = n THEN 'integer'
+               WHEN n_integer + n_number = n THEN 'number'
+               WHEN n_string = n THEN 'string'
+               WHEN n_boolean = n THEN 'boolean'
+               WHEN n_null = n THEN 'null' ELSE 'mixed' END AS inferred_type
+FROM (SELECT function, key, CAST(count(*) AS BIGINT) AS n,
+       {counts}
+      FROM (SELECT *, {cls} AS cls FROM fields) GROUP BY function, key)""")
+
+
+def typed_parameters_sql(fixture: str) -> str:
+    t = type_of("keys", "types", "key")
+    return fields_sql(fixture, f"""
+SELECT call_id, function, key, type, raw_value,
+  CASE WHEN type = 'integer' THEN TRY_CAST(raw_value AS BIGINT) END AS as_bigint,
+  CASE WHEN type IN ('integer', 'number') THEN TRY_CAST(raw_value AS DOUBLE) END AS as_double,
+  CASE WHEN type = 'string' THEN json_extract_string(raw_value, '$') END AS as_string,
+  CASE WHEN type = 'boolean' THEN raw_value = 'true' END AS as_bool
+FROM (SELECT *, {t} AS type FROM fields WHERE status = 'TERMINAL')""")
+
+
+def keys_left_sql(fixture: str) -> str:
+    return with_parse(fixture, """
+SELECT call_id, function, CAST(pos AS INTEGER) AS pos, key, CAST(keys_left AS INTEGER) AS keys_left FROM (
+  SELECT call_id, function, unnest(range(len(fkeys))) AS pos, unnest(fkeys) AS key,
+         unnest(list_transform(fkeys, lambda k, i:
+             len(keys) - len(list_intersect(list_slice(fkeys, 1, i), keys)))) AS keys_left
+  FROM parsed)""")
+
+
+def violations_cte() -> str:
+    typed = (
+        "list_bool_or(list_transform(fkeys, lambda k, i: "
+        + f"{type_of('keys', 'types', 'k')} IS NOT NULL AND NOT "
+        + admits(type_of("keys", "types", "k"), lexical_class("fvals[i]"))
+        + "))"
+    )
+    flags = [
+        ("NOT opened AND status = 'REJECTED'", "not_object"),
+        ("list_bool_or(list_transform(fkeys, lambda k: NOT list_contains(keys, k)))", "unknown"),
+        ("opened AND status <> 'INCOMPLETE' AND len(list_filter(keys, lambda k: NOT list_contains(fkeys, k))) > 0", "missing"),
+        ("len(fkeys) > len(list_distinct(fkeys))", "duplicate"),
+        (typed, "type"),
+        ("status = 'INCOMPLETE'", "truncated"),
+        ("closed <> '' AND length(closed) < length(text)", "trailing"),
+    ]
+    arr = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in flags)
+    return f"""
+  SELECT call_id, function, status,
+         CASE WHEN status = 'REJECTED' AND len(v) = 0 THEN ['syntax'] ELSE v END AS violations
+  FROM (SELECT *, list_filter([{arr}], lambda x: x IS NOT NULL) AS v
+        FROM (SELECT *, {rx('text', R.opened)} AS opened,
+                     regexp_extract(text, {q(R.closed_object)}, 0) AS closed FROM parsed))
+"""
+
+
+def violation_report_sql(fixture: str) -> str:
+    return f"WITH {parse_ctes(fixture, viol=violations_cte())}\n" + """
+SELECT p.function, p.violation, p.n, round(p.n / t.calls, 6) AS share
+FROM (SELECT function, violation, CAST(count(*) AS BIGINT) AS n
+      FROM (SELECT function, unnest(violations) AS violation FROM viol) GROUP BY function, violation) p
+JOIN (SELECT function, count(*) AS calls FROM viol GROUP BY function) t ON p.function = t.function
+"""
+
+
+DOMAIN_EVENTS = """
+  SELECT CAST(dense_rank() OVER (ORDER BY name) - 1 AS BIGINT) AS ord, name AS candidate
+  FROM (SELECT DISTINCT event_type AS name FROM events)
+  UNION ALL
+  SELECT CAST(count(DISTINCT event_type) AS BIGINT) AS ord, 'none' AS candidate FROM events
+  HAVING count(*) > 0
+"""
+
+ROUTER_CALLS = """
+  SELECT event_id AS call_id,
+    CASE WHEN event_id % 6 = 1 THEN '{"name":"none"}'
+         WHEN event_id % 6 = 2 THEN ' {"name" : "' || upper(event_type) || '" } '
+         WHEN event_id % 6 = 3 THEN '{"name": "' || event_type || '", "k": 1}'
+         WHEN event_id % 6 = 5 THEN '{"name": "' || event_type
+         ELSE '{"name": "' || event_type || '"}' END AS text
+  FROM events
+"""
+
+PARTIALS = """
+  SELECT event_id AS partial_id,
+    CASE WHEN event_id % 10 = 9 THEN '"' || upper(substr(event_type, 1, 2))
+         ELSE substr('"' || event_type || '"', 1, CAST(event_id % (length(event_type) + 3) AS INTEGER)) END AS partial
+  FROM events
+"""
+
+
+def router_sql() -> str:
+    return "WITH " + _ctes(dom=DOMAIN_EVENTS, router=ROUTER_CALLS) + f"""
+SELECT call_id, sel IS NOT NULL AS accepted, sel AS selected FROM (
+  SELECT r.call_id, d.candidate AS sel
+  FROM (SELECT call_id, CASE WHEN {rx('text', R.router)} THEN regexp_extract(text, {q(R.router)}, 1) END AS raw
+        FROM router) r
+  LEFT JOIN (SELECT DISTINCT candidate FROM dom) d ON r.raw = '"' || d.candidate || '"')
+"""
+
+
+def enum_completions_sql() -> str:
+    pref = """
+  SELECT cand, substr(cand, 1, CAST(len AS INTEGER)) AS prefix FROM (
+    SELECT cand, unnest(range(0, length(cand) + 1)) AS len
+    FROM (SELECT DISTINCT '"' || candidate || '"' AS cand FROM dom))
+"""
+    per = """
+  SELECT p.partial, CAST(count(DISTINCT x.cand) AS BIGINT) AS n_candidates,
+         array_to_string(list_sort(list_distinct(list(x.cand))), '|') AS candidates,
+         array_to_string(list_sort(list_distinct(list(substr(x.cand, length(p.partial) + 1, 1)))), '') AS next_chars,
+         bool_or(x.cand = p.partial) AS complete
+  FROM (SELECT DISTINCT partial FROM partials) p JOIN pref x ON x.prefix = p.partial
+  GROUP BY p.partial
+"""
+    return "WITH " + _ctes(dom=DOMAIN_EVENTS, partials=PARTIALS, pref=pref, per=per) + """
+SELECT a.partial_id, a.partial, coalesce(b.n_candidates, 0) AS n_candidates,
+       coalesce(b.candidates, '') AS candidates, coalesce(b.next_chars, '') AS next_chars,
+       coalesce(b.n_candidates, 0) = 1 AS forced, coalesce(b.complete, false) AS complete
+FROM partials a LEFT JOIN per b ON a.partial = b.partial
+"""
+
+
+# --------------------------------------------------------------------------
+# B1-B6 over the combined catalog
+# --------------------------------------------------------------------------
+
+FN_ALL = """
+  SELECT CAST(dense_rank() OVER (ORDER BY name) - 1 AS BIGINT) AS ord, name FROM (SELECT DISTINCT event_type AS name FROM events)
+  UNION ALL
+  SELECT CAST(dense_rank() OVER (ORDER BY name) - 1 + 100 AS BIGINT), name FROM (SELECT DISTINCT 'order_' || lower(o_orderstatus) AS name FROM orders)
+  UNION ALL
+  SELECT CAST(dense_rank() OVER (ORDER BY name) - 1 + 200 AS BIGINT), name FROM (SELECT DISTINCT 'line_' || lower(l_linestatus) AS name FROM lineitem)
+"""
+
+SPECS_ALL = f"""
+  SELECT function, CAST(ord AS INTEGER) AS ord, key, type FROM (
+    {SPECS_EVENTS} UNION ALL {SPECS_WIDE} UNION ALL {SPECS_BENCH})
+"""
+
+
+def catalog_sql(select: str) -> str:
+    return "WITH " + _ctes(fn_all=FN_ALL, specs_all=SPECS_ALL) + "\n" + select
+
+
+def param_specs_sql() -> str:
+    return catalog_sql("SELECT function, ord, key, type FROM specs_all")
+
+
+def routing_domain_sql() -> str:
+    return "WITH " + _ctes(dom=DOMAIN_EVENTS) + "\nSELECT ord, candidate FROM dom"
+
+
+def merged_dictionary_sql() -> str:
+    return catalog_sql("""
+SELECT key, type, function FROM (
+  SELECT s.key, s.type, s.function,
+         row_number() OVER (PARTITION BY s.key ORDER BY f.ord DESC, s.ord DESC) AS rn
+  FROM specs_all s JOIN fn_all f ON s.function = f.name)
+WHERE rn = 1 AND key <> 'name'
+UNION ALL
+SELECT 'name', 'enum', NULL FROM fn_all HAVING count(*) > 0
+""")
+
+
+def resolve_types_sql() -> str:
+    return catalog_sql(f"""
+SELECT function, ord, key, type, {canonical('type')} AS canonical_type,
+       CASE WHEN {canonical('type')} IS NULL THEN 'unsupported_type' END AS error
+FROM specs_all""")
+
+
+def key_conflicts_sql() -> str:
+    return catalog_sql(f"""
+SELECT key, CAST(count(DISTINCT ctype) AS BIGINT) AS n_types,
+       array_to_string(list_sort(list_distinct(list(function))), ',') AS functions,
+       array_to_string(list_sort(list_distinct(list(ctype))), ',') AS types
+FROM (SELECT *, {canonical('type')} AS ctype FROM specs_all)
+GROUP BY key HAVING count(DISTINCT ctype) > 1""")
+
+
+def resolve_function_sql() -> str:
+    names = """
+  SELECT event_id AS name_id, CASE WHEN event_id % 4 = 0 THEN upper(event_type) ELSE event_type END AS name
+  FROM events
+"""
+    cat = """
+  SELECT CAST(dense_rank() OVER (ORDER BY name) - 1 AS BIGINT) AS fn_ord, name,
+         'Record a ' || name || ' event.' AS description, 'null' AS returns, 1 AS n_params
+  FROM (SELECT DISTINCT event_type AS name FROM events)
+"""
+    return "WITH " + _ctes(names=names, cat=cat) + """
+SELECT n.name_id, n.name, c.fn_ord, c.description, c.returns, CAST(c.n_params AS INTEGER) AS n_params
+FROM names n LEFT JOIN cat c ON n.name = c.name
+"""

@@ -10,7 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from callscope.operators import calls as C
+from callscope.operators import catalog as B
 from callscope.plans import oracle as O
 from callscope.sources import fixtures as FX
 
@@ -52,6 +55,61 @@ for _fixture, _suffix in (("events", ""), ("wide", "_wide"), ("bench", "_bench")
     register(f"c14_conformance{_suffix}", _calls_query(C.conformance_report, _fixture), O.conformance_sql(_fixture))
 
 
+def _fields_query(op, fixture: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _, calls = _fx(fixture, spark, sf_dir)
+        return op(calls)
+
+    return run
+
+
+for _fixture, _suffix in (("events", ""), ("wide", "_wide")):
+    register(f"c3_first_error{_suffix}", _calls_query(C.first_error_position, _fixture), O.first_error_sql(_fixture))
+    register(f"c5_unknown_keys{_suffix}", _calls_query(C.unknown_keys, _fixture), O.unknown_keys_sql(_fixture))
+    register(f"c6_missing_keys{_suffix}", _calls_query(C.missing_keys, _fixture), O.missing_keys_sql(_fixture))
+    register(f"c7_duplicate_keys{_suffix}", _calls_query(C.duplicate_keys, _fixture), O.duplicate_keys_sql(_fixture))
+    register(f"c8_type_mismatches{_suffix}", _calls_query(C.type_mismatches, _fixture), O.type_mismatches_sql(_fixture))
+    register(f"c13_violation_report{_suffix}", _calls_query(C.violation_report, _fixture), O.violation_report_sql(_fixture))
+
+register("c4_call_fields_wide", _fields_query(C.call_fields, "wide"), O.call_fields_sql("wide"))
+register("c9_param_type_profile_wide", _fields_query(C.param_type_profile, "wide"), O.param_profile_sql("wide"))
+register("c11_typed_parameters_wide", _calls_query(C.typed_parameters, "wide"), O.typed_parameters_sql("wide"))
+register("c12_keys_left_trace_wide", _calls_query(C.keys_left_trace, "wide"), O.keys_left_sql("wide"))
+
+
+def _enum_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domain = B.routing_domain(FX.v_catalog(spark, sf_dir))
+    return C.enum_completions(FX.v_partials(spark, sf_dir), domain)
+
+
+def _router_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domain = B.routing_domain(FX.v_catalog(spark, sf_dir))
+    return C.router_documents(FX.v_router_calls(spark, sf_dir), domain)
+
+
+register("c10_enum_completions", _enum_completions, O.enum_completions_sql())
+register("c15_router_documents", _router_documents, O.router_sql())
+
+# -- B: catalog and schema as tables ------------------------------------------
+register("b1_param_specs", lambda s, d: B.param_specs(FX.v_catalog_all(s, d)), O.param_specs_sql())
+register("b2_routing_domain", lambda s, d: B.routing_domain(FX.v_catalog(s, d)), O.routing_domain_sql())
+register("b3_merged_param_dictionary", lambda s, d: B.merged_param_dictionary(FX.v_catalog_all(s, d)),
+         O.merged_dictionary_sql())
+register("b4_resolve_types", lambda s, d: B.resolve_types(B.param_specs(FX.v_catalog_all(s, d))),
+         O.resolve_types_sql())
+
+
+def _resolve_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = B.resolve_function(FX.v_names(spark, sf_dir), FX.v_catalog(spark, sf_dir))
+    return out.select("name_id", "name", "fn_ord", "description", "returns",
+                      F.size("params").alias("n_params"))
+
+
+register("b5_resolve_function", _resolve_function, O.resolve_function_sql())
+register("b6_param_key_conflicts", lambda s, d: B.param_key_conflicts(FX.v_catalog_all(s, d)),
+         O.key_conflicts_sql())
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14 on the events calls: the minimum end-to-end slice."""
     return QUERIES["c14_conformance"](spark, sf_dir)

@@ -111,6 +111,7 @@ def v_catalog_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
     )
     price_type = F.when(F.col("name") == "order_f", F.lit("number")).otherwise(F.lit("float"))
+    note_type = F.when(F.col("name") == "order_p", F.lit("string")).otherwise(F.lit("null"))
     return _catalog_from_names(
         names,
         F.concat(F.lit("Store an order in state "), F.upper(F.substring("name", 7, 1)), F.lit(".")),
@@ -119,7 +120,7 @@ def v_catalog_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
             ("o_totalprice", price_type),
             ("o_orderstatus", "string"),
             ("urgent", "boolean"),
-            ("note", "null"),
+            ("note", note_type),
         ),
         "boolean",
     )
@@ -169,7 +170,7 @@ def v_catalog_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _catalog_from_names(
         names,
         F.concat(F.lit("Book a line item with status "), F.col("name"), F.lit(".")),
-        _params(("l_orderkey", "integer"), ("l_quantity", "number"), ("l_returnflag", "string")),
+        _params(("l_orderkey", "integer"), ("l_quantity", "number"), ("l_returnflag", "STRING")),
         "null",
     )
 
@@ -200,3 +201,47 @@ def v_calls_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("line_"), F.lower("l_linestatus")).alias("function"),
         text.alias("text"),
     )
+
+
+# --------------------------------------------------------------------------
+# Combined catalog, router documents, enum partials, names to resolve
+# --------------------------------------------------------------------------
+
+def v_catalog_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three catalogs in one, ``ord`` offset by source (0, 100, 200)."""
+    parts = [(v_catalog, 0), (v_catalog_wide, 100), (v_catalog_bench, 200)]
+    out = None
+    for build, offset in parts:
+        c = build(spark, sf_dir).withColumn("ord", F.col("ord") + offset)
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def v_router_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type")
+    r = F.col("event_id") % 6
+    et = F.col("event_type")
+    text = (
+        F.when(r == 1, F.lit('{"name":"none"}'))
+        .when(r == 2, F.concat(F.lit(' {"name" : "'), F.upper(et), F.lit('" } ')))
+        .when(r == 3, F.concat(F.lit('{"name": "'), et, F.lit('", "k": 1}')))
+        .when(r == 5, F.concat(F.lit('{"name": "'), et))
+        .otherwise(F.concat(F.lit('{"name": "'), et, F.lit('"}')))
+    )
+    return ev.select(F.col("event_id").alias("call_id"), text.alias("text"))
+
+
+def v_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial quoted values: every cut of a quoted event type, plus misses."""
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type")
+    quoted = F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))
+    cut = (F.col("event_id") % (F.length("event_type") + 3)).cast("int")
+    miss = F.concat(F.lit('"'), F.upper(F.substring("event_type", 1, 2)))
+    partial = F.when(F.col("event_id") % 10 == 9, miss).otherwise(quoted.substr(F.lit(1), cut))
+    return ev.select(F.col("event_id").alias("partial_id"), partial.alias("partial"))
+
+
+def v_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type")
+    name = F.when(F.col("event_id") % 4 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    return ev.select(F.col("event_id").alias("name_id"), name.alias("name"))
