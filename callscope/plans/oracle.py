@@ -534,3 +534,183 @@ def resolve_function_sql() -> str:
 SELECT n.name_id, n.name, c.fn_ord, c.description, c.returns, CAST(c.n_params AS INTEGER) AS n_params
 FROM names n LEFT JOIN cat c ON n.name = c.name
 """
+
+
+# --------------------------------------------------------------------------
+# Vocabulary tables
+# --------------------------------------------------------------------------
+
+PIECE = " ?\\p{L}+| ?[0-9]+| ?[^\\p{L}0-9 ]| +"
+HEXD = "'0123456789ABCDEF'"
+
+
+def byte_level_encode(x: str) -> str:
+    """Text -> byte-level string, byte by byte through the hex form of its UTF-8."""
+    b = (f"CAST((instr({HEXD}, substr(hex(encode({x})), 2 * i + 1, 1)) - 1) * 16 "
+         f"+ instr({HEXD}, substr(hex(encode({x})), 2 * i + 2, 1)) - 1 AS INTEGER)")
+    ch = (f"CASE WHEN {b} BETWEEN 33 AND 126 OR {b} BETWEEN 161 AND 172 OR {b} BETWEEN 174 AND 255 "
+          f"THEN chr({b}) WHEN {b} <= 32 THEN chr(256 + {b}) WHEN {b} BETWEEN 127 AND 160 "
+          f"THEN chr({b} + 162) ELSE chr(323) END")
+    return f"array_to_string(list_transform(range(0, octet_length(encode({x}))), lambda i: {ch}), '')"
+
+
+VOCAB = f"""
+  SELECT CAST(row_number() OVER (ORDER BY text) - 1 AS BIGINT) AS token_id,
+         CAST(row_number() OVER (ORDER BY text) - 1 AS BIGINT) AS ord, text
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(text, {q(PIECE)}, 0)) AS text FROM (
+          SELECT text FROM benchmark
+          UNION ALL SELECT text FROM conversations WHERE role = 'user'
+          UNION ALL SELECT props AS text FROM events))
+"""
+
+RAW_VOCAB = f"""
+  SELECT token_id, ord, {byte_level_encode('text')} AS raw, text FROM vocab
+  UNION ALL
+  SELECT CAST((SELECT count(*) FROM vocab) + row_number() OVER (ORDER BY raw) - 1 AS BIGINT) AS token_id,
+         CAST((SELECT count(*) FROM vocab) + row_number() OVER (ORDER BY raw) - 1 AS BIGINT) AS ord,
+         raw, chr(65533) AS text
+  FROM (SELECT DISTINCT unnest(string_split({byte_level_encode('c')}, '')) AS raw
+        FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM vocab) WHERE unicode(c) > 127)
+"""
+
+UNIQUE = """
+  SELECT text, arg_max(token_id, ord) AS token_id, min(ord) AS first_ord
+  FROM raw_vocab WHERE length(text) > 0 GROUP BY text
+"""
+
+TOKEN_PREFIXES = """
+  SELECT text, token_id, first_ord, depth, substr(text, 1, CAST(depth AS INTEGER)) AS prefix
+  FROM (SELECT *, unnest(range(1, length(text) + 1)) AS depth FROM uniq)
+"""
+
+NODES = """
+  SELECT n.prefix, CAST(n.depth AS INTEGER) AS depth, n.first, u.token_id
+  FROM (SELECT prefix, min(depth) AS depth, min(first_ord) AS first FROM tp GROUP BY prefix) n
+  LEFT JOIN uniq u ON u.text = n.prefix
+"""
+
+DFS = """
+  SELECT text AS prefix, CAST(row_number() OVER (ORDER BY path) - 1 AS BIGINT) AS dfs_ord
+  FROM (SELECT tp.text, list(n.first ORDER BY tp.depth) AS path
+        FROM tp JOIN nodes n ON tp.prefix = n.prefix GROUP BY tp.text)
+"""
+
+PREFIX_TABLE = """
+  SELECT n.prefix, substr(n.prefix, 1, n.depth - 1) AS parent, n.depth, substr(n.prefix, n.depth, 1) AS char,
+         n.token_id, n.first, d.dfs_ord
+  FROM nodes n LEFT JOIN dfs d ON n.prefix = d.prefix
+"""
+
+
+def vocab_ctes(**extra: str) -> str:
+    ctes = {"vocab": VOCAB, "raw_vocab": RAW_VOCAB, "uniq": UNIQUE, "tp": TOKEN_PREFIXES,
+            "nodes": NODES, "dfs": DFS, "ptable": PREFIX_TABLE}
+    ctes.update(extra)
+    return "WITH " + _ctes(**ctes)
+
+
+def decoded_vocab_sql() -> str:
+    return vocab_ctes() + "\nSELECT token_id, ord, raw, text FROM raw_vocab WHERE length(text) > 0"
+
+
+def unique_text_sql() -> str:
+    return vocab_ctes() + "\nSELECT text, token_id, first_ord FROM uniq"
+
+
+def prefix_table_sql() -> str:
+    return vocab_ctes() + "\nSELECT * FROM ptable"
+
+
+def prefix_fanout_sql() -> str:
+    return vocab_ctes() + """
+SELECT depth, CAST(count(*) AS BIGINT) AS n_nodes, CAST(count(token_id) AS BIGINT) AS n_terminal,
+       round(avg(children), 6) AS avg_children, CAST(max(children) AS BIGINT) AS max_children
+FROM (SELECT a.depth, a.token_id, coalesce(k.children, 0) AS children
+      FROM (SELECT prefix, depth, token_id FROM ptable UNION ALL SELECT '', 0, NULL) a
+      LEFT JOIN (SELECT parent, count(*) AS children FROM ptable GROUP BY parent) k ON a.prefix = k.parent)
+GROUP BY depth
+"""
+
+
+QUERIES_SQL = """
+  SELECT CAST(row_number() OVER (ORDER BY query) - 1 AS BIGINT) AS query_id, query FROM (
+    SELECT DISTINCT unnest([substr(w, 1, 1), substr(w, 1, 2), substr(w, 1, 3)]) AS query
+    FROM (SELECT unnest(regexp_extract_all(text, '\\p{L}+', 0)) AS w FROM benchmark))
+"""
+
+
+def prefix_search_sql() -> str:
+    return vocab_ctes(queries=QUERIES_SQL) + """
+SELECT qq.query_id, qq.query, p.token_id
+FROM queries qq JOIN (SELECT token_id, substr(text, 1, CAST(d AS INTEGER)) AS prefix
+                      FROM (SELECT *, unnest(range(0, length(text) + 1)) AS d FROM uniq)) p
+ON qq.query = p.prefix
+"""
+
+
+STATES = """
+  SELECT CAST(row_number() OVER (ORDER BY function, text) - 1 AS BIGINT) AS state_id, function, text FROM (
+    SELECT DISTINCT function, substr(text, 1, CAST(n AS INTEGER)) AS text
+    FROM (SELECT function, text, unnest(range(0, length(text) + 1)) AS n FROM calls WHERE call_id % 17 <= 7))
+"""
+
+
+def allowed_tokens_ctes() -> dict[str, str]:
+    """The mask by exact pre-filter: a token can only be allowed if its first
+    character is (viability is prefix-closed), then the whole text is checked."""
+    specs, calls = FIXTURES["events"]
+    ctes = {"vocab": VOCAB, "raw_vocab": RAW_VOCAB, "uniq": UNIQUE, "tp": TOKEN_PREFIXES,
+            "nodes": NODES, "dfs": DFS, "ptable": PREFIX_TABLE,
+            "specs": specs, "calls": calls, "schema": SCHEMA, "states": STATES}
+    ctes.update(chain("states", "s_"))
+    ctes["first_chars"] = "  SELECT DISTINCT substr(text, 1, 1) AS c FROM uniq"
+    ctes["c1"] = """
+  SELECT s.state_id, s.function, f.c, s.text || f.c AS text
+  FROM s_parsed s, first_chars f WHERE s.status <> 'REJECTED'
+"""
+    ctes.update(chain("c1", "f_"))
+    ctes["c2"] = """
+  SELECT f.state_id, f.function, u.token_id, s.text || u.text AS text
+  FROM f_parsed f JOIN uniq u ON substr(u.text, 1, 1) = f.c
+  JOIN states s ON s.state_id = f.state_id
+  WHERE f.status <> 'REJECTED'
+"""
+    ctes.update(chain("c2", "t_"))
+    ctes["mask"] = """
+  SELECT t.state_id, t.token_id, d.dfs_ord AS ord FROM t_parsed t JOIN dfs d
+  ON d.prefix = (SELECT text FROM uniq WHERE uniq.token_id = t.token_id)
+  WHERE t.status <> 'REJECTED'
+"""
+    return ctes
+
+
+def allowed_tokens_sql() -> str:
+    return "WITH " + _ctes(**allowed_tokens_ctes()) + "\nSELECT state_id, token_id, ord FROM mask"
+
+
+def mask_size_sql() -> str:
+    return "WITH " + _ctes(**allowed_tokens_ctes()) + """
+SELECT s.state_id, coalesce(m.n, 0) AS n_allowed,
+       round(coalesce(m.n, 0) / (SELECT count(*) FROM uniq), 6) AS share
+FROM states s LEFT JOIN (SELECT state_id, CAST(count(*) AS BIGINT) AS n FROM mask GROUP BY state_id) m
+ON s.state_id = m.state_id
+"""
+
+
+def charset_audit_sql() -> str:
+    ws = q("\\A[ \\t\\n\\r\\f\\x0B]+\\z")
+    ctrl = q("[\\x00-\\x1f\\x7f]")
+    return vocab_ctes() + f"""
+SELECT class, n FROM (
+  SELECT
+    CAST(count(*) FILTER (WHERE raw <> text) AS BIGINT) AS raw_differs,
+    CAST(count(*) FILTER (WHERE starts_with(text, ' ')) AS BIGINT) AS space_prefixed,
+    CAST(count(*) FILTER (WHERE regexp_matches(text, {ws})) AS BIGINT) AS whitespace_only,
+    CAST(count(*) FILTER (WHERE regexp_matches(text, {ctrl}) AND NOT regexp_matches(text, {ws})) AS BIGINT) AS control_inside,
+    CAST(count(*) FILTER (WHERE length(text) = 0) AS BIGINT) AS empty,
+    CAST(count(*) FILTER (WHERE dup) AS BIGINT) AS duplicate_text
+  FROM (SELECT r.*, coalesce(d.dup, false) AS dup FROM raw_vocab r
+        LEFT JOIN (SELECT text, true AS dup FROM raw_vocab WHERE length(text) > 0
+                   GROUP BY text HAVING count(*) > 1) d ON r.text = d.text))
+UNPIVOT (n FOR class IN (raw_differs, space_prefixed, whitespace_only, control_inside, empty, duplicate_text))
+"""

@@ -110,6 +110,35 @@ register("b6_param_key_conflicts", lambda s, d: B.param_key_conflicts(FX.v_catal
          O.key_conflicts_sql())
 
 
+# -- F: vocabulary and token masks ---------------------------------------------
+from callscope.operators import vocab as V  # noqa: E402
+
+
+def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.unique_text(V.decoded_vocab(FX.v_raw_vocab(spark, sf_dir)))
+
+
+def _allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.allowed_tokens(FX.v_states(spark, sf_dir), _unique(spark, sf_dir), FX.v_catalog(spark, sf_dir))
+
+
+def _mask_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uniq = _unique(spark, sf_dir).checkpoint(eager=True)
+    states = FX.v_states(spark, sf_dir)
+    mask = V.allowed_tokens(states, uniq, FX.v_catalog(spark, sf_dir))
+    return V.mask_size_report(states, mask, uniq.count())
+
+
+register("f1_decoded_vocab", lambda s, d: V.decoded_vocab(FX.v_raw_vocab(s, d)), O.decoded_vocab_sql())
+register("f1_unique_text", _unique, O.unique_text_sql())
+register("f2_prefix_table", lambda s, d: V.prefix_table(_unique(s, d)), O.prefix_table_sql())
+register("f3_prefix_fanout", lambda s, d: V.prefix_fanout(V.prefix_table(_unique(s, d))), O.prefix_fanout_sql())
+register("f4_prefix_search", lambda s, d: V.prefix_search(FX.v_queries(s, d), _unique(s, d)), O.prefix_search_sql())
+register("f5_allowed_tokens", _allowed, O.allowed_tokens_sql())
+register("f6_mask_size_report", _mask_size, O.mask_size_sql())
+register("f7_charset_audit", lambda s, d: V.charset_audit(FX.v_raw_vocab(s, d)), O.charset_audit_sql())
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14 on the events calls: the minimum end-to-end slice."""
     return QUERIES["c14_conformance"](spark, sf_dir)

@@ -245,3 +245,81 @@ def v_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "event_type")
     name = F.when(F.col("event_id") % 4 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
     return ev.select(F.col("event_id").alias("name_id"), name.alias("name"))
+
+
+# --------------------------------------------------------------------------
+# Vocabulary views: benchmark + user conversation turns + event props pieces
+# --------------------------------------------------------------------------
+
+# One token = an optional leading space and a run of letters, or of digits,
+# or one other character; or a run of spaces.
+PIECE_PATTERN = " ?\\p{L}+| ?[0-9]+| ?[^\\p{L}0-9 ]| +"
+
+
+def vocab_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = table(spark, sf_dir, "benchmark").select("text")
+    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("text")
+    props = table(spark, sf_dir, "events").select(F.col("props").alias("text"))
+    return bench.unionByName(conv).unionByName(props)
+
+
+def v_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct pieces ordered by text; ``token_id = ord`` = rank (0-based)."""
+    from callscope.functions.ordering import dense_index
+
+    pieces = vocab_texts(spark, sf_dir).select(
+        F.explode(F.regexp_extract_all("text", F.lit(PIECE_PATTERN), 0)).alias("text")
+    ).distinct()
+    ranked = dense_index(pieces, "text", out="token_id")
+    return ranked.select("token_id", F.col("token_id").alias("ord"), "text")
+
+
+def v_raw_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_vocab`` in byte-level form, plus one token per distinct single byte
+    of every non-ASCII character.
+
+    A lone byte of a multi-byte character is not a whole character: it decodes
+    to U+FFFD, so these extra tokens all share one decoded text (the duplicate
+    case, where the last id wins).
+    """
+    from callscope.operators.vocab import byte_level_encode
+
+    vocab = v_vocab(spark, sf_dir)
+    base = vocab.select("token_id", "ord", byte_level_encode(F.col("text")).alias("raw"))
+    n = vocab.count()  # one number on the driver: the id offset of the extra tokens
+    chars = vocab.select(F.explode(F.split("text", "")).alias("c")).where(F.ascii("c") > 127)
+    leads = chars.select(
+        F.explode(F.split(byte_level_encode(F.col("c")), "")).alias("raw")
+    ).where(F.length("raw") == 1).distinct()
+    w = Window.orderBy("raw")  # over distinct single bytes only (< 256 rows)
+    extra = leads.select(
+        (F.lit(n) + F.row_number().over(w) - 1).cast("long").alias("token_id"), "raw"
+    ).select("token_id", F.col("token_id").alias("ord"), "raw")
+    return base.unionByName(extra)
+
+
+def v_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial documents: every prefix of every TERMINAL-shaped v_calls text.
+
+    ``state_id`` is the rank of (function, text).
+    """
+    from callscope.functions.ordering import dense_index
+
+    calls = v_calls(spark, sf_dir).where((F.col("call_id") % 17) <= 7)
+    pref = calls.select(
+        "function", "text", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("n")
+    ).select("function", F.expr("substring(text, 1, n)").alias("text")).distinct()
+    return dense_index(pref, "function", "text", out="state_id").select("state_id", "function", "text")
+
+
+def v_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix queries: the first one to three characters of each benchmark word."""
+    words = table(spark, sf_dir, "benchmark").select(
+        F.explode(F.regexp_extract_all("text", F.lit("\\p{L}+"), 0)).alias("w")
+    )
+    q = words.select(F.explode(F.array(
+        F.substring("w", 1, 1), F.substring("w", 1, 2), F.substring("w", 1, 3))).alias("query")
+    ).distinct()
+    from callscope.functions.ordering import dense_index
+
+    return dense_index(q, "query", out="query_id").select("query_id", "query")
