@@ -714,3 +714,81 @@ SELECT class, n FROM (
                    GROUP BY text HAVING count(*) > 1) d ON r.text = d.text))
 UNPIVOT (n FOR class IN (raw_differs, space_prefixed, whitespace_only, control_inside, empty, duplicate_text))
 """
+
+
+# --------------------------------------------------------------------------
+# E: selection
+# --------------------------------------------------------------------------
+
+SCORES = """
+  SELECT vec_id AS step_id, CAST(pos AS BIGINT) AS token_id, CAST(embedding[pos + 1] AS DOUBLE) AS score
+  FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS pos FROM embeddings)
+"""
+
+MASK = """
+  SELECT vec_id AS step_id, CAST(pos AS BIGINT) AS token_id, CAST((pos * 5) % 64 AS BIGINT) AS ord FROM (
+    SELECT vec_id, unnest(CASE WHEN vec_id % 13 = 0 THEN []::BIGINT[]
+                               WHEN vec_id % 11 = 0 THEN [vec_id % len(embedding)]
+                               ELSE list_filter(range(len(embedding)), lambda p: (vec_id + p) % 7 = 0) END) AS pos
+    FROM embeddings)
+"""
+
+
+def select_sql(body: str) -> str:
+    return "WITH " + _ctes(scores=SCORES, mask=MASK) + "\n" + body
+
+
+def apply_mask_sql() -> str:
+    return select_sql("SELECT s.step_id, s.token_id, m.ord, s.score FROM scores s JOIN mask m "
+                      "ON s.step_id = m.step_id AND s.token_id = m.token_id")
+
+
+def masked_argmax_sql() -> str:
+    return select_sql("""
+SELECT step_id, token_id, score FROM (
+  SELECT s.step_id, s.token_id, s.score,
+         row_number() OVER (PARTITION BY s.step_id ORDER BY s.score DESC, m.ord ASC) AS rn
+  FROM scores s JOIN mask m ON s.step_id = m.step_id AND s.token_id = m.token_id)
+WHERE rn = 1""")
+
+
+def forced_choices_sql() -> str:
+    return select_sql("SELECT step_id, min(token_id) AS token_id FROM mask GROUP BY step_id HAVING count(*) = 1")
+
+
+def scoring_rows_sql() -> str:
+    return select_sql("""
+SELECT s.step_id, s.token_id, m.ord, s.score FROM scores s JOIN mask m
+  ON s.step_id = m.step_id AND s.token_id = m.token_id
+WHERE s.step_id NOT IN (SELECT step_id FROM mask GROUP BY step_id HAVING count(*) = 1)""")
+
+
+def deadlocks_sql() -> str:
+    return select_sql("SELECT vec_id AS step_id FROM embeddings WHERE vec_id NOT IN (SELECT step_id FROM mask)")
+
+
+def route_calls_sql() -> str:
+    return "WITH " + _ctes(dom=DOMAIN_EVENTS, router=ROUTER_CALLS) + f"""
+, routed AS (
+  SELECT r.call_id AS prompt_id, d.candidate AS selected
+  FROM (SELECT call_id, CASE WHEN {rx('text', R.router)} THEN regexp_extract(text, {q(R.router)}, 1) END AS raw
+        FROM router) r
+  JOIN (SELECT DISTINCT candidate FROM dom) d ON r.raw = '"' || d.candidate || '"')
+SELECT r.prompt_id, coalesce(f.name, 'none') AS name, f.name IS NOT NULL AS extract
+FROM routed r LEFT JOIN (SELECT DISTINCT event_type AS name FROM events) f ON r.selected = f.name
+"""
+
+
+def over_budget_sql() -> str:
+    steps = f"""
+  SELECT doc_id AS prompt_id,
+         CASE WHEN doc_id % 3 = 0 THEN 'route' WHEN doc_id % 3 = 1 THEN 'extract' ELSE 'other' END AS phase,
+         CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS token
+  FROM (SELECT doc_id, regexp_extract_all(text, {q(PIECE)}, 0) AS l FROM documents)
+"""
+    return "WITH " + _ctes(steps=steps) + """
+, b AS (SELECT *, CASE phase WHEN 'route' THEN 50 WHEN 'extract' THEN 300 ELSE 500 END AS budget FROM steps)
+SELECT prompt_id, phase, CAST(count(*) AS BIGINT) AS n_tokens, CAST(any_value(budget) AS INTEGER) AS budget,
+       string_agg(token, '' ORDER BY pos) FILTER (WHERE pos < budget) AS partial_text
+FROM b GROUP BY prompt_id, phase HAVING count(*) > any_value(budget)
+"""

@@ -139,6 +139,27 @@ register("f6_mask_size_report", _mask_size, O.mask_size_sql())
 register("f7_charset_audit", lambda s, d: V.charset_audit(FX.v_raw_vocab(s, d)), O.charset_audit_sql())
 
 
+# -- E: selection -----------------------------------------------------------------
+from callscope.operators import select as E  # noqa: E402
+
+register("e1_apply_mask", lambda s, d: E.apply_mask(FX.v_scores(s, d), FX.v_mask(s, d)), O.apply_mask_sql())
+register("e2_masked_argmax", lambda s, d: E.masked_argmax(FX.v_scores(s, d), FX.v_mask(s, d)), O.masked_argmax_sql())
+register("e3_forced_choices", lambda s, d: E.forced_choices(FX.v_mask(s, d)), O.forced_choices_sql())
+register("e3_scoring_rows", lambda s, d: E.scoring_rows(FX.v_scores(s, d), FX.v_mask(s, d)), O.scoring_rows_sql())
+register("e4_deadlocks", lambda s, d: E.deadlocks(FX.v_steps(s, d), FX.v_mask(s, d)), O.deadlocks_sql())
+
+
+def _route_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = FX.v_catalog(spark, sf_dir)
+    docs = C.router_documents(FX.v_router_calls(spark, sf_dir), B.routing_domain(catalog))
+    selected = docs.where("accepted").select(F.col("call_id").alias("prompt_id"), "selected")
+    return E.route_calls(selected, catalog)
+
+
+register("e5_route_calls", _route_calls, O.route_calls_sql())
+register("e8_over_budget", lambda s, d: E.over_budget(FX.v_token_steps(s, d)), O.over_budget_sql())
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14 on the events calls: the minimum end-to-end slice."""
     return QUERIES["c14_conformance"](spark, sf_dir)

@@ -323,3 +323,49 @@ def v_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callscope.functions.ordering import dense_index
 
     return dense_index(q, "query", out="query_id").select("query_id", "query")
+
+
+# --------------------------------------------------------------------------
+# Score / mask / step views (embeddings, documents)
+# --------------------------------------------------------------------------
+
+def v_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One decoding step per embedding row; the vector holds the token scores."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return e.select(F.col("vec_id").alias("step_id"), F.posexplode("embedding").alias("pos", "v")).select(
+        "step_id", F.col("pos").cast("long").alias("token_id"), F.col("v").cast("double").alias("score")
+    )
+
+
+def v_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("step_id"))
+
+
+def v_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allowed tokens per step: every 7th position; a single one on every 11th
+    step; none on every 13th.  ``ord`` (the enumeration order) is a permutation
+    of the positions, so ties are not broken by token id."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("n"))
+    v = F.col("vec_id")
+    positions = (
+        F.when(v % 13 == 0, F.array().cast("array<int>"))
+        .when(v % 11 == 0, F.array((v % F.col("n")).cast("int")))
+        .otherwise(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda p: (v + p) % 7 == 0))
+    )
+    return e.select("vec_id", F.explode(positions).alias("pos")).select(
+        F.col("vec_id").alias("step_id"),
+        F.col("pos").cast("long").alias("token_id"),
+        ((F.col("pos") * 5) % 64).cast("long").alias("ord"),
+    )
+
+
+def v_token_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token streams: each document cut into pieces, phase by document id."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    phase = (
+        F.when(F.col("doc_id") % 3 == 0, "route").when(F.col("doc_id") % 3 == 1, "extract").otherwise("other")
+    )
+    return d.select(
+        F.col("doc_id").alias("prompt_id"), phase.alias("phase"),
+        F.posexplode(F.regexp_extract_all("text", F.lit(PIECE_PATTERN), 0)).alias("pos", "token"),
+    ).select("prompt_id", "phase", F.col("pos").cast("int").alias("pos"), "token")
