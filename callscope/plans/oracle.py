@@ -792,3 +792,102 @@ SELECT prompt_id, phase, CAST(count(*) AS BIGINT) AS n_tokens, CAST(any_value(bu
        string_agg(token, '' ORDER BY pos) FILTER (WHERE pos < budget) AS partial_text
 FROM b GROUP BY prompt_id, phase HAVING count(*) > any_value(budget)
 """
+
+
+# --------------------------------------------------------------------------
+# D1-D3, E6, E9
+# --------------------------------------------------------------------------
+
+def _prompt_constants():
+    from callscope.operators import prompts as P
+    return P
+
+
+CAT_EVENTS = """
+  SELECT CAST(dense_rank() OVER (ORDER BY name) - 1 AS BIGINT) AS ord, name,
+         'Record a ' || name || ' event.' AS description
+  FROM (SELECT DISTINCT event_type AS name FROM events)
+"""
+
+PROMPTS = """
+  SELECT conv_id * 1000 + turn AS prompt_id, text AS prompt FROM conversations WHERE role = 'user'
+"""
+
+EVENT_PROMPTS = """
+  SELECT event_id AS prompt_id, event_type,
+    CASE WHEN event_id % 4 = 0 THEN 'Record a ' || event_type || ' event with k ' || k
+         WHEN event_id % 4 = 1 THEN 'Please log this ' || event_type || ' now'
+         WHEN event_id % 4 = 2 THEN 'What is the weather like today?'
+         ELSE upper(event_type) || ' happened, k=' || k || ' (value ' || CAST(CAST(value AS DECIMAL(10,2)) AS STRING) || ')' END AS prompt
+  FROM (SELECT *, regexp_extract(props, '-?[0-9]+', 0) AS k FROM events)
+"""
+
+
+def router_prompts_sql() -> str:
+    P = _prompt_constants()
+    return "WITH " + _ctes(cat=CAT_EVENTS, prompts=PROMPTS) + f"""
+, block AS (SELECT string_agg('- ' || name || ': ' || description || chr(10), '' ORDER BY ord) AS b FROM cat)
+SELECT p.prompt_id, {sql_literal(P.ROUTER_HEADER)} || k.b || {sql_literal(P.ROUTER_EXAMPLES)}
+       || 'User: "' || p.prompt || '"' || chr(10) || 'Output:' AS text
+FROM prompts p, block k
+"""
+
+
+def extractor_prompts_sql() -> str:
+    P = _prompt_constants()
+    return "WITH " + _ctes(prompts=EVENT_PROMPTS) + f"""
+SELECT prompt_id, event_type AS name,
+  {sql_literal(P.EXTRACTOR_HEADER)} || 'Function: ' || event_type || chr(10)
+  || 'Parameters:' || chr(10) || '  k (integer)' || chr(10) || chr(10)
+  || {sql_literal(P.EXTRACTOR_RULES)} || {sql_literal(P.EXTRACTOR_GENERIC_EXAMPLES)} || chr(10)
+  || {sql_literal(P.EXTRACTOR_REMINDER)}
+  || 'User: "' || prompt || '"' || chr(10) || 'Function: ' || event_type || chr(10) || 'Output:' || chr(10) AS text
+FROM prompts
+"""
+
+
+def attach_examples_sql() -> str:
+    P = _prompt_constants()
+    rows = " UNION ALL ".join(
+        f"SELECT {sql_literal(f)} AS function, {sql_literal(c)} AS contradiction, {sql_literal(x)} AS counter_examples"
+        for f, c, x in P.FUNCTION_EXAMPLES
+    )
+    return "WITH " + _ctes(ex=rows) + """
+SELECT n.name_id, n.name, coalesce(e.contradiction, '') AS contradiction, coalesce(e.counter_examples, '') AS counter_examples
+FROM (SELECT event_id AS name_id,
+             CASE WHEN event_id % 4 = 0 THEN upper(event_type) ELSE event_type END AS name FROM events) n
+LEFT JOIN ex e ON n.name = e.function
+"""
+
+
+TWO_PHASE = """
+  SELECT p.prompt_id, p.prompt, p.event_type, r.name AS routed,
+         regexp_extract(p.prompt, '-?[0-9]+(?:\\.[0-9]+)?', 0) AS k
+  FROM prompts p LEFT JOIN (
+    SELECT prompt_id, arg_min(c.name, c.ord) AS name
+    FROM (SELECT prompt_id, unnest(regexp_extract_all(lower(prompt), '[\\p{L}0-9_]+', 0)) AS w FROM prompts) x
+    JOIN cat c ON lower(c.name) = x.w GROUP BY prompt_id) r ON p.prompt_id = r.prompt_id
+"""
+
+
+def two_phase_results_sql() -> str:
+    return "WITH " + _ctes(cat=CAT_EVENTS, prompts=EVENT_PROMPTS, tp=TWO_PHASE) + """
+SELECT prompt_id, prompt, 'none' AS name, '{}' AS parameters FROM tp WHERE routed IS NULL
+UNION ALL
+SELECT prompt_id, prompt, routed AS name, '{"k": ' || k || '}' AS parameters
+FROM tp WHERE routed IS NOT NULL AND regexp_matches(k, '\\A-?(?:0|[1-9][0-9]*)\\z')
+"""
+
+
+def two_phase_errors_sql() -> str:
+    return "WITH " + _ctes(cat=CAT_EVENTS, prompts=EVENT_PROMPTS, tp=TWO_PHASE) + """
+SELECT prompt_id, 'extract' AS phase, 'rejected' AS reason
+FROM tp WHERE routed IS NOT NULL AND NOT regexp_matches(k, '\\A-?(?:0|[1-9][0-9]*)\\z')
+"""
+
+
+def result_coverage_sql() -> str:
+    return "WITH " + _ctes(cat=CAT_EVENTS, prompts=EVENT_PROMPTS, tp=TWO_PHASE) + """
+SELECT prompt_id, 'extract_rejected' AS reason
+FROM tp WHERE routed IS NOT NULL AND NOT regexp_matches(k, '\\A-?(?:0|[1-9][0-9]*)\\z')
+"""

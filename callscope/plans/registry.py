@@ -160,6 +160,44 @@ register("e5_route_calls", _route_calls, O.route_calls_sql())
 register("e8_over_budget", lambda s, d: E.over_budget(FX.v_token_steps(s, d)), O.over_budget_sql())
 
 
+# -- D: prompt construction; E6/E7/E9: the two-phase batch ------------------------
+from callscope.operators import prompts as D  # noqa: E402
+from callscope.plans import two_phase as T  # noqa: E402
+
+
+def _extractor_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ep = FX.v_event_prompts(spark, sf_dir).select("prompt_id", "prompt", F.col("event_type").alias("name"))
+    return D.build_extractor_prompts(ep, FX.v_catalog(spark, sf_dir))
+
+
+def _attach_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.attach_examples(FX.v_names(spark, sf_dir), D.example_table(spark)).select(
+        "name_id", "name", "contradiction", "counter_examples")
+
+
+def _two_phase(part: int):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prompts = FX.v_event_prompts(spark, sf_dir).select("prompt_id", "prompt")
+        return T.run_two_phase(prompts, FX.v_catalog(spark, sf_dir))[part]
+
+    return run
+
+
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompts = FX.v_event_prompts(spark, sf_dir).select("prompt_id", "prompt")
+    results, errors = T.run_two_phase(prompts, FX.v_catalog(spark, sf_dir))
+    return T.result_coverage(prompts, results, errors)
+
+
+register("d1_router_prompts", lambda s, d: D.build_router_prompts(FX.v_prompts(s, d), FX.v_catalog(s, d)),
+         O.router_prompts_sql())
+register("d2_extractor_prompts", _extractor_prompts, O.extractor_prompts_sql())
+register("d3_attach_examples", _attach_examples, O.attach_examples_sql())
+register("e6_two_phase_results", _two_phase(0), O.two_phase_results_sql())
+register("e6_two_phase_errors", _two_phase(1), O.two_phase_errors_sql())
+register("e9_result_coverage", _coverage, O.result_coverage_sql())
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14 on the events calls: the minimum end-to-end slice."""
     return QUERIES["c14_conformance"](spark, sf_dir)

@@ -369,3 +369,30 @@ def v_token_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("prompt_id"), phase.alias("phase"),
         F.posexplode(F.regexp_extract_all("text", F.lit(PIECE_PATTERN), 0)).alias("pos", "token"),
     ).select("prompt_id", "phase", F.col("pos").cast("int").alias("pos"), "token")
+
+
+# --------------------------------------------------------------------------
+# Prompt views
+# --------------------------------------------------------------------------
+
+def v_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns of the conversations; ``prompt_id = conv_id * 1000 + turn``."""
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), F.col("text").alias("prompt"))
+
+
+def v_event_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests phrased from events: routable with a number, routable without
+    one, unroutable, and upper-cased with two numbers."""
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "props")
+    k = F.regexp_extract("props", "-?[0-9]+", 0)
+    r = F.col("event_id") % 4
+    et = F.col("event_type")
+    prompt = (
+        F.when(r == 0, F.concat(F.lit("Record a "), et, F.lit(" event with k "), k))
+        .when(r == 1, F.concat(F.lit("Please log this "), et, F.lit(" now")))
+        .when(r == 2, F.lit("What is the weather like today?"))
+        .otherwise(F.concat(F.upper(et), F.lit(" happened, k="), k, F.lit(" (value "),
+                            F.col("value").cast("decimal(10,2)").cast("string"), F.lit(")")))
+    )
+    return ev.select(F.col("event_id").alias("prompt_id"), prompt.alias("prompt"), et.alias("event_type"))
