@@ -891,3 +891,168 @@ def result_coverage_sql() -> str:
 SELECT prompt_id, 'extract_rejected' AS reason
 FROM tp WHERE routed IS NOT NULL AND NOT regexp_matches(k, '\\A-?(?:0|[1-9][0-9]*)\\z')
 """
+
+
+# --------------------------------------------------------------------------
+# G1, G2
+# --------------------------------------------------------------------------
+
+EXPECTED = """
+  SELECT call_id AS prompt_id, function AS name, text AS parameters FROM calls WHERE call_id % 17 <= 7
+"""
+
+ACTUAL = """
+  SELECT prompt_id, CASE WHEN prompt_id % 5 = 1 THEN 'none' ELSE name END AS name,
+    CASE WHEN prompt_id % 5 = 1 THEN '{}'
+         WHEN prompt_id % 5 = 2 THEN '{"k": ' || CAST(CAST(k AS BIGINT) + 1 AS STRING) || '}'
+         WHEN prompt_id % 5 = 4 THEN '{"k":' || k || '}'
+         ELSE parameters END AS parameters
+  FROM (SELECT *, regexp_extract(parameters, '-?[0-9]+', 0) AS k FROM expected) WHERE prompt_id % 5 <> 3
+"""
+
+
+def _eval_ctes() -> dict[str, str]:
+    specs, calls = FIXTURES["events"]
+    ctes = {"specs": specs, "calls": calls, "schema": SCHEMA, "expected": EXPECTED, "actual": ACTUAL,
+            "e_src": "SELECT prompt_id AS call_id, name AS function, parameters AS text FROM expected",
+            "a_src": "SELECT prompt_id AS call_id, name AS function, parameters AS text FROM actual"}
+    ctes.update(chain("e_src", "e_"))
+    ctes.update(chain("a_src", "a_"))
+    sig = "list_sort(list_transform({p}.fkeys, lambda k, i: k || chr(1) || {p}.fvals[i]))"
+    ctes["j"] = f"""
+  SELECT e.call_id AS prompt_id, e.function AS exp_name, a.function AS act_name,
+         {sig.format(p='e')} AS exp_sig, {sig.format(p='a')} AS act_sig
+  FROM e_parsed e LEFT JOIN a_parsed a ON e.call_id = a.call_id
+"""
+    return ctes
+
+
+def accuracy_report_sql() -> str:
+    return "WITH " + _ctes(**_eval_ctes()) + """
+SELECT coalesce(function, '__all__') AS function, n, routing_ok, params_ok, exact_ok, round(exact_ok / n, 6) AS accuracy
+FROM (SELECT exp_name AS function, CAST(count(*) AS BIGINT) AS n,
+             CAST(count(*) FILTER (WHERE coalesce(act_name = exp_name, false)) AS BIGINT) AS routing_ok,
+             CAST(count(*) FILTER (WHERE coalesce(act_sig = exp_sig, false)) AS BIGINT) AS params_ok,
+             CAST(count(*) FILTER (WHERE coalesce(act_name = exp_name, false) AND coalesce(act_sig = exp_sig, false)) AS BIGINT) AS exact_ok
+      FROM j GROUP BY ROLLUP (exp_name))
+"""
+
+
+def routing_confusion_sql() -> str:
+    specs, calls = FIXTURES["events"]
+    return "WITH " + _ctes(calls=calls, expected=EXPECTED, actual=ACTUAL) + """
+SELECT e.name AS expected, coalesce(a.name, '<missing>') AS actual, CAST(count(*) AS BIGINT) AS n
+FROM expected e LEFT JOIN actual a ON e.prompt_id = a.prompt_id GROUP BY 1, 2
+"""
+
+
+# --------------------------------------------------------------------------
+# A1-A4
+# --------------------------------------------------------------------------
+
+CATALOG_DOCS = """
+  SELECT 'catalog_' || lpad(CAST(g AS STRING), 6, '0') AS source,
+         CASE WHEN g % 50 = 7 THEN '{"functions": [' || body || ']}'
+              WHEN g % 50 = 13 THEN '[' || body ELSE '[' || body || ']' END AS text
+  FROM (SELECT g, string_agg(elem, ', ' ORDER BY pk) AS body FROM (
+    SELECT p_partkey // 4 AS g, p_partkey AS pk,
+      '{' || CASE WHEN d = 1 THEN '' ELSE '"name": ' || CASE WHEN d = 6 THEN to_json('part"' || p_partkey) ELSE to_json('part_' || p_partkey) END || ', ' END
+      || '"description": ' || CASE WHEN d = 5 THEN CAST(p_size AS STRING) ELSE to_json(p_name) END
+      || ', "parameters": {"size": {"type": "integer"' || CASE WHEN d = 4 THEN ', "min": 0' ELSE '' END
+      || '}, "price": {"type": "' || CASE WHEN d = 3 THEN 'decimal' ELSE 'number' END || '"}, "brand": {"type": "string"}}'
+      || ', "returns": {"type": "' || CASE WHEN d = 7 THEN 'Integer' ELSE 'boolean' END || '"}'
+      || CASE WHEN d = 2 THEN ', "version": 1' ELSE '' END || '}' AS elem
+    FROM (SELECT *, p_partkey % 101 AS d FROM part)) GROUP BY g)
+"""
+
+PROMPT_DOCS = """
+  SELECT 'prompts_' || lpad(CAST(conv_id AS STRING), 6, '0') AS source, '[' || string_agg(elem, ', ' ORDER BY turn) || ']' AS text
+  FROM (SELECT conv_id, turn,
+          '{"' || CASE WHEN conv_id % 9 = 4 AND first THEN 'question' ELSE 'prompt' END || '": ' || to_json(text)
+          || CASE WHEN conv_id % 9 = 7 AND first THEN ', "role": "user"' ELSE '' END || '}' AS elem
+        FROM (SELECT conv_id, turn, text, turn = min(turn) OVER (PARTITION BY conv_id) AS first
+              FROM conversations WHERE role = 'user'))
+  GROUP BY conv_id
+"""
+
+BAD_ID = "'[\"\\\\\\x00-\\x1f]'"
+TYPE_LIST = "('string', 'number', 'integer', 'float', 'boolean', 'null')"
+
+
+def _type_field_rejects(src: str, raw: str, path: str) -> str:
+    """Rows (source, ord, reason, field) for a {"type": name} value."""
+    return f"""
+  SELECT source, ord, 'not_object' AS reason, {path} AS field FROM {src} WHERE json_type({raw}) <> 'OBJECT'
+  UNION ALL SELECT source, ord, 'missing_field', {path} || '.type' FROM {src}
+    WHERE json_type({raw}) = 'OBJECT' AND NOT list_contains(json_keys({raw}), 'type')
+  UNION ALL SELECT source, ord, 'extra_field', path0 || '.' || k FROM (
+    SELECT source, ord, {path} AS path0, unnest(list_filter(json_keys({raw}), lambda x: x <> 'type')) AS k
+    FROM {src} WHERE json_type({raw}) = 'OBJECT')
+  UNION ALL SELECT source, ord, 'bad_type', {path} || '.type' FROM {src}
+    WHERE json_type({raw}) = 'OBJECT' AND list_contains(json_keys({raw}), 'type')
+      AND NOT coalesce(json_extract_string({raw}, '$.type') IN {TYPE_LIST}, false)
+"""
+
+
+def rejects_ctes(kind: str) -> dict[str, str]:
+    docs = CATALOG_DOCS if kind == "function" else PROMPT_DOCS
+    fields = ("name", "description", "parameters", "returns") if kind == "function" else ("prompt",)
+    flist = "[" + ", ".join(f"'{f}'" for f in fields) + "]"
+    ctes = {"docs": docs}
+    ctes["els"] = """
+  SELECT source, CAST(unnest(range(len(l))) AS BIGINT) AS ord, unnest(l) AS e
+  FROM (SELECT source, json_extract(text, '$[*]') AS l FROM docs WHERE json_valid(text) AND json_type(text) = 'ARRAY')
+"""
+    parts = [
+        "SELECT source, CAST(NULL AS BIGINT) AS ord, CASE WHEN NOT json_valid(text) THEN 'invalid_json' ELSE 'root_not_list' END AS reason, '' AS field FROM docs WHERE NOT json_valid(text) OR json_type(text) <> 'ARRAY'",
+        "SELECT source, ord, 'not_object', '' FROM els WHERE json_type(e) <> 'OBJECT'",
+    ]
+    for f in fields:
+        parts.append(f"SELECT source, ord, 'missing_field', '{f}' FROM els WHERE json_type(e) = 'OBJECT' AND NOT list_contains(json_keys(e), '{f}')")
+    parts.append(f"SELECT source, ord, 'extra_field', k FROM (SELECT source, ord, unnest(list_filter(json_keys(e), lambda x: NOT list_contains({flist}, x))) AS k FROM els WHERE json_type(e) = 'OBJECT')")
+    for f in (("name", "description") if kind == "function" else ("prompt",)):
+        parts.append(f"SELECT source, ord, 'not_string', '{f}' FROM els WHERE list_contains(json_keys(e), '{f}') AND json_type(e, '$.{f}') <> 'VARCHAR'")
+    if kind == "function":
+        parts.append(f"SELECT source, ord, 'unsupported_identifier', 'name' FROM els WHERE json_type(e, '$.name') = 'VARCHAR' AND regexp_matches(json_extract_string(e, '$.name'), {BAD_ID})")
+        parts.append("SELECT source, ord, 'not_object', 'parameters' FROM els WHERE list_contains(json_keys(e), 'parameters') AND json_type(e, '$.parameters') <> 'OBJECT'")
+        ctes["pels"] = """
+  SELECT source, ord, 'parameters.' || k AS path, k, json_extract(p, '$."' || k || '"') AS raw
+  FROM (SELECT source, ord, p, unnest(json_keys(p)) AS k
+        FROM (SELECT source, ord, json_extract(e, '$.parameters') AS p FROM els WHERE json_type(e, '$.parameters') = 'OBJECT'))
+"""
+        ctes["rels"] = "SELECT source, ord, 'returns' AS path, json_extract(e, '$.returns') AS raw FROM els WHERE list_contains(json_keys(e), 'returns')"
+        parts.append(f"SELECT source, ord, 'unsupported_identifier', path FROM pels WHERE regexp_matches(k, {BAD_ID})")
+        parts.append(_type_field_rejects("pels", "raw", "path"))
+        parts.append(_type_field_rejects("rels", "raw", "path"))
+    ctes["rejects"] = "\n  UNION ALL ".join(parts)
+    return ctes
+
+
+def definition_rejects_sql(kind: str) -> str:
+    return "WITH " + _ctes(**rejects_ctes(kind)) + "\nSELECT source, ord, reason, field FROM rejects"
+
+
+def parse_catalog_sql() -> str:
+    return "WITH " + _ctes(**rejects_ctes("function")) + """
+SELECT source, ord, json_extract_string(e, '$.name') AS name, json_extract_string(e, '$.description') AS description,
+  array_to_string(list_transform(json_keys(json_extract(e, '$.parameters')),
+      lambda k: k || ':' || json_extract_string(e, '$.parameters.' || k || '.type')), ',') AS params,
+  json_extract_string(e, '$.returns.type') AS returns
+FROM els WHERE source NOT IN (SELECT source FROM rejects)
+"""
+
+
+def parse_prompts_sql() -> str:
+    return "WITH " + _ctes(**rejects_ctes("prompt")) + """
+SELECT source, ord AS prompt_id, json_extract_string(e, '$.prompt') AS prompt
+FROM els WHERE source NOT IN (SELECT source FROM rejects)
+"""
+
+
+def written_results_sql() -> str:
+    return "WITH " + _ctes(cat=CAT_EVENTS, prompts=EVENT_PROMPTS, tp=TWO_PHASE) + """
+SELECT prompt, 'none' AS name, '{}' AS parameters FROM tp WHERE routed IS NULL
+UNION ALL
+SELECT prompt, routed AS name, '{"k":' || k || '}' AS parameters
+FROM tp WHERE routed IS NOT NULL AND regexp_matches(k, '\\A-?(?:0|[1-9][0-9]*)\\z')
+"""

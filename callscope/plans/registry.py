@@ -198,6 +198,61 @@ register("e6_two_phase_errors", _two_phase(1), O.two_phase_errors_sql())
 register("e9_result_coverage", _coverage, O.result_coverage_sql())
 
 
+# -- G: evaluation; H: streaming; A: sources and sinks ---------------------------
+import uuid  # noqa: E402
+
+from callscope.operators import evaluate as GV  # noqa: E402
+from callscope.session import ensure_checkpoint_dir  # noqa: E402
+from callscope.sources import catalog_io as A  # noqa: E402
+from callscope.streaming import validate_stream as H  # noqa: E402
+
+register("g1_accuracy_report", lambda s, d: GV.accuracy_report(FX.v_expected(s, d), FX.v_actual(s, d)),
+         O.accuracy_report_sql())
+register("g2_routing_confusion", lambda s, d: GV.routing_confusion(FX.v_expected(s, d), FX.v_actual(s, d)),
+         O.routing_confusion_sql())
+
+
+def _work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint root (never a node-local path)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _validate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _work_dir(spark, "h1")
+    FX.v_calls(spark, sf_dir).repartition(4).write.mode("overwrite").parquet(f"{root}/source")
+    q = H.validate_stream(spark, f"{root}/source", FX.v_catalog(spark, sf_dir), f"{root}/sink", f"{root}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/sink")
+
+
+def _catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = A.parse_function_catalog(FX.v_catalog_docs(spark, sf_dir))
+    return c.select("source", "ord", "name", "description",
+                    F.array_join(F.transform("params", lambda p: F.concat(p["key"], F.lit(":"), p["type"])), ",")
+                    .alias("params"), "returns")
+
+
+def _written_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompts = FX.v_event_prompts(spark, sf_dir).select("prompt_id", "prompt")
+    results, _ = T.run_two_phase(prompts, FX.v_catalog(spark, sf_dir))
+    out = _work_dir(spark, "a4")
+    A.write_call_results(results, out)
+    back = spark.read.text(out)
+    return back.select(F.get_json_object("value", "$.prompt").alias("prompt"),
+                       F.get_json_object("value", "$.name").alias("name"),
+                       F.get_json_object("value", "$.parameters").alias("parameters"))
+
+
+register("h1_validate_stream", _validate_stream, O.status_sql("events"))
+register("a1_parse_function_catalog", _catalog_rows, O.parse_catalog_sql())
+register("a2_parse_prompts", lambda s, d: A.parse_prompts(FX.v_prompt_docs(s, d)), O.parse_prompts_sql())
+register("a3_definition_rejects", lambda s, d: A.definition_rejects(FX.v_catalog_docs(s, d)),
+         O.definition_rejects_sql("function"))
+register("a3_prompt_rejects", lambda s, d: A.definition_rejects(FX.v_prompt_docs(s, d), "prompt"),
+         O.definition_rejects_sql("prompt"))
+register("a4_write_call_results", _written_results, O.written_results_sql())
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14 on the events calls: the minimum end-to-end slice."""
     return QUERIES["c14_conformance"](spark, sf_dir)

@@ -65,6 +65,8 @@ def spread(df: DataFrame) -> DataFrame:
     ``defaultParallelism`` partitions.  A large input already has more splits
     than cores and is left untouched, so no shuffle is added at scale.
     """
+    if df.isStreaming:
+        return df
     sc = df.sparkSession.sparkContext
     target = sc.defaultParallelism
     if df.rdd.getNumPartitions() >= target:

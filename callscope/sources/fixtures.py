@@ -396,3 +396,91 @@ def v_event_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
                             F.col("value").cast("decimal(10,2)").cast("string"), F.lit(")")))
     )
     return ev.select(F.col("event_id").alias("prompt_id"), prompt.alias("prompt"), et.alias("event_type"))
+
+
+# --------------------------------------------------------------------------
+# JSON-list documents (catalog files from `part`, prompt files from conversations)
+# --------------------------------------------------------------------------
+
+def json_string(s: Column) -> Column:
+    """A string as a JSON string literal (escaped)."""
+    j = F.to_json(F.array(s))
+    return j.substr(F.lit(2), F.length(j) - 2)
+
+
+def v_catalog_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog documents of four parts each; some definitions break one rule
+    (by ``p_partkey % 101``), some documents are not lists or not JSON."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    pk = F.col("p_partkey")
+    d = pk % 101
+    name = F.when(d == 6, json_string(F.concat(F.lit('part"'), pk.cast("string")))).otherwise(
+        json_string(F.concat(F.lit("part_"), pk.cast("string"))))
+    desc = F.when(d == 5, F.col("p_size").cast("string")).otherwise(json_string(F.col("p_name")))
+    params = F.concat(
+        F.lit('{"size": {"type": "integer"'), F.when(d == 4, F.lit(', "min": 0')).otherwise(F.lit("")),
+        F.lit('}, "price": {"type": "'), F.when(d == 3, F.lit("decimal")).otherwise(F.lit("number")),
+        F.lit('"}, "brand": {"type": "string"}}'),
+    )
+    returns = F.concat(F.lit('{"type": "'), F.when(d == 7, F.lit("Integer")).otherwise(F.lit("boolean")), F.lit('"}'))
+    elem = F.concat(
+        F.lit("{"), F.when(d == 1, F.lit("")).otherwise(F.concat(F.lit('"name": '), name, F.lit(", "))),
+        F.lit('"description": '), desc, F.lit(', "parameters": '), params, F.lit(', "returns": '), returns,
+        F.when(d == 2, F.lit(', "version": 1')).otherwise(F.lit("")), F.lit("}"),
+    )
+    grp = F.floor(pk / 4).cast("long")
+    docs = p.select(grp.alias("g"), pk.alias("pk"), elem.alias("elem")).groupBy("g").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pk", "elem"))), lambda x: x["elem"]), ", ")
+        .alias("body")
+    )
+    g = F.col("g")
+    text = (
+        F.when(g % 50 == 7, F.concat(F.lit('{"functions": ['), F.col("body"), F.lit("]}")))
+        .when(g % 50 == 13, F.concat(F.lit("["), F.col("body")))
+        .otherwise(F.concat(F.lit("["), F.col("body"), F.lit("]")))
+    )
+    return docs.select(F.concat(F.lit("catalog_"), F.lpad(g.cast("string"), 6, "0")).alias("source"),
+                       text.alias("text"))
+
+
+def v_prompt_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prompt list per conversation (user turns in order), some with a
+    renamed or an extra field."""
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
+    cid = F.col("conv_id")
+    first = F.col("turn") == F.min("turn").over(Window.partitionBy("conv_id"))
+    field = F.when((cid % 9 == 4) & first, F.lit("question")).otherwise(F.lit("prompt"))
+    extra = F.when((cid % 9 == 7) & first, F.lit(', "role": "user"')).otherwise(F.lit(""))
+    elem = F.concat(F.lit('{"'), field, F.lit('": '), json_string(F.col("text")), extra, F.lit("}"))
+    docs = c.select("conv_id", "turn", elem.alias("elem")).groupBy("conv_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "elem"))), lambda x: x["elem"]), ", ")
+        .alias("body")
+    )
+    return docs.select(F.concat(F.lit("prompts_"), F.lpad(cid.cast("string"), 6, "0")).alias("source"),
+                       F.concat(F.lit("["), F.col("body"), F.lit("]")).alias("text"))
+
+
+# --------------------------------------------------------------------------
+# Expected / actual calls for evaluation
+# --------------------------------------------------------------------------
+
+def v_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The complete, valid calls of ``v_calls`` as the expected outputs."""
+    c = v_calls(spark, sf_dir).where((F.col("call_id") % 17) <= 7)
+    return c.select(F.col("call_id").alias("prompt_id"), F.col("function").alias("name"),
+                    F.col("text").alias("parameters"))
+
+
+def v_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Produced outputs: right, routed to none, wrong value, missing, reformatted."""
+    e = v_expected(spark, sf_dir)
+    m = F.col("prompt_id") % 5
+    k = F.regexp_extract("parameters", "-?[0-9]+", 0)
+    params = (
+        F.when(m == 1, F.lit("{}"))
+        .when(m == 2, F.concat(F.lit('{"k": '), (k.cast("bigint") + 1).cast("string"), F.lit("}")))
+        .when(m == 4, F.concat(F.lit('{"k":'), k, F.lit("}")))
+        .otherwise(F.col("parameters"))
+    )
+    name = F.when(m == 1, F.lit("none")).otherwise(F.col("name"))
+    return e.where(m != 3).select("prompt_id", name.alias("name"), params.alias("parameters"))
