@@ -1056,3 +1056,11 @@ UNION ALL
 SELECT prompt, routed AS name, '{"k":' || k || '}' AS parameters
 FROM tp WHERE routed IS NOT NULL AND regexp_matches(k, '\\A-?(?:0|[1-9][0-9]*)\\z')
 """
+
+
+def retry_sql() -> str:
+    specs, calls = FIXTURES["events"]
+    return "WITH " + parse_ctes("events") + """
+SELECT call_id AS prompt_id, function, CASE WHEN status = 'INCOMPLETE' THEN text || '}' ELSE text END AS output
+FROM parsed
+"""

@@ -253,6 +253,22 @@ register("a3_prompt_rejects", lambda s, d: A.definition_rejects(FX.v_prompt_docs
 register("a4_write_call_results", _written_results, O.written_results_sql())
 
 
+def _retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INCOMPLETE outputs are re-scored once; a second attempt closes the object."""
+    calls = FX.v_calls(spark, sf_dir)
+    scored = calls.select(F.col("call_id").alias("prompt_id"), "function", F.col("text").alias("output"))
+    requests = calls.select(F.col("call_id").alias("prompt_id"), F.col("function").alias("name"), "text")
+
+    def completing_scorer(df: DataFrame) -> DataFrame:
+        return df.select("prompt_id", F.concat("text", F.lit("}")).alias("output"))
+
+    out = T.retry_incomplete(scored, requests, completing_scorer, FX.v_catalog(spark, sf_dir))
+    return out.select("prompt_id", "function", "output")
+
+
+register("e7_retry_incomplete", _retry, O.retry_sql())
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14 on the events calls: the minimum end-to-end slice."""
     return QUERIES["c14_conformance"](spark, sf_dir)
