@@ -169,7 +169,7 @@ def not_rejected(text: Column, keys: Column, types: Column) -> Column:
 
 
 def add_status(df, text: str = "text", keys: str = "keys", types: str = "types",
-               out: str = "status"):
+               out: str = "status", with_fields: bool = False):
     """Frame form of :func:`call_status`, staged so each regex runs once per row.
 
     Each stage is a separate projection; Catalyst keeps them apart because the
@@ -215,4 +215,14 @@ def add_status(df, text: str = "text", keys: str = "keys", types: str = "types",
         .otherwise(F.lit(REJECTED))
     )
     temps = ["_head", "_hk", "_hv", "_tail", "_hok", "_rem", "_isti", "_tk", "_colon", "_rest", "_ispk", "_pk"]
-    return s3.select("*", status.alias(out)).drop(*temps)
+    extra = []
+    if with_fields:
+        # fields of the longest parsed prefix, reusing the head already split
+        has_last = (F.col("_head") != "") & tail.rlike(G.leading_item)
+        lk = F.regexp_extract(tail, G.leading_item, 1)
+        lv = strip_value(F.regexp_extract(tail, G.leading_item, 2))
+        extra = [
+            F.when(has_last, F.concat("_hk", F.array(lk))).otherwise(F.col("_hk")).alias("fkeys"),
+            F.when(has_last, F.concat("_hv", F.array(lv))).otherwise(F.col("_hv")).alias("fvals"),
+        ]
+    return s3.select("*", status.alias(out), *extra).drop(*temps)

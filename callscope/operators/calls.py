@@ -47,9 +47,7 @@ def document_fields(text: Column) -> tuple[Column, Column]:
 
 def with_parse(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     """Calls + schema + status + fields, all computed row-locally."""
-    df = S.add_status(attach_schema(calls, catalog))
-    fkeys, fvals = document_fields(F.col("text"))
-    return df.select("*", fkeys.alias("fkeys"), fvals.alias("fvals"))
+    return S.add_status(attach_schema(calls, catalog), with_fields=True)
 
 
 def _explode_fields(df: DataFrame, *extra: str) -> DataFrame:
@@ -278,7 +276,7 @@ def call_violations(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     typed = F.zip_with(
         "fkeys", "fvals",
         lambda k, v: F.element_at("types", k).isNotNull()
-        & ~S.admits(F.element_at("types", k), S.lexical_class(v)),
+        & ~S.admits(F.element_at("types", k), S.value_class(v)),
     )
     flags = [
         (~opened & (st == S.REJECTED), "not_object"),
@@ -297,17 +295,21 @@ def call_violations(calls: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def violation_report(calls: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Calls per (function, violation) and their share of the function's calls."""
+    """Calls per (function, violation) and their share of the function's calls.
+
+    One pass: every call contributes a marker row besides its violations, so
+    the per-function call count and the per-violation counts come out of the
+    same partial aggregation; the share is computed on the small result.
+    """
     v = call_violations(calls, catalog)
-    totals = v.groupBy("function").agg(F.count(F.lit(1)).cast("bigint").alias("calls"))
-    per = (
-        v.select("function", F.explode("violations").alias("violation"))
-        .groupBy("function", "violation")
-        .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    )
-    out = per.join(totals, "function")
+    marker = "\u0000calls"
+    rows = v.select("function", F.explode(F.concat("violations", F.array(F.lit(marker)))).alias("violation"))
+    agg = rows.groupBy("function", "violation").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    w = Window.partitionBy("function")
+    calls_n = F.max(F.when(F.col("violation") == marker, F.col("n"))).over(w)
+    out = agg.withColumn("_calls", calls_n).where(F.col("violation") != marker)
     return out.select(
-        "function", "violation", "n", F.round(F.col("n") / F.col("calls"), 6).alias("share")
+        "function", "violation", "n", F.round(F.col("n") / F.col("_calls"), 6).alias("share")
     )
 
 
@@ -323,17 +325,18 @@ def conformance_report(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     return agg.withColumn("accept_rate", F.round(F.col("n_terminal") / F.col("n"), 6))
 
 
-def router_documents(calls: DataFrame, domain: DataFrame) -> DataFrame:
+def router_documents(calls: DataFrame, domain: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Router grammar -- the single key ``name`` with a value in the domain."""
     cand = broadcast_if_small(
         domain.select(F.concat(F.lit('"'), F.col("candidate"), F.lit('"')).alias("_q"),
                       F.col("candidate").alias("_sel")).distinct()
     )
     raw = F.regexp_extract("text", G.router, 1)
-    parsed = calls.select("call_id", "text", F.when(F.col("text").rlike(G.router), raw).alias("_raw"))
+    parsed = calls.select("call_id", "text", *keep, F.when(F.col("text").rlike(G.router), raw).alias("_raw"))
     out = parsed.join(cand, parsed["_raw"] == cand["_q"], "left")
     return out.select(
         "call_id",
         F.col("_sel").isNotNull().alias("accepted"),
         F.col("_sel").alias("selected"),
+        *keep,
     )

@@ -138,11 +138,11 @@ def catalog_block(catalog: DataFrame) -> str:
     return "".join(f"- {r['name']}: {r['description']}\n" for r in rows)
 
 
-def build_router_prompts(prompts: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``(prompt_id, text)``; the user prompt is inserted unescaped."""
+def build_router_prompts(prompts: DataFrame, catalog: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(prompt_id, text, *keep)``; the user prompt is inserted unescaped."""
     head = ROUTER_HEADER + catalog_block(catalog) + ROUTER_EXAMPLES
     text = F.concat(F.lit(head + 'User: "'), F.col("prompt"), F.lit('"\nOutput:'))
-    return prompts.select("prompt_id", text.alias("text"))
+    return prompts.select("prompt_id", text.alias("text"), *keep)
 
 
 def function_spec_lines(catalog: DataFrame) -> DataFrame:
@@ -166,8 +166,8 @@ def attach_examples(routed: DataFrame, examples: DataFrame, name_col: str = "nam
 
 
 def build_extractor_prompts(routed: DataFrame, catalog: DataFrame,
-                            examples: DataFrame | None = None) -> DataFrame:
-    """``(prompt_id, name, text)`` for prompts routed to a known function.
+                            examples: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(prompt_id, name, text, *keep)`` for prompts routed to a known function.
 
     ``routed(prompt_id, prompt, name)``.
     """
@@ -189,4 +189,4 @@ def build_extractor_prompts(routed: DataFrame, catalog: DataFrame,
         F.lit("Function: "), name, F.lit("\n"),
         F.lit("Output:\n"),
     )
-    return df.select("prompt_id", "name", text.alias("text"))
+    return df.select("prompt_id", "name", text.alias("text"), *keep)

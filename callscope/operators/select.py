@@ -59,7 +59,7 @@ def deadlocks(steps: DataFrame, mask: DataFrame) -> DataFrame:
     return steps.select("step_id").join(mask.select("step_id"), "step_id", "left_anti")
 
 
-def route_calls(selected: DataFrame, catalog: DataFrame) -> DataFrame:
+def route_calls(selected: DataFrame, catalog: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """E5: resolve the selected name; unknown or ``none`` -> ``none`` with no parameters.
 
     ``selected(prompt_id, selected)``; the first definition of a name wins.
@@ -70,6 +70,7 @@ def route_calls(selected: DataFrame, catalog: DataFrame) -> DataFrame:
         "prompt_id",
         F.coalesce(F.col("_fn"), F.lit(ROUTER_FALLBACK)).alias("name"),
         F.col("_fn").isNotNull().alias("extract"),
+        *keep,
     )
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from callscope.functions import status as S
 from callscope.functions.ordering import dense_index
 from callscope.operators.catalog import attach_schema
-from callscope.session import broadcast_if_small, ensure_checkpoint_dir
+from callscope.session import BROADCAST_MAX_ROWS, ensure_checkpoint_dir
 
 
 # --------------------------------------------------------------------------
@@ -161,7 +161,9 @@ def allowed_tokens(states: DataFrame, unique: DataFrame, catalog: DataFrame,
     spark = states.sparkSession
     ensure_checkpoint_dir(spark)
     nodes = (nodes if nodes is not None else prefix_table(unique)).checkpoint(eager=True)
-    max_depth = nodes.agg(F.max("depth")).first()[0] or 0
+    # nodes per depth: one small job; decides per level whether its edges broadcast
+    width = {r["depth"]: r["n"] for r in nodes.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).collect()}
+    max_depth = max(width) if width else 0
     st = attach_schema(states, catalog)
     st = S.add_status(st).where(F.col("status") != S.REJECTED)
     frontier = st.select(
@@ -169,9 +171,9 @@ def allowed_tokens(states: DataFrame, unique: DataFrame, catalog: DataFrame,
     ).checkpoint(eager=True)
     outputs = []
     for depth in range(1, max_depth + 1):
-        edges = broadcast_if_small(
-            nodes.where(F.col("depth") == depth).select("parent", "prefix", "token_id", "dfs_ord")
-        )
+        edges = nodes.where(F.col("depth") == depth).select("parent", "prefix", "token_id", "dfs_ord")
+        if width.get(depth, 0) <= BROADCAST_MAX_ROWS:
+            edges = F.broadcast(edges)
         cand = frontier.join(edges, frontier["node"] == edges["parent"]).select(
             "state_id", "state_text", "keys", "types", "prefix", "token_id", "dfs_ord",
             F.concat("state_text", "prefix").alias("text"),

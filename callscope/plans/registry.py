@@ -256,14 +256,14 @@ register("a4_write_call_results", _written_results, O.written_results_sql())
 def _retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """INCOMPLETE outputs are re-scored once; a second attempt closes the object."""
     calls = FX.v_calls(spark, sf_dir)
-    scored = calls.select(F.col("call_id").alias("prompt_id"), "function", F.col("text").alias("output"))
-    requests = calls.select(F.col("call_id").alias("prompt_id"), F.col("function").alias("name"), "text")
+    scored = calls.select(F.col("call_id").alias("prompt_id"), F.col("function").alias("name"),
+                          F.lit("").alias("prompt"), F.col("text"), F.col("text").alias("output"))
 
     def completing_scorer(df: DataFrame) -> DataFrame:
-        return df.select("prompt_id", F.concat("text", F.lit("}")).alias("output"))
+        return df.select("*", F.concat("text", F.lit("}")).alias("output"))
 
-    out = T.retry_incomplete(scored, requests, completing_scorer, FX.v_catalog(spark, sf_dir))
-    return out.select("prompt_id", "function", "output")
+    out = T.retry_incomplete(scored, completing_scorer, FX.v_catalog(spark, sf_dir))
+    return out.select("prompt_id", F.col("name").alias("function"), "output")
 
 
 register("e7_retry_incomplete", _retry, O.retry_sql())

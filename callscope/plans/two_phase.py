@@ -2,7 +2,8 @@
 
 Scorers are pluggable: a scorer is any ``DataFrame -> DataFrame`` that takes
 ``(prompt_id, prompt, text[, name], attempt)`` -- ``text`` being the built
-prompt -- and returns ``(prompt_id, output)``.  A model-backed scorer would be
+prompt -- and returns the same rows with an ``output`` column added (so the
+batch never has to join scorer output back to its requests).  A model-backed scorer would be
 a ``mapInPandas`` that loads the model once per executor; the lexical scorers
 below are built from Spark expressions only and make the plan testable
 without a model.
@@ -51,9 +52,9 @@ def lexical_router(catalog: DataFrame) -> Scorer:
             "prompt_id", F.explode(F.regexp_extract_all(F.lower("prompt"), F.lit("[\\p{L}0-9_]+"), 0)).alias("_w")
         )
         hits = words.join(names, "_w").groupBy("prompt_id").agg(F.min_by("_name", "_ord").alias("_name"))
-        out = df.select("prompt_id").join(hits, "prompt_id", "left")
+        out = df.join(hits, "prompt_id", "left")
         return out.select(
-            "prompt_id",
+            *df.columns,
             F.concat(F.lit('{"name": "'), F.coalesce("_name", F.lit(ROUTER_FALLBACK)), F.lit('"}')).alias("output"),
         )
 
@@ -95,7 +96,8 @@ def lexical_extractor(catalog: DataFrame) -> Scorer:
 
         items = F.transform("keys", lambda k, i: F.concat(F.lit('"'), k, F.lit('": '), value(k, i)))
         doc = F.concat(F.lit("{"), F.array_join(items, ", "), F.lit("}"))
-        return x.select("prompt_id", doc.alias("output"))
+        return x.select(*[c for c in df.columns if c != "name"], F.col("function").alias("name"),
+                        doc.alias("output"))
 
     return score
 
@@ -104,28 +106,31 @@ def lexical_extractor(catalog: DataFrame) -> Scorer:
 # Retry only INCOMPLETE outputs
 # --------------------------------------------------------------------------
 
-def retry_incomplete(scored: DataFrame, requests: DataFrame, scorer: Scorer, catalog: DataFrame,
+def retry_incomplete(scored: DataFrame, scorer: Scorer, catalog: DataFrame,
                      max_attempts: int = 2) -> DataFrame:
-    """Re-score the requests whose output is INCOMPLETE, up to ``max_attempts``.
+    """Re-score the rows whose output is INCOMPLETE, up to ``max_attempts``.
 
-    ``scored(prompt_id, function, output)``; returns the same shape with the
-    latest attempt per prompt.  TERMINAL and REJECTED outputs are kept as is.
+    ``scored(prompt_id, name, prompt, text, output)`` -- the scorer's own
+    output rows, request columns included.  Rows are split by status with
+    filters on one frame: finished ones pass straight through, INCOMPLETE ones
+    go back to the scorer as they are (no join), so a retry costs nothing when
+    every output is complete or refused.  Adds ``status``.
     """
-    current = scored.withColumn("attempt", F.lit(1))
+    def checked(df: DataFrame) -> DataFrame:
+        doc = df.withColumnRenamed("text", "_request").select(
+            "*", F.col("name").alias("function"), F.trim("output").alias("text"))
+        out = S.add_status(attach_schema(doc, catalog))
+        return out.drop("keys", "types", "function", "text").withColumnRenamed("_request", "text")
+
+    current = checked(scored)
+    done = None
     for attempt in range(2, max_attempts + 1):
-        st = S.add_status(
-            attach_schema(current.select("prompt_id", "function", F.trim("output").alias("text")), catalog)
-        )
-        again = st.where(F.col("status") == S.INCOMPLETE).select("prompt_id")
-        redo = requests.join(again, "prompt_id", "left_semi").withColumn("attempt", F.lit(attempt))
-        fresh = scorer(redo).join(requests.select("prompt_id", F.col("name").alias("function")), "prompt_id")
-        fresh = fresh.withColumn("attempt", F.lit(attempt))
-        current = current.unionByName(fresh.select("prompt_id", "function", "output", "attempt"))
-        latest = current.groupBy("prompt_id").agg(F.max_by(F.struct("function", "output"), "attempt").alias("r"),
-                                                  F.max("attempt").alias("attempt"))
-        current = latest.select("prompt_id", F.col("r.function").alias("function"),
-                                F.col("r.output").alias("output"), "attempt")
-    return current.drop("attempt")
+        settled = current.where(F.col("status") != S.INCOMPLETE)
+        done = settled if done is None else done.unionByName(settled, allowMissingColumns=True)
+        redo = current.where(F.col("status") == S.INCOMPLETE).drop("status", "output").withColumn(
+            "attempt", F.lit(attempt))
+        current = checked(scorer(redo))
+    return current if done is None else done.unionByName(current, allowMissingColumns=True)
 
 
 # --------------------------------------------------------------------------
@@ -139,39 +144,34 @@ def run_two_phase(prompts: DataFrame, catalog: DataFrame, router_scorer: Scorer
 
     ``results(prompt_id, prompt, name, parameters)`` -- ``parameters`` is the
     validated JSON object text (``{}`` for ``none``); ``errors(prompt_id,
-    phase, reason)`` lists prompts that produced no result.
+    phase, reason)`` lists prompts that produced no result.  The prompt text
+    rides along every step, so no step joins back to the prompt table.
     """
     router_scorer = router_scorer or lexical_router(catalog)
     extractor_scorer = extractor_scorer or lexical_extractor(catalog)
 
-    rp = D.build_router_prompts(prompts, catalog).join(prompts, "prompt_id").withColumn("attempt", F.lit(1))
+    rp = D.build_router_prompts(prompts, catalog, keep=("prompt",)).withColumn("attempt", F.lit(1))
     routed_text = router_scorer(rp)
     router_docs = C.router_documents(
-        routed_text.select(F.col("prompt_id").alias("call_id"), F.trim("output").alias("text")),
-        routing_domain(catalog),
+        routed_text.select(F.col("prompt_id").alias("call_id"), F.trim("output").alias("text"), "prompt"),
+        routing_domain(catalog), keep=("prompt",),
     )
     router_errors = router_docs.where(~F.col("accepted")).select(
         F.col("call_id").alias("prompt_id"), F.lit("route").alias("phase"), F.lit("rejected").alias("reason")
     )
     routed = E.route_calls(
-        router_docs.where("accepted").select(F.col("call_id").alias("prompt_id"), "selected"), catalog
-    ).join(prompts, "prompt_id")
+        router_docs.where("accepted").select(F.col("call_id").alias("prompt_id"), "selected", "prompt"),
+        catalog, keep=("prompt",),
+    )
     none_results = routed.where(~F.col("extract")).select(
         "prompt_id", "prompt", "name", F.lit("{}").alias("parameters")
     )
 
     to_extract = routed.where("extract").select("prompt_id", "prompt", "name")
-    ep = D.build_extractor_prompts(to_extract, catalog, examples).join(
-        to_extract.select("prompt_id", "prompt"), "prompt_id"
-    ).withColumn("attempt", F.lit(1))
-    scored = extractor_scorer(ep).join(ep.select("prompt_id", F.col("name").alias("function")), "prompt_id")
-    scored = retry_incomplete(scored.select("prompt_id", "function", "output"), ep, extractor_scorer,
-                              catalog, max_attempts)
-    checked = S.add_status(
-        attach_schema(scored.select("prompt_id", "function", F.trim("output").alias("text")), catalog)
-    )
-    extracted = checked.where(F.col("status") == S.TERMINAL).join(prompts, "prompt_id").select(
-        "prompt_id", "prompt", F.col("function").alias("name"), F.col("text").alias("parameters")
+    ep = D.build_extractor_prompts(to_extract, catalog, examples, keep=("prompt",)).withColumn("attempt", F.lit(1))
+    checked = retry_incomplete(extractor_scorer(ep), extractor_scorer, catalog, max_attempts)
+    extracted = checked.where(F.col("status") == S.TERMINAL).select(
+        "prompt_id", "prompt", "name", F.trim("output").alias("parameters")
     )
     extract_errors = checked.where(F.col("status") != S.TERMINAL).select(
         "prompt_id", F.lit("extract").alias("phase"), F.lower("status").alias("reason")

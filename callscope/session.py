@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,8 +78,13 @@ def spread(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only when its row count is within ``max_rows``.
 
-    The count runs on the (small, metadata-sized) side only.  Beyond the bound
-    the frame is returned unhinted and Catalyst/AQE plan a shuffle join.
+    The count runs on the (small, metadata-sized) side only, which is kept
+    persisted so the broadcast reuses it.  Beyond the bound the frame is
+    returned unhinted and Catalyst/AQE plan a shuffle join.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = kept.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(kept)  # the counted rows are reused, not recomputed
+    kept.unpersist()
+    return df

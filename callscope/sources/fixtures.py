@@ -44,13 +44,15 @@ def _catalog_from_names(names: DataFrame, description: Column, params: Column,
     the un-partitioned rank window runs over metadata, not data.
     """
     w = Window.orderBy("name")
+    # A catalog is metadata read by several joins of one query: keep it cached
+    # so deriving it (a scan of a large table here) happens once.
     return names.select(
         (F.dense_rank().over(w) - 1).cast("bigint").alias("ord"),
         "name",
         description.alias("description"),
         params.alias("params"),
         F.lit(returns).alias("returns"),
-    )
+    ).cache()
 
 
 # --------------------------------------------------------------------------

@@ -98,11 +98,11 @@ def test_two_phase_with_mocked_scorers(spark):
                                     "prompt_id long, prompt string")
 
     def router(df):
-        return df.select("prompt_id", F.when(F.col("prompt_id") == 0, F.lit('{"name": "get_weather"}'))
+        return df.select("*", F.when(F.col("prompt_id") == 0, F.lit('{"name": "get_weather"}'))
                          .otherwise(F.lit('{"name": "get_sports_scores"}')).alias("output"))
 
     def extractor(df):
-        return df.select("prompt_id", F.lit('{"location": "Madrid"}').alias("output"))
+        return df.select("*", F.lit('{"location": "Madrid"}').alias("output"))
 
     results, errors = T.run_two_phase(prompts, cat, router, extractor)
     got = {r["prompt_id"]: (r["name"], r["parameters"]) for r in results.collect()}
@@ -111,7 +111,7 @@ def test_two_phase_with_mocked_scorers(spark):
     assert [(r["prompt_id"], r["phase"]) for r in errors.collect()] == [(1, "route")]
 
     def router_none(df):
-        return df.select("prompt_id", F.lit('{"name": "none"}').alias("output"))
+        return df.select("*", F.lit('{"name": "none"}').alias("output"))
 
     results, errors = T.run_two_phase(prompts, cat, router_none, extractor)
     assert {r["name"] for r in results.collect()} == {"none"} and errors.count() == 0
