@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from callscope.functions import status as S
 from callscope.functions.ordering import dense_index
 from callscope.operators.catalog import attach_schema
-from callscope.session import BROADCAST_MAX_ROWS, ensure_checkpoint_dir
+from callscope.session import BROADCAST_MAX_ROWS, broadcast_if_small, ensure_checkpoint_dir
 
 
 # --------------------------------------------------------------------------
@@ -109,9 +109,11 @@ def prefix_table(unique: DataFrame) -> DataFrame:
     ends = unique.select(F.col("text").alias("prefix"), "token_id")
     nodes = nodes.join(ends, "prefix", "left")
     # depth-first order of the tokens: sort by the path of creation slots
+    # a hot prefix (say " t") is shared by many tokens: join it against the
+    # node table by broadcast (one row per node, size-checked), not by shuffle
     path = (
         ex.select("text", "depth", "prefix")
-        .join(nodes.select("prefix", "first"), "prefix")
+        .join(broadcast_if_small(nodes.select("prefix", "first")), "prefix")
         .groupBy("text")
         .agg(F.array_sort(F.collect_list(F.struct("depth", "first"))).alias("p"))
         .select(F.col("text").alias("prefix"), F.transform("p", lambda x: x["first"]).alias("path"))
@@ -144,6 +146,9 @@ def prefix_fanout(nodes: DataFrame) -> DataFrame:
 def prefix_search(queries: DataFrame, unique: DataFrame) -> DataFrame:
     """tokens under each query prefix, by equality on an exploded prefix table."""
     pairs = _token_prefixes(unique, from_len=0).select("prefix", "token_id")
+    # short prefixes match many tokens; the pair table is vocabulary-sized, so
+    # it is broadcast when the check allows, else AQE splits skewed partitions
+    pairs = broadcast_if_small(pairs)
     return queries.join(pairs, queries["query"] == pairs["prefix"]).select("query_id", "query", "token_id")
 
 
