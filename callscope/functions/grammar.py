@@ -188,6 +188,19 @@ class Grammar:
     def item_comma(self) -> str:
         return self.item + ","
 
+    @property
+    def unit(self) -> str:
+        """One complete ``key: value , ws`` unit of the head (group 1 = key, 2 = value)."""
+        return self.item_comma + self.ws
+
+    @property
+    def object_start(self) -> str:
+        return "\\A" + self.ws + "\\{" + self.ws
+
+    @property
+    def leading_ws(self) -> str:
+        return "\\A" + self.ws
+
     @property
     def head(self) -> str:
         """Longest prefix ``ws { ws (item , ws)*`` (group 0)."""

@@ -169,7 +169,7 @@ def not_rejected(text: Column, keys: Column, types: Column) -> Column:
 
 
 def add_status(df, text: str = "text", keys: str = "keys", types: str = "types",
-               out: str = "status", with_fields: bool = False):
+               out: str = "status", with_fields: bool = False, keep_head: bool = False):
     """Frame form of :func:`call_status`, staged so each regex runs once per row.
 
     Each stage is a separate projection; Catalyst keeps them apart because the
@@ -214,7 +214,9 @@ def add_status(df, text: str = "text", keys: str = "keys", types: str = "types",
         .when(F.coalesce((tail == "") | pk_ok | viable, F.lit(False)), F.lit(INCOMPLETE))
         .otherwise(F.lit(REJECTED))
     )
-    temps = ["_head", "_hk", "_hv", "_tail", "_hok", "_rem", "_isti", "_tk", "_colon", "_rest", "_ispk", "_pk"]
+    temps = ["_tail", "_hok", "_rem", "_isti", "_tk", "_colon", "_rest", "_ispk", "_pk"]
+    if not keep_head:  # keep_head leaves _head, _hk (keys), _hv (values) for the caller
+        temps = ["_head", "_hk", "_hv"] + temps
     extra = []
     if with_fields:
         # fields of the longest parsed prefix, reusing the head already split
@@ -226,3 +228,24 @@ def add_status(df, text: str = "text", keys: str = "keys", types: str = "types",
             F.when(has_last, F.concat("_hv", F.array(lv))).otherwise(F.col("_hv")).alias("fvals"),
         ]
     return s3.select("*", status.alias(out), *extra).drop(*temps)
+
+
+def tail_viable(tail: Column, rem: Column, types: Column) -> Column:
+    """Whether ``tail`` can follow a legal head whose remaining keys are ``rem``.
+
+    The tail-only part of :func:`call_status`: empty, an unfinished key that
+    a remaining key starts with, or a remaining key with an optional colon and
+    a value that is growing, complete, or complete and closing the object.
+    """
+    pk = F.regexp_extract(tail, G.open_key, 1)
+    tk = F.regexp_extract(tail, G.tail_item, 1)
+    colon = F.regexp_extract(tail, G.tail_item, 2)
+    rest = F.regexp_extract(tail, G.tail_item, 3)
+    tt = F.element_at(types, tk)
+    item = tail.rlike(G.tail_item) & F.array_contains(rem, tk) & (
+        (colon == "")
+        | _per_type(tt, G.viable_value, rest)
+        | ((F.size(rem) == 1) & _per_type(tt, G.closing_value, rest))
+    )
+    key_part = tail.rlike(G.open_key) & F.exists(rem, lambda k: k.startswith(pk))
+    return F.coalesce((tail == "") | key_part | item, F.lit(False))

@@ -80,29 +80,61 @@ def call_status(calls: DataFrame, catalog: DataFrame) -> DataFrame:
 def first_error_position(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     """Code points consumed before the first refused one, and that char.
 
-    Viability is prefix-closed, so the boundary is found by binary search:
-    ``ceil(log2(n+1))`` status checks of ``substring(text, 1, mid)`` folded
-    with ``aggregate`` -- only on REJECTED rows.
+    Only REJECTED rows.  The head is already split into complete
+    ``key: value ,`` units; the first unit that breaks a rule (key not
+    declared or already used, value of the wrong type, comma with no key
+    left) is found with array functions.  The refused character lies inside
+    that unit -- or, if every unit is legal, inside the tail -- and is located
+    by binary search over that segment alone (viability is prefix-closed),
+    each probe being the cheap tail-only check.  A text that does not open an
+    object is refused right after its leading whitespace.
     """
-    df = S.add_status(attach_schema(calls, catalog)).where(F.col("status") == S.REJECTED)
-    n = F.length("text")
-    steps = F.greatest(F.ceil(F.log2(n + 1)).cast("int"), F.lit(1))
+    df = S.add_status(attach_schema(calls, catalog), keep_head=True).where(F.col("status") == S.REJECTED)
+    text, keys, types = F.col("text"), F.col("keys"), F.col("types")
+    start = F.length(F.regexp_extract(text, G.object_start, 0))
+    head = F.col("_head")
+    df = df.select(
+        "call_id", "function", "text", "keys", "types",
+        start.alias("_start"), F.length(head).alias("_hlen"),
+        F.regexp_extract_all(head, F.lit(G.unit), 0).alias("_u"),
+        F.col("_hk").alias("_k"), F.col("_hv").alias("_v"),
+    )
+    n = F.size(keys)
+    unit_ok = F.transform(
+        "_k",
+        lambda k, i: ~F.array_contains(F.slice("_k", F.lit(1), i), k)
+        & S.admits(F.element_at(types, k), S.value_class(F.element_at("_v", i + 1)))
+        & (i + 1 < n),
+    )
+    bad = F.array_position(unit_ok, False).cast("int")  # 1-based, 0 = all legal
+    lens = F.transform("_u", lambda u: F.length(u))
+    before = F.aggregate(F.slice(lens, F.lit(1), F.greatest(bad - 1, F.lit(0))), F.lit(0), lambda a, x: a + x)
+    df = df.select(
+        "call_id", "function", "text", "keys", "types", "_hlen",
+        F.when(bad > 0, F.col("_start") + before).otherwise(F.col("_hlen")).alias("_anchor"),
+        F.when(bad > 0, F.element_at(lens, bad)).otherwise(F.length(text) - F.col("_hlen")).alias("_seglen"),
+        F.when(bad > 0, F.array_except(keys, F.slice("_k", F.lit(1), F.greatest(bad - 1, F.lit(0)))))
+        .otherwise(F.array_except(keys, F.col("_k"))).alias("_rem"),
+    )
+    seg = F.col("text").substr(F.col("_anchor") + 1, F.col("_seglen"))
+    steps = F.greatest(F.ceil(F.log2(F.col("_seglen") + 1)).cast("int"), F.lit(1))
 
     def step(acc: Column, _i: Column) -> Column:
         lo, hi = acc["lo"], acc["hi"]
         mid = ((lo + hi) / 2).cast("int")
-        ok = S.call_status(F.col("text").substr(F.lit(1), mid), F.col("keys"), F.col("types")) != S.REJECTED
+        ok = S.tail_viable(seg.substr(F.lit(1), mid), F.col("_rem"), types)
         moved = F.when(ok, F.struct(mid.alias("lo"), hi.alias("hi"))).otherwise(
-            F.struct(lo.alias("lo"), mid.alias("hi"))
-        )
+            F.struct(lo.alias("lo"), mid.alias("hi")))
         return F.when(hi - lo > 1, moved).otherwise(acc)
 
-    init = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), steps), init, step)
+    found = F.aggregate(F.sequence(F.lit(1), steps),
+                        F.struct(F.lit(0).alias("lo"), F.col("_seglen").alias("hi")), step)
+    lead = F.length(F.regexp_extract(text, G.leading_ws, 0))
+    pos = F.when(F.col("_hlen") == 0, lead).otherwise(F.col("_anchor") + found["lo"])
     return df.select(
         "call_id", "function",
-        found["lo"].cast("int").alias("valid_prefix_len"),
-        F.col("text").substr(found["lo"] + 1, F.lit(1)).alias("bad_char"),
+        pos.cast("int").alias("valid_prefix_len"),
+        F.col("text").substr(pos + 1, F.lit(1)).alias("bad_char"),
     )
 
 
