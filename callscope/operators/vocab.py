@@ -157,11 +157,18 @@ def prefix_search(queries: DataFrame, unique: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def allowed_tokens(states: DataFrame, unique: DataFrame, catalog: DataFrame,
-                   nodes: DataFrame | None = None) -> DataFrame:
+                   nodes: DataFrame | None = None, walk_depth: int = 3) -> DataFrame:
     """``(state_id, token_id, ord)`` -- token allowed iff ``state || token`` is not REJECTED.
 
     ``states(state_id, function, text)``; ``ord`` is the depth-first rank of the
     token (the order in which the reference's search lists it).
+
+    The first ``walk_depth`` trie levels are walked level by level (where
+    pruning removes most branches); every (state, node) pair still alive at that
+    depth is then equi-joined with all longer tokens below that node and each
+    candidate gets one full grammar check.  Exact, because viability is
+    prefix-closed; the job count is ``walk_depth + 1`` whatever the token
+    length.
     """
     spark = states.sparkSession
     ensure_checkpoint_dir(spark)
@@ -175,7 +182,8 @@ def allowed_tokens(states: DataFrame, unique: DataFrame, catalog: DataFrame,
         "state_id", F.col("text").alias("state_text"), "keys", "types", F.lit("").alias("node")
     ).checkpoint(eager=True)
     outputs = []
-    for depth in range(1, max_depth + 1):
+    walk = min(walk_depth, max_depth)
+    for depth in range(1, walk + 1):
         edges = nodes.where(F.col("depth") == depth).select("parent", "prefix", "token_id", "dfs_ord")
         if width.get(depth, 0) <= BROADCAST_MAX_ROWS:
             edges = F.broadcast(edges)
@@ -195,9 +203,24 @@ def allowed_tokens(states: DataFrame, unique: DataFrame, catalog: DataFrame,
                 "state_id", "token_id", F.col("dfs_ord").alias("ord")
             )
         )
-        if live.isEmpty():
-            break
         frontier = live.select("state_id", "state_text", "keys", "types", "node")
+    if max_depth > walk:
+        # every longer token, keyed by its prefix at the walk depth
+        longer = nodes.where(F.col("token_id").isNotNull() & (F.col("depth") > walk)).select(
+            F.expr(f"substring(prefix, 1, {walk})").alias("_node"), F.col("prefix").alias("_tok"),
+            "token_id", "dfs_ord",
+        )
+        n_longer = sum(v for d, v in width.items() if d > walk)
+        if n_longer <= BROADCAST_MAX_ROWS:
+            longer = F.broadcast(longer)
+        cand = frontier.join(longer, frontier["node"] == longer["_node"]).select(
+            "state_id", "keys", "types", "token_id", "dfs_ord",
+            F.concat("state_text", "_tok").alias("text"),
+        )
+        outputs.append(
+            S.add_status(cand).where(F.col("status") != S.REJECTED)
+            .select("state_id", "token_id", F.col("dfs_ord").alias("ord"))
+        )
     if not outputs:
         return spark.createDataFrame([], "state_id long, token_id long, ord long")
     out = outputs[0]
