@@ -92,8 +92,6 @@ def typed_ok(keys: Column, vals: Column, types: Column) -> Column:
     return F.forall(checks, lambda b: b)
 
 
-_typed_ok = typed_ok
-
 
 def accepted(text: Column, keys: Column, types: Column) -> Column:
     """The document is complete and conforms to the declared parameters."""
@@ -103,7 +101,7 @@ def accepted(text: Column, keys: Column, types: Column) -> Column:
         text.rlike(G.document)
         & (F.size(dkeys) == n)
         & (F.size(F.array_distinct(dkeys)) == n)
-        & _typed_ok(dkeys, dvals, types),
+        & typed_ok(dkeys, dvals, types),
         F.lit(False),
     )
 
@@ -125,7 +123,7 @@ def call_status(text: Column, keys: Column, types: Column) -> Column:
     head_ok = (
         (F.size(F.array_distinct(hkeys)) == m)
         & ((m == 0) | (m < n))
-        & _typed_ok(hkeys, hvals, types)
+        & typed_ok(hkeys, hvals, types)
     )
     tail = text.substr(F.length(head) + 1, F.length(text) + 1)
     rem = F.array_except(keys, hkeys)

@@ -51,3 +51,10 @@ def test_first_error_char_is_refused(spark):
     b = S.add_status(attach_schema(probe.drop("text").withColumnRenamed("bad_text", "text"), cat)).where(
         F.col("status") != S.REJECTED)
     assert a.count() == 0 and b.count() == 0
+
+
+def test_column_form_equals_frame_form(spark):
+    calls, cat = FX.v_calls_wide(spark, SMALL), FX.v_catalog_wide(spark, SMALL)
+    df = S.add_status(attach_schema(calls, cat))
+    col = S.call_status(F.col("text"), F.col("keys"), F.col("types"))
+    assert df.where(col != F.col("status")).count() == 0
