@@ -966,13 +966,15 @@ CATALOG_DOCS = """
 """
 
 PROMPT_DOCS = """
-  SELECT 'prompts_' || lpad(CAST(conv_id AS STRING), 6, '0') AS source, '[' || string_agg(elem, ', ' ORDER BY turn) || ']' AS text
-  FROM (SELECT conv_id, turn,
+  SELECT 'prompts_' || lpad(CAST(conv_id AS STRING), 6, '0') || '_' || lpad(CAST(chunk AS STRING), 4, '0') AS source,
+         '[' || string_agg(elem, ', ' ORDER BY turn) || ']' AS text
+  FROM (SELECT conv_id, chunk, turn,
           '{"' || CASE WHEN conv_id % 9 = 4 AND first THEN 'question' ELSE 'prompt' END || '": ' || to_json(text)
           || CASE WHEN conv_id % 9 = 7 AND first THEN ', "role": "user"' ELSE '' END || '}' AS elem
-        FROM (SELECT conv_id, turn, text, turn = min(turn) OVER (PARTITION BY conv_id) AS first
+        FROM (SELECT conv_id, turn, text, turn // 64 AS chunk,
+                     turn = min(turn) OVER (PARTITION BY conv_id, turn // 64) AS first
               FROM conversations WHERE role = 'user'))
-  GROUP BY conv_id
+  GROUP BY conv_id, chunk
 """
 
 BAD_ID = "'[\"\\\\\\x00-\\x1f]'"

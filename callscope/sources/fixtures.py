@@ -446,20 +446,23 @@ def v_catalog_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_prompt_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One prompt list per conversation (user turns in order), some with a
-    renamed or an extra field."""
-    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
+    """Prompt lists of at most 64 user turns of one conversation (document size
+    is bounded whatever a conversation's length); the first element of some
+    documents has a renamed or an extra field."""
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(
+        "conv_id", "turn", "text", F.floor(F.col("turn") / 64).cast("long").alias("chunk"))
     cid = F.col("conv_id")
-    first = F.col("turn") == F.min("turn").over(Window.partitionBy("conv_id"))
+    first = F.col("turn") == F.min("turn").over(Window.partitionBy("conv_id", "chunk"))
     field = F.when((cid % 9 == 4) & first, F.lit("question")).otherwise(F.lit("prompt"))
     extra = F.when((cid % 9 == 7) & first, F.lit(', "role": "user"')).otherwise(F.lit(""))
     elem = F.concat(F.lit('{"'), field, F.lit('": '), json_string(F.col("text")), extra, F.lit("}"))
-    docs = c.select("conv_id", "turn", elem.alias("elem")).groupBy("conv_id").agg(
+    docs = c.select("conv_id", "chunk", "turn", elem.alias("elem")).groupBy("conv_id", "chunk").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "elem"))), lambda x: x["elem"]), ", ")
         .alias("body")
     )
-    return docs.select(F.concat(F.lit("prompts_"), F.lpad(cid.cast("string"), 6, "0")).alias("source"),
-                       F.concat(F.lit("["), F.col("body"), F.lit("]")).alias("text"))
+    source = F.concat(F.lit("prompts_"), F.lpad(cid.cast("string"), 6, "0"), F.lit("_"),
+                      F.lpad(F.col("chunk").cast("string"), 4, "0"))
+    return docs.select(source.alias("source"), F.concat(F.lit("["), F.col("body"), F.lit("]")).alias("text"))
 
 
 # --------------------------------------------------------------------------
