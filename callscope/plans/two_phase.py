@@ -22,6 +22,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from callscope.functions import status as S
 from callscope.functions.grammar import ROUTER_FALLBACK
@@ -183,3 +184,31 @@ def result_coverage(prompts: DataFrame, results: DataFrame, errors: DataFrame) -
     """E9 over a batch: the prompts missing from the results and why."""
     errs = errors.select("prompt_id", F.concat_ws("_", "phase", "reason").alias("reason"))
     return E.result_coverage(prompts, results, errs)
+
+
+# --------------------------------------------------------------------------
+# Model-backed scorers: Arrow batches through mapInPandas
+# --------------------------------------------------------------------------
+
+def pandas_scorer(generate: Callable[[list[str]], list[str]]) -> Scorer:
+    """Wrap a batch function ``texts -> outputs`` (e.g. a model's constrained
+    generate) as a scorer.
+
+    Rows travel to the Python workers as Arrow batches via ``mapInPandas``;
+    ``generate`` sees one batch of built prompts at a time, so a model is
+    loaded once per worker (cache it in the function's closure or a module
+    global) and never per row.  Only this step leaves the JVM.
+    """
+
+    def run(df: DataFrame) -> DataFrame:
+        schema = StructType(list(df.schema.fields) + [StructField("output", StringType())])
+
+        def batches(it):
+            for pdf in it:
+                pdf = pdf.copy()
+                pdf["output"] = list(generate(pdf["text"].tolist()))
+                yield pdf
+
+        return df.mapInPandas(batches, schema)
+
+    return run

@@ -115,3 +115,21 @@ def test_two_phase_with_mocked_scorers(spark):
 
     results, errors = T.run_two_phase(prompts, cat, router_none, extractor)
     assert {r["name"] for r in results.collect()} == {"none"} and errors.count() == 0
+
+
+def test_two_phase_with_pandas_scorers(spark):
+    fns = [{"name": "fn_add_numbers", "description": "Add two numbers.",
+            "parameters": {"a": {"type": "number"}, "b": {"type": "number"}}, "returns": {"type": "number"}}]
+    cat = catalog_df(spark, fns)
+    prompts = spark.createDataFrame([(0, "What is the sum of 2 and 3?"), (1, "Hello")], "prompt_id long, prompt string")
+
+    def route(texts):  # a stand-in model: routes by a word of the user line
+        return ['{"name": "fn_add_numbers"}' if "sum" in t.rsplit("User:", 1)[-1] else '{"name": "none"}'
+                for t in texts]
+
+    def extract(texts):
+        return ['{"a": 2, "b": 3}' for _ in texts]
+
+    results, errors = T.run_two_phase(prompts, cat, T.pandas_scorer(route), T.pandas_scorer(extract))
+    got = {r["prompt_id"]: (r["name"], r["parameters"]) for r in results.collect()}
+    assert got == {0: ("fn_add_numbers", '{"a": 2, "b": 3}'), 1: ("none", "{}")} and errors.count() == 0

@@ -60,3 +60,12 @@ def test_calls_scan_prunes_columns(spark):
     df = E.queries()["c2_call_status_bench"](spark, SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "l_shipdate" not in plan
+
+
+@pytest.mark.parametrize("name", ["c14_conformance", "c13_violation_report", "e2_masked_argmax", "c9_param_type_profile_wide"])
+def test_reports_aggregate_before_the_shuffle(spark, name):
+    """A hot group is pre-reduced map-side: a partial aggregate precedes every exchange of the report."""
+    df = E.queries()[name](spark, SMALL)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "partial_" in plan
