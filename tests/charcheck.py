@@ -1,0 +1,110 @@
+"""Independent character-level statement of the call grammar (test oracle only).
+
+Consumes one character at a time, as the reference's automaton does, and
+returns TERMINAL / INCOMPLETE / REJECTED.  Used to differential-test the
+regex-based status expression on random texts.
+"""
+
+WS = " \t\n\r"
+NUM_END = ",}] \n\t"
+HEX = "0123456789abcdefABCDEF"
+
+
+def status(text: str, schema: dict) -> str:
+    remaining = set(schema)
+    st, key, typ, sub, lit = "start", "", None, None, ""
+    i = 0
+    while i < len(text):
+        c = text[i]
+        if st in ("start", "after_value", "done", "want_key", "want_colon", "want_value") and c in WS:
+            i += 1
+            continue
+        if st == "start":
+            if c != "{":
+                return "REJECTED"
+            st = "want_key"
+        elif st == "want_key":
+            if c != '"' or not remaining:
+                return "REJECTED"
+            st, key = "key", ""
+        elif st == "key":
+            if c == '"':
+                if key not in remaining:
+                    return "REJECTED"
+                remaining.discard(key)
+                typ, st = schema[key], "want_colon"
+            else:
+                key += c
+                if not any(k.startswith(key) for k in remaining):
+                    return "REJECTED"
+        elif st == "want_colon":
+            if c != ":":
+                return "REJECTED"
+            st = "want_value"
+        elif st == "want_value":
+            if typ == "string":
+                if c != '"':
+                    return "REJECTED"
+                st, sub = "str", "body"
+            elif typ in ("integer", "number"):
+                if c == "-":
+                    st, sub = "num", "minus"
+                elif c == "0":
+                    st, sub = "num", "zero"
+                elif c in "123456789":
+                    st, sub = "num", "int"
+                else:
+                    return "REJECTED"
+            else:
+                words = ["true", "false"] if typ == "boolean" else ["null"]
+                if not any(w.startswith(c) for w in words):
+                    return "REJECTED"
+                st, lit, sub = "lit", c, words
+                if lit in words:
+                    st = "after_value"
+        elif st == "lit":
+            lit += c
+            if not any(w.startswith(lit) for w in sub):
+                return "REJECTED"
+            if lit in sub:
+                st = "after_value"
+        elif st == "str":
+            if sub == "body":
+                if c == '"':
+                    st = "after_value"
+                elif c == "\\":
+                    sub = "esc"
+                elif ord(c) < 0x20:
+                    return "REJECTED"
+            elif sub == "esc":
+                if c == "u":
+                    sub = "hex0"
+                elif c in '"\\/bfnrt':
+                    sub = "body"
+                else:
+                    return "REJECTED"
+            else:
+                if c not in HEX:
+                    return "REJECTED"
+                sub = "body" if sub == "hex3" else "hex" + str(int(sub[3]) + 1)
+        elif st == "num":
+            if c in "0123456789" and sub in ("minus", "int", "dot", "frac"):
+                sub = {"minus": "zero" if c == "0" else "int", "int": "int", "dot": "frac", "frac": "frac"}[sub]
+            elif c == "." and typ == "number" and sub in ("zero", "int"):
+                sub = "dot"
+            elif c in NUM_END and sub in ("zero", "int", "frac"):
+                st = "after_value"
+                continue  # the terminator is handled again as structure
+            else:
+                return "REJECTED"
+        elif st == "after_value":
+            if c == "," and remaining:
+                st = "want_key"
+            elif c == "}" and not remaining:
+                st = "done"
+            else:
+                return "REJECTED"
+        elif st == "done":
+            return "REJECTED"
+        i += 1
+    return "TERMINAL" if st == "done" else "INCOMPLETE"
