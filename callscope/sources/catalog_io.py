@@ -182,10 +182,37 @@ def parse_prompts(docs: DataFrame, strict: bool = False) -> DataFrame:
     return el.select("source", F.col("ord").alias("prompt_id"), F.get_json_object("e", "$.prompt").alias("prompt"))
 
 
+def read_prompts_jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """A2 for JSON lines: one ``{"prompt": ...}`` object per line, split freely.
+
+    Every line is checked with the same rules as a list element (each line is
+    its own one-element document, named ``file#id``).  ``prompt_id`` is
+    unique and increases with the position inside each file split; when
+    global input positions matter, store prompts as Parquet with explicit ids.
+    """
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(
+        F.monotonically_increasing_id().alias("prompt_id"), F.input_file_name().alias("_file"), "value"
+    )
+    docs = lines.select(
+        F.concat("_file", F.lit("#"), F.col("prompt_id").cast("string")).alias("source"),
+        F.concat(F.lit("["), F.col("value"), F.lit("]")).alias("text"), "prompt_id",
+    ).checkpoint(eager=True)  # ids are fixed once, before validation reads the lines again
+    rejects = definition_rejects(docs.select("source", "text"), "prompt")
+    if strict:
+        first = rejects.orderBy("source").first()
+        if first is not None:
+            raise ValueError(f"Validation failed for prompt {first['source']}: {first['reason']} {first['field']}")
+    good = docs.join(rejects.select("source").distinct(), "source", "left_anti")
+    line = F.expr("substring(text, 2, length(text) - 2)")
+    return good.select("prompt_id", F.get_json_object(line, "$.prompt").alias("prompt"))
+
+
 def read_prompts(spark: SparkSession, path: str, fmt: str = "json", strict: bool = True) -> DataFrame:
-    """A2 from files: JSON lists, or Parquet ``(prompt_id, prompt)`` for scale."""
+    """A2 from files: JSON lists, JSON lines, or Parquet ``(prompt_id, prompt)`` for scale."""
     if fmt == "parquet":
         return spark.read.parquet(path).select("prompt_id", "prompt")
+    if fmt == "jsonl":
+        return read_prompts_jsonl(spark, path, strict=strict)
     return parse_prompts(read_json_documents(spark, path), strict=strict)
 
 

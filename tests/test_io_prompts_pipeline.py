@@ -133,3 +133,13 @@ def test_two_phase_with_pandas_scorers(spark):
     results, errors = T.run_two_phase(prompts, cat, T.pandas_scorer(route), T.pandas_scorer(extract))
     got = {r["prompt_id"]: (r["name"], r["parameters"]) for r in results.collect()}
     assert got == {0: ("fn_add_numbers", '{"a": 2, "b": 3}'), 1: ("none", "{}")} and errors.count() == 0
+
+
+def test_prompts_jsonl(spark):
+    path = write('{"prompt": "a"}\n{"prompt": "b \\"q\\""}\n\n{"prompt": "c"}\n', "p.jsonl")
+    got = A.read_prompts(spark, path, fmt="jsonl").orderBy("prompt_id").collect()
+    assert [r["prompt"] for r in got] == ["a", 'b "q"', "c"]
+    bad = write('{"prompt": "a"}\n{"prompt": "b", "x": 1}\n', "q.jsonl")
+    with pytest.raises(Exception):
+        A.read_prompts(spark, bad, fmt="jsonl")
+    assert [r["prompt"] for r in A.read_prompts(spark, bad, fmt="jsonl", strict=False).collect()] == ["a"]
