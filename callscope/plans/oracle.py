@@ -939,7 +939,7 @@ FROM (SELECT exp_name AS function, CAST(count(*) AS BIGINT) AS n,
 
 
 def routing_confusion_sql() -> str:
-    specs, calls = FIXTURES["events"]
+    _, calls = FIXTURES["events"]
     return "WITH " + _ctes(calls=calls, expected=EXPECTED, actual=ACTUAL) + """
 SELECT e.name AS expected, coalesce(a.name, '<missing>') AS actual, CAST(count(*) AS BIGINT) AS n
 FROM expected e LEFT JOIN actual a ON e.prompt_id = a.prompt_id GROUP BY 1, 2
@@ -1061,7 +1061,6 @@ FROM tp WHERE routed IS NOT NULL AND regexp_matches(k, '\\A-?(?:0|[1-9][0-9]*)\\
 
 
 def retry_sql() -> str:
-    specs, calls = FIXTURES["events"]
     return "WITH " + parse_ctes("events") + """
 SELECT call_id AS prompt_id, function, CASE WHEN status = 'INCOMPLETE' THEN text || '}' ELSE text END AS output
 FROM parsed
