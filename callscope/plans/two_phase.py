@@ -30,7 +30,7 @@ from callscope.operators import calls as C
 from callscope.operators import prompts as D
 from callscope.operators import select as E
 from callscope.operators.catalog import attach_schema, resolved, routing_domain
-from callscope.session import broadcast_if_small
+from callscope.session import broadcast_if_small, ensure_checkpoint_dir, spread
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -42,22 +42,39 @@ QUOTED_IN_TEXT = "'([^']*)'|\"([^\"]*)\""
 # Lexical scorers (deterministic, expression-only)
 # --------------------------------------------------------------------------
 
+# Catalogs up to this many functions are matched row-locally against a literal
+# name list; larger ones through a broadcast (or shuffle) join on the word.
+ROW_LOCAL_NAMES = 1_000
+
+
 def lexical_router(catalog: DataFrame) -> Scorer:
     """Pick the first catalog function whose name occurs as a word of the prompt."""
-    names = broadcast_if_small(
-        resolved(catalog).select(F.lower("name").alias("_w"), F.col("name").alias("_name"), F.col("ord").alias("_ord"))
-    )
+    fns = resolved(catalog).select(F.col("ord").alias("_ord"), F.col("name").alias("_name"))
+    small = fns.limit(ROW_LOCAL_NAMES + 1).count() <= ROW_LOCAL_NAMES
+    words_of = F.regexp_extract_all(F.lower("prompt"), F.lit("[\\p{L}0-9_]+"), 0)
+
+    def output(name):
+        return F.concat(F.lit('{"name": "'), F.coalesce(name, F.lit(ROUTER_FALLBACK)), F.lit('"}'))
+
+    if small:
+        # metadata only, size-checked: the names in catalog order as a literal
+        names = [r["_name"] for r in fns.orderBy("_ord").collect()]
+        literal = F.array(*[F.struct(F.lit(n.lower()).alias("w"), F.lit(n).alias("n")) for n in names])
+
+        def score_small(df: DataFrame) -> DataFrame:
+            words = F.array_distinct(words_of)
+            hit = F.filter(literal, lambda x: F.array_contains(words, x["w"]))
+            return df.select("*", output(F.try_element_at(hit, F.lit(1))["n"]).alias("output"))
+
+        return score_small
+
+    names = broadcast_if_small(fns.select(F.lower("_name").alias("_w"), "_name", "_ord"))
 
     def score(df: DataFrame) -> DataFrame:
-        words = df.select(
-            "prompt_id", F.explode(F.regexp_extract_all(F.lower("prompt"), F.lit("[\\p{L}0-9_]+"), 0)).alias("_w")
-        )
+        words = df.select("prompt_id", F.explode(words_of).alias("_w"))
         hits = words.join(names, "_w").groupBy("prompt_id").agg(F.min_by("_name", "_ord").alias("_name"))
         out = df.join(hits, "prompt_id", "left")
-        return out.select(
-            *df.columns,
-            F.concat(F.lit('{"name": "'), F.coalesce("_name", F.lit(ROUTER_FALLBACK)), F.lit('"}')).alias("output"),
-        )
+        return out.select(*df.columns, output(F.col("_name")).alias("output"))
 
     return score
 
@@ -150,6 +167,7 @@ def run_two_phase(prompts: DataFrame, catalog: DataFrame, router_scorer: Scorer
     """
     router_scorer = router_scorer or lexical_router(catalog)
     extractor_scorer = extractor_scorer or lexical_extractor(catalog)
+    prompts = spread(prompts)  # only redistributes when the scan has fewer splits than cores
 
     rp = D.build_router_prompts(prompts, catalog, keep=("prompt",)).withColumn("attempt", F.lit(1))
     routed_text = router_scorer(rp)
@@ -160,6 +178,10 @@ def run_two_phase(prompts: DataFrame, catalog: DataFrame, router_scorer: Scorer
     router_errors = router_docs.where(~F.col("accepted")).select(
         F.col("call_id").alias("prompt_id"), F.lit("route").alias("phase"), F.lit("rejected").alias("reason")
     )
+    # both phases feed two outputs (results and errors): materialize each once
+    # in the shared checkpoint folder, which also cuts the lineage
+    ensure_checkpoint_dir(prompts.sparkSession)
+    router_docs = router_docs.checkpoint(eager=True)
     routed = E.route_calls(
         router_docs.where("accepted").select(F.col("call_id").alias("prompt_id"), "selected", "prompt"),
         catalog, keep=("prompt",),
@@ -170,7 +192,7 @@ def run_two_phase(prompts: DataFrame, catalog: DataFrame, router_scorer: Scorer
 
     to_extract = routed.where("extract").select("prompt_id", "prompt", "name")
     ep = D.build_extractor_prompts(to_extract, catalog, examples, keep=("prompt",)).withColumn("attempt", F.lit(1))
-    checked = retry_incomplete(extractor_scorer(ep), extractor_scorer, catalog, max_attempts)
+    checked = retry_incomplete(extractor_scorer(ep), extractor_scorer, catalog, max_attempts).checkpoint(eager=True)
     extracted = checked.where(F.col("status") == S.TERMINAL).select(
         "prompt_id", "prompt", "name", F.trim("output").alias("parameters")
     )
