@@ -269,7 +269,9 @@ def v_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct pieces ordered by text; ``token_id = ord`` = rank (0-based)."""
     from callscope.functions.ordering import dense_index
 
-    pieces = vocab_texts(spark, sf_dir).select(
+    from callscope.session import spread
+
+    pieces = spread(vocab_texts(spark, sf_dir)).select(
         F.explode(F.regexp_extract_all("text", F.lit(PIECE_PATTERN), 0)).alias("text")
     ).distinct()
     ranked = dense_index(pieces, "text", out="token_id")
@@ -363,7 +365,9 @@ def v_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_token_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token streams: each document cut into pieces, phase by document id."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    from callscope.session import spread
+
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     phase = (
         F.when(F.col("doc_id") % 3 == 0, "route").when(F.col("doc_id") % 3 == 1, "extract").otherwise("other")
     )
