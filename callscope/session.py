@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 # Catalog, type and domain tables are metadata (thousands of rows at most);
 # anything above the bound is joined with a shuffle instead.
 BROADCAST_MAX_ROWS = 200_000
+# ... and only when its rows, serialized as JSON, are proven below this size.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -75,16 +77,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(target)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only when its row count is within ``max_rows``.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast only when it is proven small.
 
-    The count runs on the (small, metadata-sized) side only, which is kept
-    persisted so the broadcast reuses it.  Beyond the bound the frame is
-    returned unhinted and Catalyst/AQE plan a shuffle join.
+    Two measured bounds, both computed on the (metadata-sized) side itself:
+    the row count, then the total size of its rows serialized as JSON.  The
+    side is kept persisted so the broadcast reuses the rows that were
+    measured.  Beyond either bound the frame is returned unhinted and
+    Catalyst/AQE plan a shuffle join.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = kept.limit(max_rows + 1).count()
     if n <= max_rows:
-        return F.broadcast(kept)  # the counted rows are reused, not recomputed
+        size = kept.select(F.sum(F.length(F.to_json(F.struct(*[F.col(c) for c in kept.columns]))))).first()[0]
+        if (size or 0) <= max_bytes:
+            return F.broadcast(kept)  # the measured rows are reused, not recomputed
     kept.unpersist()
     return df
