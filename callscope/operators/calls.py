@@ -238,7 +238,7 @@ def enum_completions(partials: DataFrame, domain: DataFrame) -> DataFrame:
     distinct partial text and joined back, so a hot partial costs nothing
     extra.
     """
-    pref = enum_prefixes(domain)
+    pref = broadcast_if_small(enum_prefixes(domain))  # domain-sized: names x their lengths
     distinct_partials = partials.select("partial").distinct()
     matched = distinct_partials.join(pref, distinct_partials["partial"] == pref["prefix"], "inner")
     per_text = matched.groupBy("partial").agg(
