@@ -30,6 +30,7 @@ INCOMPLETE = "INCOMPLETE"
 REJECTED = "REJECTED"
 
 _CANONICAL_TYPES = ("string", "integer", "number", "boolean", "null")
+WS_CHARS = " \t\n\r"
 
 
 def lexical_class(raw: Column) -> Column:
@@ -190,12 +191,21 @@ def add_status(df, text: str = "text", keys: str = "keys", types: str = "types",
             & typed_ok(F.col("_hk"), F.col("_hv"), ty)
         ).alias("_hok"),
         F.array_except(k, F.col("_hk")).alias("_rem"),
-        tail.rlike(G.tail_item).alias("_isti"),
-        F.regexp_extract(tail, G.tail_item, 1).alias("_tk"),
-        F.regexp_extract(tail, G.tail_item, 2).alias("_colon"),
-        F.regexp_extract(tail, G.tail_item, 3).alias("_rest"),
+        F.regexp_extract(tail, G.quoted_key, 0).alias("_qk"),
         tail.rlike(G.open_key).alias("_ispk"),
-        F.regexp_extract(tail, G.open_key, 1).alias("_pk"),
+    )
+    # "key" ws [: ws rest] with string functions after one anchored match
+    qk = F.col("_qk")
+    after = F.ltrim(tail.substr(F.length(qk) + 1, F.length(tail) + 1), F.lit(WS_CHARS))
+    has_colon = after.startswith(":")
+    s3 = s3.select(
+        "*",
+        ((qk != "") & ((after == "") | has_colon)).alias("_isti"),
+        qk.substr(F.lit(2), F.length(qk) - 2).alias("_tk"),
+        F.when(has_colon, F.lit(":")).otherwise(F.lit("")).alias("_colon"),
+        F.when(has_colon, F.ltrim(after.substr(F.lit(2), F.length(after)), F.lit(WS_CHARS)))
+        .otherwise(F.lit("")).alias("_rest"),
+        F.when(F.col("_ispk"), tail.substr(F.lit(2), F.length(tail))).otherwise(F.lit("")).alias("_pk"),
     )
     rem, tk = F.col("_rem"), F.col("_tk")
     tkey_ok = F.col("_isti") & F.array_contains(rem, tk)
@@ -212,7 +222,7 @@ def add_status(df, text: str = "text", keys: str = "keys", types: str = "types",
         .when(F.coalesce((tail == "") | pk_ok | viable, F.lit(False)), F.lit(INCOMPLETE))
         .otherwise(F.lit(REJECTED))
     )
-    temps = ["_tail", "_hok", "_rem", "_isti", "_tk", "_colon", "_rest", "_ispk", "_pk"]
+    temps = ["_tail", "_hok", "_rem", "_qk", "_isti", "_tk", "_colon", "_rest", "_ispk", "_pk"]
     if not keep_head:  # keep_head leaves _head, _hk (keys), _hv (values) for the caller
         temps = ["_head", "_hk", "_hv"] + temps
     extra = []
@@ -235,12 +245,15 @@ def tail_viable(tail: Column, rem: Column, types: Column) -> Column:
     a remaining key starts with, or a remaining key with an optional colon and
     a value that is growing, complete, or complete and closing the object.
     """
-    pk = F.regexp_extract(tail, G.open_key, 1)
-    tk = F.regexp_extract(tail, G.tail_item, 1)
-    colon = F.regexp_extract(tail, G.tail_item, 2)
-    rest = F.regexp_extract(tail, G.tail_item, 3)
+    pk = tail.substr(F.lit(2), F.length(tail))
+    qk = F.regexp_extract(tail, G.quoted_key, 0)
+    after = F.ltrim(tail.substr(F.length(qk) + 1, F.length(tail) + 1), F.lit(WS_CHARS))
+    tk = qk.substr(F.lit(2), F.length(qk) - 2)
+    colon = F.when(after.startswith(":"), F.lit(":")).otherwise(F.lit(""))
+    rest = F.ltrim(after.substr(F.lit(2), F.length(after)), F.lit(WS_CHARS))
+    is_item = (qk != "") & ((after == "") | after.startswith(":"))
     tt = F.element_at(types, tk)
-    item = tail.rlike(G.tail_item) & F.array_contains(rem, tk) & (
+    item = is_item & F.array_contains(rem, tk) & (
         (colon == "")
         | _per_type(tt, G.viable_value, rest)
         | ((F.size(rem) == 1) & _per_type(tt, G.closing_value, rest))
