@@ -236,11 +236,6 @@ class Grammar:
         """Tail that is an unfinished quoted key; group 1 = the partial key."""
         return '\\A"(' + self.key_chars + ")\\z"
 
-    @property
-    def quoted_key(self) -> str:
-        """A complete quoted key at the start of a tail (group 0)."""
-        return '\\A"' + self.key_chars + '"'
-
     @property
     def tail_item(self) -> str:
         """Tail ``"key" ws [: ws rest]``; groups: 1 key, 2 colon, 3 rest."""
