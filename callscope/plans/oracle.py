@@ -651,7 +651,7 @@ ON qq.query = p.prefix
 STATES = """
   SELECT CAST(row_number() OVER (ORDER BY function, text) - 1 AS BIGINT) AS state_id, function, text FROM (
     SELECT DISTINCT function, substr(text, 1, CAST(n AS INTEGER)) AS text
-    FROM (SELECT function, text, unnest(range(0, length(text) + 1)) AS n FROM calls WHERE call_id % 17 <= 7))
+    FROM (SELECT function, text, unnest(range(0, length(text) + 1)) AS n FROM parsed WHERE status = 'TERMINAL'))
 """
 
 
@@ -661,7 +661,9 @@ def allowed_tokens_ctes() -> dict[str, str]:
     specs, calls = FIXTURES["events"]
     ctes = {"vocab": VOCAB, "raw_vocab": RAW_VOCAB, "uniq": UNIQUE, "tp": TOKEN_PREFIXES,
             "nodes": NODES, "dfs": DFS, "ptable": PREFIX_TABLE,
-            "specs": specs, "calls": calls, "schema": SCHEMA, "states": STATES}
+            "specs": specs, "calls": calls, "schema": SCHEMA}
+    ctes.update(chain("calls", ""))
+    ctes["states"] = STATES
     ctes.update(chain("states", "s_"))
     ctes["first_chars"] = "  SELECT DISTINCT substr(text, 1, 1) AS c FROM uniq"
     ctes["c1"] = """
@@ -898,7 +900,7 @@ FROM tp WHERE routed IS NOT NULL AND NOT regexp_matches(k, '\\A-?(?:0|[1-9][0-9]
 # --------------------------------------------------------------------------
 
 EXPECTED = """
-  SELECT call_id AS prompt_id, function AS name, text AS parameters FROM calls WHERE call_id % 17 <= 7
+  SELECT call_id AS prompt_id, function AS name, text AS parameters FROM parsed WHERE status = 'TERMINAL'
 """
 
 ACTUAL = """
@@ -913,9 +915,11 @@ ACTUAL = """
 
 def _eval_ctes() -> dict[str, str]:
     specs, calls = FIXTURES["events"]
-    ctes = {"specs": specs, "calls": calls, "schema": SCHEMA, "expected": EXPECTED, "actual": ACTUAL,
+    ctes = {"specs": specs, "calls": calls, "schema": SCHEMA}
+    ctes.update(chain("calls", ""))
+    ctes.update({"expected": EXPECTED, "actual": ACTUAL,
             "e_src": "SELECT prompt_id AS call_id, name AS function, parameters AS text FROM expected",
-            "a_src": "SELECT prompt_id AS call_id, name AS function, parameters AS text FROM actual"}
+            "a_src": "SELECT prompt_id AS call_id, name AS function, parameters AS text FROM actual"})
     ctes.update(chain("e_src", "e_"))
     ctes.update(chain("a_src", "a_"))
     sig = "list_sort(list_transform({p}.fkeys, lambda k, i: k || chr(1) || {p}.fvals[i]))"
@@ -939,8 +943,7 @@ FROM (SELECT exp_name AS function, CAST(count(*) AS BIGINT) AS n,
 
 
 def routing_confusion_sql() -> str:
-    _, calls = FIXTURES["events"]
-    return "WITH " + _ctes(calls=calls, expected=EXPECTED, actual=ACTUAL) + """
+    return "WITH " + parse_ctes("events", expected=EXPECTED, actual=ACTUAL) + """
 SELECT e.name AS expected, coalesce(a.name, '<missing>') AS actual, CAST(count(*) AS BIGINT) AS n
 FROM expected e LEFT JOIN actual a ON e.prompt_id = a.prompt_id GROUP BY 1, 2
 """

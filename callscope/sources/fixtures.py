@@ -303,19 +303,28 @@ def v_raw_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partial documents: every prefix of every TERMINAL-shaped v_calls text.
+    """Partial documents: every prefix of every complete (TERMINAL) ``v_calls`` text.
 
     ``state_id`` is the rank of (function, text).
     """
     from callscope.functions.ordering import dense_index
 
-    calls = v_calls(spark, sf_dir).where((F.col("call_id") % 17) <= 7)
-    pref = calls.select(
+    terminal = _terminal_calls(spark, sf_dir)
+    pref = terminal.select(
         "function", "text", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("n")
     ).select("function", F.expr("substring(text, 1, n)").alias("text")).distinct()
     return dense_index(pref, "function", "text", out="state_id").select("state_id", "function", "text")
 
 
+def _terminal_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``v_calls`` rows whose status is TERMINAL (selected by the grammar)."""
+    from callscope.functions import status as S
+    from callscope.operators.catalog import attach_schema
+
+    checked = S.add_status(attach_schema(v_calls(spark, sf_dir), v_catalog(spark, sf_dir)))
+    return checked.where(F.col("status") == S.TERMINAL).select("call_id", "function", "text")
+
+
 def v_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix queries: the first one to three characters of each benchmark word."""
     words = table(spark, sf_dir, "benchmark").select(
@@ -475,7 +484,7 @@ def v_prompt_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The complete, valid calls of ``v_calls`` as the expected outputs."""
-    c = v_calls(spark, sf_dir).where((F.col("call_id") % 17) <= 7)
+    c = _terminal_calls(spark, sf_dir)
     return c.select(F.col("call_id").alias("prompt_id"), F.col("function").alias("name"),
                     F.col("text").alias("parameters"))
 
