@@ -88,10 +88,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     Catalyst/AQE plan a shuffle join.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = kept.limit(max_rows + 1).count()
-    if n <= max_rows:
-        size = kept.select(F.sum(F.length(F.to_json(F.struct(*[F.col(c) for c in kept.columns]))))).first()[0]
-        if (size or 0) <= max_bytes:
-            return F.broadcast(kept)  # the measured rows are reused, not recomputed
+    row_bytes = F.length(F.to_json(F.struct(*[F.col(c) for c in kept.columns])))
+    # one job: rows (at most max_rows + 1 are looked at) and their serialized size
+    n, size = kept.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(row_bytes)).first()
+    if n <= max_rows and (size or 0) <= max_bytes:
+        return F.broadcast(kept)  # the measured rows are reused, not recomputed
     kept.unpersist()
     return df
