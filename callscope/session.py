@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -43,13 +45,22 @@ def get_session(app: str = "callscope", cpus: str | None = None) -> SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set one only when unset (tests)."""
+    """The folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
+
+    Only a local master (one machine, so every folder is shared) may go without
+    the setting; it gets a new folder under /tmp.  On any other master the
+    executors could not read such a folder, so a missing setting is an error.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
-        import tempfile
-
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(
+                f"spark.checkpoint.dir is unset on master {master}: set it to a folder "
+                "that the driver and all executors share"
+            )
         current = tempfile.mkdtemp(prefix="callscope-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
