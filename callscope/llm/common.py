@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from callscope.session import ensure_checkpoint_dir
 
 
+BROADCAST_PARTITIONS = 1_000_000
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
@@ -32,6 +35,8 @@ def prefix_sums(staged: DataFrame, part: str, size: str, base: str) -> DataFrame
     Two passes: per-partition totals are summed (one row per partition goes to
     the driver), their running sums come back as a small table that is joined
     on the partition number.  Rows carry their own place in their partition.
+    The table has a row per partition, so it is broadcast up to a million
+    partitions (16 MB); beyond that Spark plans the join by its own statistics.
     """
     totals = sorted(staged.groupBy(part).agg(F.sum(size).alias("s")).collect())
     rows, at = [], 0
@@ -39,7 +44,7 @@ def prefix_sums(staged: DataFrame, part: str, size: str, base: str) -> DataFrame
         rows.append((r[part], at))
         at += r["s"]
     bases = staged.sparkSession.createDataFrame(rows, f"{part} int, {base} long")
-    return staged.join(bases, part)
+    return staged.join(F.broadcast(bases) if len(rows) <= BROADCAST_PARTITIONS else bases, part)
 
 
 def utf8(text: Column) -> Column:

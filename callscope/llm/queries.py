@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import packing, token_counts
+from callscope.llm import license_scan, oracles, packing, token_counts, url_filter
 from callscope.session import table
 
 
@@ -17,8 +17,32 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+# The rules that the query judges by.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_token_counts": op3_token_counts,
+    "op7_license_scan": op7_license_scan,
+    "op9_url_filter": op9_url_filter,
+}
+ORACLE = {
+    "op7_license_scan": oracles.license_scan(),
+    "op9_url_filter": oracles.url_filter(URL_RULES),
 }
-ORACLE: dict[str, str] = {}
