@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callscope.session import BROADCAST_MAX_BYTES
+
 # Notices as licences ask for them to be written.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -88,6 +90,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     least, most = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
     admitted = spark.createDataFrame([(t, n) for t, (lo, hi) in bounds.items() for n in range(lo, hi + 1)], "template int, n_bigrams int")
     candidates = admitted.join(known, "template").select("n_bigrams", "license", "notice_bigrams")
+    # the notices are in hand: their size is known (at most this much for each size that a notice is listed under)
+    listed = sum((hi - lo + 1) * (64 + sum(len(g) + 40 for g in notices[t])) for t, (lo, hi) in bounds.items())
+    candidates = F.broadcast(candidates) if listed <= BROADCAST_MAX_BYTES else candidates
 
     text = normalised(F.col(text_col).cast("string"))
     docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import license_scan, oracles, packing, token_counts, url_filter
+from callscope.llm import chat, license_scan, oracles, packing, simhash, token_counts, url_filter
 from callscope.session import table
 
 
@@ -17,6 +17,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], conversations.schema)
+    return chat.read_back(*chat.prefix_tree(conversations.unionByName(added)))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_distance=4)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -39,6 +50,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_simhash": op5_simhash,
     "op7_license_scan": op7_license_scan,
     "op9_url_filter": op9_url_filter,
 }
