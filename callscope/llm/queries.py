@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from callscope.llm import chat, license_scan, oracles, packing, simhash, token_counts, url_filter
+from callscope.llm import chat, knn, license_scan, oracles, packing, simhash, token_counts, url_filter
 from callscope.session import table
 
 
@@ -28,6 +29,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_distance=4)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -52,10 +57,12 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_simhash": op5_simhash,
+    "op6_topk": op6_topk,
     "op7_license_scan": op7_license_scan,
     "op9_url_filter": op9_url_filter,
 }
 ORACLE = {
+    "op6_topk": oracles.topk(),
     "op7_license_scan": oracles.license_scan(),
     "op9_url_filter": oracles.url_filter(URL_RULES),
 }
