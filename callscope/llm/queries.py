@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import chat, knn, license_scan, oracles, packing, simhash, token_counts, url_filter
+from callscope.llm import chat, knn, license_scan, oracles, packing, pii, simhash, token_counts, url_filter
 from callscope.session import table
 
 
@@ -52,6 +52,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_token_counts": op3_token_counts,
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_topk": op6_topk,
     "op7_license_scan": op7_license_scan,
     "op9_url_filter": op9_url_filter,
+    "op10_pii": op10_pii,
 }
 ORACLE = {
     "op6_topk": oracles.topk(),
