@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import chat, knn, license_scan, oracles, packing, pii, simhash, token_counts, url_filter
+from callscope.llm import chat, knn, license_scan, oracles, packing, pii, quality, simhash, token_counts, url_filter
 from callscope.session import table
 
 
@@ -37,6 +37,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # The rules that the query judges by.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -63,6 +67,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_topk": op6_topk,
     "op7_license_scan": op7_license_scan,
+    "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
     "op10_pii": op10_pii,
 }
