@@ -323,14 +323,21 @@ def redacted(text: str, w: np.ndarray) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, weights: np.ndarray | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data in the text replaced by its kind in brackets; null texts stay null, all columns and rows stay."""
+def redact(docs: DataFrame, weights: np.ndarray | None = None, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with personal data in the text replaced by its kind in brackets.
+
+    Null texts stay null; all rows and columns stay.  If ``length_col`` is given
+    and there, it is set to the new text's length.
+    """
     w = train(docs, text_col) if weights is None else weights
     at = docs.columns.index(text_col)
 
     def replace(batches):
         for batch in batches:
             new = [None if t is None else redacted(t, w) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, text_col, pa.array(new, pa.string()))
+            yield batch.set_column(at, batch.schema.names[at], pa.array(new, pa.string()))
 
-    return docs.mapInArrow(replace, docs.schema)
+    out = docs.mapInArrow(replace, docs.schema)
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+    return out

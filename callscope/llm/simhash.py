@@ -58,15 +58,16 @@ def fingerprint(text: str, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed 64 bits); row-local."""
+    """doc_id, text_hash and fp (signed 64 bits) of every row; row-local."""
 
     def compute(batches):
         for batch in batches:
-            fps = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [fingerprint(t, shingle) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    source = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text"))
-    return source.mapInArrow(compute, T.StructType([source.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    text = utf8(F.col(text_col))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return source.mapInArrow(compute, T.StructType([*source.schema.fields[:2], T.StructField("fp", T.LongType())]))
 
 
 # ---- variants and their hashes ---------------------------------------------
@@ -191,17 +192,32 @@ def links(fps: DataFrame, max_distance: int = 4) -> DataFrame:
     return edges.filter("a != b").distinct().filter(near)
 
 
+def grouped(docs: DataFrame, shingle: int, max_distance: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, fp and root (a fingerprint that names the group) of every row; staged."""
+    fps = stage(fingerprints(docs, shingle, id_col, text_col), "document-fingerprints")
+    roots = stage(components(links(fps, max_distance)).withColumnRenamed("node", "fp"), "roots")
+    # rows of a hot fingerprint or group are the large side of joins that Spark can split
+    return stage(fps.join(roots, "fp", "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root")), "groups")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable by links) of every row.
 
     Null texts and texts without words have fingerprint zero and link like any
     other; repeated rows are kept and share their component; null ids are kept
-    and never name a component that has another id; an empty table gives no
-    rows; other columns are ignored.
+    and name no component that has another id; an empty table gives no rows;
+    other columns are ignored.
     """
-    fps = stage(fingerprints(docs, shingle, id_col, text_col), "document-fingerprints")
-    roots = stage(components(links(fps, max_distance)).withColumnRenamed("node", "fp"), "roots")
-    # rows of a hot fingerprint or class are the large side of joins that Spark can split
-    classes = stage(fps.join(roots, "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root")), "classes")
-    smallest = stage(classes.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
-    return classes.join(smallest, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = grouped(docs, shingle, max_distance, id_col, text_col)
+    smallest = stage(groups.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
+    return groups.join(smallest, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of near duplicates one row of ``docs``, all columns: that of the smallest id, nulls last, then text hash."""
+    groups = grouped(docs, shingle, max_distance, id_col, text_col)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("best")
+    chosen = stage(groups.groupBy("root").agg(best).select("best.doc_id", "best.text_hash"), "chosen")
+    hashed = docs.withColumn("__text_hash", F.xxhash64(utf8(F.col(text_col))))
+    same = hashed[id_col].eqNullSafe(chosen["doc_id"]) & (hashed["__text_hash"] == chosen["text_hash"])
+    return hashed.join(chosen, same, "left_semi").dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")

@@ -1,8 +1,60 @@
-"""Pipeline over documents (stages are added as their operators land)."""
+"""From raw documents to packed training sequences.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), works on all that the stage before it
+kept, and returns a DataFrame; each is written as Parquet in the shared folder
+and read again as the next one's docs.  All but the last return the columns of
+documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from callscope.llm import decontaminate, packing, pii, quality, simhash
+from callscope.llm.common import stage
+from callscope.session import table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near duplicates."""
+    return simhash.keep_one(docs, shingle=4, max_distance=4)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the new text."""
+    return pii.redact(docs, length_col="n_chars")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", no_benchmark),
+    ("personal data", no_personal_data),
+    ("packing", packed),
+]
+
+# the stages are learnt or made of texts and tokens; tests hold them against brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, work in STAGES:
+        docs = stage(work(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
