@@ -3,9 +3,11 @@
 1. Every test item's word n-grams are hashed; a bitmap of fixed size marks the
    hashes.  Each text is scanned against it whole.  Hits that lie close together
    form a passage, cut out with a margin on both sides.
-2. The hits are joined with the items' n-grams by hash.  Of an item's n-grams
-   those that occur in no more passages than its median one are its rare seeds;
-   the measure is relative, so an item keeps seeds even if all documents hold it.
+2. The hits are joined with the items' n-grams by hash.  An n-gram is as common
+   as its words' frequencies in all documents make likely by chance; the most
+   common quarter of an item's n-grams are no seeds.  The measure takes no note
+   of where the n-gram itself occurs, so copies don't make it common, and it is
+   relative: an item keeps seeds even if all documents hold it.
 3. Each passage is aligned locally, word by word, with the items whose rare
    seeds it holds.  An item is leaked if the alignment reaches a share of the
    score of an exact copy, so edited and paraphrased copies are found too.
@@ -29,6 +31,7 @@ SEED_WORDS = 4
 MARGIN = 64  # words kept around hits; hits closer than two margins share a passage
 BITS = 24  # of the bitmap's addresses: 2 MB
 MATCH, MISMATCH, GAP = 2, -1, -1
+RARE = 0.75  # share of an item's n-grams that are seeds, the rarest
 LEAK = 0.5  # share of an exact copy's score ...
 LONG_ITEM = 64  # ... or of that of so many words, if the item is longer
 WORD = re.compile(r"\w+")
@@ -41,11 +44,14 @@ def words_of(text: str) -> list[str]:
 _hashes = _Words(lambda w: xxhash.xxh64_intdigest(w.encode()))
 
 
-def seed_hashes(words: list[str], n: int) -> np.ndarray:
-    """A signed 64-bit hash of each run of n words."""
-    if len(words) < n:
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.array(list(map(_hashes.__getitem__, words)), "u8")
+
+
+def seed_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A signed 64-bit hash of each run of n words, from the words' hashes."""
+    if len(h) < n:
         return np.zeros(0, "i8")
-    h = np.array(list(map(_hashes.__getitem__, words)), "u8")
     out = np.zeros(len(h) - n + 1, "u8")
     for k in range(n):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[k:len(h) - n + 1 + k]
@@ -58,17 +64,22 @@ def _slots(h: np.ndarray) -> np.ndarray:
 
 
 def item_seeds(items: DataFrame, n: int) -> DataFrame:
-    """item_id, words, seeds (hashes of its n-grams); staged.  Items of fewer than n words have none."""
+    """item_id, words, seeds (struct of an n-gram's hash h and its words' hashes); staged.  Items of fewer than n words have none."""
+    seed = pa.struct([("h", pa.int64()), ("words", pa.list_(pa.int64()))])
 
     def hash_items(batches):
         for batch in batches:
             words = [words_of(t) for t in batch.column(1).to_pylist()]
-            seeds = [np.unique(seed_hashes(w, n)) for w in words]
+            seeds = []
+            for w in words:
+                h = word_hashes(w)
+                grams = {int(s): h[k:k + n].view("i8").tolist() for k, s in enumerate(seed_hashes(h, n))}
+                seeds.append([{"h": s, "words": g} for s, g in grams.items()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(seeds, pa.list_(pa.int64()))], names=["item_id", "words", "seeds"])
+                [batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(seeds, pa.list_(seed))], names=["item_id", "words", "seeds"])
 
     kind = items.schema["item_id"].dataType.simpleString()
-    return stage(items.mapInArrow(hash_items, f"item_id {kind}, words array<string>, seeds array<long>"), "items")
+    return stage(items.mapInArrow(hash_items, f"item_id {kind}, words array<string>, seeds array<struct<h: long, words: array<long>>>"), "items")
 
 
 def bitmap(seeds: DataFrame) -> np.ndarray:
@@ -92,18 +103,27 @@ def bitmap(seeds: DataFrame) -> np.ndarray:
     return out
 
 
-def passages(docs: DataFrame, bits: np.ndarray, n: int, margin: int) -> DataFrame:
-    """pid, doc_id, text_hash, begin, words, hits: the passages of each text around hits of the bitmap; staged."""
+def passages(docs: DataFrame, seed_bits: np.ndarray, word_bits: np.ndarray, n: int, margin: int) -> DataFrame:
+    """pid, doc_id, text_hash, begin, words, hits: the passages of each text around hits of the seeds' bitmap; staged.
+
+    Rows without a pid count the words that the words' bitmap marks: hits are their hashes, counts their numbers in one task.
+    """
+
+    def marked(h, bits):
+        slots = _slots(h)
+        return bits[slots >> 3] >> (7 - (slots & 7)).astype("u1") & 1 == 1
 
     def scan(batches):
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, counts = TaskContext.get().partitionId(), 0, {}
+        names = ["pid", "doc_id", "text_hash", "begin", "words", "hits", "counts"]
         for batch in batches:
-            of, rows = [], []
+            of, rows, seen = [], [], [np.zeros(0, "u8")]
             for k, text in enumerate(batch.column(2).to_pylist()):
                 words = words_of(text)
-                h = seed_hashes(words, n)
-                slots = _slots(h)
-                at = np.flatnonzero(bits[slots >> 3] >> (7 - (slots & 7)).astype("u1") & 1)
+                of_words = word_hashes(words)
+                seen.append(of_words[marked(of_words, word_bits)])
+                h = seed_hashes(of_words, n)
+                at = np.flatnonzero(marked(h, seed_bits))
                 if not len(at):
                     continue
                 for group in np.split(at, np.flatnonzero(np.diff(at) > 2 * margin) + 1):
@@ -111,15 +131,20 @@ def passages(docs: DataFrame, bits: np.ndarray, n: int, margin: int) -> DataFram
                     rows.append((part << 33 | seq, begin, words[begin:end], np.unique(h[group]).tolist()))
                     of.append(k)
                     seq += 1
+            for w, c in zip(*np.unique(np.concatenate(seen).view("i8"), return_counts=True)):
+                counts[w] = counts.get(w, 0) + int(c)
             pid, begin, held, hits = zip(*rows) if rows else ((),) * 4
             take = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(pid, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(begin, pa.int64()),
-                 pa.array(held, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.int64()))],
-                names=["pid", "doc_id", "text_hash", "begin", "words", "hits"])
+                 pa.array(held, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.int64())), pa.nulls(len(of), pa.list_(pa.int64()))], names=names)
+        if counts:
+            lists = [pa.array([list(x)], pa.list_(pa.int64())) for x in (counts, counts.values())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), pa.nulls(1, batch.schema.types[0]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.string())), *lists], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stage(docs.mapInArrow(scan, f"pid long, doc_id {kind}, text_hash long, begin long, words array<string>, hits array<long>"), "passages")
+    return stage(docs.mapInArrow(scan, f"pid long, doc_id {kind}, text_hash long, begin long, words array<string>, hits array<long>, counts array<long>"), "passages")
 
 
 def align(words: list[str], item: list[str]) -> tuple[int, int, int]:
@@ -159,14 +184,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, n: int
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     items = item_seeds(benchmark.select("item_id", utf8(F.col("text")).alias("text")), n)
     items = items.filter(F.size("seeds") > 0).withColumn("row", F.xxhash64("words"))
-    seeds = items.select("row", F.explode("seeds").alias("h")).distinct()
-    found = passages(docs, bitmap(seeds.select("h")), n, margin)
-
+    seeds = items.select("row", F.explode("seeds").alias("s")).select("row", "s.h", "s.words").distinct()
+    vocabulary = seeds.select(F.explode("words").alias("w"))
+    scanned = passages(docs, bitmap(seeds.select("h")), bitmap(vocabulary), n, margin)
+    found = scanned.filter("pid is not null").drop("counts")
+
+    counted = scanned.filter("pid is null").select(F.explode(F.arrays_zip("hits", "counts")).alias("c")).select("c.hits", "c.counts")
+    counted = counted.groupBy(F.col("hits").alias("w")).agg(F.sum("counts").alias("n"))
+    by_word = seeds.select("row", "h", F.explode("words").alias("w")).join(counted, "w", "left")
+    common = by_word.groupBy("row", "h").agg(F.sum(F.log2(1 + F.coalesce("n", F.lit(0)))).alias("common"))
+    common = stage(common, "seed-frequencies")
+    limit = common.groupBy("row").agg(F.percentile("common", RARE).alias("most"))
+    rare = stage(common.join(limit, "row").filter("common <= most").select("row", "h"), "rare-seeds")
     hits = found.select("pid", F.explode("hits").alias("h"))
-    # how many passages hold each seed: partial counts first, so a leak that many documents share is a few rows
-    spread = stage(seeds.join(hits.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h"), "seed-counts")
-    median = spread.groupBy("row").agg(F.percentile("df", 0.5).alias("median"))
-    rare = stage(spread.join(median, "row").filter("df <= median").select("row", "h"), "rare-seeds")
     pairs = stage(hits.join(rare, "h").select("pid", "row").distinct(), "pairs")
     of_items = items.select("row", "item_id", F.col("words").alias("item"))
     aligned = pairs.join(found.drop("hits"), "pid").join(of_items, "row").select("doc_id", "text_hash", "item_id", "begin", "words", "item")
