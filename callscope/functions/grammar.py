@@ -270,11 +270,6 @@ class Grammar:
             + '("' + self.key_chars + '")' + self.ws + "\\}" + self.ws + "\\z"
         )
 
-    @property
-    def trailing_ws(self) -> str:
-        return "[ \\t\\n\\r]+\\z"
-
-
 JAVA = Grammar("java")
 RE2 = Grammar("re2")
 

@@ -19,14 +19,13 @@ def dense_index(df: DataFrame, *order_cols: str, out: str = "idx",
     assignment is fixed; the position is the row's index inside its partition
     plus the number of rows in all earlier partitions (one small count per
     partition, joined back by broadcast).  No step puts the whole data into one
-    task.
+    task; the number of ranges is the session's number of shuffle partitions.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or spark.sparkContext.defaultParallelism
+    by_range = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
     ranged = (
-        df.repartitionByRange(n, *order_cols)
-        .sortWithinPartitions(*order_cols)
+        by_range.sortWithinPartitions(*order_cols)
         .withColumn("_mid", F.monotonically_increasing_id())
         .checkpoint(eager=True)
     )
@@ -34,7 +33,7 @@ def dense_index(df: DataFrame, *order_cols: str, out: str = "idx",
     ranged = ranged.withColumn("_pid", pid)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition: the window runs over at most `n` rows.
+    # One row per partition: the window runs over as many rows.
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     out_df = ranged.join(F.broadcast(offsets), "_pid")
     local = F.col("_mid") - F.col("_pid") * F.lit(_SHIFT)

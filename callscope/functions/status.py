@@ -162,10 +162,6 @@ def call_status(text: Column, keys: Column, types: Column) -> Column:
     )
 
 
-def not_rejected(text: Column, keys: Column, types: Column) -> Column:
-    return call_status(text, keys, types) != F.lit(REJECTED)
-
-
 def add_status(df, text: str = "text", keys: str = "keys", types: str = "types",
                out: str = "status", with_fields: bool = False, keep_head: bool = False):
     """Frame form of :func:`call_status`, staged so each regex runs once per row.

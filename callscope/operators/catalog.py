@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callscope.functions.grammar import CANONICAL, ROUTER_FALLBACK
-from callscope.session import broadcast_if_small, spread
+from callscope.session import broadcast_if_small
 
 
 def canonical_type(type_col: Column) -> Column:
@@ -143,7 +143,7 @@ def attach_schema(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     Calls of unknown functions get an empty schema and can never be accepted.
     """
     schema = broadcast_if_small(function_schema(catalog))
-    joined = spread(calls).join(schema, "function", "left")
+    joined = calls.join(schema, "function", "left")
     return joined.withColumn(
         "keys", F.coalesce("keys", F.array().cast("array<string>"))
     ).withColumn(

@@ -1,9 +1,8 @@
 """Prompt dataset construction.
 
 Prompts are built with ``concat`` over columns.  The catalog block of the
-router prompt is the same for every prompt, so it is rendered once from the
-catalog (metadata, size-checked) and enters the plan as a literal; the
-per-function parts of the extractor prompt are aggregated per function and
+router prompt is the same for every prompt, so it is aggregated once from the
+catalog and enters the plan as a scalar subquery; the per-function parts of the extractor prompt are aggregated per function and
 joined by function name.
 """
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.operators.catalog import resolved
-from callscope.session import BROADCAST_MAX_ROWS, broadcast_if_small
+from callscope.session import broadcast_if_small
 
 # --------------------------------------------------------------------------
 # Prompt texts that must equal the reference's word for word.
@@ -125,23 +124,23 @@ def example_table(spark: SparkSession) -> DataFrame:
     )
 
 
-def catalog_block(catalog: DataFrame) -> str:
-    """``- name: description`` lines in catalog order (all definitions, as listed).
-
-    The catalog is metadata; it is rendered on the driver only after its size
-    is checked, and the result is one literal shared by every prompt.
-    """
-    n = catalog.limit(BROADCAST_MAX_ROWS + 1).count()
-    if n > BROADCAST_MAX_ROWS:
-        raise ValueError(f"catalog too large to inline into prompts ({n} definitions)")
-    rows = catalog.select("ord", "name", "description").orderBy("ord").collect()
-    return "".join(f"- {r['name']}: {r['description']}\n" for r in rows)
+def catalog_block(catalog: DataFrame) -> DataFrame:
+    """One row, one column: ``- name: description`` lines in catalog order (all definitions, as listed)."""
+    line = F.concat(F.lit("- "), "name", F.lit(": "), F.coalesce("description", F.lit("")), F.lit("\n"))
+    lines = F.array_sort(F.collect_list(F.struct("ord", line.alias("line"))))
+    return catalog.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("block"))
 
 
 def build_router_prompts(prompts: DataFrame, catalog: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(prompt_id, text, *keep)``; the user prompt is inserted unescaped."""
-    head = ROUTER_HEADER + catalog_block(catalog) + ROUTER_EXAMPLES
-    text = F.concat(F.lit(head + 'User: "'), F.col("prompt"), F.lit('"\nOutput:'))
+    """``(prompt_id, text, *keep)``; the user prompt is inserted unescaped.
+
+    The catalog block is the same for every prompt: a scalar subquery, worked
+    out once by the cluster, of any number of definitions.
+    """
+    text = F.concat(
+        F.lit(ROUTER_HEADER), catalog_block(catalog).scalar(), F.lit(ROUTER_EXAMPLES + 'User: "'),
+        F.col("prompt"), F.lit('"\nOutput:'),
+    )
     return prompts.select("prompt_id", text.alias("text"), *keep)
 
 

@@ -220,7 +220,7 @@ def _work_dir(spark: SparkSession, name: str) -> str:
 
 def _validate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _work_dir(spark, "h1")
-    FX.v_calls(spark, sf_dir).repartition(4).write.mode("overwrite").parquet(f"{root}/source")
+    FX.v_calls(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/source")
     q = H.validate_stream(spark, f"{root}/source", FX.v_catalog(spark, sf_dir), f"{root}/sink", f"{root}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/sink")

@@ -26,55 +26,38 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from callscope.functions import status as S
 from callscope.functions.grammar import ROUTER_FALLBACK
+from callscope.functions.text import strip
 from callscope.operators import calls as C
 from callscope.operators import prompts as D
 from callscope.operators import select as E
 from callscope.operators.catalog import attach_schema, resolved, routing_domain
-from callscope.session import broadcast_if_small, ensure_checkpoint_dir, spread
+from callscope.session import broadcast_if_small, ensure_checkpoint_dir
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 NUMBER_IN_TEXT = "-?[0-9]+(?:\\.[0-9]+)?"
-QUOTED_IN_TEXT = "'([^']*)'|\"([^\"]*)\""
 
 
 # --------------------------------------------------------------------------
 # Lexical scorers (deterministic, expression-only)
 # --------------------------------------------------------------------------
 
-# Catalogs up to this many functions are matched row-locally against a literal
-# name list; larger ones through a broadcast (or shuffle) join on the word.
-ROW_LOCAL_NAMES = 1_000
-
-
 def lexical_router(catalog: DataFrame) -> Scorer:
-    """Pick the first catalog function whose name occurs as a word of the prompt."""
-    fns = resolved(catalog).select(F.col("ord").alias("_ord"), F.col("name").alias("_name"))
-    small = fns.limit(ROW_LOCAL_NAMES + 1).count() <= ROW_LOCAL_NAMES
-    words_of = F.regexp_extract_all(F.lower("prompt"), F.lit("[\\p{L}0-9_]+"), 0)
-
-    def output(name):
-        return F.concat(F.lit('{"name": "'), F.coalesce(name, F.lit(ROUTER_FALLBACK)), F.lit('"}'))
-
-    if small:
-        # metadata only, size-checked: the names in catalog order as a literal
-        names = [r["_name"] for r in fns.orderBy("_ord").collect()]
-        literal = F.array(*[F.struct(F.lit(n.lower()).alias("w"), F.lit(n).alias("n")) for n in names])
+    """Pick the first catalog function whose name occurs as a word of the prompt.
 
-        def score_small(df: DataFrame) -> DataFrame:
-            words = F.array_distinct(words_of)
-            hit = F.filter(literal, lambda x: F.array_contains(words, x["w"]))
-            return df.select("*", output(F.try_element_at(hit, F.lit(1))["n"]).alias("output"))
-
-        return score_small
-
-    names = broadcast_if_small(fns.select(F.lower("_name").alias("_w"), "_name", "_ord"))
+    The output depends on the prompt's text alone, so it is worked out once per
+    distinct text: its words are joined with the names, whatever the number of
+    functions, and the choice is joined back on the text.
+    """
+    fns = resolved(catalog)
+    names = fns.select(F.lower("name").alias("_w"), F.col("name").alias("_name"), F.col("ord").alias("_ord"))
 
     def score(df: DataFrame) -> DataFrame:
-        words = df.select("prompt_id", F.explode(words_of).alias("_w"))
-        hits = words.join(names, "_w").groupBy("prompt_id").agg(F.min_by("_name", "_ord").alias("_name"))
-        out = df.join(hits, "prompt_id", "left")
-        return out.select(*df.columns, output(F.col("_name")).alias("output"))
+        words = F.array_distinct(F.regexp_extract_all(F.lower("prompt"), F.lit("[\\p{L}0-9_]+"), 0))
+        by_word = df.select("prompt").distinct().select("prompt", F.explode(words).alias("_w"))
+        hits = by_word.join(broadcast_if_small(names), "_w").groupBy("prompt").agg(F.min_by("_name", "_ord").alias("_name"))
+        output = F.concat(F.lit('{"name": "'), F.coalesce("_name", F.lit(ROUTER_FALLBACK)), F.lit('"}'))
+        return df.join(hits, "prompt", "left").select(*df.columns, output.alias("output"))
 
     return score
 
@@ -124,31 +107,72 @@ def lexical_extractor(catalog: DataFrame) -> Scorer:
 # Retry only INCOMPLETE outputs
 # --------------------------------------------------------------------------
 
+def _materialized(scored: DataFrame) -> DataFrame:
+    """A scorer's output, written once.
+
+    A scorer may answer differently each time it is asked (only then does a
+    retry help), so its output must not be worked out again by each reader.
+    """
+    ensure_checkpoint_dir(scored.sparkSession)
+    return scored.checkpoint(eager=True)
+
+
+def _attempts(scored: DataFrame, scorer: Scorer, check: Callable[[DataFrame], DataFrame], max_attempts: int) -> DataFrame:
+    """Check scored rows and score the INCOMPLETE ones again; each row ends up here exactly once.
+
+    ``check`` adds ``status`` (and what else it likes) to the scorer's output.
+    """
+    request = [c for c in scored.columns if c not in ("output", "status")]
+    current = check(_materialized(scored))
+    ended = []
+    for attempt in range(2, max_attempts + 1):
+        unfinished = F.col("status") == S.INCOMPLETE
+        ended.append(current.where(~unfinished))
+        redo = current.where(unfinished).select(*request).withColumn("attempt", F.lit(attempt))
+        current = check(_materialized(scorer(redo)))
+    for part in ended:
+        current = part.unionByName(current, allowMissingColumns=True)
+    return current
+
+
 def retry_incomplete(scored: DataFrame, scorer: Scorer, catalog: DataFrame,
                      max_attempts: int = 2) -> DataFrame:
     """Re-score the rows whose output is INCOMPLETE, up to ``max_attempts``.
 
     ``scored(prompt_id, name, prompt, text, output)`` -- the scorer's own
-    output rows, request columns included.  Rows are split by status with
-    filters on one frame: finished ones pass straight through, INCOMPLETE ones
-    go back to the scorer as they are (no join), so a retry costs nothing when
-    every output is complete or refused.  Adds ``status``.
+    output rows, request columns included; a null output counts as empty.  Every
+    attempt's output is written before it is split by status, so each row is
+    scored once per attempt and comes out once.  Adds ``status``.
     """
-    def checked(df: DataFrame) -> DataFrame:
+    def check(df: DataFrame) -> DataFrame:
         doc = df.withColumnRenamed("text", "_request").select(
-            "*", F.col("name").alias("function"), F.trim("output").alias("text"))
+            "*", F.col("name").alias("function"), strip(F.coalesce("output", F.lit(""))).alias("text"))
         out = S.add_status(attach_schema(doc, catalog))
         return out.drop("keys", "types", "function", "text").withColumnRenamed("_request", "text")
 
-    current = checked(scored)
-    done = None
-    for attempt in range(2, max_attempts + 1):
-        settled = current.where(F.col("status") != S.INCOMPLETE)
-        done = settled if done is None else done.unionByName(settled, allowMissingColumns=True)
-        redo = current.where(F.col("status") == S.INCOMPLETE).drop("status", "output").withColumn(
-            "attempt", F.lit(attempt))
-        current = checked(scorer(redo))
-    return current if done is None else done.unionByName(current, allowMissingColumns=True)
+    return _attempts(scored, scorer, check, max_attempts)
+
+
+def route_prompts(requests: DataFrame, scorer: Scorer, catalog: DataFrame, max_attempts: int = 2) -> DataFrame:
+    """The routing phase: the scorer's rows with ``status`` and ``selected`` (null unless TERMINAL).
+
+    A document cut short is INCOMPLETE and scored again, as in extraction; a
+    complete one whose name is no candidate is REJECTED.
+    """
+    domain = routing_domain(catalog)
+
+    def check(df: DataFrame) -> DataFrame:
+        doc = df.withColumnRenamed("text", "_request").select(
+            "*", F.col("prompt_id").alias("call_id"), strip(F.coalesce("output", F.lit(""))).alias("text"),
+            F.array(F.lit("name")).alias("keys"), F.create_map(F.lit("name"), F.lit("string")).alias("types"))
+        doc = S.add_status(doc, out="_status").drop("keys", "types")
+        kept = [c for c in doc.columns if c not in ("call_id", "text")]
+        out = C.router_documents(doc, domain, keep=tuple(kept))
+        status = F.when(F.col("accepted"), F.lit(S.TERMINAL)).when(F.col("_status") == S.INCOMPLETE, F.lit(S.INCOMPLETE))
+        out = out.withColumn("status", status.otherwise(F.lit(S.REJECTED)))
+        return out.drop("call_id", "accepted", "_status").withColumnRenamed("_request", "text")
+
+    return _attempts(scorer(requests), scorer, check, max_attempts)
 
 
 # --------------------------------------------------------------------------
@@ -162,28 +186,19 @@ def run_two_phase(prompts: DataFrame, catalog: DataFrame, router_scorer: Scorer
 
     ``results(prompt_id, prompt, name, parameters)`` -- ``parameters`` is the
     validated JSON object text (``{}`` for ``none``); ``errors(prompt_id,
-    phase, reason)`` lists prompts that produced no result.  The prompt text
-    rides along every step, so no step joins back to the prompt table.
+    phase, reason)`` lists prompts that produced no result, with the reason
+    ``incomplete`` or ``rejected``.  Every prompt ends in exactly one of the two.
+    The prompt text rides along every step, so no step joins back to the prompt
+    table; both phases retry outputs that were cut short.
     """
     router_scorer = router_scorer or lexical_router(catalog)
     extractor_scorer = extractor_scorer or lexical_extractor(catalog)
-    prompts = spread(prompts)  # only redistributes when the scan has fewer splits than cores
 
     rp = D.build_router_prompts(prompts, catalog, keep=("prompt",)).withColumn("attempt", F.lit(1))
-    routed_text = router_scorer(rp)
-    router_docs = C.router_documents(
-        routed_text.select(F.col("prompt_id").alias("call_id"), F.trim("output").alias("text"), "prompt"),
-        routing_domain(catalog), keep=("prompt",),
-    )
-    router_errors = router_docs.where(~F.col("accepted")).select(
-        F.col("call_id").alias("prompt_id"), F.lit("route").alias("phase"), F.lit("rejected").alias("reason")
-    )
-    # both phases feed two outputs (results and errors): materialize each once
-    # in the shared checkpoint folder, which also cuts the lineage
-    ensure_checkpoint_dir(prompts.sparkSession)
-    router_docs = router_docs.checkpoint(eager=True)
+    routed_docs = route_prompts(rp, router_scorer, catalog, max_attempts)
+    router_errors = _errors(routed_docs, "route")
     routed = E.route_calls(
-        router_docs.where("accepted").select(F.col("call_id").alias("prompt_id"), "selected", "prompt"),
+        routed_docs.where(F.col("status") == S.TERMINAL).select("prompt_id", "selected", "prompt"),
         catalog, keep=("prompt",),
     )
     none_results = routed.where(~F.col("extract")).select(
@@ -192,14 +207,17 @@ def run_two_phase(prompts: DataFrame, catalog: DataFrame, router_scorer: Scorer
 
     to_extract = routed.where("extract").select("prompt_id", "prompt", "name")
     ep = D.build_extractor_prompts(to_extract, catalog, examples, keep=("prompt",)).withColumn("attempt", F.lit(1))
-    checked = retry_incomplete(extractor_scorer(ep), extractor_scorer, catalog, max_attempts).checkpoint(eager=True)
+    checked = retry_incomplete(extractor_scorer(ep), extractor_scorer, catalog, max_attempts)
     extracted = checked.where(F.col("status") == S.TERMINAL).select(
-        "prompt_id", "prompt", "name", F.trim("output").alias("parameters")
+        "prompt_id", "prompt", "name", strip(F.col("output")).alias("parameters")
     )
-    extract_errors = checked.where(F.col("status") != S.TERMINAL).select(
-        "prompt_id", F.lit("extract").alias("phase"), F.lower("status").alias("reason")
+    return none_results.unionByName(extracted), router_errors.unionByName(_errors(checked, "extract"))
+
+
+def _errors(checked: DataFrame, phase: str) -> DataFrame:
+    return checked.where(F.col("status") != S.TERMINAL).select(
+        "prompt_id", F.lit(phase).alias("phase"), F.lower("status").alias("reason")
     )
-    return none_results.unionByName(extracted), router_errors.unionByName(extract_errors)
 
 
 def result_coverage(prompts: DataFrame, results: DataFrame, errors: DataFrame) -> DataFrame:

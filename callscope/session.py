@@ -6,7 +6,6 @@ import os
 import re
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +23,14 @@ TABLES = (
 
 
 def get_session(app: str = "callscope", cpus: str | None = None) -> SparkSession:
+    """A session on this machine; on a cluster, pass the functions your own.
+
+    Shuffle partitions stay as configured: adaptive execution merges small ones.
+    """
     cpus = cpus or os.environ.get("BENCH_CPUS", "*")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
-        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -71,38 +73,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster when the scan yields too few splits.
+def spread(scan: DataFrame) -> DataFrame:
+    """Round-robin the rows of a table scan that yields fewer splits than cores.
 
-    Validation is CPU-bound row-local work.  A single large file with one row
-    group scans as one task; then (and only then) rows are redistributed to
-    ``defaultParallelism`` partitions.  A large input already has more splits
-    than cores and is left untouched, so no shuffle is added at scale.
+    Validation is CPU-bound row-local work, and a single large file with one
+    row group scans as one task.  A large table has more splits than cores and
+    is left untouched, so no shuffle is added at scale.  For scans only (a
+    table's columns at most): their split count is known from the files without
+    running a job, while behind a shuffle adaptive execution would run the query
+    to tell it.
     """
-    if df.isStreaming:
-        return df
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+    target = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= target else scan.repartition(target)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
                        max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Mark ``df`` for broadcast only when it is proven small.
 
-    Two measured bounds, both computed on the (metadata-sized) side itself:
-    the row count, then the total size of its rows serialized as JSON.  The
-    side is kept persisted so the broadcast reuses the rows that were
-    measured.  Beyond either bound the frame is returned unhinted and
+    Two measured bounds, both computed by one partially aggregated job on the
+    (metadata-sized) side itself: the row count and the bytes of its rows
+    serialized as JSON.  Beyond either bound the frame is returned unhinted and
     Catalyst/AQE plan a shuffle join.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    row_bytes = F.length(F.to_json(F.struct(*[F.col(c) for c in kept.columns])))
-    # one job: rows (at most max_rows + 1 are looked at) and their serialized size
-    n, size = kept.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(row_bytes)).first()
-    if n <= max_rows and (size or 0) <= max_bytes:
-        return F.broadcast(kept)  # the measured rows are reused, not recomputed
-    kept.unpersist()
-    return df
+    row_bytes = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    n, size = df.agg(F.count(F.lit(1)), F.sum(row_bytes)).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df

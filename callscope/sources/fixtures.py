@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callscope.session import table
+from callscope.session import spread, table
 
 CATALOG_DDL = (
     "ord BIGINT, name STRING, description STRING, "
@@ -70,7 +70,7 @@ def v_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "props"))
     k = F.regexp_extract("props", "-?[0-9]+", 0)
     r = F.col("event_id") % 17
     cr, lf = F.lit("\r"), F.lit("\n")
@@ -129,9 +129,9 @@ def v_catalog_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_calls_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(
+    o = spread(table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority"
-    )
+    ))
     d = F.col("o_orderkey") % 7
     r = (F.col("o_orderkey") % 5).cast("int")
     price = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
@@ -178,9 +178,9 @@ def v_catalog_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_calls_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
+    li = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"
-    )
+    ))
     ln = F.col("l_linenumber")
     ok = F.col("l_orderkey").cast("string")
     q = F.col("l_quantity").cast("decimal(12,2)").cast("string")
@@ -269,8 +269,6 @@ def v_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct pieces ordered by text; ``token_id = ord`` = rank (0-based)."""
     from callscope.functions.ordering import dense_index
 
-    from callscope.session import spread
-
     pieces = spread(vocab_texts(spark, sf_dir)).select(
         F.explode(F.regexp_extract_all("text", F.lit(PIECE_PATTERN), 0)).alias("text")
     ).distinct()
@@ -374,8 +372,6 @@ def v_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_token_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token streams: each document cut into pieces, phase by document id."""
-    from callscope.session import spread
-
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     phase = (
         F.when(F.col("doc_id") % 3 == 0, "route").when(F.col("doc_id") % 3 == 1, "extract").otherwise("other")
@@ -399,7 +395,7 @@ def v_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_event_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests phrased from events: routable with a number, routable without
     one, unroutable, and upper-cased with two numbers."""
-    ev = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "props")
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "value", "props"))
     k = F.regexp_extract("props", "-?[0-9]+", 0)
     r = F.col("event_id") % 4
     et = F.col("event_type")
