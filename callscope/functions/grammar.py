@@ -223,6 +223,10 @@ class Grammar:
             + "\\}" + self.ws + "\\z"
         )
 
+    @property
+    def empty_object(self) -> str:
+        return "\\A" + self.ws + "\\{" + self.ws + "\\}" + self.ws + "\\z"
+
     @property
     def opened(self) -> str:
         return "\\A" + self.ws + "\\{"

@@ -209,6 +209,8 @@ from callscope.streaming import validate_stream as H  # noqa: E402
 
 register("g1_accuracy_report", lambda s, d: GV.accuracy_report(FX.v_expected(s, d), FX.v_actual(s, d)),
          O.accuracy_report_sql())
+register("g1_parameter_report", lambda s, d: GV.parameter_report(FX.v_expected(s, d), FX.v_actual(s, d)),
+         O.parameter_report_sql())
 register("g2_routing_confusion", lambda s, d: GV.routing_confusion(FX.v_expected(s, d), FX.v_actual(s, d)),
          O.routing_confusion_sql())
 

@@ -486,15 +486,27 @@ def v_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Produced outputs: right, routed to none, wrong value, missing, reformatted."""
+    """Produced outputs of the expected prompts: right, routed to none, wrong
+    value, missing, reformatted (by ``prompt_id % 5``); some of them cut short,
+    running on or no JSON (by ``% 11``), some given twice (by ``% 17``), and
+    outputs of prompts that nobody expected (by ``% 13``)."""
     e = v_expected(spark, sf_dir)
-    m = F.col("prompt_id") % 5
+    pid = F.col("prompt_id")
+    m, w = pid % 5, pid % 11
     k = F.regexp_extract("parameters", "-?[0-9]+", 0)
     params = (
         F.when(m == 1, F.lit("{}"))
         .when(m == 2, F.concat(F.lit('{"k": '), (k.cast("bigint") + 1).cast("string"), F.lit("}")))
         .when(m == 4, F.concat(F.lit('{"k":'), k, F.lit("}")))
-        .otherwise(F.col("parameters"))
+        .otherwise(F.rtrim("parameters"))
+    )
+    params = (
+        F.when(w == 3, params.substr(F.lit(1), F.length(params) - 1))
+        .when(w == 5, F.concat(params, F.lit("x")))
+        .when(w == 7, F.lit("not json"))
+        .otherwise(params)
     )
     name = F.when(m == 1, F.lit("none")).otherwise(F.col("name"))
-    return e.where(m != 3).select("prompt_id", name.alias("name"), params.alias("parameters"))
+    given = e.where(m != 3).select("prompt_id", name.alias("name"), params.alias("parameters"))
+    extra = e.where(pid % 13 == 0).select((-pid - 1).alias("prompt_id"), "name", "parameters")
+    return given.unionByName(given.where(pid % 17 == 2)).unionByName(extra)
