@@ -947,7 +947,10 @@ SELECT function AS expected, actual, CAST(count(*) AS BIGINT) AS n FROM j GROUP
 CATALOG_DOCS = """
   SELECT 'catalog_' || lpad(CAST(g AS STRING), 6, '0') AS source,
          CASE WHEN g % 50 = 7 THEN '{"functions": [' || body || ']}'
-              WHEN g % 50 = 13 THEN '[' || body ELSE '[' || body || ']' END AS text
+              WHEN g % 50 = 13 THEN '[' || body
+              WHEN g % 50 = 21 THEN '[' || body || ']]'
+              WHEN g % 50 = 29 THEN '[' || body || '] trailing'
+              WHEN g % 50 = 37 THEN '[' || body || '], [' || body || ']' ELSE '[' || body || ']' END AS text
   FROM (SELECT g, string_agg(elem, ', ' ORDER BY pk) AS body FROM (
     SELECT p_partkey // 4 AS g, p_partkey AS pk,
       '{' || CASE WHEN d = 1 THEN '' ELSE '"name": ' || CASE WHEN d = 6 THEN to_json('part"' || p_partkey) ELSE to_json('part_' || p_partkey) END || ', ' END
@@ -961,7 +964,8 @@ CATALOG_DOCS = """
 
 PROMPT_DOCS = """
   SELECT 'prompts_' || lpad(CAST(conv_id AS STRING), 6, '0') || '_' || lpad(CAST(chunk AS STRING), 4, '0') AS source,
-         '[' || string_agg(elem, ', ' ORDER BY turn) || ']' AS text
+         '[' || string_agg(elem, ', ' ORDER BY turn) || ']'
+         || CASE WHEN conv_id % 31 = 5 THEN ']' WHEN conv_id % 31 = 9 THEN ' x' ELSE '' END AS text
   FROM (SELECT conv_id, chunk, turn,
           '{"' || CASE WHEN conv_id % 9 = 4 AND first THEN 'question' ELSE 'prompt' END || '": ' || to_json(text)
           || CASE WHEN conv_id % 9 = 7 AND first THEN ', "role": "user"' ELSE '' END || '}' AS elem
@@ -1040,7 +1044,7 @@ FROM els WHERE source NOT IN (SELECT source FROM rejects)
 
 def parse_prompts_sql() -> str:
     return "WITH " + _ctes(**rejects_ctes("prompt")) + """
-SELECT source, ord AS prompt_id, json_extract_string(e, '$.prompt') AS prompt
+SELECT source, row_number() OVER (ORDER BY source, ord) - 1 AS prompt_id, json_extract_string(e, '$.prompt') AS prompt
 FROM els WHERE source NOT IN (SELECT source FROM rejects)
 """
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.functions.grammar import TYPE_NAMES
+from callscope.functions.ordering import dense_index
 from callscope.session import ensure_checkpoint_dir
 
 FUNCTION_FIELDS = ("name", "description", "parameters", "returns")
@@ -33,13 +34,34 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _elements(docs: DataFrame) -> DataFrame:
-    """``(source, ord, e)``: the raw JSON text of every list element."""
-    arr = F.from_json("text", "array<string>")
+    """``(source, ord, e)``: the raw JSON text of every element of the well-formed lists."""
+    arr = F.when(well_formed(F.col("text")), F.from_json("text", "array<string>"))
     return docs.select("source", F.posexplode(arr).alias("ord", "e")).select(
         "source", F.col("ord").cast("bigint").alias("ord"), "e"
     )
 
 
+def well_formed(text: Column) -> Column:
+    """The text is one JSON value with nothing after it.
+
+    Spark's parsers stop at the end of the first value.  With strings taken out,
+    a document's brackets show where its root closes: it must be at the end.
+    """
+    bare = F.regexp_replace(text, '"(?:[^"\\\\]|\\\\.)*+"', "s")
+    brackets = F.split(F.regexp_replace(bare, "[^\\[\\]{}]", ""), "")
+    opens = F.filter(brackets, lambda c: c != "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed"))
+
+    def step(at: Column, c: Column) -> Column:
+        depth = at["depth"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(depth.alias("depth"), (at["closed"] + (depth <= 0).cast("int")).alias("closed"))
+
+    end = F.aggregate(opens, start, step)
+    nested = (end["depth"] == 0) & (end["closed"] == 1) & bare.rlike("\\A\\s*[\\[{]") & bare.rlike("[\\]}]\\s*\\z")
+    scalar = (F.size(opens) == 0) & bare.rlike("\\A\\s*\\S+\\s*\\z")
+    return F.expr("try_parse_json(text)").isNotNull() & (nested | scalar)
+
+
 def _vtype(col_name: str, path: str) -> Column:
     """Variant type name of the value at ``path`` (``STRING``, ``BIGINT``, ``OBJECT<...>``)."""
     return F.expr(f"schema_of_variant(variant_get(try_parse_json({col_name}), '{path}'))")
@@ -69,12 +91,11 @@ def _type_field_rejects(raw: Column, path: Column) -> Column:
 
 
 def _doc_rejects(docs: DataFrame) -> DataFrame:
-    v = F.expr("try_parse_json(text)")
     shape = F.expr("schema_of_variant(try_parse_json(text))")
     bad = docs.select(
         "source",
         F.lit(None).cast("bigint").alias("ord"),
-        F.when(v.isNull(), F.lit("invalid_json"))
+        F.when(~F.coalesce(well_formed(F.col("text")), F.lit(False)), F.lit("invalid_json"))
         .when(~shape.startswith("ARRAY"), F.lit("root_not_list")).alias("reason"),
         F.lit("").alias("field"),
     )
@@ -169,7 +190,11 @@ def read_function_catalog(spark: SparkSession, path: str, strict: bool = True) -
 
 
 def parse_prompts(docs: DataFrame, strict: bool = False) -> DataFrame:
-    """A2: ``(source, prompt_id, prompt)``; ``prompt_id`` = position in the list."""
+    """A2: ``(source, prompt_id, prompt)``.
+
+    ``prompt_id`` is the prompt's position over all documents, in the order of
+    their sources, so it names one prompt however many documents there are.
+    """
     rejects = definition_rejects(docs, "prompt")
     if strict:
         first = rejects.orderBy("source", "ord").first()
@@ -180,7 +205,8 @@ def parse_prompts(docs: DataFrame, strict: bool = False) -> DataFrame:
             )
     bad_sources = rejects.select("source").distinct()
     el = _elements(docs.join(bad_sources, "source", "left_anti"))
-    return el.select("source", F.col("ord").alias("prompt_id"), F.get_json_object("e", "$.prompt").alias("prompt"))
+    prompts = el.select("source", "ord", F.get_json_object("e", "$.prompt").alias("prompt"))
+    return dense_index(prompts, "source", "ord", out="prompt_id").select("source", "prompt_id", "prompt")
 
 
 def read_prompts_jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:

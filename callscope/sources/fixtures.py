@@ -421,7 +421,8 @@ def json_string(s: Column) -> Column:
 
 def v_catalog_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog documents of four parts each; some definitions break one rule
-    (by ``p_partkey % 101``), some documents are not lists or not JSON."""
+    (by ``p_partkey % 101``), some documents are not lists or not JSON, or go on
+    after their end."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     pk = F.col("p_partkey")
     d = pk % 101
@@ -448,6 +449,9 @@ def v_catalog_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = (
         F.when(g % 50 == 7, F.concat(F.lit('{"functions": ['), F.col("body"), F.lit("]}")))
         .when(g % 50 == 13, F.concat(F.lit("["), F.col("body")))
+        .when(g % 50 == 21, F.concat(F.lit("["), F.col("body"), F.lit("]]")))
+        .when(g % 50 == 29, F.concat(F.lit("["), F.col("body"), F.lit("] trailing")))
+        .when(g % 50 == 37, F.concat(F.lit("["), F.col("body"), F.lit("], ["), F.col("body"), F.lit("]")))
         .otherwise(F.concat(F.lit("["), F.col("body"), F.lit("]")))
     )
     return docs.select(F.concat(F.lit("catalog_"), F.lpad(g.cast("string"), 6, "0")).alias("source"),
@@ -457,7 +461,8 @@ def v_catalog_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_prompt_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt lists of at most 64 user turns of one conversation (document size
     is bounded whatever a conversation's length); the first element of some
-    documents has a renamed or an extra field."""
+    documents has a renamed or an extra field, and some documents have a bracket
+    or a text too many.  A prompt is a user turn: other turns are left out."""
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(
         "conv_id", "turn", "text", F.floor(F.col("turn") / 64).cast("long").alias("chunk"))
     cid = F.col("conv_id")
@@ -471,7 +476,8 @@ def v_prompt_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     source = F.concat(F.lit("prompts_"), F.lpad(cid.cast("string"), 6, "0"), F.lit("_"),
                       F.lpad(F.col("chunk").cast("string"), 4, "0"))
-    return docs.select(source.alias("source"), F.concat(F.lit("["), F.col("body"), F.lit("]")).alias("text"))
+    after = F.when(cid % 31 == 5, "]").when(cid % 31 == 9, " x").otherwise("")
+    return docs.select(source.alias("source"), F.concat(F.lit("["), F.col("body"), F.lit("]"), after).alias("text"))
 
 
 # --------------------------------------------------------------------------
