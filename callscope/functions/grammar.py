@@ -261,6 +261,17 @@ class Grammar:
             + "\\}" + self.ws
         )
 
+    @property
+    def object_body(self) -> str:
+        """Group 1: what stands between the first brace and the next closing one outside strings (or the end)."""
+        return "\\A" + self.ws + "\\{((?:[^\"}]+" + ("+" if self.dialect == "java" else "") + "|" + self.string + ")" + self._star() + ")"
+
+    @property
+    def loose_item(self) -> str:
+        """``"key" : raw`` in a body; group 1 = key, 2 = raw value, of any form, up to a comma or white space."""
+        rest = "[^, \\t\\n\\r]" + self._star()
+        return '"(' + self.key_chars + ')"' + self.ws + ":" + self.ws + "(" + self.string + rest + '|[^", \\t\\n\\r]' + rest + ")"
+
     @property
     def leading_item(self) -> str:
         """A complete item at the start of a tail (groups as in ``item``)."""

@@ -84,6 +84,12 @@ def _items(text: Column, pattern: str):
     return keys, vals
 
 
+def loose_items(body: Column) -> tuple[Column, Column]:
+    """Keys and raw values, of any form, of an object's body."""
+    pattern = F.lit(G.loose_item)
+    return F.regexp_extract_all(body, pattern, 1), F.regexp_extract_all(body, pattern, 2)
+
+
 def typed_ok(keys: Column, vals: Column, types: Column) -> Column:
     """Every extracted key is declared and its value's class fits the type."""
     checks = F.zip_with(
@@ -213,14 +219,10 @@ def add_status(df, text: str = "text", keys: str = "keys", types: str = "types",
         temps = ["_head", "_hk", "_hv"] + temps
     extra = []
     if with_fields:
-        # fields of the longest parsed prefix, reusing the head already split
-        has_last = (F.col("_head") != "") & tail.rlike(G.leading_item)
-        lk = F.regexp_extract(tail, G.leading_item, 1)
-        lv = strip_value(F.regexp_extract(tail, G.leading_item, 2))
-        extra = [
-            F.when(has_last, F.concat("_hk", F.array(lk))).otherwise(F.col("_hk")).alias("fkeys"),
-            F.when(has_last, F.concat("_hv", F.array(lv))).otherwise(F.col("_hv")).alias("fvals"),
-        ]
+        s3 = s3.withColumn("_body", F.regexp_extract(t, G.object_body, 1))
+        temps.append("_body")
+        fk, fv = loose_items(F.col("_body"))
+        extra = [fk.alias("fkeys"), fv.alias("fvals")]
     return s3.select("*", status.alias(out), *extra).drop(*temps)
 
 

@@ -27,22 +27,16 @@ STATUS_VALUES = (S.TERMINAL, S.INCOMPLETE, S.REJECTED)
 # --------------------------------------------------------------------------
 
 def document_fields(text: Column) -> tuple[Column, Column]:
-    """(keys, raw values) of the complete items of the longest parsed prefix.
+    """(keys, raw values) of the items of an object, well-formed or not.
 
-    Items are the complete ``key: value ,`` units after ``{`` plus, if the
-    rest starts with one, the next complete item.  String literals are
-    consumed whole, so ``"x":`` inside a value is never taken for a key.
+    A raw value is a whole string, or anything else up to the next comma, white
+    space or closing brace, so ``087`` or ``abc`` come out as they stand (their
+    lexical class is ``invalid``) and items after them are still found.  String
+    literals are consumed whole, so ``"x":`` inside a value is never taken for a
+    key; a string that never ends is no value yet.
     """
-    head = F.regexp_extract(text, G.head, 0)
-    hk = F.regexp_extract_all(head, F.lit(G.item_comma), 1)
-    hv = F.transform(F.regexp_extract_all(head, F.lit(G.item_comma), 2), S.strip_value)
-    tail = text.substr(F.length(head) + 1, F.length(text) + 1)
-    has_last = (head != "") & tail.rlike(G.leading_item)
-    lk = F.regexp_extract(tail, G.leading_item, 1)
-    lv = S.strip_value(F.regexp_extract(tail, G.leading_item, 2))
-    keys = F.when(has_last, F.concat(hk, F.array(lk))).otherwise(hk)
-    vals = F.when(has_last, F.concat(hv, F.array(lv))).otherwise(hv)
-    return keys, vals
+    body = F.regexp_extract(text, G.object_body, 1)
+    return S.loose_items(body)
 
 
 def with_parse(calls: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -64,11 +58,8 @@ def _explode_fields(df: DataFrame, *extra: str) -> DataFrame:
 
 def validate_calls(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     """``accepted`` iff the document is TERMINAL for its function."""
-    df = attach_schema(calls, catalog)
-    return df.select(
-        "call_id", "function",
-        S.accepted(F.col("text"), F.col("keys"), F.col("types")).alias("accepted"),
-    )
+    accepted = F.coalesce(F.col("status") == S.TERMINAL, F.lit(False))
+    return call_status(calls, catalog).select("call_id", "function", accepted.alias("accepted"))
 
 
 def call_status(calls: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -308,7 +299,7 @@ def call_violations(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     typed = F.zip_with(
         "fkeys", "fvals",
         lambda k, v: F.element_at("types", k).isNotNull()
-        & ~S.admits(F.element_at("types", k), S.value_class(v)),
+        & ~S.admits(F.element_at("types", k), S.lexical_class(v)),
     )
     flags = [
         (~opened & (st == S.REJECTED), "not_object"),

@@ -21,7 +21,7 @@ DEFAULT_BUDGET = 500
 
 
 def apply_mask(scores: DataFrame, mask: DataFrame) -> DataFrame:
-    """Scores of the allowed candidates only (co-partitioned on the step)."""
+    """Scores of the allowed candidates only: an equi-join on step and token."""
     return scores.join(mask, ["step_id", "token_id"]).select("step_id", "token_id", "ord", "score")
 
 
@@ -77,29 +77,23 @@ def route_calls(selected: DataFrame, catalog: DataFrame, keep: tuple[str, ...] =
 def over_budget(steps: DataFrame, budgets: dict[str, int] | None = None) -> DataFrame:
     """(prompt, phase) streams longer than their token budget, with the partial text.
 
-    ``steps(prompt_id, phase, pos, token)``.  Only the first ``budget`` tokens
-    of a stream are ever gathered, so a stream holding a third of all steps
-    still moves at most ``budget`` rows into its group.
+    ``steps(prompt_id, phase, pos, token)``.  One scan and one
+    shuffle: each stream is counted and its first ``budget`` tokens gathered in
+    the same partial aggregation, so a stream holding a third of all steps still
+    moves at most ``budget`` tokens from each task.
     """
     budgets = budgets or BUDGETS
     b = F.lit(DEFAULT_BUDGET)
     for phase, n in budgets.items():
         b = F.when(F.col("phase") == phase, F.lit(n)).otherwise(b)
-    s = steps.withColumn("_budget", b)
-    counts = s.groupBy("prompt_id", "phase").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_tokens"), F.first("_budget").alias("budget")
+    s = steps.withColumn("_budget", b.cast("int"))
+    early = F.when(F.col("pos") < F.col("_budget"), F.struct("pos", "token"))  # nulls are not collected
+    out = s.groupBy("prompt_id", "phase").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_tokens"), F.first("_budget").alias("budget"),
+        F.array_sort(F.collect_list(early)).alias("_t"),
     ).where(F.col("n_tokens") > F.col("budget"))
-    partial = (
-        s.where(F.col("pos") < F.col("_budget"))
-        .join(counts.select("prompt_id", "phase"), ["prompt_id", "phase"], "left_semi")
-        .groupBy("prompt_id", "phase")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
-        .select("prompt_id", "phase",
-                F.array_join(F.transform("_t", lambda x: x["token"]), "").alias("partial_text"))
-    )
-    return counts.join(partial, ["prompt_id", "phase"]).select(
-        "prompt_id", "phase", "n_tokens", F.col("budget").cast("int").alias("budget"), "partial_text"
-    )
+    text = F.array_join(F.transform("_t", lambda x: x["token"]), "")
+    return out.select("prompt_id", "phase", "n_tokens", "budget", text.alias("partial_text"))
 
 
 def result_coverage(prompts: DataFrame, results: DataFrame, errors: DataFrame) -> DataFrame:

@@ -110,7 +110,8 @@ CALLS_WIDE = r"""
          ELSE '{' || array_to_string(kept, ', ') || '}' END AS text
   FROM (
     SELECT call_id, function, d,
-      CASE WHEN d = 5 THEN list_filter(rot, lambda x: NOT starts_with(x, '"note"')) ELSE rot END AS kept
+      CASE WHEN d = 5 THEN list_filter(rot, lambda x: NOT starts_with(x, '"note"'))
+           WHEN d = 0 AND call_id % 11 = 3 THEN list_append(rot, '"o_orderkey": 0') ELSE rot END AS kept
     FROM (
       SELECT call_id, function, d, list_slice(items, r + 1, 5) || list_slice(items, 1, r) AS rot
       FROM (
@@ -214,13 +215,72 @@ def chain(source: str, tag: str) -> dict[str, str]:
     return {f"{tag}p1": p1, f"{tag}p2": p2, f"{tag}p3": p3, f"{tag}parsed": p4}
 
 
+# What each view's calls are, by construction: a call's form follows from its
+# id, so status, items and violations are known without parsing its text.
+
+TRUTH_EVENTS = """
+  SELECT call_id, function, text, ['k'] AS keys, ['integer'] AS types,
+    CASE WHEN r <= 7 THEN 'TERMINAL' WHEN r = 8 THEN 'INCOMPLETE' ELSE 'REJECTED' END AS status,
+    CASE r WHEN 12 THEN ['kk'] WHEN 13 THEN []::VARCHAR[] WHEN 15 THEN ['k', 'k'] ELSE ['k'] END AS fkeys,
+    CASE r WHEN 10 THEN ['"' || k || '"'] WHEN 11 THEN [k || '.5'] WHEN 13 THEN []::VARCHAR[]
+           WHEN 14 THEN ['0' || k] WHEN 15 THEN [k, '1'] ELSE [k] END AS fvals,
+    CASE r WHEN 8 THEN ['truncated'] WHEN 9 THEN ['trailing'] WHEN 10 THEN ['type'] WHEN 11 THEN ['type']
+           WHEN 12 THEN ['unknown', 'missing'] WHEN 13 THEN ['missing'] WHEN 14 THEN ['type']
+           WHEN 15 THEN ['duplicate'] WHEN 16 THEN ['syntax'] ELSE []::VARCHAR[] END AS violations
+  FROM (SELECT c.*, event_id % 17 AS r, regexp_extract(props, '-?[0-9]+', 0) AS k
+        FROM calls c JOIN events ON call_id = event_id)
+"""
+
+TRUTH_WIDE = """
+  SELECT call_id, function, text,
+    ['o_orderkey', 'o_totalprice', 'o_orderstatus', 'urgent', 'note'] AS keys,
+    ['integer', 'number', 'string', 'boolean', CASE WHEN function = 'order_p' THEN 'string' ELSE 'null' END] AS types,
+    CASE WHEN wrong_note OR twice OR d IN (3, 4, 5, 6) THEN 'REJECTED' WHEN d = 2 THEN 'INCOMPLETE' ELSE 'TERMINAL' END AS status,
+    list_transform(items, lambda x: x.k) AS fkeys, list_transform(items, lambda x: x.v) AS fvals,
+    list_filter([
+      CASE WHEN d = 4 THEN 'unknown' END, CASE WHEN d IN (4, 5) THEN 'missing' END, CASE WHEN twice THEN 'duplicate' END,
+      CASE WHEN d = 3 OR wrong_note THEN 'type' END, CASE WHEN d = 2 AND NOT wrong_note THEN 'truncated' END,
+      CASE WHEN d = 6 AND NOT wrong_note THEN 'syntax' END], lambda x: x IS NOT NULL) AS violations
+  FROM (
+    SELECT *, function = 'order_p' AND d NOT IN (4, 5) AS wrong_note,
+      CASE WHEN d = 5 THEN list_filter(rot, lambda x: x.k <> 'note')
+           WHEN twice THEN list_append(rot, {'k': 'o_orderkey', 'v': '0'}) ELSE rot END AS items
+    FROM (
+      SELECT *, list_slice(named, r + 1, 5) || list_slice(named, 1, r) AS rot
+      FROM (
+        SELECT c.*, o_orderkey % 7 AS d, CAST(o_orderkey % 5 AS INTEGER) AS r,
+          o_orderkey % 7 = 0 AND o_orderkey % 11 = 3 AS twice,
+          [{'k': 'o_orderkey', 'v': CAST(o_orderkey AS STRING)},
+           {'k': 'o_totalprice', 'v': CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING)},
+           {'k': 'o_orderstatus', 'v': '"' || o_orderstatus || '"'},
+           {'k': 'urgent', 'v': CASE WHEN o_orderkey % 7 = 3 THEN '"yes"' WHEN o_orderpriority = '1-URGENT' THEN 'true' ELSE 'false' END},
+           {'k': CASE WHEN o_orderkey % 7 = 4 THEN 'notes' ELSE 'note' END, 'v': 'null'}] AS named
+        FROM calls c JOIN orders ON call_id = o_orderkey)))
+"""
+
+TRUTH_BENCH = """
+  SELECT call_id, function, text,
+    CASE WHEN call_id % 8 IN (3, 6) THEN 'REJECTED' WHEN call_id % 8 = 4 THEN 'INCOMPLETE' ELSE 'TERMINAL' END AS status
+  FROM calls
+"""
+
+TRUTH = {"events": TRUTH_EVENTS, "wide": TRUTH_WIDE, "bench": TRUTH_BENCH}
+
+
+def json_class(v: str) -> str:
+    """Lexical class of a raw value by DuckDB's own JSON reader."""
+    kind = f"json_type({v})"
+    return (
+        f"(CASE WHEN NOT json_valid({v}) THEN 'invalid' WHEN {kind} IN ('UBIGINT', 'BIGINT', 'HUGEINT') THEN 'integer' "
+        f"WHEN {kind} = 'DOUBLE' THEN 'number' WHEN {kind} = 'VARCHAR' THEN 'string' WHEN {kind} = 'BOOLEAN' THEN 'boolean' "
+        f"WHEN {kind} = 'NULL' THEN 'null' ELSE 'invalid' END)"
+    )
+
+
 def parse_ctes(fixture: str, **extra: str) -> str:
-    """CTEs ``specs``, ``calls``, ``schema`` and ``parsed`` for one fixture."""
+    """CTEs ``specs``, ``calls``, ``schema`` and ``parsed`` (what is known of each call) for one fixture."""
     specs, calls = FIXTURES[fixture]
-    ctes = {"specs": specs, "calls": calls, "schema": SCHEMA}
-    ctes.update(chain("calls", ""))
-    ctes.update(extra)
-    return _ctes(**ctes)
+    return _ctes(specs=specs, calls=calls, schema=SCHEMA, parsed=TRUTH[fixture], **extra)
 
 
 def with_parse(fixture: str, select: str) -> str:
@@ -228,30 +288,7 @@ def with_parse(fixture: str, select: str) -> str:
 
 
 def accepted_sql(fixture: str) -> str:
-    """C1 independently of the status chain: whole-document match + key checks."""
-    specs, calls = FIXTURES[fixture]
-    schema = f"""
-  SELECT function, list(key ORDER BY ord) AS keys, list({canonical('type')} ORDER BY ord) AS types
-  FROM specs GROUP BY function
-"""
-    d1 = f"""
-  SELECT c.call_id, c.function, c.text,
-         coalesce(s.keys, []::VARCHAR[]) AS keys, coalesce(s.types, []::VARCHAR[]) AS types,
-         regexp_extract_all(c.text, {q(R.item)}, 1) AS dkeys,
-         list_transform(regexp_extract_all(c.text, {q(R.item)}, 2), lambda v: {strip('v')}) AS dvals
-  FROM calls c LEFT JOIN schema s ON c.function = s.function
-"""
-    typed = (
-        "coalesce(list_bool_and(list_transform(dkeys, lambda k, i: "
-        + admits(type_of("keys", "types", "k"), lexical_class("dvals[i]"))
-        + ")), true)"
-    )
-    sel = f"""
-SELECT call_id, function,
-  coalesce({rx('text', R.document)} AND len(dkeys) = len(keys) AND len(list_distinct(dkeys)) = len(keys) AND {typed}, false) AS accepted
-FROM d1
-"""
-    return "WITH " + _ctes(specs=specs, calls=calls, schema=schema, d1=d1) + sel
+    return with_parse(fixture, "SELECT call_id, function, status = 'TERMINAL' AS accepted FROM parsed")
 
 
 def status_sql(fixture: str) -> str:
@@ -326,14 +363,14 @@ FROM fields GROUP BY call_id, function, key, status HAVING count(*) > 1""")
 
 def type_mismatches_sql(fixture: str) -> str:
     t = type_of("keys", "types", "key")
-    cls = lexical_class("raw_value")
+    cls = json_class("raw_value")
     return fields_sql(fixture, f"""
 SELECT call_id, function, key, {t} AS type, raw_value, {cls} AS lexical_class, status
 FROM fields WHERE {t} IS NOT NULL AND NOT {admits(t, cls)}""")
 
 
 def param_profile_sql(fixture: str) -> str:
-    cls = lexical_class("raw_value")
+    cls = json_class("raw_value")
     counts = ",\n       ".join(
         f"CAST(count(*) FILTER (WHERE cls = '{c}') AS BIGINT) AS n_{c}"
         for c in ("integer", "number", "string", "boolean", "null", "invalid")
@@ -369,34 +406,8 @@ SELECT call_id, function, CAST(pos AS INTEGER) AS pos, key, CAST(keys_left AS IN
   FROM parsed)""")
 
 
-def violations_cte() -> str:
-    typed = (
-        "list_bool_or(list_transform(fkeys, lambda k, i: "
-        + f"{type_of('keys', 'types', 'k')} IS NOT NULL AND NOT "
-        + admits(type_of("keys", "types", "k"), lexical_class("fvals[i]"))
-        + "))"
-    )
-    flags = [
-        ("NOT opened AND status = 'REJECTED'", "not_object"),
-        ("list_bool_or(list_transform(fkeys, lambda k: NOT list_contains(keys, k)))", "unknown"),
-        ("opened AND status <> 'INCOMPLETE' AND len(list_filter(keys, lambda k: NOT list_contains(fkeys, k))) > 0", "missing"),
-        ("len(fkeys) > len(list_distinct(fkeys))", "duplicate"),
-        (typed, "type"),
-        ("status = 'INCOMPLETE'", "truncated"),
-        ("closed <> '' AND length(closed) < length(text)", "trailing"),
-    ]
-    arr = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in flags)
-    return f"""
-  SELECT call_id, function, status,
-         CASE WHEN status = 'REJECTED' AND len(v) = 0 THEN ['syntax'] ELSE v END AS violations
-  FROM (SELECT *, list_filter([{arr}], lambda x: x IS NOT NULL) AS v
-        FROM (SELECT *, {rx('text', R.opened)} AS opened,
-                     regexp_extract(text, {q(R.closed_object)}, 0) AS closed FROM parsed))
-"""
-
-
 def violation_report_sql(fixture: str) -> str:
-    return f"WITH {parse_ctes(fixture, viol=violations_cte())}\n" + """
+    return f"WITH {parse_ctes(fixture, viol="SELECT call_id, function, violations FROM parsed")}\n" + """
 SELECT p.function, p.violation, p.n, round(p.n / t.calls, 6) AS share
 FROM (SELECT function, violation, CAST(count(*) AS BIGINT) AS n
       FROM (SELECT function, unnest(violations) AS violation FROM viol) GROUP BY function, violation) p
@@ -559,7 +570,7 @@ VOCAB = f"""
          CAST(row_number() OVER (ORDER BY text) - 1 AS BIGINT) AS ord, text
   FROM (SELECT DISTINCT unnest(regexp_extract_all(text, {q(PIECE)}, 0)) AS text FROM (
           SELECT text FROM benchmark
-          UNION ALL SELECT text FROM conversations WHERE role = 'user'
+          UNION ALL SELECT text FROM conversations
           UNION ALL SELECT props AS text FROM events))
 """
 
@@ -835,26 +846,29 @@ FROM prompts p, block k
 """
 
 
+EXAMPLES = """
+  SELECT DISTINCT event_type AS function, 'Do not count the ' || event_type || ' event.' || chr(10) AS contradiction,
+    chr(10) || 'User: Record a ' || event_type || ' event with k 5' || chr(10) || 'Function: ' || event_type || chr(10)
+    || 'Output: {"k": 5}' || chr(10) AS counter_examples
+  FROM events WHERE event_type < 'q'
+"""
+
+
 def extractor_prompts_sql() -> str:
     P = _prompt_constants()
-    return "WITH " + _ctes(prompts=EVENT_PROMPTS) + f"""
+    return "WITH " + _ctes(prompts=EVENT_PROMPTS, ex=EXAMPLES) + f"""
 SELECT prompt_id, event_type AS name,
-  {sql_literal(P.EXTRACTOR_HEADER)} || 'Function: ' || event_type || chr(10)
+  {sql_literal(P.EXTRACTOR_HEADER)} || 'Function: ' || event_type || chr(10) || coalesce(contradiction, '')
   || 'Parameters:' || chr(10) || '  k (integer)' || chr(10) || chr(10)
-  || {sql_literal(P.EXTRACTOR_RULES)} || {sql_literal(P.EXTRACTOR_GENERIC_EXAMPLES)} || chr(10)
+  || {sql_literal(P.EXTRACTOR_RULES)} || {sql_literal(P.EXTRACTOR_GENERIC_EXAMPLES)} || coalesce(counter_examples, '') || chr(10)
   || {sql_literal(P.EXTRACTOR_REMINDER)}
   || 'User: "' || prompt || '"' || chr(10) || 'Function: ' || event_type || chr(10) || 'Output:' || chr(10) AS text
-FROM prompts
+FROM prompts LEFT JOIN ex ON event_type = function
 """
 
 
 def attach_examples_sql() -> str:
-    P = _prompt_constants()
-    rows = " UNION ALL ".join(
-        f"SELECT {sql_literal(f)} AS function, {sql_literal(c)} AS contradiction, {sql_literal(x)} AS counter_examples"
-        for f, c, x in P.FUNCTION_EXAMPLES
-    )
-    return "WITH " + _ctes(ex=rows) + """
+    return "WITH " + _ctes(ex=EXAMPLES) + """
 SELECT n.name_id, n.name, coalesce(e.contradiction, '') AS contradiction, coalesce(e.counter_examples, '') AS counter_examples
 FROM (SELECT event_id AS name_id,
              CASE WHEN event_id % 4 = 0 THEN upper(event_type) ELSE event_type END AS name FROM events) n

@@ -72,6 +72,8 @@ for _fixture, _suffix in (("events", ""), ("wide", "_wide")):
     register(f"c8_type_mismatches{_suffix}", _calls_query(C.type_mismatches, _fixture), O.type_mismatches_sql(_fixture))
     register(f"c13_violation_report{_suffix}", _calls_query(C.violation_report, _fixture), O.violation_report_sql(_fixture))
 
+register("c4_call_fields", _fields_query(C.call_fields, "events"), O.call_fields_sql("events"))
+register("c9_param_type_profile", _fields_query(C.param_type_profile, "events"), O.param_profile_sql("events"))
 register("c4_call_fields_wide", _fields_query(C.call_fields, "wide"), O.call_fields_sql("wide"))
 register("c9_param_type_profile_wide", _fields_query(C.param_type_profile, "wide"), O.param_profile_sql("wide"))
 register("c11_typed_parameters_wide", _calls_query(C.typed_parameters, "wide"), O.typed_parameters_sql("wide"))
@@ -169,11 +171,12 @@ from callscope.plans import two_phase as T  # noqa: E402
 
 def _extractor_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ep = FX.v_event_prompts(spark, sf_dir).select("prompt_id", "prompt", F.col("event_type").alias("name"))
-    return D.build_extractor_prompts(ep, FX.v_catalog(spark, sf_dir))
+    return D.build_extractor_prompts(ep, FX.v_catalog(spark, sf_dir), FX.v_examples(spark, sf_dir))
 
 
 def _attach_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.attach_examples(FX.v_names(spark, sf_dir), D.example_table(spark)).select(
+    examples = FX.v_examples(spark, sf_dir).unionByName(D.example_table(spark))
+    return D.attach_examples(FX.v_names(spark, sf_dir), examples).select(
         "name_id", "name", "contradiction", "counter_examples")
 
 

@@ -145,6 +145,8 @@ def v_calls_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rotated = F.concat(F.slice(items, r + 1, 5), F.slice(items, F.lit(1), r))
     kept = F.when(d == 5, F.filter(rotated, lambda x: ~x.startswith('"note"'))).otherwise(rotated)
+    # some complete objects name a key twice
+    kept = F.when((d == 0) & (F.col("o_orderkey") % 11 == 3), F.concat(kept, F.array(F.lit('"o_orderkey": 0')))).otherwise(kept)
     body = F.array_join(kept, ", ")
     text = (
         F.when(d == 1, F.concat(F.lit("{\n  "), F.array_join(kept, ",\n  "), F.lit("\n}")))
@@ -250,7 +252,7 @@ def v_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------
-# Vocabulary views: benchmark + user conversation turns + event props pieces
+# Vocabulary views: benchmark + conversation turns + event props pieces
 # --------------------------------------------------------------------------
 
 # One token = an optional leading space and a run of letters, or of digits,
@@ -260,7 +262,7 @@ PIECE_PATTERN = " ?\\p{L}+| ?[0-9]+| ?[^\\p{L}0-9 ]| +"
 
 def vocab_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = table(spark, sf_dir, "benchmark").select("text")
-    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("text")
+    conv = table(spark, sf_dir, "conversations").select("text")
     props = table(spark, sf_dir, "events").select(F.col("props").alias("text"))
     return bench.unionByName(conv).unionByName(props)
 
@@ -409,6 +411,15 @@ def v_event_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_id").alias("prompt_id"), prompt.alias("prompt"), et.alias("event_type"))
 
 
+def v_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples of the functions in use whose name begins before ``q``; the others have none."""
+    names = table(spark, sf_dir, "events").select(F.col("event_type").alias("function")).distinct().where("function < 'q'")
+    return names.select(
+        "function", F.concat(F.lit("Do not count the "), "function", F.lit(" event.\n")).alias("contradiction"),
+        F.concat(F.lit("\nUser: Record a "), "function", F.lit(" event with k 5\nFunction: "), "function",
+                 F.lit('\nOutput: {"k": 5}\n')).alias("counter_examples"))
+
+
 # --------------------------------------------------------------------------
 # JSON-list documents (catalog files from `part`, prompt files from conversations)
 # --------------------------------------------------------------------------

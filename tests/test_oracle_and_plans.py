@@ -4,13 +4,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from callscope.plans import registry
 from callscope.session import TABLES
 from conftest import SMALL
 
 SAMPLE = [
     "c1_validate_calls", "c2_call_status_wide", "c3_first_error", "c13_violation_report_wide",
     "c14_conformance", "b3_merged_param_dictionary", "e2_masked_argmax", "g1_accuracy_report",
-    "f2_prefix_table", "a3_definition_rejects",
+    "f2_prefix_table", "a3_definition_rejects", "d2_extractor_prompts", "d3_attach_examples", "e8_over_budget",
+    "c4_call_fields", "c7_duplicate_keys_wide",
 ]
 
 
@@ -37,7 +39,14 @@ def test_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLE)
+    assert set(registry.QUERIES) <= set(E.queries()) and set(registry.ORACLE) <= set(E.oracle_sql())
+
+
+def test_over_budget_scans_and_shuffles_once(spark):
+    df = E.queries()["e8_over_budget"](spark, SMALL)
+    plan = _plan(df)
+    assert plan.count("FileScan") == 1 and plan.count("hashpartitioning") == 1 and "Join" not in plan
 
 
 def test_entry_smoke(spark):
