@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,5 +49,12 @@ def prefix_sums(staged: DataFrame, part: str, size: str, base: str) -> DataFrame
     return staged.join(F.broadcast(bases) if len(rows) <= BROADCAST_PARTITIONS else bases, part)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that a batch's texts are not all Python strings at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def utf8(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))

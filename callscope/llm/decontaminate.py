@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import stage, utf8
-from callscope.llm.tokens import _Words
+from callscope.llm.common import in_slices, stage, utf8
+from callscope.llm.tokens import WordTable, loaded
 
 SEED_WORDS = 4
 MARGIN = 64  # words kept around hits; hits closer than two margins share a passage
@@ -41,11 +41,15 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-_hashes = _Words(lambda w: xxhash.xxh64_intdigest(w.encode()))
+class WordHashes:
+    """64-bit hashes of words, looked up in a bounded table."""
+
+    def __init__(self, _: str):
+        self.of = WordTable(lambda w: xxhash.xxh64_intdigest(w.encode()))
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    return np.array(list(map(_hashes.__getitem__, words)), "u8")
+    return np.array(list(map(loaded(WordHashes, "").of.__getitem__, words)), "u8")
 
 
 def seed_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -116,7 +120,7 @@ def passages(docs: DataFrame, seed_bits: np.ndarray, word_bits: np.ndarray, n: i
     def scan(batches):
         part, seq, counts = TaskContext.get().partitionId(), 0, {}
         names = ["pid", "doc_id", "text_hash", "begin", "words", "hits", "counts"]
-        for batch in batches:
+        for batch in in_slices(batches):
             of, rows, seen = [], [], [np.zeros(0, "u8")]
             for k, text in enumerate(batch.column(2).to_pylist()):
                 words = words_of(text)
@@ -202,7 +206,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, n: int
     aligned = pairs.join(found.drop("hits"), "pid").join(of_items, "row").select("doc_id", "text_hash", "item_id", "begin", "words", "item")
 
     def score(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             keep, out = [], []
             for k, (begin, words, item) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)))):
                 s, lo, hi = align(words, item)

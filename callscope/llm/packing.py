@@ -21,11 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.llm.common import prefix_sums, stage, utf8
+from callscope.llm.common import in_slices, prefix_sums, stage, utf8
 from callscope.llm.tokens import WordEncoder, loaded
 
-BATCH = 256  # rows of a batch handed on
-
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pass one: part, start (in the part), doc_id, n, ids (packed) of every document, staged."""
@@ -34,17 +32,15 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
         encode = loaded(WordEncoder, tokenizer)
         width, end = np.dtype(encode.dtype).itemsize, np.array([end_id], encode.dtype).tobytes()
         part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, BATCH):
-                cut = batch.slice(lo, BATCH)
-                ids = [encode(t) + end for t in cut.column(1).to_pylist()]
-                n = np.array([len(x) // width for x in ids], "i8")
-                starts = at + np.cumsum(n) - n
-                at += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(ids), pa.int32()), pa.array(starts), cut.column(0), pa.array(n), pa.array(ids, pa.binary())],
-                    names=["part", "start", "doc_id", "n", "ids"],
-                )
+        for batch in in_slices(batches):
+            ids = [encode(t) + end for t in batch.column(1).to_pylist()]
+            n = np.array([len(x) // width for x in ids], "i8")
+            starts = at + np.cumsum(n) - n
+            at += int(n.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part] * len(ids), pa.int32()), pa.array(starts), batch.column(0), pa.array(n), pa.array(ids, pa.binary())],
+                names=["part", "start", "doc_id", "n", "ids"],
+            )
 
     source = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text"))
     schema = T.StructType([
@@ -80,7 +76,7 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 1,
     step = width[wide[1:]]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             rows, of, ids_out = [], [], []
             for k, (place, n, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
                 at = 0

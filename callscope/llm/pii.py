@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.llm.common import utf8
+from callscope.llm.common import in_slices, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -209,7 +209,7 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Count feature combinations over every document, then fit; the counts have a row per combination seen."""
 
     def count(batches):
-        for batch in batches:
+        for batch in in_slices(batches, 2000):
             held: dict[tuple, int] = {}
             for text in batch.column(0).to_pylist():
                 if MARK.search(text):
@@ -294,7 +294,7 @@ def find_personal_data(docs: DataFrame, weights: np.ndarray | None = None, id_co
     w = train(docs, text_col) if weights is None else weights
 
     def scan(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 base, spans = find(text, w)
@@ -333,7 +333,7 @@ def redact(docs: DataFrame, weights: np.ndarray | None = None, text_col: str = "
     at = docs.columns.index(text_col)
 
     def replace(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             new = [None if t is None else redacted(t, w) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.names[at], pa.array(new, pa.string()))
 

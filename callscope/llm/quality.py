@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.llm.common import stage, utf8
+from callscope.llm.common import in_slices, stage, utf8
 
 THRESHOLD = 0.7
 POSITIVE, UNLABELLED = 1, 2
@@ -107,7 +107,7 @@ def feature_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
 
     def compute(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             f = [features(t).astype("<f2").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.binary())], names=["doc_id", "f"])
 
@@ -261,7 +261,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     at = docs.columns.index(text_col)
 
     def keep(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             f = [features(t or "").astype("<f2").tobytes() for t in batch.column(at).to_pylist()]
             if f:
                 yield batch.filter(pa.array(model.scores(_table(pa.array(f, pa.binary()))) >= threshold))

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.llm.common import stage, utf8
+from callscope.llm.common import in_slices, stage, utf8
 from callscope.llm.components import components
 
-CHUNK = 4096  # fingerprints whose variants a task holds at a time
+CHUNK = 2048  # fingerprints whose variants a task holds at a time
 RANGE_BITS = 31  # bits of a hash within its range
 SPARE_BITS = 8  # hash bits beyond the number of variants: about 1 in 256 meets by chance
 SEED = 42
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     """doc_id, text_hash and fp (signed 64 bits) of every row; row-local."""
 
     def compute(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             fps = [fingerprint(t, shingle) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.llm.common import utf8
+from callscope.llm.common import in_slices, utf8
 from callscope.llm.tokens import MergeCounter, loaded
 
 
@@ -23,7 +23,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(MergeCounter, tokenizer)
-        for batch in batches:
+        for batch in in_slices(batches):
             n = [counter(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],

@@ -25,7 +25,9 @@ CACHED = 400_000  # entries of a worker's table; later words are worked out each
 LONGEST_CACHED = 64
 
 
-class _Words(dict):
+class WordTable(dict):
+    """Results by word; works out what is missing and keeps it while there is room."""
+
     def __init__(self, work_out):
         self.work_out = work_out
 
@@ -46,8 +48,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = {"H": "<u2", "I": "<u4"}[self.code]
-        self.words = _Words(self.library)
-        self.chunks = _Words(lambda c: b"".join(map(self.words.__getitem__, WORDS.findall(c.lower()))))
+        self.words = WordTable(self.library)
+        self.chunks = WordTable(lambda c: b"".join(map(self.words.__getitem__, WORDS.findall(c.lower()))))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def library(self, text: str) -> bytes:
@@ -84,8 +86,8 @@ class MergeCounter:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.at_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
-        self.words = _Words(lambda w: self.symbols(w.encode()))
-        self.shown_words = _Words(lambda w: self.symbols(bytes(map(self.byte_of.__getitem__, w))))
+        self.words = WordTable(lambda w: self.symbols(w.encode()))
+        self.shown_words = WordTable(lambda w: self.symbols(bytes(map(self.byte_of.__getitem__, w))))
 
     def symbols(self, piece: bytes) -> int:
         n, rule = len(piece), self.rule
@@ -126,7 +128,8 @@ _loaded: dict = {}
 
 
 def loaded(kind, path: str):
-    """One instance per worker process and file."""
+    """A worker process's only instance; one for another kind or file takes its place, tables and all."""
     if (kind, path) not in _loaded:
+        _loaded.clear()
         _loaded[kind, path] = kind(path)
     return _loaded[kind, path]
