@@ -107,6 +107,17 @@ class Grammar:
         c = self.string_body_char
         return '"' + c + s + "(?:" + self.escape + c + s + ")" + s + '"'
 
+    @property
+    def open_string(self) -> str:
+        """A string literal that has not ended; group 1 = its unfinished escape."""
+        c, star = self.string_body_char, self._star()
+        return '\\A"' + c + star + "(?:" + self.escape + c + star + ")" + star + "((?:\\\\(?:u[0-9A-Fa-f]{0,3})?)?)\\z"
+
+    @property
+    def closed_string(self) -> str:
+        """A whole string literal; group 1 = what follows it."""
+        return "(?s)\\A" + self.string + "(.*)\\z"
+
     @property
     def key_chars(self) -> str:
         return '[^"\\\\\\x00-\\x1f]*'

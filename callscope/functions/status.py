@@ -169,7 +169,7 @@ def call_status(text: Column, keys: Column, types: Column) -> Column:
 
 
 def add_status(df, text: str = "text", keys: str = "keys", types: str = "types",
-               out: str = "status", with_fields: bool = False, keep_head: bool = False):
+               out: str = "status", with_fields: bool = False, keep_head: bool = False, keep_tail: bool = False):
     """Frame form of :func:`call_status`, staged so each regex runs once per row.
 
     Each stage is a separate projection; Catalyst keeps them apart because the
@@ -214,7 +214,9 @@ def add_status(df, text: str = "text", keys: str = "keys", types: str = "types",
         .when(F.coalesce((tail == "") | pk_ok | viable, F.lit(False)), F.lit(INCOMPLETE))
         .otherwise(F.lit(REJECTED))
     )
-    temps = ["_tail", "_hok", "_rem", "_isti", "_tk", "_colon", "_rest", "_ispk", "_pk"]
+    temps = ["_hok", "_ispk", "_pk"]
+    if not keep_tail:  # keep_tail leaves the tail's parts and the keys left (_rem)
+        temps += ["_tail", "_rem", "_isti", "_tk", "_colon", "_rest"]
     if not keep_head:  # keep_head leaves _head, _hk (keys), _hv (values) for the caller
         temps = ["_head", "_hk", "_hv"] + temps
     extra = []

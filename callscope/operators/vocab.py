@@ -5,8 +5,8 @@ The single-machine trie and its depth-first search become tables:
 * ``prefix_table`` -- one row per trie node (every distinct non-empty prefix of
   a decoded token), with the token that ends there and the depth-first order in
   which the reference's search would emit it;
-* ``allowed_tokens`` -- the search itself as a level-synchronous walk: the
-  frontier of (state, node) pairs is equi-joined with the edges one level
+* ``allowed_tokens`` -- the search itself, once per distinct reduced state, as a
+  level-synchronous walk: the frontier of (state, node) pairs is equi-joined with the edges one level
   down, every new (state, prefix) text is checked against the grammar, and
   only live branches continue.  Each level is checkpointed, so lineage stays
   short and a lost executor recomputes one level, not the whole walk.
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from callscope.functions import status as S
 from callscope.functions.ordering import dense_index
 from callscope.operators.catalog import attach_schema
-from callscope.session import BROADCAST_MAX_ROWS, broadcast_if_small, ensure_checkpoint_dir
+from callscope.functions.grammar import JAVA as G
+from callscope.session import broadcast_if_small, ensure_checkpoint_dir
 
 
 # --------------------------------------------------------------------------
@@ -109,8 +110,11 @@ def prefix_table(unique: DataFrame) -> DataFrame:
     ends = unique.select(F.col("text").alias("prefix"), "token_id")
     nodes = nodes.join(ends, "prefix", "left")
     # depth-first order of the tokens: sort by the path of creation slots
-    # a hot prefix (say " t") is shared by many tokens: join it against the
-    # node table by broadcast (one row per node, size-checked), not by shuffle
+    # a hot prefix (say " t") is shared by many tokens: the node table (a row per
+    # node) is broadcast if small, else written first, so that adaptive execution
+    # can split the hot side of the join
+    ensure_checkpoint_dir(unique.sparkSession)
+    nodes = nodes.checkpoint(eager=True)
     path = (
         ex.select("text", "depth", "prefix")
         .join(broadcast_if_small(nodes.select("prefix", "first")), "prefix")
@@ -146,16 +150,47 @@ def prefix_fanout(nodes: DataFrame) -> DataFrame:
 def prefix_search(queries: DataFrame, unique: DataFrame) -> DataFrame:
     """tokens under each query prefix, by equality on an exploded prefix table."""
     pairs = _token_prefixes(unique, from_len=0).select("prefix", "token_id")
-    # short prefixes match many tokens; the pair table is vocabulary-sized, so
-    # it is broadcast when the check allows, else AQE splits skewed partitions
-    pairs = broadcast_if_small(pairs)
-    return queries.join(pairs, queries["query"] == pairs["prefix"]).select("query_id", "query", "token_id")
+    # short prefixes match many tokens, so the pair table is the hot side and
+    # stays partitioned; the queries are the side that may be broadcast
+    asked = broadcast_if_small(queries)
+    return pairs.join(asked, pairs["prefix"] == asked["query"]).select("query_id", "query", "token_id")
 
 
 # --------------------------------------------------------------------------
 # Allowed tokens, mask sizes, charset audit
 # --------------------------------------------------------------------------
 
+def reduced_states(states: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``(state_id, schema, text)``: each live state as the shortest text that the same tokens may follow.
+
+    What may follow a state depends on the keys that are left and on the place
+    in the current item, not on the values so far: the head is dropped with its
+    keys, a string keeps its quote and an unfinished escape, a number its form,
+    runs of white space one space.  ``schema`` lists the (key, type) left, in
+    the order of the keys.  REJECTED states are left out.
+    """
+    df = S.add_status(attach_schema(states, catalog), keep_head=True, keep_tail=True).where(F.col("status") != S.REJECTED)
+    rest = F.col("_rest")
+    escape = F.regexp_extract(rest, G.open_string, 1)
+    after = F.regexp_extract(rest, G.closed_string, 1)
+    number = F.regexp_replace(F.regexp_replace(rest, "\\A-?[1-9][0-9]*", "1"), "\\A-?0", "0")
+    number = F.regexp_replace(number, "\\A[01]\\.[0-9]+", "1.5")
+
+    def spaced(c):
+        return F.regexp_replace(c, "[ \\t\\n\\r]+", " ")
+
+    value = (
+        F.when(rest.rlike(G.open_string), F.concat(F.lit('"'), escape))
+        .when(rest.rlike(G.closed_string), F.concat(F.lit('""'), spaced(after)))
+        .otherwise(spaced(number))
+    )
+    item = F.concat(F.lit('"'), "_tk", F.lit('"'), F.when(F.col("_colon") == ":", F.concat(F.lit(":"), value)).otherwise(""))
+    text = F.when(F.col("_head") == "", F.lit("")).otherwise(
+        F.concat(F.lit("{"), F.when(F.col("_isti"), item).otherwise(F.col("_tail"))))
+    left = F.transform(F.array_sort("_rem"), lambda k: F.struct(k.alias("key"), F.element_at("types", k).alias("type")))
+    return df.select("state_id", left.alias("schema"), text.alias("text"))
+
+
 def allowed_tokens(states: DataFrame, unique: DataFrame, catalog: DataFrame,
                    nodes: DataFrame | None = None, walk_depth: int = 3) -> DataFrame:
     """``(state_id, token_id, ord)`` -- token allowed iff ``state || token`` is not REJECTED.
@@ -163,70 +198,64 @@ def allowed_tokens(states: DataFrame, unique: DataFrame, catalog: DataFrame,
     ``states(state_id, function, text)``; ``ord`` is the depth-first rank of the
     token (the order in which the reference's search lists it).
 
-    The first ``walk_depth`` trie levels are walked level by level (where
-    pruning removes most branches); every (state, node) pair still alive at that
-    depth is then equi-joined with all longer tokens below that node and each
-    candidate gets one full grammar check.  Exact, because viability is
-    prefix-closed; the job count is ``walk_depth + 1`` whatever the token
-    length.
+    Only distinct reduced states are searched; the result is joined back to all
+    states that reduce to them.  The first ``walk_depth`` trie levels are walked
+    level by level (where pruning removes most branches); every (state, node)
+    pair still alive at that depth is then equi-joined with all longer tokens
+    below that node and each candidate gets one full grammar check.  Exact,
+    because viability is prefix-closed; the job count is ``walk_depth + 1``
+    whatever the token length.
     """
     spark = states.sparkSession
     ensure_checkpoint_dir(spark)
     nodes = (nodes if nodes is not None else prefix_table(unique)).checkpoint(eager=True)
-    # nodes per depth: one small job; decides per level whether its edges broadcast
-    width = {r["depth"]: r["n"] for r in nodes.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).collect()}
-    max_depth = max(width) if width else 0
-    st = attach_schema(states, catalog)
-    st = S.add_status(st).where(F.col("status") != S.REJECTED)
-    frontier = st.select(
-        "state_id", F.col("text").alias("state_text"), "keys", "types", F.lit("").alias("node")
-    ).checkpoint(eager=True)
+    max_depth = nodes.agg(F.max("depth")).first()[0] or 0
+    reduced = reduced_states(states, catalog).checkpoint(eager=True)
+    searched = reduced.select("schema", "text").distinct().withColumn("rid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    of_state = reduced.join(searched, ["schema", "text"]).select("state_id", "rid")
+    frontier = searched.select(
+        "rid", F.col("text").alias("state_text"), F.transform("schema", lambda x: x["key"]).alias("keys"),
+        F.map_from_entries("schema").alias("types"), F.lit("").alias("node"),
+    )
     outputs = []
     walk = min(walk_depth, max_depth)
     for depth in range(1, walk + 1):
-        edges = nodes.where(F.col("depth") == depth).select("parent", "prefix", "token_id", "dfs_ord")
-        if width.get(depth, 0) <= BROADCAST_MAX_ROWS:
-            edges = F.broadcast(edges)
+        edges = broadcast_if_small(nodes.where(F.col("depth") == depth).select("parent", "prefix", "token_id", "dfs_ord"))
         cand = frontier.join(edges, frontier["node"] == edges["parent"]).select(
-            "state_id", "state_text", "keys", "types", "prefix", "token_id", "dfs_ord",
+            "rid", "state_text", "keys", "types", "prefix", "token_id", "dfs_ord",
             F.concat("state_text", "prefix").alias("text"),
         )
         live = (
             S.add_status(cand)
             .where(F.col("status") != S.REJECTED)
-            .select("state_id", "state_text", "keys", "types", F.col("prefix").alias("node"),
+            .select("rid", "state_text", "keys", "types", F.col("prefix").alias("node"),
                     "token_id", "dfs_ord")
             .checkpoint(eager=True)
         )
-        outputs.append(
-            live.where(F.col("token_id").isNotNull()).select(
-                "state_id", "token_id", F.col("dfs_ord").alias("ord")
-            )
-        )
-        frontier = live.select("state_id", "state_text", "keys", "types", "node")
+        outputs.append(live.where(F.col("token_id").isNotNull()).select("rid", "token_id", F.col("dfs_ord").alias("ord")))
+        frontier = live.select("rid", "state_text", "keys", "types", "node")
     if max_depth > walk:
-        # every longer token, keyed by its prefix at the walk depth
+        # every longer token, keyed by its prefix at the walk depth.  The few live
+        # (state, node) pairs are the small side: the vocabulary stays partitioned
         longer = nodes.where(F.col("token_id").isNotNull() & (F.col("depth") > walk)).select(
             F.expr(f"substring(prefix, 1, {walk})").alias("_node"), F.col("prefix").alias("_tok"),
             "token_id", "dfs_ord",
         )
-        n_longer = sum(v for d, v in width.items() if d > walk)
-        if n_longer <= BROADCAST_MAX_ROWS:
-            longer = F.broadcast(longer)
-        cand = frontier.join(longer, frontier["node"] == longer["_node"]).select(
-            "state_id", "keys", "types", "token_id", "dfs_ord",
+        live = broadcast_if_small(frontier)
+        cand = longer.join(live, longer["_node"] == live["node"]).select(
+            "rid", "keys", "types", "token_id", "dfs_ord",
             F.concat("state_text", "_tok").alias("text"),
         )
         outputs.append(
             S.add_status(cand).where(F.col("status") != S.REJECTED)
-            .select("state_id", "token_id", F.col("dfs_ord").alias("ord"))
+            .select("rid", "token_id", F.col("dfs_ord").alias("ord"))
         )
     if not outputs:
         return spark.createDataFrame([], "state_id long, token_id long, ord long")
     out = outputs[0]
     for o in outputs[1:]:
         out = out.unionByName(o)
-    return out
+    return of_state.join(out, "rid").select("state_id", "token_id", "ord")
 
 
 def mask_size_report(states: DataFrame, mask: DataFrame, vocab_size: int) -> DataFrame:

@@ -662,18 +662,18 @@ ON qq.query = p.prefix
 STATES = """
   SELECT CAST(row_number() OVER (ORDER BY function, text) - 1 AS BIGINT) AS state_id, function, text FROM (
     SELECT DISTINCT function, substr(text, 1, CAST(n AS INTEGER)) AS text
-    FROM (SELECT function, text, unnest(range(0, length(text) + 1)) AS n FROM parsed WHERE status = 'TERMINAL'))
+    FROM (SELECT function, text, unnest(range(0, length(text) + 1)) AS n FROM calls))
 """
 
 
 def allowed_tokens_ctes() -> dict[str, str]:
     """The mask by exact pre-filter: a token can only be allowed if its first
-    character is (viability is prefix-closed), then the whole text is checked."""
+    character, then its first two are (viability is prefix-closed), then the
+    whole text is checked."""
     specs, calls = FIXTURES["events"]
     ctes = {"vocab": VOCAB, "raw_vocab": RAW_VOCAB, "uniq": UNIQUE, "tp": TOKEN_PREFIXES,
             "nodes": NODES, "dfs": DFS, "ptable": PREFIX_TABLE,
             "specs": specs, "calls": calls, "schema": SCHEMA}
-    ctes.update(chain("calls", ""))
     ctes["states"] = STATES
     ctes.update(chain("states", "s_"))
     ctes["first_chars"] = "  SELECT DISTINCT substr(text, 1, 1) AS c FROM uniq"
@@ -682,16 +682,23 @@ def allowed_tokens_ctes() -> dict[str, str]:
   FROM s_parsed s, first_chars f WHERE s.status <> 'REJECTED'
 """
     ctes.update(chain("c1", "f_"))
-    ctes["c2"] = """
-  SELECT f.state_id, f.function, u.token_id, s.text || u.text AS text
-  FROM f_parsed f JOIN uniq u ON substr(u.text, 1, 1) = f.c
-  JOIN states s ON s.state_id = f.state_id
+    ctes["first_two"] = "  SELECT DISTINCT substr(text, 1, 1) AS c, substr(text, 1, 2) AS cc FROM uniq"
+    ctes["c1b"] = """
+  SELECT f.state_id, f.function, w.cc, s.text || w.cc AS text
+  FROM f_parsed f JOIN first_two w ON w.c = f.c JOIN states s ON s.state_id = f.state_id
   WHERE f.status <> 'REJECTED'
+"""
+    ctes.update(chain("c1b", "g_"))
+    ctes["c2"] = """
+  SELECT g.state_id, g.function, u.token_id, s.text || u.text AS text
+  FROM g_parsed g JOIN uniq u ON substr(u.text, 1, 2) = g.cc
+  JOIN states s ON s.state_id = g.state_id
+  WHERE g.status <> 'REJECTED'
 """
     ctes.update(chain("c2", "t_"))
     ctes["mask"] = """
-  SELECT t.state_id, t.token_id, d.dfs_ord AS ord FROM t_parsed t JOIN dfs d
-  ON d.prefix = (SELECT text FROM uniq WHERE uniq.token_id = t.token_id)
+  SELECT t.state_id, t.token_id, d.dfs_ord AS ord FROM t_parsed t
+  JOIN uniq u ON u.token_id = t.token_id JOIN dfs d ON d.prefix = u.text
   WHERE t.status <> 'REJECTED'
 """
     return ctes

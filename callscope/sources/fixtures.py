@@ -303,14 +303,13 @@ def v_raw_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partial documents: every prefix of every complete (TERMINAL) ``v_calls`` text.
+    """Partial documents: every ``v_calls`` text, complete or not, and every prefix of it.
 
-    ``state_id`` is the rank of (function, text).
+    Texts that went wrong are among them; no token may follow those.  ``state_id`` is the rank of (function, text).
     """
     from callscope.functions.ordering import dense_index
 
-    terminal = _terminal_calls(spark, sf_dir)
-    pref = terminal.select(
+    pref = v_calls(spark, sf_dir).select(
         "function", "text", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("n")
     ).select("function", F.expr("substring(text, 1, n)").alias("text")).distinct()
     return dense_index(pref, "function", "text", out="state_id").select("state_id", "function", "text")
