@@ -94,3 +94,29 @@ def test_broadcast_only_below_both_bounds(spark):
     assert hinted(broadcast_if_small(df))
     assert not hinted(broadcast_if_small(df, max_rows=99))
     assert not hinted(broadcast_if_small(df.selectExpr("repeat('é', 100) s"), max_bytes=20_000))
+
+
+def test_recorded_outputs_replay(spark):
+    ddl = "prompt_id long, attempt int, output string"
+    routed = spark.createDataFrame([(i, 1, '{"name": "get_weather"}') for i in range(3)] + [(3, 1, '{"na'), (3, 2, '{"name": "none"}')], ddl)
+    extracted = spark.createDataFrame([(0, 1, '{"location": "a"}'), (1, 1, '{"location": "b'), (1, 2, '{"location": "b"}')], ddl)
+    results, errors = T.run_two_phase(prompts_df(spark, 5), catalog_df(spark, [WEATHER]), T.table_scorer(routed), T.table_scorer(extracted))
+    assert {(r["prompt_id"], r["name"], r["parameters"]) for r in results.collect()} == {
+        (0, "get_weather", '{"location": "a"}'), (1, "get_weather", '{"location": "b"}'), (3, "none", "{}")}
+    assert {tuple(r) for r in errors.collect()} == {(2, "extract", "incomplete"), (4, "route", "incomplete")}
+
+
+def test_whole_prompt_texts(spark):
+    catalog = catalog_df(spark, [WEATHER, {"name": "fn_reverse_string", "description": "Reverse.", "parameters": {"s": {"type": "string"}, "n": {"type": "integer"}},
+                                           "returns": {"type": "string"}}])
+    prompts = spark.createDataFrame([(1, 'Say "hi"', "get_weather"), (2, "abc", "fn_reverse_string")], "prompt_id long, prompt string, name string")
+    router = {r["prompt_id"]: r["text"] for r in D.build_router_prompts(prompts, catalog).collect()}
+    assert router[1] == (D.ROUTER_HEADER + "- get_weather: Get the weather\n- fn_reverse_string: Reverse.\n"
+                         + D.ROUTER_EXAMPLES + 'User: "Say "hi""\nOutput:')
+    texts = {r["prompt_id"]: r["text"] for r in D.build_extractor_prompts(prompts, catalog).collect()}
+    tail = D.EXTRACTOR_RULES + D.EXTRACTOR_GENERIC_EXAMPLES
+    assert texts[1] == (D.EXTRACTOR_HEADER + "Function: get_weather\nParameters:\n  location (string)\n\n" + tail + "\n" + D.EXTRACTOR_REMINDER
+                        + 'User: "Say "hi""\nFunction: get_weather\nOutput:\n')
+    _, contradiction, examples = D.FUNCTION_EXAMPLES[0]
+    assert texts[2] == (D.EXTRACTOR_HEADER + "Function: fn_reverse_string\n" + contradiction + "Parameters:\n  s (string)\n  n (integer)\n\n"
+                        + tail + examples + "\n" + D.EXTRACTOR_REMINDER + 'User: "abc"\nFunction: fn_reverse_string\nOutput:\n')
