@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +19,38 @@ from callscope.session import ensure_checkpoint_dir
 BROADCAST_PARTITIONS = 1_000_000
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, as ``--py-files`` would; once for each application.
+
+    Tasks import it by name, which else works only where the workers happen to
+    start in its folder or have it on their path.
+    """
+    package = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    if app in _shipped or not package.is_dir():
+        return
+    path = Path(tempfile.mkdtemp()) / f"{package.name}-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
+
+def with_package(work: Callable) -> Callable:
+    """A query or stage (its first argument is the session) whose tasks can import this package."""
+
+    @functools.wraps(work)
+    def run(spark: SparkSession, *args):
+        ship_package(spark)
+        return work(spark, *args)
+
+    return run
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"

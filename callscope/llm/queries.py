@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.llm import chat, decontaminate, knn, license_scan, oracles, packing, pii, quality, simhash, token_counts, url_filter
+from callscope.llm.common import with_package
 from callscope.session import table
 
 
@@ -64,18 +65,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op1_packing": op1_packing,
-    "op2_decontamination": op2_decontamination,
-    "op3_token_counts": op3_token_counts,
-    "op4_chat_formatting": op4_chat_formatting,
-    "op5_simhash": op5_simhash,
-    "op6_topk": op6_topk,
-    "op7_license_scan": op7_license_scan,
-    "op8_quality": op8_quality,
-    "op9_url_filter": op9_url_filter,
-    "op10_pii": op10_pii,
-}
+QUERIES = {f.__name__: with_package(f) for f in (
+    op1_packing,
+    op2_decontamination,
+    op3_token_counts,
+    op4_chat_formatting,
+    op5_simhash,
+    op6_topk,
+    op7_license_scan,
+    op8_quality,
+    op9_url_filter,
+    op10_pii,
+)}
 ORACLE = {
     "op6_topk": oracles.topk(),
     "op7_license_scan": oracles.license_scan(),

@@ -12,30 +12,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from callscope.llm import decontaminate, packing, pii, quality, simhash
-from callscope.llm.common import stage
+from callscope.llm.common import stage, with_package
 from callscope.session import table
 
 
+@with_package
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@with_package
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near duplicates."""
     return simhash.keep_one(docs, shingle=4, max_distance=4)
 
 
+@with_package
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
 
 
+@with_package
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars follows the new text."""
     return pii.redact(docs, length_col="n_chars")
 
 
+@with_package
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
