@@ -33,9 +33,10 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _elements(docs: DataFrame) -> DataFrame:
-    """``(source, ord, e)``: the raw JSON text of every element of the well-formed lists."""
-    arr = F.when(well_formed(F.col("text")), F.from_json("text", "array<string>"))
+def _elements(docs: DataFrame, clean: bool = False) -> DataFrame:
+    """``(source, ord, e)``: the raw JSON text of every element of the well-formed lists (``clean``: known to be such)."""
+    arr = F.from_json("text", "array<string>")
+    arr = arr if clean else F.when(well_formed(F.col("text")), arr)
     return docs.select("source", F.posexplode(arr).alias("ord", "e")).select(
         "source", F.col("ord").cast("bigint").alias("ord"), "e"
     )
@@ -166,7 +167,7 @@ def parse_function_catalog(docs: DataFrame, strict: bool = False) -> DataFrame:
                 f"{first['reason']} {first['field']}"
             )
     bad_sources = rejects.select("source").distinct()
-    el = _elements(docs.join(bad_sources, "source", "left_anti"))
+    el = _elements(docs.join(bad_sources, "source", "left_anti"), clean=True)
     e = F.col("e")
     params_raw = F.get_json_object(e, "$.parameters")
     entries = F.map_entries(F.from_json(params_raw, "map<string,string>"))
@@ -204,7 +205,7 @@ def parse_prompts(docs: DataFrame, strict: bool = False) -> DataFrame:
                 f"{first['reason']} {first['field']}"
             )
     bad_sources = rejects.select("source").distinct()
-    el = _elements(docs.join(bad_sources, "source", "left_anti"))
+    el = _elements(docs.join(bad_sources, "source", "left_anti"), clean=True)
     prompts = el.select("source", "ord", F.get_json_object("e", "$.prompt").alias("prompt"))
     return dense_index(prompts, "source", "ord", out="prompt_id").select("source", "prompt_id", "prompt")
 
