@@ -21,7 +21,7 @@ from callscope.functions import status as S
 from callscope.functions.ordering import dense_index
 from callscope.operators.catalog import attach_schema
 from callscope.functions.grammar import JAVA as G
-from callscope.session import broadcast_if_small, ensure_checkpoint_dir
+from callscope.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, broadcast_if_small, ensure_checkpoint_dir
 
 
 # --------------------------------------------------------------------------
@@ -208,8 +208,12 @@ def allowed_tokens(states: DataFrame, unique: DataFrame, catalog: DataFrame,
     """
     spark = states.sparkSession
     ensure_checkpoint_dir(spark)
-    nodes = (nodes if nodes is not None else prefix_table(unique)).checkpoint(eager=True)
-    max_depth = nodes.agg(F.max("depth")).first()[0] or 0
+    nodes = nodes if nodes is not None else prefix_table(unique).checkpoint(eager=True)
+    # nodes and bytes of each depth, measured in one job: which levels' edges may be broadcast
+    row_bytes = F.octet_length("parent") + F.octet_length("prefix") + 64
+    sizes = {r["depth"]: (r["n"], r["size"]) for r in nodes.groupBy("depth").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(row_bytes).alias("size")).collect()}
+    max_depth = max(sizes, default=0)
     reduced = reduced_states(states, catalog).checkpoint(eager=True)
     searched = reduced.select("schema", "text").distinct().withColumn("rid", F.monotonically_increasing_id()).checkpoint(eager=True)
     of_state = reduced.join(searched, ["schema", "text"]).select("state_id", "rid")
@@ -220,7 +224,10 @@ def allowed_tokens(states: DataFrame, unique: DataFrame, catalog: DataFrame,
     outputs = []
     walk = min(walk_depth, max_depth)
     for depth in range(1, walk + 1):
-        edges = broadcast_if_small(nodes.where(F.col("depth") == depth).select("parent", "prefix", "token_id", "dfs_ord"))
+        edges = nodes.where(F.col("depth") == depth).select("parent", "prefix", "token_id", "dfs_ord")
+        n, size = sizes[depth]
+        if n <= BROADCAST_MAX_ROWS and size <= BROADCAST_MAX_BYTES:
+            edges = F.broadcast(edges)
         cand = frontier.join(edges, frontier["node"] == edges["parent"]).select(
             "rid", "state_text", "keys", "types", "prefix", "token_id", "dfs_ord",
             F.concat("state_text", "prefix").alias("text"),
