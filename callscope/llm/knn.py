@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callscope.llm.common import stage
+from callscope.llm.common import in_slices, stage
 
 PIVOTS = 64
 WITNESSES = 1024  # data vectors known to every task; the first of them are the pivots
@@ -119,7 +119,7 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64,
 
     def replicate(batches):
         """Each query once for each cell that may hold one of its results, with the score that the result reaches."""
-        for batch in batches:
+        for batch in in_slices(batches):
             q_ids, data, own = batch.column(0), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
             out_q, out_cell, out_floor = [], [], []
             for n in np.unique(own >> 16):
@@ -178,7 +178,7 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64,
 
     def solve(batches):
         """A block of a cell against a block of queries: each query's k + 1 best, none below its floor."""
-        for batch in batches:
+        for batch in in_slices(batches, 1):  # one pair of blocks in memory
             out = []
             for vectors, n, ids, asked_v, q, floor in zip(*(c.to_pylist() for c in batch.columns)):
                 a, b = np.frombuffer(asked_v, "<i8").reshape(len(q), -1), np.frombuffer(vectors, "<i8").reshape(n, -1)
