@@ -8,9 +8,10 @@ to it, the last part of a phone number, a mail address without its ending.
 Its nodes are a document's tokens with a digit or an @; other tokens can't carry
 a label.  Neighbours share a chain potential, and distant tokens with the same
 or similar letters and digits share a skip potential, so labels spread along
-mentions.  Edges join each mention to the next, never all to all.  Loopy sum-
-product message passing gives the marginals; tokens in a pattern's match are
-observed.  A token is added if its likeliest label is one that an observed
+mentions.  Edges join each mention to the next, never all to all, and to the
+nearest observed mention, so no distance weakens a label.  Loopy sum-product
+message passing until it settles gives the marginals; tokens in a pattern's
+match are observed.  A token is added if its likeliest label is one that an observed
 mention linked to it by skip edges bears: without a mention to be consistent
 with, nothing is added, so documents without personal data are left alone.
 
@@ -22,6 +23,7 @@ from a table of combinations.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -91,7 +93,10 @@ def pattern_spans(text: str) -> list[Span]:
 # ---- the field's graph -----------------------------------------------------
 
 class Graph:
-    """Tokens of a document with their observed labels (-1: none), chain edges, and skip edges with a strength from 0 to 2."""
+    """Tokens of a document with their observed labels (-1: none), chain edges, and skip edges with a strength from 0 to 2.
+
+    Edges in ``far`` join a mention to the nearest observed one, where no skip edge does; training takes no note of them.
+    """
 
     def __init__(self, text: str, spans: list[Span]):
         self.spans, self.begin, self.end, self.shape, forms = [], [], [], [], []
@@ -114,7 +119,9 @@ class Graph:
             self.label[lo:hi] = LABELS.index(kind)
         self.chain = [(i, i + 1) for i in range(n - 1) if self.begin[i + 1] - self.end[i] <= 3]
         self.skip: list[tuple[int, int, int]] = []
+        self.far: list[tuple[int, int, int]] = []
         last: dict[str, int] = {}
+        observed: dict[str, list[int]] = {}
         for i, form in enumerate(forms):
             near = last.get(form)
             if len(form) >= 4 and near is not None:
@@ -123,6 +130,22 @@ class Graph:
             if len(form) >= SIMILAR and last.get(similar) not in (None, near):
                 self.skip.append((last[similar], i, 1))
             last[form] = last[similar] = i
+            if self.label[i] >= 0:
+                for key in (form, similar):
+                    observed.setdefault(key, []).append(i)
+        joined = {e[:2] for e in self.skip}
+        for i, form in enumerate(forms) if observed else ():
+            if self.label[i] >= 0 or len(form) < 4:
+                continue
+            for key, strength in ((form, 0 if len(form) < 7 else 1 if len(form) < 11 else 2), ("~" + form[:SIMILAR], 1)):
+                held = observed.get(key, []) if key == form or len(form) >= SIMILAR else []
+                if held:
+                    at = bisect.bisect(held, i)
+                    near = min(held[max(0, at - 1):at + 1], key=lambda j: abs(j - i))
+                    edge = (min(near, i), max(near, i))
+                    if edge not in joined:
+                        self.far.append((*edge, strength))
+                    break
 
     def supported(self) -> np.ndarray:
         """(token, label): an observed mention with this label is reached by skip edges."""
@@ -224,9 +247,13 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 # ---- inference -------------------------------------------------------------
 
-def marginals(graph: Graph, w: np.ndarray, rounds: int = 20, damping: float = 0.3) -> np.ndarray:
-    """Loopy sum-product message passing; (token, label)."""
-    k = len(LABELS)
+def marginals(graph: Graph, w: np.ndarray, rounds: int | None = None, damping: float = 0.3) -> np.ndarray:
+    """Loopy sum-product message passing until it settles; (token, label).
+
+    A message goes one edge a round; without ``rounds``, the bound on them grows with the graph.
+    """
+    k, skips = len(LABELS), graph.skip + graph.far
+    rounds = 20 + 2 * len(graph.label) if rounds is None else rounds
     unary = w[[_shape_code(s) for s in graph.shape]]
     seen = graph.label >= 0
     unary[seen] = -50.0
@@ -234,8 +261,8 @@ def marginals(graph: Graph, w: np.ndarray, rounds: int = 20, damping: float = 0.
     chain = w[OFFSETS["left"]:OFFSETS["left"] + 5] + w[OFFSETS["right"]:OFFSETS["right"] + 5].T  # (left label, right label)
     skip = w[OFFSETS["skip"]:OFFSETS["skip"] + 15].reshape(3, 5, 5)
     skip = skip + skip.transpose(0, 2, 1)
-    ends = np.array([e[:2] for e in (*graph.chain, *graph.skip)], int).reshape(-1, 2)
-    pots = np.concatenate([np.repeat(chain[None], len(graph.chain), 0), skip[[e[2] for e in graph.skip]]]) if len(ends) else np.zeros((0, k, k))
+    ends = np.array([e[:2] for e in (*graph.chain, *skips)], int).reshape(-1, 2)
+    pots = np.concatenate([np.repeat(chain[None], len(graph.chain), 0), skip[[e[2] for e in skips]]]) if len(ends) else np.zeros((0, k, k))
     source, target = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
     pots = np.concatenate([pots, pots.transpose(0, 2, 1)])  # [edge, source label, target label]
     twin = np.concatenate([np.arange(len(ends)) + len(ends), np.arange(len(ends))])

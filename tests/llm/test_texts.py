@@ -227,6 +227,17 @@ def test_messages_give_exact_marginals_on_a_tree():
     assert np.allclose(p[1], np.exp(logits) / np.exp(logits).sum(), atol=1e-6)
 
 
+def test_labels_reach_any_distance():
+    w = pii.prior()
+    for seen, rest in (("to bob.smith@mail.example.com", "bob.smith@mail"), ("card 4111 1111 1111 1111", "1111"), ("call +1 (437) 555-0689", "555-0689")):
+        for text in (seen + f" or {rest}" * 100, f"{rest} or " * 100 + seen):
+            base, spans = pii.find(text, w)
+            assert len(base) == 1 and len(spans) == 101
+            graph = pii.Graph(text, base)
+            assert pii.marginals(graph, w)[:, pii.LABELS.index(base[0][0])].min() > 0.9
+            assert len(graph.skip) + len(graph.far) < 2 * len(graph.label)
+
+
 def test_personal_data_query(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "mail a.b@c.de ip 1.2.3.4 card 4111 1111 1111 1111 tel +1 (437) 555-0689", "x"),
             (3, "é👍 a@b.c", "x"), (None, "256.1.1.1", "x")]
