@@ -3,22 +3,23 @@
 A document's units (lines, paragraphs, the whole text) are normalised to lower
 case words and compared with each template that could reach the threshold: a
 Dice coefficient of t or more needs the smaller bigram set to have at least
-t / (2 - t) times the larger one's size, so each template is listed under the
-sizes that it can match and joined on the size.  Texts without any of the
-bigrams that a match must hold are left out before they are cut into units.
-DataFrame functions only.
+t / (2 - t) times the larger one's size, and as many of the template's bigrams
+in the text.  Texts without any of the bigrams that a match must hold are left
+out before their words are counted, and licences with too few bigrams in a text
+before it is cut into units.  DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.session import BROADCAST_MAX_BYTES
 
-# Notices as licences ask for them to be written.
+# Notices as licences ask for them to be written, then whole licences (licenses/<SPDX id>.txt).
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -35,6 +36,23 @@ TEMPLATES = [
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
                 "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                         "Public License as published by the Free Software Foundation; either version 2 of the License, or "
+                         "(at your option) any later version."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                          "Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+                          "(at your option) any later version."),
+    ("LGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                          "Public License as published by the Free Software Foundation, either version 3 of the License, or "
+                          "(at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+                          "Public License as published by the Free Software Foundation, either version 3 of the License, or "
+                          "(at your option) any later version."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("ISC", "Licensed under the ISC License."),
+    *((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))),
 ]
 THRESHOLD = 0.8
 
@@ -59,6 +77,21 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return max(1, math.ceil(n * ratio - 1e-9)), math.floor(n / ratio + 1e-9)
 
 
+def _alternatives(anchors: list[str]) -> str:
+    """A pattern of sorted anchors that shares their beginnings."""
+    out, at = [], 0
+    while at < len(anchors):
+        head = anchors[at][:1]
+        end = at
+        while end < len(anchors) and anchors[end][:1] == head:
+            end += 1
+        if head:
+            rest = [a[1:] for a in anchors[at:end]]
+            out.append(("[ \\n]+" if head == " " else head) + (_alternatives(rest) if any(rest) else ""))
+        at = end
+    return ("(?:" + "|".join(out) + ")" + ("?" if not anchors[0] else "")) if len(out) > 1 or not anchors[0] else out[0]
+
+
 def anchor_pattern(notices: list[list[str]], threshold: float) -> str:
     """A pattern that every matching text contains.
 
@@ -69,7 +102,18 @@ def anchor_pattern(notices: list[list[str]], threshold: float) -> str:
     for grams in notices:
         needed = max(1, size_bounds(len(grams), threshold)[0])
         anchors.update(sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - needed + 1])
-    return r"(?:^|[ \n])(?:" + "|".join(sorted(a.replace(" ", r"[ \n]+") for a in anchors)) + r")(?:$|[ \n])"
+    return r"(?:^|[ \n])" + _alternatives(sorted(anchors)) + r"(?:$|[ \n])"
+
+
+def holds_anchor(text: Column, notices: list[list[str]], threshold: float) -> Column:
+    """Whether a text can match: notices of like size share a pattern, and a text must be as long as their bigrams need."""
+    held = F.lit(False)
+    for low, high in ((0, 64), (64, 512), (512, math.inf)):
+        some = [g for g in notices if low <= len(g) < high]
+        if some:
+            words = min(size_bounds(len(g), threshold)[0] for g in some) + 1
+            held = held | ((F.length(text) >= 2 * words - 1) & text.rlike(anchor_pattern(some, threshold)))
+    return held
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
@@ -84,28 +128,30 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """
     spark = docs.sparkSession
     known = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, notice string")
-    known = known.withColumn("notice_bigrams", bigrams(word_list(normalised(F.col("notice")))))
+    known = known.select("template", "license", bigrams(word_list(normalised(F.col("notice")))).alias("notice_bigrams"))
     notices = {r["template"]: r["notice_bigrams"] for r in known.collect() if r["notice_bigrams"]}
-    bounds = {t: size_bounds(len(grams), threshold) for t, grams in notices.items()}
-    least, most = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
-    admitted = spark.createDataFrame([(t, n) for t, (lo, hi) in bounds.items() for n in range(lo, hi + 1)], "template int, n_bigrams int")
-    candidates = admitted.join(known, "template").select("n_bigrams", "license", "notice_bigrams")
-    # the notices are in hand: their size is known (at most this much for each size that a notice is listed under)
-    listed = sum((hi - lo + 1) * (64 + sum(len(g) + 40 for g in notices[t])) for t, (lo, hi) in bounds.items())
-    candidates = F.broadcast(candidates) if listed <= BROADCAST_MAX_BYTES else candidates
+    least = {t: size_bounds(len(grams), threshold)[0] for t, grams in notices.items()}
+    # the notices are in hand: their size is known
+    small = sum(64 + sum(len(g) + 40 for g in grams) for grams in notices.values()) <= BROADCAST_MAX_BYTES
+    listed = F.broadcast(known) if small else known
 
     text = normalised(F.col(text_col).cast("string"))
     docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    docs = docs.filter(F.col("text").rlike(anchor_pattern(list(notices.values()), threshold)))
+    docs = docs.filter(holds_anchor(F.col("text"), list(notices.values()), threshold))
+    docs = docs.withColumn("text_bigrams", bigrams(word_list(F.col("text"))))
+    needs = F.array(*(F.struct(F.lit(t).alias("template"), F.lit(n).alias("least")) for t, n in least.items()))
+    fits = F.explode(F.filter(needs, lambda t: t["least"] <= F.size("text_bigrams")))
+    docs = docs.select("doc_id", "text", "text_bigrams", fits.alias("t")).select("doc_id", "text", "text_bigrams", "t.template", "t.least")
+    found = docs.join(listed, "template").filter(F.size(F.array_intersect("text_bigrams", "notice_bigrams")) >= F.col("least"))
+
     units = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", "\n(?: ?\n)+"), F.array("text")))
-    words = docs.select("doc_id", F.explode(units).alias("unit")).select("doc_id", word_list(F.col("unit")).alias("words"))
-    words = words.filter(F.size("words") > least)  # n bigrams need more than n words
-    sized = words.withColumn("unit_bigrams", bigrams(F.col("words"))).withColumn("n_bigrams", F.size("unit_bigrams"))
-    sized = sized.filter(F.col("n_bigrams").between(least, most))
+    words = found.select("doc_id", "license", "notice_bigrams", F.explode(units).alias("unit"))
+    words = words.select("doc_id", "license", "notice_bigrams", word_list(F.col("unit")).alias("words"))
+    sized = words.withColumn("unit_bigrams", bigrams(F.col("words"))).filter(F.size("unit_bigrams") > 0)
     shared = F.size(F.array_intersect("unit_bigrams", "notice_bigrams"))
-    dice = 2 * shared / (F.col("n_bigrams") + F.size("notice_bigrams"))
+    dice = 2 * shared / (F.size("unit_bigrams") + F.size("notice_bigrams"))
     return (
-        sized.join(candidates, "n_bigrams").withColumn("dice", dice).filter(F.col("dice") >= threshold)
+        sized.withColumn("dice", dice).filter(F.col("dice") >= threshold)
         .groupBy("doc_id", "license", F.concat_ws(" ", "words").alias("unit")).agg(F.max("dice").alias("dice"))
         .groupBy("doc_id", "license").agg(F.max("dice").alias("best_dice"), F.count(F.lit(1)).alias("n_units"))
     )

@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -126,6 +127,21 @@ def test_license_scan_equals_a_plain_scan(spark):
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_whole_licences_are_found(spark):
+    texts = {p.stem: p.read_text() for p in (Path(license_scan.__file__).parent / "licenses").glob("*.txt")}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0"} <= set(texts)
+    rows = [(i, "Copyright (c) 2020 Some One\n\n" + texts[k], "x") for i, k in enumerate(texts)]
+    rows.append((-1, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+                     "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "x"))
+    got = {}
+    for r in license_scan.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r["doc_id"], {})[r["license"]] = r["best_dice"]
+    for i, k in enumerate(texts):
+        assert got[i].get(k, 0) > 0.9, k
+    assert max(got[-1], key=got[-1].get) == "AGPL-3.0-or-later"
+
+
+
 # ---- quality ---------------------------------------------------------------
 
 @pytest.fixture(scope="module")
