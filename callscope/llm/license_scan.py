@@ -1,7 +1,7 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
-A document's units (lines, paragraphs, the whole text) are normalised to lower
-case words and compared with each template that could reach the threshold: a
+A document's units (lines, paragraphs, the whole text, and windows of words in
+what no other unit of a licence matches) are normalised to lower case words and compared with each template that could reach the threshold: a
 Dice coefficient of t or more needs the smaller bigram set to have at least
 t / (2 - t) times the larger one's size, and as many of the template's bigrams
 in the text.  Texts without any of the bigrams that a match must hold are left
@@ -116,10 +116,83 @@ def holds_anchor(text: Column, notices: list[list[str]], threshold: float) -> Co
     return held
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def rest_words(text: Column, is_match) -> Column:
+    """The text's words in order, with an empty word for each line or paragraph that matches as such."""
+    gap = F.array(F.lit(""))
+    line = lambda x: let(word_list(x), lambda w: F.when(is_match(w), gap).otherwise(w))
+    block = lambda x: F.when(is_match(word_list(x)), gap).otherwise(F.flatten(F.transform(F.split(x, "\n"), line)))
+    words = F.flatten(F.transform(F.split(text, "\n(?: ?\n)+"), block))
+    return F.when(is_match(word_list(text)), F.array().cast("array<string>")).otherwise(words)
+
+
+def matching_windows(pairs: Column, notice: Column, least: Column, most: Column, threshold: float) -> Column:
+    """For each first bigram of the notice, the window from there that matches best: begin, end (of pairs, from 0) and dice.
+
+    A best window begins and ends with bigrams of the notice; it has at most
+    ``most`` pairs.  Distinct bigrams count, as everywhere: a pair is new if
+    its last occurrence, at most ``most`` pairs before, lies before the window.
+    A window that lacks the notice's first or last bigram counts as at least as
+    long as the notice, so words changed at the ends aren't cut off.
+    """
+    before = lambda x, i: let(
+        F.array_position(F.reverse(F.slice(pairs, F.greatest(i - most, F.lit(0)) + 1, F.least(i, most))), x).cast("int"),
+        lambda back: F.when(back > 0, i - back).otherwise(-1))
+    marked = F.transform(pairs, lambda x, i: F.struct(F.array_contains(notice, x).alias("held"), i.alias("at")))
+
+    def windows(held: Column) -> Column:
+        enough = lambda h, k: F.coalesce(F.get(held, (k + least - 1).cast("int"))["at"] - h["at"] < most, F.lit(False))
+        begins = F.filter(held, enough)
+
+        def from_begins(last: Column) -> Column:
+            def best(h: Column) -> Column:
+                def step(acc: Column, j: Column) -> Column:
+                    new = F.get(last, j)["before"] < h["at"]
+                    size = acc["size"] + F.when(new, 1).otherwise(0)
+                    shared = acc["shared"] + F.when(new & F.get(last, j)["held"], 1).otherwise(0)
+                    complete = (F.get(pairs, h["at"]) == F.get(notice, F.lit(0))) & (F.get(pairs, j) == F.get(notice, F.size(notice) - 1))
+                    dice = 2 * shared / (F.when(complete, size).otherwise(F.greatest(size, F.size(notice))) + F.size(notice))
+                    better = dice > acc["dice"]
+                    return F.struct(size.alias("size"), shared.alias("shared"), F.when(better, dice).otherwise(acc["dice"]).alias("dice"),
+                                    F.when(better, j).otherwise(acc["end"]).alias("end"))
+
+                zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("shared"), F.lit(0.0).alias("dice"), F.lit(0).alias("end"))
+                at = F.sequence(h["at"], F.least(h["at"] + most, F.size(pairs)) - 1)
+                return let(F.aggregate(at, zero, step), lambda b: F.struct(h["at"].alias("begin"), b["end"].alias("end"), b["dice"].alias("dice")))
+
+            return F.filter(F.transform(begins, best), lambda b: b["dice"] >= threshold)
+
+        last = F.transform(pairs, lambda x, i: F.struct(F.array_contains(notice, x).alias("held"), before(x, i).alias("before")))
+        empty = F.array().cast("array<struct<begin:int,end:int,dice:double>>")
+        return F.when(F.size(begins) > 0, let(last, from_begins)).otherwise(empty)
+
+    return let(F.filter(marked, lambda m: m["held"]), windows)
+
+
+def best_apart(windows: Column) -> Column:
+    """Of sorted windows that overlap, the best one, the first of equals."""
+
+    def step(kept: Column, w: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        apart = (F.size(kept) == 0) | (last["end"] + 1 < w["begin"])
+        better = F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(w))
+        return F.when(apart, F.concat(kept, F.array(w))).when(w["dice"] > last["dice"], better).otherwise(kept)
+
+    return F.aggregate(windows, F.array().cast("array<struct<begin:int,end:int,dice:double>>"), step)
+
+
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, best_dice and n_units (distinct units that match) of each document and licence found.
 
+    Units are lines, paragraphs, the whole text and, apart from lines and
+    paragraphs that match the licence, windows of words of any place and of the
+    lengths that its templates admit; of windows that overlap, the best one.
+
     A unit matches a template if their bigram sets' Dice coefficient is at least
     ``threshold``; texts and templates of one word have no bigrams and match
     nothing.  Null and empty texts give no rows, nor does an empty table; rows
@@ -137,21 +210,54 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
     text = normalised(F.col(text_col).cast("string"))
     docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    docs = docs.filter(holds_anchor(F.col("text"), list(notices.values()), threshold))
+    docs = docs.filter(let(F.col("text"), lambda t: holds_anchor(t, list(notices.values()), threshold)))
     docs = docs.withColumn("text_bigrams", bigrams(word_list(F.col("text"))))
     needs = F.array(*(F.struct(F.lit(t).alias("template"), F.lit(n).alias("least")) for t, n in least.items()))
     fits = F.explode(F.filter(needs, lambda t: t["least"] <= F.size("text_bigrams")))
     docs = docs.select("doc_id", "text", "text_bigrams", fits.alias("t")).select("doc_id", "text", "text_bigrams", "t.template", "t.least")
     found = docs.join(listed, "template").filter(F.size(F.array_intersect("text_bigrams", "notice_bigrams")) >= F.col("least"))
 
-    units = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", "\n(?: ?\n)+"), F.array("text")))
-    words = found.select("doc_id", "license", "notice_bigrams", F.explode(units).alias("unit"))
-    words = words.select("doc_id", "license", "notice_bigrams", word_list(F.col("unit")).alias("words"))
-    sized = words.withColumn("unit_bigrams", bigrams(F.col("words"))).filter(F.size("unit_bigrams") > 0)
-    shared = F.size(F.array_intersect("unit_bigrams", "notice_bigrams"))
-    dice = 2 * shared / (F.size("unit_bigrams") + F.size("notice_bigrams"))
+    # row-local from here: the templates of a licence found in a text are compared together, so that windows know what units match
+    key = F.xxhash64("text")
+    found = found.groupBy("doc_id", "license", key.alias("key")).agg(
+        F.first("text").alias("text"), F.collect_set("notice_bigrams").alias("notices"))
+
+    def dice(words: Column) -> Column:
+        def against(grams: Column) -> Column:
+            shares = F.transform("notices", lambda n: 2 * F.size(F.array_intersect(grams, n)) / (F.size(grams) + F.size(n)))
+            return F.when(F.size(grams) > 0, F.array_max(shares)).otherwise(0.0)
+        return let(bigrams(words), against)
+
+    unit = F.array_distinct(F.transform(
+        F.concat(F.split("text", "\n"), F.split("text", "\n(?: ?\n)+"), F.array("text")), word_list))
+    scored = F.transform(unit, lambda w: F.struct(F.concat_ws(" ", w).alias("unit"), dice(w).alias("dice")))
+    matched = F.filter(scored, lambda u: u["dice"] >= threshold)
+
+    def with_windows(matched: Column) -> Column:
+        known_units = F.transform(matched, lambda u: u["unit"])
+
+        def in_rest(words: Column) -> Column:
+            pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
+                               F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+
+            def among(pairs: Column) -> Column:
+                def of_notice(n: Column) -> Column:
+                    least = F.greatest(F.ceil(F.size(n) * ratio - 1e-9).cast("int"), F.lit(1))
+                    most = F.floor(F.size(n) / ratio + 1e-9).cast("int")
+                    return matching_windows(pairs, n, least, most, threshold)
+
+                windows = best_apart(F.array_sort(F.flatten(F.transform("notices", of_notice))))
+                return F.transform(windows, lambda w: F.struct(
+                    F.concat_ws(" ", F.slice(words, w["begin"] + 1, w["end"] - w["begin"] + 2)).alias("unit"), w["dice"].alias("dice")))
+
+            return let(pairs, among)
+
+        rest = rest_words(F.col("text"), lambda w: F.array_contains(known_units, F.concat_ws(" ", w)))
+        return F.concat(matched, let(rest, in_rest))
+
+    ratio = threshold / (2 - threshold)
+    units = found.select("doc_id", "license", F.explode(let(matched, with_windows)).alias("u"))
     return (
-        sized.withColumn("dice", dice).filter(F.col("dice") >= threshold)
-        .groupBy("doc_id", "license", F.concat_ws(" ", "words").alias("unit")).agg(F.max("dice").alias("dice"))
+        units.groupBy("doc_id", "license", "u.unit").agg(F.max("u.dice").alias("dice"))
         .groupBy("doc_id", "license").agg(F.max("dice").alias("best_dice"), F.count(F.lit(1)).alias("n_units"))
     )

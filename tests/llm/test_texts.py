@@ -127,6 +127,25 @@ def test_license_scan_equals_a_plain_scan(spark):
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_notices_inside_longer_lines_are_found(spark):
+    mit = (Path(license_scan.__file__).parent / "licenses" / "MIT.txt").read_text()
+    filler = " ".join(f"word{i}" for i in range(300))
+    texts = {
+        "Released under the MIT License. All rights reserved.": ("MIT", 1.0, 1),
+        "Copyright (c) 2020 X. Licensed under the Apache License, Version 2.0.": ("Apache-2.0", 1.0, 1),
+        f"{filler} This work is licensed under the GNU General\nPublic License, version 3. {filler}": ("GPL-3.0", 1.0, 1),
+        f"{filler} {mit} {filler}": ("MIT", 1.0, 1),
+        f"{filler}. Released under the MIT License, says {filler}\nReleased under the MIT License": ("MIT", 1.0, 1),
+        f"Released under the new MIT License {filler} released under the MIT License {filler}": ("MIT", 1.0, 1),
+        f"of under the mit {filler} license": None,
+    }
+    got = {}
+    for r in license_scan.scan_licenses(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)).collect():
+        got.setdefault(r["doc_id"], {})[r["license"]] = (r["best_dice"], r["n_units"])
+    for i, want in enumerate(texts.values()):
+        assert (want is None and i not in got) or got[i][want[0]] == want[1:], (i, got.get(i))
+
+
 def test_whole_licences_are_found(spark):
     texts = {p.stem: p.read_text() for p in (Path(license_scan.__file__).parent / "licenses").glob("*.txt")}
     assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0"} <= set(texts)
