@@ -50,3 +50,26 @@ def test_findings_see_past_a_bad_value(spark, calls):
     assert found['{"k": 087}'] == ["missing", "type"] and found['{"k": 1e5, "a": "x"}'] == ["type"]
     profile = {r["key"]: r for r in C.param_type_profile(calls).collect()}
     assert profile["k"]["n_invalid"] == 6 and profile["k"]["inferred_type"] == "mixed"
+
+
+NESTED = {
+    '{"k": "C:\\dir", "a": "x"}': [("k", '"C:\\dir"'), ("a", '"x"')],
+    '{"k": "two\nlines", "a": "x"}': [("k", '"two\nlines"'), ("a", '"x"')],
+    '{"k": {"x": 1}, "a": "x"}': [("k", '{"x": 1}'), ("a", '"x"')],
+    '{"k": [{"x": "}]"}, [2, 3]], "a": "x"}': [("k", '[{"x": "}]"}, [2, 3]]'), ("a", '"x"')],
+    '{"k": {"a": {"k": [1, {}]}}, "a": "x"}, "zz": 1': [("k", '{"a": {"k": [1, {}]}}'), ("a", '"x"')],
+    '{"k": [1, "a": "x"}': [("k", "[1"), ("a", '"x"')],
+    '{"k": "' + "\\d\n" * 50000 + '", "a": "x"}': [("k", '"' + "\\d\n" * 50000 + '"'), ("a", '"x"')],
+}
+
+
+def test_items_behind_bad_strings_and_nested_values(spark):
+    texts = list(NESTED)
+    calls = spark.createDataFrame([(i, "f", t) for i, t in enumerate(texts)], "call_id long, function string, text string")
+    got = {i: [] for i in range(len(texts))}
+    for r in C.call_fields(calls).orderBy("call_id", "pos").collect():
+        got[r["call_id"]].append((r["key"], r["raw_value"]))
+    assert got == dict(enumerate(NESTED.values()))
+    catalog = catalog_df(spark, [FN])
+    assert C.missing_keys(calls, catalog).count() == 0
+    assert {(r["call_id"], r["key"], r["lexical_class"]) for r in C.type_mismatches(calls, catalog).collect()} == {(i, "k", "invalid") for i in range(len(texts))}
