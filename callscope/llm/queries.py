@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import chat, decontaminate, knn, license_scan, oracles, packing, pii, quality, simhash, token_counts, url_filter
+from callscope.llm import chat, decontaminate, knn, license_scan, oracles, packing, pii, quality, repair, simhash, token_counts, url_filter
 from callscope.llm.common import with_package
 from callscope.session import table
 
@@ -65,6 +65,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    found = repair.report(repair.damaged(conversations)).withColumnRenamed("conv_id", "found")
+    ids = conversations.select("conv_id").distinct()
+    out = ids.join(found, F.col("conv_id").eqNullSafe(F.col("found")), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select("conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers),
+                      F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {f.__name__: with_package(f) for f in (
     op1_packing,
     op2_decontamination,
@@ -76,6 +86,7 @@ QUERIES = {f.__name__: with_package(f) for f in (
     op8_quality,
     op9_url_filter,
     op10_pii,
+    op11_conversation_repair,
 )}
 ORACLE = {
     "op6_topk": oracles.topk(),
