@@ -69,3 +69,38 @@ scored AS (
 SELECT doc_id, license, max(dice) AS best_dice, count(*) AS n_units
 FROM scored WHERE dice >= {THRESHOLD} GROUP BY doc_id, license
 """
+
+
+def warc() -> str:
+    return """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, row_number() OVER () AS n FROM pages),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY payload_digest, payload_bytes ORDER BY page_id DESC NULLS LAST, n) AS k,
+         first_value(page_id) OVER (PARTITION BY payload_digest, payload_bytes ORDER BY page_id DESC NULLS LAST, n) AS original FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN k > 1 AND payload_bytes >= 1000 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN k > 1 AND payload_bytes >= 1000 THEN original END AS refers_to
+FROM ranked
+"""
+
+
+def hard_negatives() -> str:
+    return """
+WITH e AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, a.label AS anchor_label, a.v AS anchor_v, c.id AS id, c.label AS label, list_inner_product(a.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM e a JOIN e c ON len(a.v) = len(c.v) WHERE a.id % 100 = 0),
+positives AS (
+  SELECT anchor_id, anchor_label, anchor_v, id AS positive_id, score AS positive_score FROM scored WHERE id != anchor_id AND label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id, anchor_label, anchor_v ORDER BY score DESC, id) <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.positive_id, s.id AS negative_id, p.positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.anchor_label, p.anchor_v, p.positive_id, p.positive_score ORDER BY s.score DESC, s.id)::INTEGER AS rank
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND p.anchor_label = s.anchor_label AND p.anchor_v = s.anchor_v
+  WHERE s.label != s.anchor_label AND 100 * s.score BETWEEN 80 * p.positive_score AND 100 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5
+"""

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import chat, decontaminate, knn, license_scan, oracles, packing, pii, quality, repair, simhash, token_counts, url_filter
-from callscope.llm.common import with_package
+from callscope.llm import chat, decontaminate, hard_negatives, knn, license_scan, oracles, packing, pii, quality, repair, simhash, token_counts, url_filter, warc
+from callscope.llm.common import shared_path, stage, with_package
 from callscope.session import table
 
 
@@ -75,6 +75,22 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = shared_path(spark, "archives")
+    warc.write_archives(pages, path)
+    records = warc.with_originals(stage(warc.read_archives(spark, path, with_payload=False), "headers"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    source = lambda c: warc.unquoted(F.col(c)).cast(kind)
+    return records.select(source("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", source("refers_to").alias("refers_to"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    embeddings = table(spark, sf_dir, "embeddings").withColumn("label", relabelled)
+    return hard_negatives.mine(embeddings, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: with_package(f) for f in (
     op1_packing,
     op2_decontamination,
@@ -87,9 +103,13 @@ QUERIES = {f.__name__: with_package(f) for f in (
     op9_url_filter,
     op10_pii,
     op11_conversation_repair,
+    op12_warc,
+    op13_hard_negatives,
 )}
 ORACLE = {
     "op6_topk": oracles.topk(),
     "op7_license_scan": oracles.license_scan(),
     "op9_url_filter": oracles.url_filter(URL_RULES),
+    "op12_warc": oracles.warc(),
+    "op13_hard_negatives": oracles.hard_negatives(),
 }

@@ -37,5 +37,5 @@ def test_run_writes_what_the_stages_give(spark):
 def test_queries_have_sql_where_it_can_express_them():
     from callscope.llm import queries
 
-    assert sorted(queries.ORACLE) == ["op6_topk", "op7_license_scan", "op9_url_filter"]
-    assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{n}" for n in range(1, 12))
+    assert sorted(queries.ORACLE) == ["op12_warc", "op13_hard_negatives", "op6_topk", "op7_license_scan", "op9_url_filter"]
+    assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{n}" for n in range(1, 14))
