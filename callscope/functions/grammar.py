@@ -36,7 +36,6 @@ from dataclasses import dataclass
 #   router fallback name       none
 TYPE_NAMES = ("string", "number", "integer", "float", "boolean", "null")
 ROUTER_FALLBACK = "none"
-NESTED = 16  # levels of objects and arrays in a raw value; deeper ones are read as loose text
 
 # Lexical classes a raw value can have; ``invalid`` when none applies.
 LEXICAL_CLASSES = ("integer", "number", "string", "boolean", "null", "invalid")
@@ -279,28 +278,6 @@ class Grammar:
         c, star = '[^"\\\\]', self._star()
         return '"' + c + star + "(?:\\\\[\\s\\S]" + c + star + ")" + star + '"'
 
-    def nested(self, depth: int = NESTED) -> str:
-        """An object or array with all in it, to ``depth`` levels."""
-        plus = "++" if self.dialect == "java" else "+"
-        inner = "[^\"{}\\[\\]]" + plus + "|" + self.loose_string
-        pattern = ""
-        for _ in range(depth):
-            pattern = "[{\\[](?:" + inner + ("|" + pattern if pattern else "") + ")" + self._star() + "[}\\]]"
-        return pattern
-
-    @property
-    def object_body(self) -> str:
-        """Group 1: what stands between the first brace and the one that closes it (or the end), strings of any form skipped."""
-        plus = "++" if self.dialect == "java" else "+"
-        return "\\A" + self.ws + "\\{((?:[^\"{}]" + plus + "|" + self.loose_string + "|" + self.nested() + "|\\{)" + self._star() + ")"
-
-    @property
-    def loose_item(self) -> str:
-        """``"key" : raw`` in a body; group 1 = key, 2 = raw value, of any form, up to a comma or white space."""
-        rest = "[^, \\t\\n\\r]" + self._star()
-        whole = "(?:" + self.loose_string + "|" + self.nested() + ")" + rest
-        return '"(' + self.key_chars + ')"' + self.ws + ":" + self.ws + "(" + whole + '|[^", \\t\\n\\r]' + rest + ")"
-
     @property
     def leading_item(self) -> str:
         """A complete item at the start of a tail (groups as in ``item``)."""

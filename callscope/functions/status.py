@@ -22,6 +22,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callscope.functions.grammar import ADMITS, JAVA, LEXICAL_CLASSES
+from callscope.functions.items import with_items
 
 G = JAVA
 
@@ -84,10 +85,9 @@ def _items(text: Column, pattern: str):
     return keys, vals
 
 
-def loose_items(body: Column) -> tuple[Column, Column]:
-    """Keys and raw values, of any form, of an object's body."""
-    pattern = F.lit(G.loose_item)
-    return F.regexp_extract_all(body, pattern, 1), F.regexp_extract_all(body, pattern, 2)
+def document_items(text: Column) -> tuple[Column, Column]:
+    """Keys and raw values of a complete document."""
+    return _items(text, G.item)
 
 
 def typed_ok(keys: Column, vals: Column, types: Column) -> Column:
@@ -219,13 +219,8 @@ def add_status(df, text: str = "text", keys: str = "keys", types: str = "types",
         temps += ["_tail", "_rem", "_isti", "_tk", "_colon", "_rest"]
     if not keep_head:  # keep_head leaves _head, _hk (keys), _hv (values) for the caller
         temps = ["_head", "_hk", "_hv"] + temps
-    extra = []
-    if with_fields:
-        s3 = s3.withColumn("_body", F.regexp_extract(t, G.object_body, 1))
-        temps.append("_body")
-        fk, fv = loose_items(F.col("_body"))
-        extra = [fk.alias("fkeys"), fv.alias("fvals")]
-    return s3.select("*", status.alias(out), *extra).drop(*temps)
+    done = s3.select("*", status.alias(out)).drop(*temps)
+    return with_items(done, text) if with_fields else done
 
 
 def tail_viable(tail: Column, rem: Column, types: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import status as S
 from callscope.functions.grammar import JAVA as G
+from callscope.functions.items import with_items
 from callscope.operators.catalog import attach_schema
 from callscope.session import broadcast_if_small
 
@@ -26,19 +27,6 @@ STATUS_VALUES = (S.TERMINAL, S.INCOMPLETE, S.REJECTED)
 # Row-local parsing helpers
 # --------------------------------------------------------------------------
 
-def document_fields(text: Column) -> tuple[Column, Column]:
-    """(keys, raw values) of the items of an object, well-formed or not.
-
-    A raw value is a whole string, or anything else up to the next comma, white
-    space or closing brace, so ``087`` or ``abc`` come out as they stand (their
-    lexical class is ``invalid``) and items after them are still found.  String
-    literals are consumed whole, so ``"x":`` inside a value is never taken for a
-    key; a string that never ends is no value yet.
-    """
-    body = F.regexp_extract(text, G.object_body, 1)
-    return S.loose_items(body)
-
-
 def with_parse(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     """Calls + schema + status + fields, all computed row-locally."""
     return S.add_status(attach_schema(calls, catalog), with_fields=True)
@@ -135,9 +123,7 @@ def first_error_position(calls: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def call_fields(calls: DataFrame) -> DataFrame:
     """C4: key/value pairs in document order, raw text (needs no catalog)."""
-    fkeys, fvals = document_fields(F.col("text"))
-    df = calls.select("call_id", "function", fkeys.alias("fkeys"), fvals.alias("fvals"))
-    return _explode_fields(df, "call_id", "function")
+    return _explode_fields(with_items(calls.select("call_id", "function", "text")), "call_id", "function")
 
 
 def unknown_keys(calls: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from callscope.functions import status as S
 from callscope.functions.grammar import JAVA as G
-from callscope.operators.calls import document_fields
 
 MISSING = "<missing>"
 REPEATED = "<repeated>"
@@ -29,7 +28,7 @@ ALL = "__all__"
 
 def complete_fields(text: Column) -> Column:
     """Sorted (key, raw value) pairs of a complete parameters object; null for any other text."""
-    keys, vals = document_fields(text)
+    keys, vals = S.document_items(text)
     pairs = F.array_sort(F.zip_with(keys, vals, lambda k, v: F.struct(k.alias("key"), v.alias("raw"))))
     return F.when(text.rlike(G.document) | text.rlike(G.empty_object), pairs)
 

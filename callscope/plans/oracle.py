@@ -111,7 +111,12 @@ CALLS_WIDE = r"""
   FROM (
     SELECT call_id, function, d,
       CASE WHEN d = 5 THEN list_filter(rot, lambda x: NOT starts_with(x, '"note"'))
-           WHEN d = 0 AND call_id % 11 = 3 THEN list_append(rot, '"o_orderkey": 0') ELSE rot END AS kept
+           WHEN d = 0 AND call_id % 11 = 3 THEN list_append(rot, '"o_orderkey": 0')
+           WHEN d = 0 AND call_id % 11 = 7 THEN list_append(rot, '"o\"status": 1')
+           WHEN d = 0 AND call_id % 11 IN (5, 8, 9) THEN list_transform(rot, lambda x: CASE WHEN NOT starts_with(x, '"note"') THEN x
+             WHEN call_id % 11 = 5 THEN '"note": ' || repeat('{"note": [', CAST(call_id % 60 + 1 AS INTEGER)) || '1' || repeat(']}', CAST(call_id % 60 + 1 AS INTEGER))
+             WHEN call_id % 11 = 8 THEN '"note": ' ELSE '"note" null' END)
+           ELSE rot END AS kept
     FROM (
       SELECT call_id, function, d, list_slice(items, r + 1, 5) || list_slice(items, 1, r) AS rot
       FROM (
@@ -235,21 +240,27 @@ TRUTH_WIDE = """
   SELECT call_id, function, text,
     ['o_orderkey', 'o_totalprice', 'o_orderstatus', 'urgent', 'note'] AS keys,
     ['integer', 'number', 'string', 'boolean', CASE WHEN function = 'order_p' THEN 'string' ELSE 'null' END] AS types,
-    CASE WHEN wrong_note OR twice OR d IN (3, 4, 5, 6) THEN 'REJECTED' WHEN d = 2 THEN 'INCOMPLETE' ELSE 'TERMINAL' END AS status,
+    CASE WHEN wrong_note OR twice OR odd >= 5 OR d IN (3, 4, 5, 6) THEN 'REJECTED' WHEN d = 2 THEN 'INCOMPLETE' ELSE 'TERMINAL' END AS status,
     list_transform(items, lambda x: x.k) AS fkeys, list_transform(items, lambda x: x.v) AS fvals,
     list_filter([
-      CASE WHEN d = 4 THEN 'unknown' END, CASE WHEN d IN (4, 5) THEN 'missing' END, CASE WHEN twice THEN 'duplicate' END,
-      CASE WHEN d = 3 OR wrong_note THEN 'type' END, CASE WHEN d = 2 AND NOT wrong_note THEN 'truncated' END,
+      CASE WHEN d = 4 OR odd = 7 THEN 'unknown' END, CASE WHEN d IN (4, 5) THEN 'missing' END, CASE WHEN twice THEN 'duplicate' END,
+      CASE WHEN d = 3 OR wrong_note OR odd IN (5, 8, 9) THEN 'type' END, CASE WHEN d = 2 AND NOT wrong_note THEN 'truncated' END,
       CASE WHEN d = 6 AND NOT wrong_note THEN 'syntax' END], lambda x: x IS NOT NULL) AS violations
   FROM (
     SELECT *, function = 'order_p' AND d NOT IN (4, 5) AS wrong_note,
       CASE WHEN d = 5 THEN list_filter(rot, lambda x: x.k <> 'note')
-           WHEN twice THEN list_append(rot, {'k': 'o_orderkey', 'v': '0'}) ELSE rot END AS items
+           WHEN twice THEN list_append(rot, {'k': 'o_orderkey', 'v': '0'})
+           WHEN odd = 7 THEN list_append(rot, {'k': 'o\\"status', 'v': '"o\\"status": 1'})
+           WHEN odd >= 5 THEN list_transform(rot, lambda x: CASE WHEN x.k <> 'note' THEN x ELSE {'k': 'note', 'v':
+             CASE odd WHEN 8 THEN '' WHEN 9 THEN '"note" null'
+             ELSE repeat('{"note": [', CAST(call_id % 60 + 1 AS INTEGER)) || '1' || repeat(']}', CAST(call_id % 60 + 1 AS INTEGER)) END} END)
+           ELSE rot END AS items
     FROM (
       SELECT *, list_slice(named, r + 1, 5) || list_slice(named, 1, r) AS rot
       FROM (
         SELECT c.*, o_orderkey % 7 AS d, CAST(o_orderkey % 5 AS INTEGER) AS r,
           o_orderkey % 7 = 0 AND o_orderkey % 11 = 3 AS twice,
+          CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 11 IN (5, 7, 8, 9) THEN o_orderkey % 11 ELSE -1 END AS odd,
           [{'k': 'o_orderkey', 'v': CAST(o_orderkey AS STRING)},
            {'k': 'o_totalprice', 'v': CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING)},
            {'k': 'o_orderstatus', 'v': '"' || o_orderstatus || '"'},

@@ -145,11 +145,19 @@ def v_calls_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rotated = F.concat(F.slice(items, r + 1, 5), F.slice(items, F.lit(1), r))
     kept = F.when(d == 5, F.filter(rotated, lambda x: ~x.startswith('"note"'))).otherwise(rotated)
+    # some complete objects have a note nested many levels deep, one that is empty or lacks its colon, or a key with an escape
+    odd = F.when(d == 0, F.col("o_orderkey") % 11).otherwise(-1)
+    level = ((F.col("o_orderkey") % 60) + 1).cast("int")
+    deep = F.concat(F.repeat(F.lit('{"note": ['), level), F.lit("1"), F.repeat(F.lit("]}"), level))
+    note = F.when(odd == 5, F.concat(F.lit('"note": '), deep)).when(odd == 8, '"note": ').when(odd == 9, '"note" null')
+    kept = F.transform(kept, lambda x: F.when(x.startswith('"note"') & note.isNotNull(), note).otherwise(x))
+    kept = F.when(odd == 7, F.concat(kept, F.array(F.lit('"o\\"status": 1')))).otherwise(kept)
     # some complete objects name a key twice
     kept = F.when((d == 0) & (F.col("o_orderkey") % 11 == 3), F.concat(kept, F.array(F.lit('"o_orderkey": 0')))).otherwise(kept)
-    body = F.array_join(kept, ", ")
+    o = o.withColumn("kept", kept)  # made once
+    body = F.array_join("kept", ", ")
     text = (
-        F.when(d == 1, F.concat(F.lit("{\n  "), F.array_join(kept, ",\n  "), F.lit("\n}")))
+        F.when(d == 1, F.concat(F.lit("{\n  "), F.array_join("kept", ",\n  "), F.lit("\n}")))
         .when(d == 2, F.concat(F.lit("{"), body))
         .when(d == 6, F.concat(F.lit("{"), body, F.lit(",}")))
         .otherwise(F.concat(F.lit("{"), body, F.lit("}")))

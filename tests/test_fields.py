@@ -1,5 +1,7 @@
 """C4-C9, C13 on malformed values: whole raw values, and items after them are still found."""
 
+import random
+
 import pytest
 from test_io_prompts_pipeline import catalog_df
 
@@ -13,7 +15,7 @@ FIELDS = {
     '{"k": truex,"a":"}, \\"q\\": 1"}': [("k", "truex"), ("a", '"}, \\"q\\": 1"')],
     '{"k": abc, "a": "x"}': [("k", "abc"), ("a", '"x"')],
     '{"k": 087, "zz": 1, "zz": 2}': [("k", "087"), ("zz", "1"), ("zz", "2")],
-    '{"k": , "a": "x"}': [("a", '"x"')],
+    '{"k": , "a": "x"}': [("k", ""), ("a", '"x"')],
     '{"k": "x"y, "a": "z"}': [("k", '"x"y'), ("a", '"z"')],
     '{"k": 1}, "a": "x"': [("k", "1")],
     '{"k": 1 "a": "x"}': [("k", "1"), ("a", '"x"')],
@@ -49,7 +51,7 @@ def test_findings_see_past_a_bad_value(spark, calls):
     found = {texts[r["call_id"]]: r["violations"] for r in C.call_violations(calls, catalog).collect()}
     assert found['{"k": 087}'] == ["missing", "type"] and found['{"k": 1e5, "a": "x"}'] == ["type"]
     profile = {r["key"]: r for r in C.param_type_profile(calls).collect()}
-    assert profile["k"]["n_invalid"] == 6 and profile["k"]["inferred_type"] == "mixed"
+    assert profile["k"]["n_invalid"] == 7 and profile["k"]["inferred_type"] == "mixed"
 
 
 NESTED = {
@@ -73,3 +75,76 @@ def test_items_behind_bad_strings_and_nested_values(spark):
     catalog = catalog_df(spark, [FN])
     assert C.missing_keys(calls, catalog).count() == 0
     assert {(r["call_id"], r["key"], r["lexical_class"]) for r in C.type_mismatches(calls, catalog).collect()} == {(i, "k", "invalid") for i in range(len(texts))}
+
+
+DEEP = '{"k": ' + '{"x": ["k", {"a": ' * 100 + "1" + "}]}" * 100 + ', "a": "x"}'
+ODD = {
+    '{"k\\"q": 1, "a": "x"}': [('k\\"q', '"k\\"q": 1'), ("a", '"x"')],
+    '{"k" 1, "a": "x"}': [("k", '"k" 1'), ("a", '"x"')],
+    '{"k", "a": "x"}': [("k", '"k"'), ("a", '"x"')],
+    '{"k": , "a": }': [("k", ""), ("a", "")],
+    '{"k": {"x": 1, "a": "x"': [], '{"k": [1, "a"': [], '{"k"': [], '{"k":': [], '{"k": "x", "a': [("k", '"x"')],
+    '{"k": [{"x": 1], "a": "x"}': [("k", '[{"x": 1]'), ("a", '"x"')],
+    '{"k": 1], "a": "x"}': [("k", "1]"), ("a", '"x"')],
+    '{k: 1, "a": "x"}': [("a", '"x"')], '{{"k": 1}, "a": "x"}': [("a", '"x"')], '{5: {"k": 1}, "a": "x"}': [("a", '"x"')],
+    '{"k": {"x": 1}y, "a": "x"}': [("k", '{"x": 1}y'), ("a", '"x"')],
+    '{"k"  :{"x":[]} "a":"x"}': [("k", '{"x":[]}'), ("a", '"x"')],
+    DEEP: [("k", DEEP[6:DEEP.rindex(", ")]), ("a", '"x"')],
+    '{"k": ' + "[" * 3000 + "]" * 3000 + "}": [("k", "[" * 3000 + "]" * 3000)],
+    '{"k": é, "ü": "ß\u2028", "a": "x"}': [("k", "é"), ("ü", '"ß\u2028"'), ("a", '"x"')],
+}
+
+
+def fields_of(spark, texts):
+    calls = spark.createDataFrame([(i, "f", t) for i, t in enumerate(texts)], "call_id long, function string, text string")
+    got = [[] for _ in texts]
+    for r in C.call_fields(calls).orderBy("call_id", "pos").collect():
+        got[r["call_id"]].append((r["key"], r["raw_value"]))
+    return calls, got
+
+
+def test_odd_items_and_depth(spark):
+    calls, got = fields_of(spark, list(ODD))
+    assert got == list(ODD.values())
+    catalog, texts = catalog_df(spark, [FN]), list(ODD)
+    bad = {(texts[r["call_id"]], r["key"], r["lexical_class"]) for r in C.type_mismatches(calls, catalog).collect()}
+    assert {('{"k" 1, "a": "x"}', "k", "invalid"), ('{"k": , "a": }', "k", "invalid"), (DEEP, "k", "invalid")} <= bad
+    missing = {(texts[r["call_id"]], r["key"]) for r in C.missing_keys(calls, catalog).collect()}
+    assert ('{"k\\"q": 1, "a": "x"}', "k") in missing and not {m for m in missing if m[0] in ('{"k": , "a": }', DEEP)}
+    unknown = {(texts[r["call_id"]], r["key"]) for r in C.unknown_keys(calls, catalog).collect()}
+    assert ('{"k\\"q": 1, "a": "x"}', 'k\\"q') in unknown and not {u for u in unknown if u[0] == DEEP}
+    assert C.duplicate_keys(calls, catalog).count() == 0
+    classes = {r["key"]: r["n_invalid"] for r in C.param_type_profile(calls).collect()}
+    assert classes['k\\"q'] == 1
+
+
+def test_items_known_by_construction(spark):
+    """Random objects put together from items whose keys and raw values are known."""
+    rng = random.Random(21)
+    blank = lambda: rng.choice(["", "", " ", "\n  ", "\t\r\n"])
+
+    def nested(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice(['"}"', '"a\\"]"', "1", "", "null", '"k": 2', "{}", "[]", '"x" : [ ]'])
+        inner = (rng.choice([",", ", ", ":", " "])).join(nested(depth - 1) for _ in range(rng.randrange(1, 4)))
+        return ("{%s}" if rng.random() < 0.5 else "[%s]") % inner
+
+    texts, known = [], []
+    for _ in range(400):
+        items = []
+        for _ in range(rng.randrange(0, 6)):
+            key = rng.choice(["k", "a", "", "é", "x{", ",", "}"])
+            raw = rng.choice(["1", "-0.5", '"s"', '"\\""', '"a,}"', "087", "true", "{%s}" % nested(rng.randrange(12)), "[%s]" % nested(rng.randrange(12)), '"bad\\q"', '"x"y'])
+            shape = rng.random()
+            if shape < 0.7:
+                items.append((key, raw, f'"{key}"{blank()}:{blank()}{raw}'))
+            elif shape < 0.8:
+                items.append((key, "", f'"{key}"{blank()}:{blank()}'))
+            elif shape < 0.9:
+                items.append((key, f'"{key}"{raw}', f'"{key}"{raw}'))
+            else:
+                items.append((f'\\"{key}', f'"\\"{key}": {raw}', f'"\\"{key}": {raw}'))
+        body = "".join(f"{blank()}{text}{blank()}," for *_, text in items)
+        texts.append(blank() + "{" + (body[:-1] if rng.random() < 0.8 else body) + "}" + rng.choice(["", " ", "x", ', "zz": 1', "}"]))
+        known.append([(key, raw) for key, raw, _ in items])
+    assert fields_of(spark, texts)[1] == known
