@@ -139,7 +139,9 @@ def with_items(df: DataFrame, text: str = "text", keys: str = "fkeys", values: s
     staged = staged.withColumn("_items", F.transform(F.transform("_places", item), split))
     flat_keys = F.regexp_extract_all(t, F.lit(JAVA.item), 1)
     flat_values = F.transform(F.regexp_extract_all(t, F.lit(JAVA.item), 2), lambda v: F.rtrim(v, F.lit(" \t\n\r")))
-    out = staged.withColumns({
-        keys: F.when(F.col("_flat"), flat_keys).otherwise(F.col("_items.key")),
-        values: F.when(F.col("_flat"), flat_values).otherwise(F.col("_items.value"))})
-    return out.drop("_flat", "_tokens", "_scan", "_places", "_from", "_bytes", "_items")
+    found = F.struct(
+        F.when(F.col("_flat"), flat_keys).otherwise(F.col("_items.key")).alias("k"),
+        F.when(F.col("_flat"), flat_values).otherwise(F.col("_items.value")).alias("v"))
+    # one row each: a generator keeps filters on the items from being worked out again below every stage
+    out = staged.select(*df.columns, F.explode(F.array(found)).alias("_found"))
+    return out.select(*df.columns, F.col("_found.k").alias(keys), F.col("_found.v").alias(values))
