@@ -224,11 +224,16 @@ def _work_dir(spark: SparkSession, name: str) -> str:
 
 
 def _validate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1 over calls of which many are delivered again: in the same file, in a later one, and after a restart."""
     root = _work_dir(spark, "h1")
-    FX.v_calls(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/source")
-    q = H.validate_stream(spark, f"{root}/source", FX.v_catalog(spark, sf_dir), f"{root}/sink", f"{root}/checkpoint")
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/sink")
+    calls, catalog = FX.v_calls(spark, sf_dir), FX.v_catalog(spark, sf_dir)
+    again = calls.where("call_id % 3 = 0")
+    calls.unionByName(again).write.parquet(f"{root}/source")
+    start = lambda: H.validate_stream(spark, f"{root}/source", catalog, f"{root}/sink", f"{root}/checkpoint")
+    start().awaitTermination()
+    again.unionByName(calls.where("call_id % 5 = 0")).write.mode("append").parquet(f"{root}/source")
+    start().awaitTermination()
+    return H.read_results(spark, f"{root}/sink")
 
 
 def _catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
