@@ -31,7 +31,8 @@ from callscope.operators import calls as C
 from callscope.operators import prompts as D
 from callscope.operators import select as E
 from callscope.operators.catalog import attach_schema, resolved, routing_domain
-from callscope.session import broadcast_if_small, ensure_checkpoint_dir
+from callscope.plans.run_store import RunStore
+from callscope.session import broadcast_if_small
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -107,29 +108,22 @@ def lexical_extractor(catalog: DataFrame) -> Scorer:
 # Retry only INCOMPLETE outputs
 # --------------------------------------------------------------------------
 
-def _materialized(scored: DataFrame) -> DataFrame:
-    """A scorer's output, written once.
-
-    A scorer may answer differently each time it is asked (only then does a
-    retry help), so its output must not be worked out again by each reader.
-    """
-    ensure_checkpoint_dir(scored.sparkSession)
-    return scored.checkpoint(eager=True)
-
-
-def _attempts(scored: DataFrame, scorer: Scorer, check: Callable[[DataFrame], DataFrame], max_attempts: int) -> DataFrame:
+def _attempts(first: DataFrame, again: Callable[[int, DataFrame], DataFrame], request: list[str],
+              check: Callable[[DataFrame], DataFrame], max_attempts: int) -> DataFrame:
     """Check scored rows and score the INCOMPLETE ones again; each row ends up here exactly once.
 
-    ``check`` adds ``status`` (and what else it likes) to the scorer's output.
+    ``first`` and what ``again`` returns are written tables: a scorer may answer
+    differently each time it is asked (only then does a retry help), so its
+    output must not be worked out again by each reader.  ``check`` adds
+    ``status`` (and what else it likes) to it.
     """
-    request = [c for c in scored.columns if c not in ("output", "status")]
-    current = check(_materialized(scored))
+    current = check(first)
     ended = []
     for attempt in range(2, max_attempts + 1):
         unfinished = F.col("status") == S.INCOMPLETE
         ended.append(current.where(~unfinished))
         redo = current.where(unfinished).select(*request).withColumn("attempt", F.lit(attempt))
-        current = check(_materialized(scorer(redo)))
+        current = check(again(attempt, redo))
     for part in ended:
         current = part.unionByName(current, allowMissingColumns=True)
     return current
@@ -144,22 +138,33 @@ def retry_incomplete(scored: DataFrame, scorer: Scorer, catalog: DataFrame,
     attempt's output is written before it is split by status, so each row is
     scored once per attempt and comes out once.  Adds ``status``.
     """
+    store = RunStore(scored.sparkSession)
+    store.add("scored", scored)
+    first = store.spark.read.parquet(*store.parts("scored"))
+    return _extracted(first, scorer, catalog, store, max_attempts)
+
+
+def _extracted(first: DataFrame, scorer: Scorer, catalog: DataFrame, store: RunStore, max_attempts: int) -> DataFrame:
     def check(df: DataFrame) -> DataFrame:
         doc = df.withColumnRenamed("text", "_request").select(
             "*", F.col("name").alias("function"), strip(F.coalesce("output", F.lit(""))).alias("text"))
         out = S.add_status(attach_schema(doc, catalog))
         return out.drop("keys", "types", "function", "text").withColumnRenamed("_request", "text")
 
-    return _attempts(scored, scorer, check, max_attempts)
+    request = [c for c in first.columns if c not in ("output", "status")]
+    return _attempts(first, lambda n, redo: store.answers(f"extract-{n}", redo, scorer), request, check, max_attempts)
 
 
-def route_prompts(requests: DataFrame, scorer: Scorer, catalog: DataFrame, max_attempts: int = 2) -> DataFrame:
+def route_prompts(requests: DataFrame, scorer: Scorer, catalog: DataFrame, max_attempts: int = 2,
+                  store: RunStore | None = None) -> DataFrame:
     """The routing phase: the scorer's rows with ``status`` and ``selected`` (null unless TERMINAL).
 
     A document cut short is INCOMPLETE and scored again, as in extraction; a
-    complete one whose name is no candidate is REJECTED.
+    complete one whose name is no candidate is REJECTED.  Answers are kept in
+    ``store`` and taken from there.
     """
     domain = routing_domain(catalog)
+    store = store or RunStore(requests.sparkSession)
 
     def check(df: DataFrame) -> DataFrame:
         doc = df.withColumnRenamed("text", "_request").select(
@@ -172,7 +177,8 @@ def route_prompts(requests: DataFrame, scorer: Scorer, catalog: DataFrame, max_a
         out = out.withColumn("status", status.otherwise(F.lit(S.REJECTED)))
         return out.drop("call_id", "accepted", "_status").withColumnRenamed("_request", "text")
 
-    return _attempts(scorer(requests), scorer, check, max_attempts)
+    first = store.answers("route-1", requests, scorer)
+    return _attempts(first, lambda n, redo: store.answers(f"route-{n}", redo, scorer), requests.columns, check, max_attempts)
 
 
 # --------------------------------------------------------------------------
@@ -181,7 +187,7 @@ def route_prompts(requests: DataFrame, scorer: Scorer, catalog: DataFrame, max_a
 
 def run_two_phase(prompts: DataFrame, catalog: DataFrame, router_scorer: Scorer | None = None,
                   extractor_scorer: Scorer | None = None, examples: DataFrame | None = None,
-                  max_attempts: int = 2) -> tuple[DataFrame, DataFrame]:
+                  max_attempts: int = 2, run_dir: str | None = None, slices: int = 1) -> tuple[DataFrame, DataFrame]:
     """``(results, errors)``.
 
     ``results(prompt_id, prompt, name, parameters)`` -- ``parameters`` is the
@@ -190,12 +196,20 @@ def run_two_phase(prompts: DataFrame, catalog: DataFrame, router_scorer: Scorer
     ``incomplete`` or ``rejected``.  Every prompt ends in exactly one of the two.
     The prompt text rides along every step, so no step joins back to the prompt
     table; both phases retry outputs that were cut short.
+
+    Every answer of a scorer is kept under ``run_dir``, by phase and attempt.  A
+    batch that was stopped is taken up by calling this again with the same
+    folder: only prompts without an answer are asked for, also if some are new.
+    With ``slices`` an attempt is written in so many parts, and a stop costs no
+    more than one.  Without a folder the batch gets a new one, so it starts
+    afresh.  Another scorer or catalog needs another folder.
     """
+    store = RunStore(prompts.sparkSession, run_dir, slices)
     router_scorer = router_scorer or lexical_router(catalog)
     extractor_scorer = extractor_scorer or lexical_extractor(catalog)
 
     rp = D.build_router_prompts(prompts, catalog, keep=("prompt",)).withColumn("attempt", F.lit(1))
-    routed_docs = route_prompts(rp, router_scorer, catalog, max_attempts)
+    routed_docs = route_prompts(rp, router_scorer, catalog, max_attempts, store)
     router_errors = _errors(routed_docs, "route")
     routed = E.route_calls(
         routed_docs.where(F.col("status") == S.TERMINAL).select("prompt_id", "selected", "prompt"),
@@ -207,7 +221,7 @@ def run_two_phase(prompts: DataFrame, catalog: DataFrame, router_scorer: Scorer
 
     to_extract = routed.where("extract").select("prompt_id", "prompt", "name")
     ep = D.build_extractor_prompts(to_extract, catalog, examples, keep=("prompt",)).withColumn("attempt", F.lit(1))
-    checked = retry_incomplete(extractor_scorer(ep), extractor_scorer, catalog, max_attempts)
+    checked = _extracted(store.answers("extract-1", ep, extractor_scorer), extractor_scorer, catalog, store, max_attempts)
     extracted = checked.where(F.col("status") == S.TERMINAL).select(
         "prompt_id", "prompt", "name", strip(F.col("output")).alias("parameters")
     )

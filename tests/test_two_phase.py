@@ -96,6 +96,60 @@ def test_broadcast_only_below_both_bounds(spark):
     assert not hinted(broadcast_if_small(df.selectExpr("repeat('é', 100) s"), max_bytes=20_000))
 
 
+def failing(spark, answer, word):
+    """A counting scorer whose tasks die at a prompt that holds the word."""
+    def sudden(t, a):
+        if word in t:
+            raise RuntimeError("stopped")
+        return answer(t, a)
+
+    return counting(spark, sudden)
+
+
+ROUTE = lambda t, a: '{"name": "none"}' if "weather 7" in t else '{"name": "get_weather"}'
+EXTRACT = lambda t, a: '{"location": "x"}' if a == 2 or "weather 1" in t else '{"location": "x'
+
+
+def test_stopped_batch_asks_for_nothing_twice(spark, tmp_path):
+    prompts, catalog, folder = prompts_df(spark, 40), catalog_df(spark, [WEATHER]), f"{tmp_path}/run"
+    router, routings = counting(spark, ROUTE)
+    dying, _ = failing(spark, EXTRACT, "weather 33")
+    with pytest.raises(Exception, match="stopped"):
+        T.run_two_phase(prompts, catalog, router, dying, run_dir=folder)
+    assert routings.value == 40
+    extractor, extractions = counting(spark, EXTRACT)
+    results, errors = T.run_two_phase(prompts, catalog, router, extractor, run_dir=folder)
+    assert results.count() == 40 and errors.count() == 0
+    assert routings.value == 40 and extractions.value == 39 + 28  # 11 prompts go through at once; the others are asked for again
+    results, errors = T.run_two_phase(prompts_df(spark, 42).where("prompt_id != 5"), catalog, router, extractor, run_dir=folder)
+    assert sorted(r["prompt_id"] for r in results.collect()) == sorted({*range(42)} - {5}) and errors.count() == 0
+    assert routings.value == 42 and extractions.value == 39 + 28 + 4
+
+
+def test_stopped_slice_is_the_only_one_asked_for_again(spark, tmp_path):
+    prompts, catalog, folder = prompts_df(spark, 60), catalog_df(spark, [WEATHER]), f"{tmp_path}/run"
+    dying, _ = failing(spark, ROUTE, "weather 16")  # in the fourth slice
+    with pytest.raises(Exception, match="stopped"):
+        T.run_two_phase(prompts, catalog, dying, run_dir=folder, slices=6)
+    router, routings = counting(spark, ROUTE)
+    extractor, extractions = counting(spark, lambda t, a: '{"location": "x"}')
+    store = T.RunStore(spark, folder)
+    held = spark.read.parquet(*store.parts("route-1")).count() if store.parts("route-1") else 0
+    results, errors = T.run_two_phase(prompts, catalog, router, extractor, run_dir=folder, slices=6)
+    assert sorted(r["prompt_id"] for r in results.collect()) == list(range(60)) and errors.count() == 0
+    assert routings.value == 60 - held and 0 < held < 60 and extractions.value == 59
+
+
+def test_unfinished_parts_are_not_read(spark, tmp_path):
+    store = T.RunStore(spark, f"{tmp_path}/run")
+    rows = spark.createDataFrame([(1, "a", "x")], "prompt_id long, text string, output string")
+    store.add("route-1", rows)
+    rows.write.parquet(f"{tmp_path}/run/route-1/part-cut-short")
+    assert len(store.parts("route-1")) == 1
+    asked = store.answers("route-1", rows.select("prompt_id", "text"), lambda df: df.withColumn("output", F.lit("again")))
+    assert [r["output"] for r in asked.collect()] == ["x"]
+
+
 def test_recorded_outputs_replay(spark):
     ddl = "prompt_id long, attempt int, output string"
     routed = spark.createDataFrame([(i, 1, '{"name": "get_weather"}') for i in range(3)] + [(3, 1, '{"na'), (3, 2, '{"name": "none"}')], ddl)
