@@ -28,11 +28,19 @@ def apply_mask(scores: DataFrame, mask: DataFrame) -> DataFrame:
 def masked_argmax(scores: DataFrame, mask: DataFrame) -> DataFrame:
     """Highest raw score among the allowed candidates; ties -> lowest ``ord``.
 
-    ``max_by`` is a partial aggregate, so a step with a huge candidate list is
-    pre-reduced map-side before the shuffle on ``step_id``.
+    Scores and mask are dealt out by step together, in one exchange.  A step's
+    rows are then in one task, so its candidates are matched by aggregation and
+    the best is taken without another exchange; a step has no more rows than the
+    vocabulary, twice.
     """
-    m = apply_mask(scores, mask)
-    best = m.groupBy("step_id").agg(
+    kind = mask.schema["ord"].dataType
+    given = scores.select("step_id", "token_id", "score", F.lit(None).cast(kind).alias("ord"), F.lit(True).alias("_given"))
+    allowed = mask.select("step_id", "token_id", F.lit(None).cast(scores.schema["score"].dataType).alias("score"), "ord", F.lit(False).alias("_given"))
+    dealt = given.unionByName(allowed).repartition("step_id")
+    both = dealt.groupBy("step_id", "token_id").agg(
+        F.max("score").alias("score"), F.min("ord").alias("ord"),
+        (F.bool_or("_given") & ~F.bool_and("_given")).alias("_both")).where("_both")
+    best = both.groupBy("step_id").agg(
         F.max_by(F.struct("token_id", "score"), F.struct(F.col("score"), -F.col("ord"))).alias("b")
     )
     return best.select("step_id", F.col("b.token_id").alias("token_id"), F.col("b.score").alias("score"))

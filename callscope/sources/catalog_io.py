@@ -33,15 +33,6 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _elements(docs: DataFrame, clean: bool = False) -> DataFrame:
-    """``(source, ord, e)``: the raw JSON text of every element of the well-formed lists (``clean``: known to be such)."""
-    arr = F.from_json("text", "array<string>")
-    arr = arr if clean else F.when(well_formed(F.col("text")), arr)
-    return docs.select("source", F.posexplode(arr).alias("ord", "e")).select(
-        "source", F.col("ord").cast("bigint").alias("ord"), "e"
-    )
-
-
 def well_formed(text: Column) -> Column:
     """The text is one JSON value with nothing after it.
 
@@ -63,22 +54,24 @@ def well_formed(text: Column) -> Column:
     return F.expr("try_parse_json(text)").isNotNull() & (nested | scalar)
 
 
-def _vtype(col_name: str, path: str) -> Column:
-    """Variant type name of the value at ``path`` (``STRING``, ``BIGINT``, ``OBJECT<...>``)."""
-    return F.expr(f"schema_of_variant(variant_get(try_parse_json({col_name}), '{path}'))")
+NO_REJECTS = "array<struct<reason:string,field:string>>"
 
 
 def _reject(cond: Column, reason: str, field: Column | str) -> Column:
     f = field if isinstance(field, Column) else F.lit(field)
-    return F.when(cond, F.array(F.struct(F.lit(reason).alias("reason"), f.alias("field")))).otherwise(
-        F.array().cast("array<struct<reason:string,field:string>>")
-    )
+    found = F.array(F.struct(F.lit(reason).alias("reason"), f.alias("field")))
+    return F.when(cond, found).otherwise(F.array().cast(NO_REJECTS))
+
+
+def _fields_of(value: Column) -> Column:
+    """The fields of an object as a map of variants; null if the value is none."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
-def _type_field_rejects(raw: Column, path: Column) -> Column:
+def _type_field_rejects(value: Column, path: Column) -> Column:
     """Rejects of a ``{"type": <name>}`` object found at ``path``."""
-    keys = F.json_object_keys(raw)
-    t = F.get_json_object(raw, "$.type")
+    keys = F.map_keys(_fields_of(value))
+    t = F.try_variant_get(value, "$.type", "string")
     return F.concat(
         _reject(keys.isNull(), "not_object", path),
         _reject(keys.isNotNull() & ~F.array_contains(keys, "type"), "missing_field", F.concat(path, F.lit(".type"))),
@@ -91,98 +84,114 @@ def _type_field_rejects(raw: Column, path: Column) -> Column:
     )
 
 
-def _doc_rejects(docs: DataFrame) -> DataFrame:
-    shape = F.expr("schema_of_variant(try_parse_json(text))")
-    bad = docs.select(
-        "source",
-        F.lit(None).cast("bigint").alias("ord"),
-        F.when(~F.coalesce(well_formed(F.col("text")), F.lit(False)), F.lit("invalid_json"))
-        .when(~shape.startswith("ARRAY"), F.lit("root_not_list")).alias("reason"),
-        F.lit("").alias("field"),
-    )
-    return bad.where(F.col("reason").isNotNull())
+def _parsed(e: Column, kind: str) -> Column:
+    """An element's fields, each a variant; of a function also its parameters, which keep their order only if read from the text."""
+    fields = F.from_json(e, "map<string,variant>")
+    if kind != "function":
+        return F.struct(fields.alias("fields"))
+    params = F.from_json(F.get_json_object(e, "$.parameters"), "map<string,variant>")
+    return F.struct(fields.alias("fields"), params.alias("params"))
 
 
-def definition_rejects(docs: DataFrame, kind: str = "function") -> DataFrame:
-    """A3: ``(source, ord, reason, field)`` for every rule a document breaks."""
+def _checked(parsed: Column, kind: str) -> Column:
+    """``rejects`` of an element and the values that its row needs."""
     fields = FUNCTION_FIELDS if kind == "function" else PROMPT_FIELDS
-    el = _elements(docs)
-    e = F.col("e")
-    keys = F.json_object_keys(e)
+    found = parsed["fields"]
+    is_object = found.isNotNull()
     allowed = F.array(*[F.lit(f) for f in fields])
-    present = F.coalesce(keys, F.array().cast("array<string>"))
+    present = F.coalesce(F.map_keys(found), F.array().cast("array<string>"))
+    value = lambda f: F.try_element_at(found, F.lit(f))
+    text = lambda f: F.try_variant_get(value(f), "$", "string")
+    is_text = lambda f: F.coalesce(F.schema_of_variant(value(f)) == "STRING", F.lit(False))
     parts = [
-        _reject(keys.isNull(), "not_object", ""),
+        _reject(~is_object, "not_object", ""),
         F.transform(
-            F.when(keys.isNotNull(), F.array_except(allowed, present)).otherwise(F.array().cast("array<string>")),
+            F.when(is_object, F.array_except(allowed, present)).otherwise(F.array().cast("array<string>")),
             lambda f: F.struct(F.lit("missing_field").alias("reason"), f.alias("field")),
         ),
         F.transform(F.array_except(present, allowed),
                     lambda f: F.struct(F.lit("extra_field").alias("reason"), f.alias("field"))),
     ]
-    string_fields = ("name", "description") if kind == "function" else ("prompt",)
-    for f in string_fields:
-        t = _vtype("e", f"$.{f}")
-        parts.append(_reject(F.array_contains(present, f) & (t != "STRING"), "not_string", f))
-    if kind == "function":
-        name = F.get_json_object(e, "$.name")
-        parts.append(_reject(F.coalesce(name.rlike(BAD_IDENTIFIER), F.lit(False))
-                             & (_vtype("e", "$.name") == "STRING"), "unsupported_identifier", "name"))
-        params_raw = F.get_json_object(e, "$.parameters")
-        params = F.from_json(params_raw, "map<string,string>")
-        pkeys = F.json_object_keys(params_raw)
-        parts.append(_reject(F.array_contains(present, "parameters") & pkeys.isNull(), "not_object", "parameters"))
-        parts.append(F.flatten(F.transform(
-            F.coalesce(F.map_entries(params), F.array().cast("array<struct<key:string,value:string>>")),
-            lambda kv: F.concat(
-                _reject(kv["key"].rlike(BAD_IDENTIFIER), "unsupported_identifier",
-                        F.concat(F.lit("parameters."), kv["key"])),
-                _type_field_rejects(kv["value"], F.concat(F.lit("parameters."), kv["key"])),
-            ),
-        )))
-        ret_raw = F.get_json_object(e, "$.returns")
-        parts.append(F.when(F.array_contains(present, "returns"),
-                            _type_field_rejects(ret_raw, F.lit("returns")))
-                     .otherwise(F.array().cast("array<struct<reason:string,field:string>>")))
-    found = F.concat(*parts)
-    per_el = el.select("source", "ord", F.explode(found).alias("r")).select(
-        "source", "ord", F.col("r.reason").alias("reason"), F.col("r.field").alias("field")
+    for f in ("name", "description") if kind == "function" else ("prompt",):
+        parts.append(_reject(F.array_contains(present, f) & ~is_text(f), "not_string", f))
+    if kind != "function":
+        return F.struct(F.concat(*parts).alias("rejects"), text("prompt").alias("prompt"))
+    parts.append(_reject(is_text("name") & F.coalesce(text("name").rlike(BAD_IDENTIFIER), F.lit(False)), "unsupported_identifier", "name"))
+    parts.append(_reject(F.array_contains(present, "parameters") & _fields_of(value("parameters")).isNull(), "not_object", "parameters"))
+    entries = F.coalesce(F.map_entries(parsed["params"]), F.array().cast("array<struct<key:string,value:variant>>"))
+    parts.append(F.flatten(F.transform(
+        entries,
+        lambda kv: F.concat(
+            _reject(kv["key"].rlike(BAD_IDENTIFIER), "unsupported_identifier", F.concat(F.lit("parameters."), kv["key"])),
+            _type_field_rejects(kv["value"], F.concat(F.lit("parameters."), kv["key"])),
+        ),
+    )))
+    parts.append(F.when(F.array_contains(present, "returns"), _type_field_rejects(value("returns"), F.lit("returns")))
+                 .otherwise(F.array().cast(NO_REJECTS)))
+    params = F.transform(
+        entries,
+        lambda kv, i: F.struct(i.alias("ord"), kv["key"].alias("key"), F.try_variant_get(kv["value"], "$.type", "string").alias("type")),
     )
-    return _doc_rejects(docs).unionByName(per_el)
+    return F.struct(
+        F.concat(*parts).alias("rejects"), text("name").alias("name"), text("description").alias("description"),
+        params.alias("params"), F.try_variant_get(value("returns"), "$.type", "string").alias("returns"))
 
 
-def parse_function_catalog(docs: DataFrame, strict: bool = False) -> DataFrame:
-    """A1: catalog rows of every document that breaks no rule.
+def checked_documents(docs: DataFrame, kind: str) -> DataFrame:
+    """``(source, document, elements)``: what is wrong with each document as a whole, and its elements with what is wrong with them.
 
-    As in the reference, loading is all-or-nothing per document: one bad
-    definition rejects its whole file.  ``strict=True`` raises instead, naming
-    the first rule broken.
+    One projection over one scan: every element is parsed once, and its rejects
+    and its values stay side by side in the document's row.
     """
-    rejects = definition_rejects(docs, "function")
+    staged = docs.select("source", "text", well_formed(F.col("text")).alias("_whole"))
+    is_list = F.ltrim("text", F.lit(" \t\n\r")).startswith("[")
+    staged = staged.select(
+        "source",
+        F.when(~F.coalesce("_whole", F.lit(False)), "invalid_json").when(~is_list, "root_not_list").alias("document"),
+        F.transform(F.when(F.col("_whole"), F.from_json("text", "array<string>")), lambda e: _parsed(e, kind)).alias("_parsed"))
+    # one row each: a generator keeps filters on the result from being worked out again below
+    elements = F.transform("_parsed", lambda p: _checked(p, kind))
+    out = staged.select("source", "document", F.explode(F.array(F.struct(elements.alias("all")))).alias("_e"))
+    return out.select("source", "document", F.col("_e.all").alias("elements"))
+
+
+def _rejects(checked: DataFrame) -> DataFrame:
+    of_document = F.when(F.col("document").isNotNull(), F.array(F.struct(
+        F.lit(None).cast("bigint").alias("ord"), F.col("document").alias("reason"), F.lit("").alias("field")))).otherwise(F.array())
+    of_elements = F.flatten(F.transform("elements", lambda e, i: F.transform(
+        e["rejects"], lambda r: F.struct(i.cast("bigint").alias("ord"), r["reason"].alias("reason"), r["field"].alias("field")))))
+    every = F.concat(of_document, F.coalesce(of_elements, F.array()))
+    return checked.select("source", F.explode(every).alias("r")).select("source", "r.ord", "r.reason", "r.field")
+
+
+def definition_rejects(docs: DataFrame, kind: str = "function") -> DataFrame:
+    """A3: ``(source, ord, reason, field)`` for every rule a document breaks."""
+    return _rejects(checked_documents(docs, kind))
+
+
+def _clean_rows(docs: DataFrame, kind: str, strict: bool) -> DataFrame:
+    """``(source, ord, e)`` of the documents that break no rule; ``strict`` raises at the first one that does."""
+    checked = checked_documents(docs, kind)
     if strict:
-        first = rejects.orderBy("source", "ord").first()
+        first = _rejects(checked).orderBy("source", "ord").first()
         if first is not None:
             raise ValueError(
-                f"Validation failed for function at index {first['ord']} in {first['source']}: "
+                f"Validation failed for {kind} at index {first['ord']} in {first['source']}: "
                 f"{first['reason']} {first['field']}"
             )
-    bad_sources = rejects.select("source").distinct()
-    el = _elements(docs.join(bad_sources, "source", "left_anti"), clean=True)
-    e = F.col("e")
-    params_raw = F.get_json_object(e, "$.parameters")
-    entries = F.map_entries(F.from_json(params_raw, "map<string,string>"))
-    params = F.transform(
-        entries,
-        lambda kv, i: F.struct(i.alias("ord"), kv["key"].alias("key"),
-                               F.get_json_object(kv["value"], "$.type").alias("type")),
-    )
-    return el.select(
-        "source", "ord",
-        F.get_json_object(e, "$.name").alias("name"),
-        F.get_json_object(e, "$.description").alias("description"),
-        params.alias("params"),
-        F.get_json_object(F.get_json_object(e, "$.returns"), "$.type").alias("returns"),
-    )
+    clean = checked.where(F.col("document").isNull() & ~F.exists("elements", lambda e: F.size(e["rejects"]) > 0))
+    return clean.select("source", F.posexplode("elements").alias("ord", "e")).withColumn("ord", F.col("ord").cast("bigint"))
+
+
+def parse_function_catalog(docs: DataFrame, strict: bool = False) -> DataFrame:
+    """A1: catalog rows of every document that breaks no rule.
+
+    As in the reference, loading is all-or-nothing per document: one bad
+    definition rejects its whole file.  ``strict=True`` raises instead, naming
+    the first rule broken.
+    """
+    rows = _clean_rows(docs, "function", strict)
+    return rows.select("source", "ord", "e.name", "e.description", "e.params", "e.returns")
 
 
 def read_function_catalog(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -196,17 +205,7 @@ def parse_prompts(docs: DataFrame, strict: bool = False) -> DataFrame:
     ``prompt_id`` is the prompt's position over all documents, in the order of
     their sources, so it names one prompt however many documents there are.
     """
-    rejects = definition_rejects(docs, "prompt")
-    if strict:
-        first = rejects.orderBy("source", "ord").first()
-        if first is not None:
-            raise ValueError(
-                f"Validation failed for prompt at index {first['ord']} in {first['source']}: "
-                f"{first['reason']} {first['field']}"
-            )
-    bad_sources = rejects.select("source").distinct()
-    el = _elements(docs.join(bad_sources, "source", "left_anti"), clean=True)
-    prompts = el.select("source", "ord", F.get_json_object("e", "$.prompt").alias("prompt"))
+    prompts = _clean_rows(docs, "prompt", strict).select("source", "ord", "e.prompt")
     return dense_index(prompts, "source", "ord", out="prompt_id").select("source", "prompt_id", "prompt")
 
 
@@ -226,14 +225,13 @@ def read_prompts_jsonl(spark: SparkSession, path: str, strict: bool = True) -> D
         F.concat("_file", F.lit("#"), F.col("prompt_id").cast("string")).alias("source"),
         F.concat(F.lit("["), F.col("value"), F.lit("]")).alias("text"), "prompt_id",
     ).checkpoint(eager=True)  # ids are fixed once, before validation reads the lines again
-    rejects = definition_rejects(docs.select("source", "text"), "prompt")
+    checked = checked_documents(docs.select(F.struct("source", "prompt_id").alias("source"), "text"), "prompt")
     if strict:
-        first = rejects.orderBy("source").first()
+        first = _rejects(checked).orderBy("source").first()
         if first is not None:
-            raise ValueError(f"Validation failed for prompt {first['source']}: {first['reason']} {first['field']}")
-    good = docs.join(rejects.select("source").distinct(), "source", "left_anti")
-    line = F.expr("substring(text, 2, length(text) - 2)")
-    return good.select("prompt_id", F.get_json_object(line, "$.prompt").alias("prompt"))
+            raise ValueError(f"Validation failed for prompt {first['source']['source']}: {first['reason']} {first['field']}")
+    clean = checked.where(F.col("document").isNull() & ~F.exists("elements", lambda e: F.size(e["rejects"]) > 0))
+    return clean.select("source.prompt_id", F.explode("elements").alias("e")).select("prompt_id", "e.prompt")
 
 
 def read_prompts(spark: SparkSession, path: str, fmt: str = "json", strict: bool = True) -> DataFrame:

@@ -39,3 +39,17 @@ def test_route_calls_unknown_and_none(spark):
                                 "prompt_id long, selected string")
     got = {r["prompt_id"]: (r["name"], r["extract"]) for r in E.route_calls(sel, catalog).collect()}
     assert got == {1: ("get_weather", True), 2: ("none", False), 3: ("none", False)}
+
+
+def test_argmax_deals_each_input_out_once(spark):
+    scores = spark.createDataFrame([(1, 1, 1.0), (1, 2, None), (2, 5, None), (3, 1, 2.0), (3, 1, 3.0)], "step_id long, token_id long, score double")
+    mask = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 5, 0), (2, 5, 1), (3, 1, 4), (4, 1, 0)], "step_id long, token_id long, ord long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        best = E.masked_argmax(scores, mask)
+        plan = best._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan
+        assert {r["step_id"]: (r["token_id"], r["score"]) for r in best.collect()} == {1: (1, 1.0), 2: (5, None), 3: (1, 3.0)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -35,3 +35,13 @@ def test_prompt_ids_are_unique_over_documents(spark):
     got = A.parse_prompts(docs(spark, [GOOD, BAD[0], GOOD, "[]", GOOD])).orderBy("prompt_id").collect()
     assert [(r["prompt_id"], r["source"], r["prompt"]) for r in got] == [
         (i, s, p) for i, (s, p) in enumerate((s, p) for s in ("s00", "s02", "s04") for p in ("a]}[{", 'q"]'))]
+
+
+def test_one_scan_and_no_join(spark, tmp_path):
+    docs(spark, [GOOD, *BAD]).write.parquet(f"{tmp_path}/docs")
+    stored = spark.read.parquet(f"{tmp_path}/docs")
+    for df, maps in ((A.parse_function_catalog(stored), 2), (A.definition_rejects(stored), 2), (A.definition_rejects(stored, "prompt"), 1)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation") == 1 and "Join" not in plan and "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        # the list once, then each element once (and a function's parameters, for their order)
+        assert plan.count("from_json(ArrayType") == 1 and plan.count("from_json(MapType") == maps and plan.count("get_json_object") == maps - 1
