@@ -38,7 +38,7 @@ SEGMENT = re.compile(r"### ((?:[^\\:#]|\\.)*): (.*) </turn>\n", re.DOTALL)
 
 def escape(text: str) -> str:
     """Reversible; the result holds no ``##`` and no ``</turn>``, so no control string."""
-    return text.replace("\\", "\\\\").replace("#", "\\#").replace("</turn>", "\\</turn>")
+    return text.replace("\\", "\\\\").replace("#", "\\#").replace("</turn>", "<\\/turn>")
 
 
 def unescape(text: str) -> str:

@@ -35,7 +35,9 @@ def test_escape_is_reversible():
     for text in TRICKY + ["".join(rng.choice("\\#<>/turn: ") for _ in range(rng.randint(0, 30))) for _ in range(3000)]:
         segment, begin, end = chat.format_turn("ro:le#", text)
         assert chat.read_turn(segment, begin, end) == ("ro:le#", text)
-        assert "###" not in segment[3:] and segment.replace("\\</turn>", "").count("</turn>") == 1
+        for escaped in (segment[begin:end], segment[len(chat.HEAD):begin - len(chat.MIDDLE)]):
+            assert "##" not in escaped and "</turn>" not in escaped
+        assert segment.count("</turn>") == 1 and segment.count("### ") == 1
 
 
 def test_read_back_and_stream(spark):
