@@ -1,20 +1,25 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-1. Every test item's word n-grams are hashed; a bitmap of fixed size marks the
+1. Seeds are word n-grams, contiguous and spaced: the words of a place that one
+   of a few patterns picks, in order.  A seed is known by its words alone, so one
+   that is contiguous here meets one that is spaced there, and a copy whose words
+   were replaced, left out or added now and then still shares seeds.
+2. Every test item's seeds are hashed; a Bloom filter of fixed size marks the
    hashes.  Each text is scanned against it whole.  Hits that lie close together
-   form a passage, cut out with a margin on both sides.
-2. The hits are joined with the items' n-grams by hash.  An n-gram is as common
-   as its words' frequencies in all documents make likely by chance; the most
-   common quarter of an item's n-grams are no seeds.  The measure takes no note
-   of where the n-gram itself occurs, so copies don't make it common, and it is
-   relative: an item keeps seeds even if all documents hold it.
-3. Each passage is aligned locally, word by word, with the items whose rare
+   form a passage, cut out with a margin that an item's alignment can't exceed.
+3. The hits are joined with the items' rare seeds by hash.  A seed is rare if its
+   words' frequencies in all documents make it unlikely by chance.  That takes no
+   note of where the seed itself occurs, and copies of an item, even thousands,
+   don't make four of its words common.  Where all words are, the rarest seeds of
+   each stretch of an item count as rare, so every part of it keeps some.
+4. Each passage is aligned locally, word by word, with the items whose rare
    seeds it holds.  An item is leaked if the alignment reaches a share of the
    score of an exact copy, so edited and paraphrased copies are found too.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -22,16 +27,19 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callscope.llm.common import in_slices, stage, utf8
 from callscope.llm.tokens import WordTable, loaded
 
+# The words of a seed: four in a row, and four of five.  A copy with every third or fourth word replaced keeps the second kind.
+PATTERNS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 2, 4), (0, 2, 3, 4))
 SEED_WORDS = 4
-MARGIN = 64  # words kept around hits; hits closer than two margins share a passage
-BITS = 24  # of the bitmap's addresses: 2 MB
+BITS = 24  # of the filter's addresses: 2 MB
 MATCH, MISMATCH, GAP = 2, -1, -1
-RARE = 0.75  # share of an item's n-grams that are seeds, the rarest
+RARE = 1e-7  # chance with which a rare seed's words stand at a place
+STRETCH, KEPT = 16, 16  # places of a stretch of an item, and how many of its seeds are rare in any case
 LEAK = 0.5  # share of an exact copy's score ...
 LONG_ITEM = 64  # ... or of that of so many words, if the item is longer
 WORD = re.compile(r"\w+")
@@ -52,24 +60,42 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.array(list(map(loaded(WordHashes, "").of.__getitem__, words)), "u8")
 
 
-def seed_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """A signed 64-bit hash of each run of n words, from the words' hashes."""
-    if len(h) < n:
+def patterns_of(words: int) -> tuple[tuple[int, ...], ...]:
+    """The patterns of an item's seeds; one of fewer words than a seed is one seed."""
+    return PATTERNS if words >= SEED_WORDS else (tuple(range(words)),) if words else ()
+
+
+def seed_hashes(h: np.ndarray, pattern: tuple[int, ...]) -> np.ndarray:
+    """A signed 64-bit hash of the pattern's words at each place, from the words' hashes."""
+    places = len(h) - pattern[-1]
+    if places <= 0:
         return np.zeros(0, "i8")
-    out = np.zeros(len(h) - n + 1, "u8")
-    for k in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k:len(h) - n + 1 + k]
+    out = np.zeros(places, "u8")
+    for k in pattern:
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k:k + places]
         out ^= out >> np.uint64(29)
     return out.view("i8")
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (h.view("u8") >> np.uint64(64 - BITS)).astype("i8")
+def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of a hash in the filter."""
+    h = h.view("u8")
+    return (h >> np.uint64(64 - BITS)).astype("i8"), (h >> np.uint64(40 - BITS) & np.uint64((1 << BITS) - 1)).astype("i8")
+
+
+def _marked(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Where both of a hash's places are set."""
+    def are_set(slots):
+        return bits[slots >> 3] >> (7 - (slots & 7)).astype("u1") & 1 == 1
+
+    first, second = _slots(h)
+    at = np.flatnonzero(are_set(first))
+    return at[are_set(second[at])]
 
 
-def item_seeds(items: DataFrame, n: int) -> DataFrame:
-    """item_id, words, seeds (struct of an n-gram's hash h and its words' hashes); staged.  Items of fewer than n words have none."""
-    seed = pa.struct([("h", pa.int64()), ("words", pa.list_(pa.int64()))])
+def item_seeds(items: DataFrame) -> DataFrame:
+    """item_id, words, seeds (struct of a seed's hash h, its words' hashes and the stretch of its first place); staged.  Items without words have none."""
+    seed = pa.struct([("h", pa.int64()), ("words", pa.list_(pa.int64())), ("stretch", pa.int64())])
 
     def hash_items(batches):
         for batch in batches:
@@ -77,13 +103,16 @@ def item_seeds(items: DataFrame, n: int) -> DataFrame:
             seeds = []
             for w in words:
                 h = word_hashes(w)
-                grams = {int(s): h[k:k + n].view("i8").tolist() for k, s in enumerate(seed_hashes(h, n))}
-                seeds.append([{"h": s, "words": g} for s, g in grams.items()])
+                grams = {}
+                for pattern in patterns_of(len(w)):
+                    for k, s in enumerate(seed_hashes(h, pattern).tolist()):
+                        grams.setdefault(s, {"h": s, "words": h[[k + o for o in pattern]].view("i8").tolist(), "stretch": k // STRETCH})
+                seeds.append(list(grams.values()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(seeds, pa.list_(seed))], names=["item_id", "words", "seeds"])
 
     kind = items.schema["item_id"].dataType.simpleString()
-    return stage(items.mapInArrow(hash_items, f"item_id {kind}, words array<string>, seeds array<struct<h: long, words: array<long>>>"), "items")
+    return stage(items.mapInArrow(hash_items, f"item_id {kind}, words array<string>, seeds array<struct<h: long, words: array<long>, stretch: long>>"), "items")
 
 
 def bitmap(seeds: DataFrame) -> np.ndarray:
@@ -92,7 +121,8 @@ def bitmap(seeds: DataFrame) -> np.ndarray:
     def mark(batches):
         bits = np.zeros(1 << BITS, bool)
         for batch in batches:
-            bits[_slots(batch.column(0).to_numpy(zero_copy_only=False))] = True
+            for slots in _slots(batch.column(0).to_numpy(zero_copy_only=False)):
+                bits[slots] = True
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16]), pa.array([np.packbits(bits).tobytes()])], names=["g", "bits"])
 
     def together(key, table):
@@ -107,31 +137,36 @@ def bitmap(seeds: DataFrame) -> np.ndarray:
     return out
 
 
-def passages(docs: DataFrame, seed_bits: np.ndarray, word_bits: np.ndarray, n: int, margin: int) -> DataFrame:
-    """pid, doc_id, text_hash, begin, words, hits: the passages of each text around hits of the seeds' bitmap; staged.
+def passages(docs: DataFrame, seed_bits: np.ndarray, word_bits: np.ndarray, patterns: list[tuple[int, ...]], margin: int) -> DataFrame:
+    """pid, doc_id, text_hash, begin, words, hits: the passages of each text around hits of the seeds' filter; staged.
 
-    Rows without a pid count the words that the words' bitmap marks: hits are their hashes, counts their numbers in one task.
+    Hits closer than two margins share a passage.  Rows without a pid count the
+    words that the words' filter marks: hits are their hashes, counts their
+    numbers in one task, and begin is the number of all words there.
     """
 
-    def marked(h, bits):
-        slots = _slots(h)
-        return bits[slots >> 3] >> (7 - (slots & 7)).astype("u1") & 1 == 1
-
     def scan(batches):
-        part, seq, counts = TaskContext.get().partitionId(), 0, {}
+        part, seq, counts, total = TaskContext.get().partitionId(), 0, {}, 0
         names = ["pid", "doc_id", "text_hash", "begin", "words", "hits", "counts"]
         for batch in in_slices(batches):
             of, rows, seen = [], [], [np.zeros(0, "u8")]
             for k, text in enumerate(batch.column(2).to_pylist()):
                 words = words_of(text)
                 of_words = word_hashes(words)
-                seen.append(of_words[marked(of_words, word_bits)])
-                h = seed_hashes(of_words, n)
-                at = np.flatnonzero(marked(h, seed_bits))
+                total += len(words)
+                seen.append(of_words[_marked(of_words, word_bits)])
+                places, found = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+                for pattern in patterns:
+                    h = seed_hashes(of_words, pattern)
+                    places.append(_marked(h, seed_bits))
+                    found.append(h[places[-1]])
+                at, h = np.concatenate(places), np.concatenate(found)
                 if not len(at):
                     continue
-                for group in np.split(at, np.flatnonzero(np.diff(at) > 2 * margin) + 1):
-                    begin, end = max(0, int(group[0]) - margin), int(group[-1]) + n + margin
+                order = np.argsort(at, kind="stable")
+                at, h = at[order], h[order]
+                for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * margin) + 1):
+                    begin, end = max(0, int(at[group[0]]) - margin), int(at[group[-1]]) + SEED_WORDS + 1 + margin
                     rows.append((part << 33 | seq, begin, words[begin:end], np.unique(h[group]).tolist()))
                     of.append(k)
                     seq += 1
@@ -142,10 +177,10 @@ def passages(docs: DataFrame, seed_bits: np.ndarray, word_bits: np.ndarray, n: i
             yield pa.RecordBatch.from_arrays(
                 [pa.array(pid, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(begin, pa.int64()),
                  pa.array(held, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.int64())), pa.nulls(len(of), pa.list_(pa.int64()))], names=names)
-        if counts:
+        if total:
             lists = [pa.array([list(x)], pa.list_(pa.int64())) for x in (counts, counts.values())]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.nulls(1, batch.schema.types[0]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.string())), *lists], names=names)
+                [pa.nulls(1, pa.int64()), pa.nulls(1, batch.schema.types[0]), pa.nulls(1, pa.int64()), pa.array([total]), pa.nulls(1, pa.list_(pa.string())), *lists], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return stage(docs.mapInArrow(scan, f"pid long, doc_id {kind}, text_hash long, begin long, words array<string>, hits array<long>, counts array<long>"), "passages")
@@ -174,32 +209,46 @@ def align(words: list[str], item: list[str]) -> tuple[int, int, int]:
     return score, end - back, end
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, n: int = SEED_WORDS, margin: int = MARGIN,
+def least_score(words: int, leak: float) -> float:
+    """The alignment score from which an item of so many words is leaked: ``leak`` of an exact copy's, and that of four words, or of all, at least."""
+    return max(leak * MATCH * min(words, LONG_ITEM), MATCH * min(words, SEED_WORDS))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, item_id, score, word_begin, word_end of the best alignment of each leaked item in each document.
 
-    score is the share of an exact copy's alignment score, at least ``leak``
-    (for items of over 64 words, of what 64 words score); word places count the words of the lower-cased text.  Null texts and items
-    count as empty and leak nothing, nor do items of fewer than n words;
-    repeated rows (same id and text) are one document, null ids are kept;
-    empty tables give no rows; other columns are ignored.
+    score is the share of an exact copy's alignment score (of an item of over
+    64 words: of what 64 words score, 1 at most), at least ``leak``; four words
+    must match, or all of a shorter item.  Word places count the words of the
+    lower-cased text.  Null texts and items count as empty and leak nothing;
+    repeated rows (same id and text) are one document, null ids are kept; empty
+    tables give no rows; other columns are ignored.
     """
     text = utf8(F.col(text_col))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    items = item_seeds(benchmark.select("item_id", utf8(F.col("text")).alias("text")), n)
+    items = item_seeds(benchmark.select("item_id", utf8(F.col("text")).alias("text")))
     items = items.filter(F.size("seeds") > 0).withColumn("row", F.xxhash64("words"))
-    seeds = items.select("row", F.explode("seeds").alias("s")).select("row", "s.h", "s.words").distinct()
+    lengths = [r["n"] for r in items.select(F.least(F.size("words"), F.lit(SEED_WORDS)).alias("n")).distinct().collect()]  # four at most
+    patterns = sorted({p for n in lengths for p in patterns_of(n)})
+    # an alignment of n words with score s holds at most 2n - s words that the item hasn't
+    longest = items.agg(F.max(F.size("words"))).first()[0] or 0
+    margin = math.ceil(3 * longest - least_score(longest, leak))
+    seeds = items.select("row", F.explode("seeds").alias("s")).select("row", "s.h", "s.words", "s.stretch").distinct()
     vocabulary = seeds.select(F.explode("words").alias("w"))
-    scanned = passages(docs, bitmap(seeds.select("h")), bitmap(vocabulary), n, margin)
+    scanned = passages(docs, bitmap(seeds.select("h")), bitmap(vocabulary), patterns, margin)
     found = scanned.filter("pid is not null").drop("counts")
 
-    counted = scanned.filter("pid is null").select(F.explode(F.arrays_zip("hits", "counts")).alias("c")).select("c.hits", "c.counts")
+    tallies = scanned.filter("pid is null")
+    total = tallies.agg(F.sum("begin")).first()[0] or 1
+    counted = tallies.select(F.explode(F.arrays_zip("hits", "counts")).alias("c")).select("c.hits", "c.counts")
     counted = counted.groupBy(F.col("hits").alias("w")).agg(F.sum("counts").alias("n"))
-    by_word = seeds.select("row", "h", F.explode("words").alias("w")).join(counted, "w", "left")
-    common = by_word.groupBy("row", "h").agg(F.sum(F.log2(1 + F.coalesce("n", F.lit(0)))).alias("common"))
-    common = stage(common, "seed-frequencies")
-    limit = common.groupBy("row").agg(F.percentile("common", RARE).alias("most"))
-    rare = stage(common.join(limit, "row").filter("common <= most").select("row", "h"), "rare-seeds")
+    by_word = seeds.select("row", "h", "stretch", F.explode("words").alias("w")).join(counted, "w", "left")
+    chance = F.sum(F.log2(F.coalesce("n", F.lit(1)) / F.lit(float(total)))).alias("chance")
+    common = stage(by_word.groupBy("row", "h", "stretch").agg(chance), "seed-chances")
+    rank = F.row_number().over(W.partitionBy("row", "stretch").orderBy("chance", "h"))  # of some 64 seeds
+    rare = common.withColumn("rank", rank).filter((F.col("chance") <= math.log2(RARE)) | (F.col("rank") <= KEPT)).select("row", "h")
+    rare = stage(rare, "rare-seeds")
     hits = found.select("pid", F.explode("hits").alias("h"))
     pairs = stage(hits.join(rare, "h").select("pid", "row").distinct(), "pairs")
     of_items = items.select("row", "item_id", F.col("words").alias("item"))
@@ -210,9 +259,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, n: int
             keep, out = [], []
             for k, (begin, words, item) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)))):
                 s, lo, hi = align(words, item)
-                if s >= leak * MATCH * min(len(item), LONG_ITEM):
+                if s >= least_score(len(item), leak):
                     keep.append(k)
-                    out.append((s / (MATCH * len(item)), begin + lo, begin + hi))
+                    out.append((min(1.0, s / (MATCH * min(len(item), LONG_ITEM))), begin + lo, begin + hi))
             s, lo, hi = zip(*out) if out else ((),) * 3
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), pa.array(s, pa.float64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())],
@@ -226,7 +275,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, n: int
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that leak no item."""
+    """The rows of ``docs``, all columns, that leak no item.
+
+    Rows with null or empty texts stay, as do those with null ids; repeated rows
+    stay or go together; an empty table or benchmark drops nothing.
+    """
     leaking = stage(find_leaks(docs, benchmark, leak, id_col=id_col, text_col=text_col).select("doc_id", "text_hash").distinct(), "leaking")
     same = docs[id_col].eqNullSafe(leaking["doc_id"]) & (F.xxhash64(utf8(docs[text_col])) == leaking["text_hash"])
     return docs.join(leaking, same, "left_anti")

@@ -73,6 +73,74 @@ def test_leaks(spark):
     assert clean.columns == docs.columns
 
 
+def every(n, change):
+    """Words of which each n-th is changed."""
+    return lambda words: [x for k, w in enumerate(words) for x in ([w] if (k + 1) % n else change(w))]
+
+
+def test_recall_of_edited_copies(spark):
+    """Copies whose own alignment reaches the threshold, by kind of edit: at least 0.9 of each are found."""
+    rng = random.Random(7)
+    sf = "/root/testdata/sf0.1"
+    items = [(r["item_id"], decontaminate.words_of(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null").limit(300)
+    fill = [w for r in clean.collect() for w in decontaminate.words_of(r["text"])]
+    other = lambda _=None: [rng.choice(fill)]
+    chance = lambda p: lambda words: [x for w in words for x in (other() if rng.random() < p else [w])]
+    edits = {
+        "every 3rd replaced": every(3, other), "every 4th replaced": every(4, other), "every 5th replaced": every(5, other),
+        "every 3rd left out": every(3, lambda w: []), "every 4th left out": every(4, lambda w: []),
+        "one added after every 2nd": every(2, lambda w: [w, *other()]), "one added after every 3rd": every(3, lambda w: [w, *other()]),
+        **{f"random {p}": chance(p) for p in (0.1, 0.2, 0.25, 0.3)},
+    }
+    docs, planted = [], []
+    for kind, edit in edits.items():
+        for item_id, words in items:
+            copy = edit(words)
+            if decontaminate.align(copy, words)[0] >= decontaminate.least_score(len(words), decontaminate.LEAK):
+                at = rng.randrange(len(fill) - 300)
+                docs.append((len(docs), " ".join(fill[at:at + rng.randrange(200)] + copy + fill[at + 200:at + 200 + rng.randrange(100)])))
+                planted.append((kind, item_id))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(table, bench).collect()}
+    recall = {}
+    for kind in edits:
+        of = [(d, i) for d, (k, i) in enumerate(planted) if k == kind]
+        recall[kind] = round(sum(x in found for x in of) / len(of), 3), len(of)
+    print(recall)
+    assert min(r for r, _ in recall.values()) >= 0.9, recall
+
+
+def test_short_and_long_items(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    filler = lambda n: [word() for _ in range(n)]
+    items = {1: ["lone"], 2: ["two", "words"], 3: ["three", "small", "words"], 4: filler(4), 5: filler(6), 6: filler(900)}
+    docs = {10 + k: filler(30) + words + filler(30) for k, words in items.items()}
+    docs[30] = filler(5) + ["two", "other", "words"] + items[4][:3] + filler(5)  # parts of short items
+    docs[31] = filler(5) + items[5][:2] + filler(1) + items[5][3:] + filler(5)
+    docs[32] = filler(100) + items[6][300:380] + filler(100)
+    docs[33] = filler(100) + every(3, lambda w: filler(1))(items[6]) + filler(100)
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(table, bench).collect()}
+    assert set(found) == {(10 + k, k) for k in items} | {(31, 5), (32, 6), (33, 6)}
+    assert all(decontaminate.LEAK <= r["score"] <= 1 for r in found.values())
+    assert found[16, 6]["word_end"] - found[16, 6]["word_begin"] == 900
+
+
+def test_drop_leaking_keeps_odd_rows(spark):
+    schema = "doc_id long, text string, item_id string, words string, text_hash string"
+    rows = [(None, None, "a", "b", "c"), (1, None, None, None, None), (2, "", "x", "x", "x"), (3, "one two three four five", "x", "x", "x"),
+            (3, "one two three four five", "y", "x", "x"), (3, "another text", "x", "x", "x"), (None, "one two three four five", "x", "x", "x")]
+    items = spark.createDataFrame([(1, "One, two three - four; five")], "item_id long, text string")
+    docs = spark.createDataFrame(rows, schema)
+    kept = decontaminate.drop_leaking(docs, items)
+    assert kept.columns == docs.columns and sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, (*rows[:3], rows[5])))
+    assert decontaminate.drop_leaking(docs.limit(0), items).count() == 0
+
+
 def test_no_documents_or_items(spark):
     docs, items = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f", "x")], SCHEMA)
