@@ -34,8 +34,9 @@ def ship_package(spark: SparkSession) -> None:
         return
     path = Path(tempfile.mkdtemp()) / f"{package.name}-{uuid.uuid4().hex}.zip"
     with zipfile.ZipFile(path, "w") as out:
-        for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
+        for source in sorted(package.rglob("*")):
+            if source.suffix in (".py", ".txt"):
+                out.write(source, source.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
 

@@ -12,11 +12,12 @@ before it is cut into units.  DataFrame functions only.
 from __future__ import annotations
 
 import math
-from pathlib import Path
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callscope.llm.common import stage
 from callscope.session import BROADCAST_MAX_BYTES
 
 # Notices as licences ask for them to be written, then whole licences (licenses/<SPDX id>.txt).
@@ -52,11 +53,21 @@ TEMPLATES = [
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("ISC", "Licensed under the ISC License."),
-    *((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))),
 ]
 THRESHOLD = 0.8
 
 
+def whole_licenses() -> list[tuple[str, str]]:
+    """The texts that come with this package, also out of an archive; without any the scan would miss licences unseen, so that is an error."""
+    texts = sorted((f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in (files(__package__) / "licenses").iterdir() if f.name.endswith(".txt"))
+    if not texts:
+        raise FileNotFoundError(f"no licence texts in {__package__}")
+    return texts
+
+
+TEMPLATES += whole_licenses()
+
+
 def normalised(text: Column) -> Column:
     """Lower case; runs of anything but letters, digits and line ends become one space."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
@@ -130,47 +141,91 @@ def rest_words(text: Column, is_match) -> Column:
     return F.when(is_match(word_list(text)), F.array().cast("array<string>")).otherwise(words)
 
 
-def matching_windows(pairs: Column, notice: Column, least: Column, most: Column, threshold: float) -> Column:
-    """For each first bigram of the notice, the window from there that matches best: begin, end (of pairs, from 0) and dice.
-
-    A best window begins and ends with bigrams of the notice; it has at most
-    ``most`` pairs.  Distinct bigrams count, as everywhere: a pair is new if
-    its last occurrence, at most ``most`` pairs before, lies before the window.
-    A window that lacks the notice's first or last bigram counts as at least as
-    long as the notice, so words changed at the ends aren't cut off.
-    """
-    before = lambda x, i: let(
-        F.array_position(F.reverse(F.slice(pairs, F.greatest(i - most, F.lit(0)) + 1, F.least(i, most))), x).cast("int"),
-        lambda back: F.when(back > 0, i - back).otherwise(-1))
-    marked = F.transform(pairs, lambda x, i: F.struct(F.array_contains(notice, x).alias("held"), i.alias("at")))
-
-    def windows(held: Column) -> Column:
-        enough = lambda h, k: F.coalesce(F.get(held, (k + least - 1).cast("int"))["at"] - h["at"] < most, F.lit(False))
-        begins = F.filter(held, enough)
-
-        def from_begins(last: Column) -> Column:
-            def best(h: Column) -> Column:
-                def step(acc: Column, j: Column) -> Column:
-                    new = F.get(last, j)["before"] < h["at"]
-                    size = acc["size"] + F.when(new, 1).otherwise(0)
-                    shared = acc["shared"] + F.when(new & F.get(last, j)["held"], 1).otherwise(0)
-                    complete = (F.get(pairs, h["at"]) == F.get(notice, F.lit(0))) & (F.get(pairs, j) == F.get(notice, F.size(notice) - 1))
-                    dice = 2 * shared / (F.when(complete, size).otherwise(F.greatest(size, F.size(notice))) + F.size(notice))
-                    better = dice > acc["dice"]
-                    return F.struct(size.alias("size"), shared.alias("shared"), F.when(better, dice).otherwise(acc["dice"]).alias("dice"),
-                                    F.when(better, j).otherwise(acc["end"]).alias("end"))
-
-                zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("shared"), F.lit(0.0).alias("dice"), F.lit(0).alias("end"))
-                at = F.sequence(h["at"], F.least(h["at"] + most, F.size(pairs)) - 1)
-                return let(F.aggregate(at, zero, step), lambda b: F.struct(h["at"].alias("begin"), b["end"].alias("end"), b["dice"].alias("dice")))
-
-            return F.filter(F.transform(begins, best), lambda b: b["dice"] >= threshold)
+def hit_windows(hits: Column, n: Column, threshold: float) -> Column:
+    """begin, end (of pairs, from 0) and dice of the windows that match a notice of n bigrams.
 
-        last = F.transform(pairs, lambda x, i: F.struct(F.array_contains(notice, x).alias("held"), before(x, i).alias("before")))
-        empty = F.array().cast("array<struct<begin:int,end:int,dice:double>>")
-        return F.when(F.size(begins) > 0, let(last, from_begins)).otherwise(empty)
+    ``hits`` are the text's pairs that the notice has, in order: pos, seen (the
+    same pair's place before, or -1) and gram (its place in the notice).  One
+    running score is carried over them: a bigram that the window lacks adds
+    2 - threshold, one that it has adds nothing, each pair that the notice lacks
+    takes off the threshold; a score of threshold * n is a Dice coefficient of
+    threshold.  A window begins at the hit after the score fell to zero and ends
+    where it was highest, so the work is linear in the hits.  After a match, a
+    bigram that comes again once the score has dropped begins the next window.
 
-    return let(F.filter(marked, lambda m: m["held"]), windows)
+    The window's size are its distinct bigrams of the notice and every other
+    pair.  One that lacks the notice's first or last bigram counts as at least
+    as long as the notice, so words changed at the ends aren't cut off.
+    """
+    t = threshold
+    kind = "struct<begin:int,last:int,score:double,held:int,hits:int,gram:int,best:double,end:int,best_held:int,best_hits:int,end_gram:int,out:array<struct<begin:int,end:int,dice:double>>>"
+    need = t * n - 1e-9
+    zero = F.struct(
+        F.lit(-1), F.lit(0), F.lit(0.0), F.lit(0), F.lit(0), F.lit(0), F.lit(0.0), F.lit(0), F.lit(0), F.lit(0), F.lit(0),
+        F.array().cast("array<struct<begin:int,end:int,dice:double>>")).cast(kind)
+
+    def with_match(acc: Column) -> Column:
+        span = acc["end"] - acc["begin"] + 1
+        size = acc["best_held"] + span - acc["best_hits"]
+        ends = F.array(F.least(acc["gram"], acc["end_gram"]), F.greatest(acc["gram"], acc["end_gram"]))  # in either direction
+        complete = ends == F.array(F.lit(0), n - 1)
+        dice = 2 * acc["best_held"] / (F.when(complete, size).otherwise(F.greatest(size, n)) + n)
+        found = F.array(F.struct(acc["begin"].alias("begin"), acc["end"].alias("end"), dice.alias("dice")))
+        return F.when((acc["best"] >= need) & (dice >= t - 1e-9), F.concat(acc["out"], found)).otherwise(acc["out"])
+
+    def step(acc: Column, h: Column) -> Column:
+        score = acc["score"] - t * (h["pos"] - acc["last"] - 1)
+        again = h["seen"] >= acc["begin"]
+        next_copy = (acc["best"] >= need) & again & (acc["best"] - score >= F.greatest(F.lit(3 * t), 0.1 * t * n))
+        fresh = (acc["begin"] < 0) | (score <= 0) | next_copy
+        score = F.when(fresh, 2 - t).when(again, score).otherwise(score + (2 - t))
+        held = F.when(fresh, 1).when(again, acc["held"]).otherwise(acc["held"] + 1)
+        hits = F.when(fresh, 1).otherwise(acc["hits"] + 1)
+        better = fresh | (score > acc["best"])
+        keep = lambda new, old: F.when(better, new).otherwise(acc[old])
+        return F.struct(
+            F.when(fresh, h["pos"]).otherwise(acc["begin"]), h["pos"], score, held, hits, F.when(fresh, h["gram"]).otherwise(acc["gram"]),
+            keep(score, "best"), keep(h["pos"], "end"), keep(held, "best_held"), keep(hits, "best_hits"), keep(h["gram"], "end_gram"),
+            F.when(fresh, with_match(acc)).otherwise(acc["out"])).cast(kind)
+
+    return F.aggregate(hits, zero, step, with_match)
+
+
+def text_windows(texts: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """row, windows: the windows of each text (row, license, words) that match a notice of its licence; of those that overlap, the best.
+
+    ``grams`` (license, template, n, gram, pair) are the notices' bigrams.  Pairs
+    meet them by an equal join, and each notice's hits are scanned from both
+    ends: a part of a notice shortly before a whole one spoils that only for one
+    of the directions.
+    """
+    last = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", F.lit(1), last), F.slice("words", F.lit(2), last), lambda a, b: F.concat(a, F.lit(" "), b))
+    placed = texts.select("row", "license", F.posexplode(pairs).alias("pos", "pair"))
+    hits = placed.join(grams, ["license", "pair"]).select("row", "template", "n", "pos", "gram")
+    found = hits.groupBy("row", "template", "n").agg(F.sort_array(F.collect_list(F.struct("gram", "pos"))).alias("by_gram"))
+    least = F.ceil(F.col("n") * (threshold / (2 - threshold)) - 1e-9)
+    found = found.filter(F.size("by_gram") >= least)
+
+    def neighbour(step: int) -> Column:
+        """Hits with the place of the same pair before (or behind, counted down from 0)."""
+        def of(x: Column, i: Column) -> Column:
+            other = F.get(F.col("by_gram"), i - step)
+            sign = F.lit(step)
+            seen = F.when((i - step >= 0) & (other["gram"] == x["gram"]), sign * other["pos"] + (0 if step > 0 else F.col("top"))).otherwise(-1)
+            pos = sign * x["pos"] + (0 if step > 0 else F.col("top"))
+            return F.struct(pos.alias("pos"), seen.alias("seen"), x["gram"].alias("gram"))
+
+        return F.array_sort(F.transform("by_gram", of))
+
+    found = found.withColumn("top", F.array_max(F.transform("by_gram", lambda x: x["pos"])))
+    found = found.withColumns({"ahead": neighbour(1), "back": neighbour(-1)})
+    turned = F.transform(hit_windows(F.col("back"), F.col("n"), threshold), lambda w: F.struct(
+        (F.col("top") - w["end"]).alias("begin"), (F.col("top") - w["begin"]).alias("end"), w["dice"].alias("dice")))
+    both = found.select("row", F.concat(hit_windows(F.col("ahead"), F.col("n"), threshold), turned).alias("windows"))
+    # the outer form: else a filter on the arrays' sizes is derived that works all of this out once more, within its own loops
+    every = both.select("row", F.explode_outer("windows").alias("w")).filter("w is not null").groupBy("row").agg(F.array_sort(F.collect_set("w")).alias("windows"))
+    return every.select("row", best_apart(F.col("windows")).alias("windows"))
 
 
 def best_apart(windows: Column) -> Column:
@@ -190,14 +245,14 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """doc_id, license, best_dice and n_units (distinct units that match) of each document and licence found.
 
     Units are lines, paragraphs, the whole text and, apart from lines and
-    paragraphs that match the licence, windows of words of any place and of the
-    lengths that its templates admit; of windows that overlap, the best one.
+    paragraphs that match the licence, windows of words of any place
+    (``hit_windows``); of windows that overlap, the best one.
 
     A unit matches a template if their bigram sets' Dice coefficient is at least
     ``threshold``; texts and templates of one word have no bigrams and match
     nothing.  Null and empty texts give no rows, nor does an empty table; rows
     with the same id (null is one) are counted together; other columns are
-    ignored.  Row-local up to the last, partially aggregated count.
+    ignored.  Texts that may match are written once, with their units' matches.
     """
     spark = docs.sparkSession
     known = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, notice string")
@@ -232,31 +287,17 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         F.concat(F.split("text", "\n"), F.split("text", "\n(?: ?\n)+"), F.array("text")), word_list))
     scored = F.transform(unit, lambda w: F.struct(F.concat_ws(" ", w).alias("unit"), dice(w).alias("dice")))
     matched = F.filter(scored, lambda u: u["dice"] >= threshold)
-
-    def with_windows(matched: Column) -> Column:
-        known_units = F.transform(matched, lambda u: u["unit"])
-
-        def in_rest(words: Column) -> Column:
-            pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-                               F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-
-            def among(pairs: Column) -> Column:
-                def of_notice(n: Column) -> Column:
-                    least = F.greatest(F.ceil(F.size(n) * ratio - 1e-9).cast("int"), F.lit(1))
-                    most = F.floor(F.size(n) / ratio + 1e-9).cast("int")
-                    return matching_windows(pairs, n, least, most, threshold)
-
-                windows = best_apart(F.array_sort(F.flatten(F.transform("notices", of_notice))))
-                return F.transform(windows, lambda w: F.struct(
-                    F.concat_ws(" ", F.slice(words, w["begin"] + 1, w["end"] - w["begin"] + 2)).alias("unit"), w["dice"].alias("dice")))
-
-            return let(pairs, among)
-
-        rest = rest_words(F.col("text"), lambda w: F.array_contains(known_units, F.concat_ws(" ", w)))
-        return F.concat(matched, let(rest, in_rest))
-
-    ratio = threshold / (2 - threshold)
-    units = found.select("doc_id", "license", F.explode(let(matched, with_windows)).alias("u"))
+    found = found.select("doc_id", "license", "text", matched.alias("matched"))
+    known_units = F.transform("matched", lambda u: u["unit"])
+    rest = rest_words(F.col("text"), lambda w: F.array_contains(known_units, F.concat_ws(" ", w)))
+    found = stage(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "license", "matched", rest.alias("words")), "license-texts")
+
+    grams = known.select("license", "template", F.size("notice_bigrams").alias("n"), F.posexplode("notice_bigrams").alias("gram", "pair"))
+    windows = text_windows(found, F.broadcast(grams) if small else grams, threshold)
+    in_windows = found.join(windows, "row").select("doc_id", "license", F.explode("windows").alias("w"), "words").select(
+        "doc_id", "license", F.struct(
+            F.concat_ws(" ", F.slice("words", F.col("w.begin") + 1, F.col("w.end") - F.col("w.begin") + 2)).alias("unit"), F.col("w.dice").alias("dice")).alias("u"))
+    units = found.select("doc_id", "license", F.explode("matched").alias("u")).unionByName(in_windows)
     return (
         units.groupBy("doc_id", "license", "u.unit").agg(F.max("u.dice").alias("dice"))
         .groupBy("doc_id", "license").agg(F.max("dice").alias("best_dice"), F.count(F.lit(1)).alias("n_units"))

@@ -60,7 +60,7 @@ texts AS (SELECT doc_id, {norm.format('text')} AS text FROM documents WHERE text
 units AS (
   SELECT DISTINCT doc_id, {words.format('unit')} AS words FROM (
     SELECT doc_id, unnest(string_split(text, chr(10)) || string_split_regex(text, '\\n(?: ?\\n)+') || [text]) AS unit FROM texts)),
-grams AS (SELECT doc_id, words, {grams} AS grams FROM units WHERE len(words) BETWEEN 2 AND 2000),
+grams AS (SELECT doc_id, words, {grams} AS grams FROM units WHERE len(words) >= 2),
 scored AS (
   SELECT doc_id, license, words, max(2 * len(list_intersect(g.grams, n.grams)) / (len(g.grams) + len(n.grams))::DOUBLE) AS dice
   FROM grams g JOIN notices n

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -214,6 +215,81 @@ def test_notices_inside_longer_lines_are_found(spark):
         assert (want is None and i not in got) or got[i][want[0]] == want[1:], (i, got.get(i))
 
 
+def best_window(words, notice, threshold):
+    """The best Dice coefficient of all windows, each looked at from its beginning to its end; sizes as the scan counts them."""
+    grams = list(dict.fromkeys(zip(notice, notice[1:])))
+    n, known, pairs, best = len(grams), set(grams), list(zip(words, words[1:])), 0.0
+    for i, first in enumerate(pairs):
+        if first not in known:
+            continue
+        held, others = set(), 0
+        for j in range(i, min(len(pairs), i + 2 * n + 2)):
+            if pairs[j] in known:
+                held.add(pairs[j])
+                complete = {first, pairs[j]} == {grams[0], grams[-1]}
+                size = len(held) + others
+                best = max(best, 2 * len(held) / ((size if complete else max(size, n)) + n))
+            else:
+                others += 1
+    return best
+
+
+def test_windows_equal_a_search_of_all(spark):
+    """Random texts with edited, cut, repeated and interrupted notices in one long line."""
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(40)]
+    notices = [[rng.choice(vocabulary) for _ in range(n)] for n in (5, 6, 9, 15, 40, 80)]
+    templates = [(f"L{k}", " ".join(w)) for k, w in enumerate(notices)]
+    filler = lambda n: [rng.choice(vocabulary + [f"x{i}" for i in range(60)]) for _ in range(n)]
+    texts = []
+    for _ in range(250):
+        words = filler(rng.randrange(60))
+        for _ in range(rng.randrange(1, 4)):
+            notice = rng.choice(notices)
+            rate = rng.choice([0, 0, 0.03, 0.06, 0.1])
+            copy = [x for w in notice for x in (filler(1) if rng.random() < rate else [w] if rng.random() > rate / 2 else [])]
+            begin = rng.choice([0, 0, 0, rng.randrange(len(copy) // 2 + 1)])
+            words += copy[begin:rng.choice([len(copy), len(copy), len(copy) - 1])] + filler(rng.choice([0, 3, 30]))
+        texts.append(words)
+    docs = spark.createDataFrame([(i, " ".join(w), "x") for i, w in enumerate(texts)], SCHEMA)
+    got = {(r["doc_id"], r["license"]): r["best_dice"] for r in license_scan.scan_licenses(docs, templates).collect()}
+    want = {}
+    for i, words in enumerate(texts):
+        for (name, _), notice in zip(templates, notices):
+            a, b = set(zip(words, words[1:])), set(zip(notice, notice[1:]))
+            dice = max(best_window(words, notice, 0.8), 2 * len(a & b) / max(1, len(a) + len(b)))  # the whole text is a unit too
+            if dice >= 0.8 - 1e-9:
+                want[i, name] = dice
+    assert set(got) <= set(want)
+    lost = set(want) - set(got)
+    assert len(lost) <= 0.01 * len(want) and len(want) > 200, (lost, len(want))
+    close = sum(abs(got[k] - want[k]) < 0.05 for k in got)
+    assert close >= 0.95 * len(got)
+
+
+def test_a_long_licence_in_a_longer_line_takes_linear_time(spark):
+    gpl = dict(license_scan.whole_licenses())["GPL-3.0"]
+    one_line = " ".join(gpl.split())
+    filler = lambda k: " ".join(f"word{i * 7 + k}" for i in range(5000))
+    seconds = []
+    for copies in (1, 1, 4):  # the first run warms up
+        text = filler(0) + "".join(f" {one_line} {filler(k)}" for k in range(copies))
+        begin = time.time()
+        rows = license_scan.scan_licenses(spark.createDataFrame([(1, text, "x")], SCHEMA)).collect()
+        seconds.append(time.time() - begin)
+        assert {r["license"]: r["best_dice"] for r in rows}["GPL-3.0"] > 0.99
+    print(seconds)
+    assert seconds[1] < 15 and seconds[2] < 5 * seconds[1]  # generous: machines differ, joins have a fixed cost
+
+
+def test_no_template_can_vanish(monkeypatch, tmp_path):
+    assert len(license_scan.whole_licenses()) >= 18
+    monkeypatch.setattr(license_scan, "files", lambda _: tmp_path)
+    (tmp_path / "licenses").mkdir()
+    with pytest.raises(FileNotFoundError):
+        license_scan.whole_licenses()
+
+
 def test_whole_licences_are_found(spark):
     texts = {p.stem: p.read_text() for p in (Path(license_scan.__file__).parent / "licenses").glob("*.txt")}
     assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0"} <= set(texts)
