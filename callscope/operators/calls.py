@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from callscope.functions import status as S
 from callscope.functions.grammar import JAVA as G
 from callscope.functions.items import with_items
+from callscope.functions.ordering import prefix_matches
 from callscope.operators.catalog import attach_schema
 from callscope.session import broadcast_if_small
 
@@ -198,26 +199,16 @@ def param_type_profile(calls: DataFrame) -> DataFrame:
     return agg.withColumn("inferred_type", inferred)
 
 
-def enum_prefixes(domain: DataFrame, value_col: str = "candidate") -> DataFrame:
-    """Every prefix (including '') of every quoted candidate: (prefix, candidate, ord)."""
-    q = F.concat(F.lit('"'), F.col(value_col), F.lit('"'))
-    return domain.select(
-        F.col("ord"), q.alias("cand"),
-        F.explode(F.sequence(F.lit(0), F.length(q))).alias("len"),
-    ).select(F.expr("substring(cand, 1, len)").alias("prefix"), "cand", "ord", "len")
-
-
 def enum_completions(partials: DataFrame, domain: DataFrame) -> DataFrame:
     """Candidates still possible for a partial quoted value.
 
-    The domain is expanded to its prefix table and matched by *equality* on
-    the prefix (no nested-loop join).  Completions are computed once per
-    distinct partial text and joined back, so a hot partial costs nothing
-    extra.
+    In the sorted domain a partial's candidates are an interval of ranks, found
+    by sorting its two ends in among them (no candidate is taken apart, no
+    nested-loop join).  Completions are computed once per distinct partial text
+    and joined back, so a hot partial costs nothing extra.
     """
-    pref = broadcast_if_small(enum_prefixes(domain))  # domain-sized: names x their lengths
-    distinct_partials = partials.select("partial").distinct()
-    matched = distinct_partials.join(pref, distinct_partials["partial"] == pref["prefix"], "inner")
+    quoted = domain.select(F.concat(F.lit('"'), F.col("candidate"), F.lit('"')).alias("cand"))
+    matched = prefix_matches(partials.select("partial").distinct(), quoted, "partial", "cand")
     per_text = matched.groupBy("partial").agg(
         F.count_distinct("cand").cast("bigint").alias("n_candidates"),
         F.array_join(F.array_sort(F.collect_set("cand")), "|").alias("candidates"),

@@ -14,11 +14,11 @@ The single-machine trie and its depth-first search become tables:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions import status as S
-from callscope.functions.ordering import dense_index
+from callscope.functions.ordering import dense_index, prefix_matches, running_sum
 from callscope.operators.catalog import attach_schema
 from callscope.functions.grammar import JAVA as G
 from callscope.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, broadcast_if_small, ensure_checkpoint_dir
@@ -87,47 +87,42 @@ def unique_text(decoded: DataFrame) -> DataFrame:
 # Prefix table, fan-out, prefix search
 # --------------------------------------------------------------------------
 
-def _token_prefixes(unique: DataFrame, from_len: int = 1) -> DataFrame:
-    return unique.select(
-        "text", "token_id", "first_ord",
-        F.explode(F.sequence(F.lit(from_len), F.length("text"))).alias("depth"),
-    ).select(
-        F.expr("substring(text, 1, depth)").alias("prefix"), "depth", "text", "token_id", "first_ord"
-    )
-
-
 def prefix_table(unique: DataFrame) -> DataFrame:
     """every trie node ``(prefix, parent, depth, char, token_id, first, dfs_ord)``.
 
     ``first`` is the insertion slot that created the node (smallest
     ``first_ord`` below it); children of a node are visited in that order, a
     node's own token before its children -- ``dfs_ord`` is that preorder rank.
+
+    In the order of their texts the tokens below a node are an interval of
+    ranks.  A token's place is the sum of what each node above it puts before
+    it: the tokens below the node's earlier siblings, and the node's own token.
+    Each node adds that to its interval as a step up and a step down, and one
+    running sum over the ranks gives all places.
     """
-    ex = _token_prefixes(unique)
-    nodes = ex.groupBy("prefix").agg(
-        F.min("depth").cast("int").alias("depth"), F.min("first_ord").alias("first")
-    )
-    ends = unique.select(F.col("text").alias("prefix"), "token_id")
-    nodes = nodes.join(ends, "prefix", "left")
-    # depth-first order of the tokens: sort by the path of creation slots
-    # a hot prefix (say " t") is shared by many tokens: the node table (a row per
-    # node) is broadcast if small, else written first, so that adaptive execution
-    # can split the hot side of the join
     ensure_checkpoint_dir(unique.sparkSession)
-    nodes = nodes.checkpoint(eager=True)
-    path = (
-        ex.select("text", "depth", "prefix")
-        .join(broadcast_if_small(nodes.select("prefix", "first")), "prefix")
-        .groupBy("text")
-        .agg(F.array_sort(F.collect_list(F.struct("depth", "first"))).alias("p"))
-        .select(F.col("text").alias("prefix"), F.transform("p", lambda x: x["first"]).alias("path"))
-    )
-    ranked = dense_index(path, "path", out="dfs_ord").select("prefix", "dfs_ord")
-    nodes = nodes.join(ranked, "prefix", "left")
+    ranked = dense_index(unique.select("text", "token_id", "first_ord"), "text", out="rank")
+    below = ranked.select(
+        "rank", "first_ord", "token_id", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("depth"),
+    ).select(F.expr("substring(text, 1, depth)").alias("prefix"), "rank", "first_ord", F.when(F.col("depth") == F.length("text"), F.col("token_id")).alias("token_id"))
+    # combined before the shuffle, so that a hot prefix (say " t") is a row of each task
+    nodes = below.groupBy("prefix").agg(
+        F.min("first_ord").alias("first"), F.min("rank").alias("low"), F.count(F.lit(1)).alias("n"), F.max("token_id").alias("token_id"))
+    nodes = nodes.withColumn("depth", F.length("prefix")).withColumn("parent", F.expr("substring(prefix, 1, depth - 1)"))
+    earlier = Window.partitionBy("parent").orderBy("first", "prefix").rowsBetween(Window.unboundedPreceding, -1)
+    nodes = nodes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).checkpoint(eager=True)
+
+    step = lambda at, by: F.struct(at.alias("rank"), by.cast("long").alias("by"))
+    high, own = F.col("low") + F.col("n"), F.col("token_id").isNotNull()
+    steps = F.concat(
+        F.when(F.col("before") > 0, F.array(step(F.col("low"), F.col("before")), step(high, -F.col("before")))).otherwise(F.array()),
+        F.when(own & (F.col("n") > 1), F.array(step(F.col("low") + 1, F.lit(1)), step(high, F.lit(-1)))).otherwise(F.array()))
+    moved = nodes.select(F.explode(steps).alias("s")).groupBy(F.col("s.rank").alias("rank")).agg(F.sum("s.by").alias("by"))
+    by_rank = ranked.select("rank").join(moved, "rank", "left").select("rank", F.coalesce("by", F.lit(0).cast("long")).alias("by"))
+    places = running_sum(by_rank, "rank", "by", "dfs_ord")
+    nodes = nodes.join(places, (F.col("low") == F.col("rank")) & own, "left")
     return nodes.select(
-        "prefix",
-        F.expr("substring(prefix, 1, depth - 1)").alias("parent"),
-        "depth",
+        "prefix", "parent", "depth",
         F.expr("substring(prefix, depth, 1)").alias("char"),
         "token_id", "first", "dfs_ord",
     )
@@ -148,12 +143,8 @@ def prefix_fanout(nodes: DataFrame) -> DataFrame:
 
 
 def prefix_search(queries: DataFrame, unique: DataFrame) -> DataFrame:
-    """tokens under each query prefix, by equality on an exploded prefix table."""
-    pairs = _token_prefixes(unique, from_len=0).select("prefix", "token_id")
-    # short prefixes match many tokens, so the pair table is the hot side and
-    # stays partitioned; the queries are the side that may be broadcast
-    asked = broadcast_if_small(queries)
-    return pairs.join(asked, pairs["prefix"] == asked["query"]).select("query_id", "query", "token_id")
+    """tokens under each query prefix: the interval of ranks that the prefix spans in the sorted vocabulary."""
+    return prefix_matches(queries, unique.select("text", "token_id"), "query", "text").select("query_id", "query", "token_id")
 
 
 # --------------------------------------------------------------------------

@@ -1,7 +1,10 @@
 """Trie-as-table and allowed-token goldens (prefix table, decode, F5 snapshot)."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from callscope.functions import ordering
 from callscope.operators import vocab as V
 
 
@@ -55,3 +58,62 @@ def test_allowed_tokens_snapshot(spark):
     mask = V.allowed_tokens(states, unique_of(spark, SNAPSHOT_VOCAB), catalog).collect()
     got = [sorted(r["token_id"] for r in mask if r["state_id"] == i) for i in range(4)]
     assert got == SNAPSHOT_EXPECTED
+
+
+def plain_trie(tokens):
+    """prefix -> (first, token_id, place of its token depth-first), from a trie that is walked."""
+    root = {}
+    for slot, (text, token_id) in enumerate(tokens):
+        node = root
+        for at in range(1, len(text) + 1):
+            node = node.setdefault(text[:at], {"first": slot, "kids": {}, "id": None})
+            last, node = node, node["kids"]
+        last["id"] = token_id
+    out, place = {}, 0
+
+    def walk(kids):
+        nonlocal place
+        for prefix, node in kids.items():  # in order of insertion
+            out[prefix] = [node["first"], node["id"], None]
+            if node["id"] is not None:
+                out[prefix][2] = place
+                place += 1
+            walk(node["kids"])
+
+    walk(root)
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def random_tokens(seed, n=400):
+    rng = random.Random(seed)
+    texts = {"".join(rng.choice(["a", "b", " ", "é", "\U0001f600", "\uffff", "{"]) for _ in range(rng.randint(1, 7))) for _ in range(n)}
+    texts = sorted(texts, key=lambda _: rng.random())
+    return [(t, i) for i, t in enumerate(texts)]
+
+
+def test_prefix_table_equals_a_walked_trie(spark):
+    tokens = random_tokens(3)
+    nodes = V.prefix_table(unique_of(spark, dict(tokens)).repartition(5))
+    got = {r["prefix"]: (r["first"], r["token_id"], r["dfs_ord"]) for r in nodes.collect()}
+    assert got == plain_trie(tokens)
+    assert all(r["parent"] + r["char"] == r["prefix"] and r["depth"] == len(r["prefix"]) for r in nodes.collect())
+    assert "collect_list" not in nodes._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prefix_search_equals_startswith(spark):
+    tokens = random_tokens(4)
+    rng = random.Random(5)
+    asked = [""] + [rng.choice(tokens)[0][:rng.randint(1, 4)] for _ in range(80)] + ["zz", "\U0010ffff", "a\u0000", None, "", " "]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string").repartition(3)
+    found = V.prefix_search(queries, unique_of(spark, dict(tokens)))
+    got = sorted((r["query_id"], r["token_id"]) for r in found.collect())
+    assert got == sorted((q, i) for q, prefix in enumerate(asked) if prefix is not None for text, i in tokens if text.startswith(prefix))
+    assert V.prefix_search(queries.limit(0), unique_of(spark, dict(tokens))).count() == 0
+    assert V.prefix_search(queries, unique_of(spark, dict(tokens)).limit(0)).count() == 0
+
+
+def test_running_sum_over_several_runs(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "RUN", 10)
+    rows = [(i, (i * 7) % 11 - 4) for i in range(105)]
+    got = ordering.running_sum(spark.createDataFrame(rows, "at long, v long").repartition(4), "at", "v", "total").collect()
+    assert {r["at"]: r["total"] for r in got} == {i: sum(v for _, v in rows[:i + 1]) for i in range(105)}
