@@ -1,12 +1,17 @@
 """Exact top-k search by inner product: a Voronoi join.
 
-Data vectors and queries are grouped by their nearest pivot.  Of each data cell
-only a summary (count, radius around the pivot, largest norm) and of the data a
-bounded set of witnesses is known to all tasks.  They bound a query's scores:
-its k-th best witness score is a score that the result reaches; in a cell with
-pivot p and radius r no score exceeds q.p + |q| r, nor |q| times the largest
-norm.  A query is replicated only to the cells that this lets hold a result;
-cell blocks and query blocks are then solved locally, and the lists merged.
+Data vectors and queries are grouped by their nearest pivot; there are about as
+many pivots as the root of the number of vectors.  A cell is cut into blocks by
+distance from its pivot, so a block is a ring, and of each block only a summary
+(the ring's radii, the largest norm) is known to all tasks.  It bounds a query's
+scores: with pivot p, radii a to b and largest norm m no score exceeds
+q.p + |q| b, nor |q| m, nor (|q|^2 + m^2 - d^2) / 2, where d is how far the
+query lies outside of the ring.
+
+A query meets the block with the highest bound first.  The k-th best score that
+it finds there, or among a bounded set of witnesses, is one that its result
+reaches; it is then replicated only to the blocks that this lets hold a result.
+Blocks of data and of queries are solved locally, and the lists merged.
 
 Equal vectors are one vector with its k + 1 smallest ids, which is all that can
 appear in a result, so a vector that a third of the rows share is one row.
@@ -15,20 +20,24 @@ appear in a result, so a vector that a third of the rows share is one row.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callscope.llm.common import in_slices, stage
 
-PIVOTS = 64
-WITNESSES = 1024  # data vectors known to every task; the first of them are the pivots
+LEAST_PIVOTS, PIVOT_SHARE = 16, 0.25  # pivots: this share of the root of the number of vectors, but at least so many
+WITNESSES = 1024  # data vectors known to every task, or as many as the pivots; the first of them are the pivots
 DATA_BLOCK, QUERY_BLOCK = 2048, 512
 SLACK = 1e-6  # relative, for bounds computed in floating point
+CELL_BITS = 32  # of a cell's number: the pivot, below the vectors' length
+NO_PIVOT = (1 << CELL_BITS) - 1
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -81,7 +90,8 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64,
     queries = rows.filter("query").select("id", "v")
     asked = stage(queries.select("v").distinct().withColumn("q", F.monotonically_increasing_id()), "distinct-queries")
 
-    witnesses = data.orderBy(F.xxhash64("v"), "v").limit(WITNESSES).collect()
+    pivots = max(LEAST_PIVOTS, math.ceil(PIVOT_SHARE * math.sqrt(data.count())))
+    witnesses = data.orderBy(F.xxhash64("v"), "v").limit(max(WITNESSES, pivots)).collect()
     known: dict[int, np.ndarray] = {}
     for w in witnesses:
         known.setdefault(len(w["v"]), []).append(w["v"])
@@ -99,85 +109,81 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64,
                 at = np.flatnonzero(lengths == n)
                 m = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(len(at), int(n))
                 norm[at] = np.sqrt((m.astype("f8") ** 2).sum(axis=1))
-                cell[at], far[at] = int(n) << 16 | 0xFFFF, np.inf  # a length without pivots is one cell without bounds
+                cell[at], far[at] = int(n) << CELL_BITS | NO_PIVOT, np.inf  # a length without pivots is one cell without rings
                 if n in known:
-                    p = known[n][:PIVOTS].astype("f8")
+                    p = known[n][:pivots].astype("f8")
                     d2 = norm[at, None] ** 2 - 2 * (m.astype("f8") @ p.T) + (p ** 2).sum(axis=1)
                     best = d2.argmin(axis=1)
-                    cell[at] = int(n) << 16 | best
+                    cell[at] = int(n) << CELL_BITS | best
                     far[at] = np.sqrt(((m - p[best]) ** 2).sum(axis=1))
                 for i, row in zip(at.tolist(), m):
                     packed[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays([*others, pa.array(packed, pa.binary()), pa.array(cell), pa.array(far), pa.array(norm)],
                                              names=[*batch.schema.names[1:], "v", "cell", "far", "norm"])
 
-    placed = stage(data.select("v", "ids").mapInArrow(nearest, "ids array<long>, v binary, cell long, far double, norm double"), "cells")
-    summary = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.max("norm").alias("norm")).collect()
-    cells = {}
-    for s in summary:
-        cells.setdefault(s["cell"] >> 16, []).append((s["cell"], s["n"], s["radius"], s["norm"]))
-
-    def replicate(batches):
-        """Each query once for each cell that may hold one of its results, with the score that the result reaches."""
-        for batch in in_slices(batches):
-            q_ids, data, own = batch.column(0), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
-            out_q, out_cell, out_floor = [], [], []
-            for n in np.unique(own >> 16):
-                at = np.flatnonzero(own >> 16 == n)
-                m = _matrix(data.take(pa.array(at))).reshape(len(at), int(n))
-                norm = np.sqrt((m.astype("f8") ** 2).sum(axis=1))
-                floor = np.full(len(at), np.iinfo("i8").min)
-                if n in known:  # the (k + 1)-th best witness, as the query itself may be one
-                    scores = _products(m, known[n])
-                    order = np.argsort(-scores, axis=1, kind="stable")
-                    reached = np.cumsum(weight[n][order], axis=1) > k
-                    enough = reached.any(axis=1)
-                    floor[enough] = np.take_along_axis(scores, order, axis=1)[np.arange(len(at)), reached.argmax(axis=1)][enough]
-                for cell, _, radius, largest in cells.get(int(n), []):
-                    most = norm * largest
-                    if cell & 0xFFFF != 0xFFFF:
-                        most = np.minimum(most, m.astype("f8") @ known[n][cell & 0xFFFF].astype("f8") + norm * radius)
-                    needed = np.flatnonzero(most + SLACK * (1 + np.abs(most) + norm * largest) >= floor)
-                    out_q.append(at[needed])
-                    out_cell.append(np.full(len(needed), cell))
-                    out_floor.append(floor[needed])
-            rows = np.concatenate(out_q) if out_q else np.zeros(0, "i8")
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [q_ids.take(take), data.take(take), pa.array(np.concatenate(out_cell) if out_cell else [], pa.int64()),
-                 pa.array(np.concatenate(out_floor) if out_floor else [], pa.int64()), pa.array(own[rows], pa.int64())],
-                names=["q", "v", "cell", "floor", "own"])
-
-    grouped = asked.select("v", "q").mapInArrow(nearest, "q long, v binary, cell long, far double, norm double")
-    needed = grouped.select("q", "v", "cell").mapInArrow(replicate, "q long, v binary, cell long, floor long, own long")
-    needed = stage(needed, "needed")
-    asks = {r["cell"]: r["n"] for r in needed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def blocks(counts: dict[int, int], size: int) -> Column:
-        number = F.lit(1)
-        for parts, group in _by_value({c: math.ceil(n / size) for c, n in counts.items()}).items():
-            number = F.when(F.col("cell").isin(group), parts).otherwise(number)
-        return number
-
-    def pack_data(key, table):
-        ids = table["ids"].combine_chunks()
-        return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "vectors": pa.array([b"".join(table["v"].to_pylist())], pa.binary()),
-                         "n": pa.array([table.num_rows], pa.int64()), "ids": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64())))})
-
-    def pack_queries(key, table):
-        table = table.sort_by([("own", "ascending"), ("q", "ascending")])
-        return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "asked": pa.array([b"".join(table["v"].to_pylist())], pa.binary()),
-                         "q": pa.array([table["q"].to_pylist()], pa.list_(pa.int64())), "floor": pa.array([table["floor"].to_pylist()], pa.list_(pa.int64()))})
-
-    in_blocks = placed.withColumn("block", F.pmod(F.xxhash64("v"), blocks({c: n for cs in cells.values() for c, n, *_ in cs}, DATA_BLOCK)))
-    data_blocks = stage(in_blocks.select("cell", "block", "v", "ids").groupBy("cell", "block").applyInArrow(
-        pack_data, "cell long, vectors binary, n long, ids array<array<long>>"), "data-blocks")
-    in_blocks = needed.withColumn("block", F.pmod(F.xxhash64("q"), blocks(asks, QUERY_BLOCK)))
-    query_blocks = stage(in_blocks.groupBy("cell", "block").applyInArrow(
-        pack_queries, "cell long, asked binary, q array<long>, floor array<long>"), "query-blocks")
+    placed = data.select("v", "ids").mapInArrow(nearest, "ids array<long>, v binary, cell long, far double, norm double")
+    data_blocks = stage(_rings(placed), "data-blocks")
+    summary = data_blocks.select("block", "cell", "low", "high", "largest").collect()  # five numbers for each 2048 vectors
+    rings: dict[int, np.ndarray] = {}
+    for n in {r["cell"] >> CELL_BITS for r in summary}:
+        rings[n] = np.array([(r["block"], r["cell"] & NO_PIVOT, r["low"], r["high"], r["largest"]) for r in summary if r["cell"] >> CELL_BITS == n], object)
+
+    def reached(m: np.ndarray) -> np.ndarray:
+        """For each query a score that its result reaches: the (k + 1)-th best witness', as the query itself may be one."""
+        floor, n = np.full(len(m), np.iinfo("i8").min), m.shape[1]
+        if n in known:
+            scores = _products(m, known[n])
+            order = np.argsort(-scores, axis=1, kind="stable")
+            enough = np.cumsum(weight[n][order], axis=1) > k
+            some = enough.any(axis=1)
+            floor[some] = np.take_along_axis(scores, order, axis=1)[np.arange(len(m)), enough.argmax(axis=1)][some]
+        return floor
+
+    def bounds(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The blocks of vectors as long as these queries, and what no score of a query with a vector in a block exceeds."""
+        of = rings.get(m.shape[1], np.zeros((0, 5), object))
+        block = of[:, 0].astype("i8")
+        if m.shape[1] not in known:  # as many as one length's vectors without a pivot make
+            return block, np.full((len(m), len(block)), np.inf)
+        pivot, low, high, largest = of[:, 1].astype("i8"), *(of[:, i].astype("f8") for i in (2, 3, 4))
+        p, q = known[m.shape[1]][:pivots].astype("f8"), m.astype("f8")
+        norm = np.sqrt((q ** 2).sum(axis=1))[:, None]
+        product = q @ p.T
+        gap = np.sqrt(np.maximum(norm ** 2 - 2 * product + (p ** 2).sum(axis=1), 0))[:, pivot]
+        outside = np.maximum(np.maximum(gap - high, low - gap), 0)
+        # distances are rounded, so what they take off is taken a little smaller
+        outside = np.maximum(outside - SLACK * (1 + gap + high), 0)
+        most = np.minimum(np.minimum(product[:, pivot] + norm * high, norm * largest), (norm ** 2 + largest ** 2 - outside ** 2) / 2)
+        return block, most + SLACK * (1 + np.abs(most) + norm * largest)
+
+    def replicate(first: bool):
+        """Each query for each block that may hold one of its results, with its floor; at first only for the one with the highest bound."""
+        def run(batches):
+            for batch in in_slices(batches):
+                q_ids, data, own = batch.column(0), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
+                given = batch.column(3).to_numpy(zero_copy_only=False)
+                out = [(np.zeros(0, "i8"),) * 3]
+                for n in np.unique(own >> CELL_BITS):
+                    at = np.flatnonzero(own >> CELL_BITS == n)
+                    m = _matrix(data.take(pa.array(at))).reshape(len(at), int(n))
+                    block, most = bounds(m)
+                    floor = np.maximum(reached(m), given[at])
+                    if not len(block):
+                        continue
+                    best = most.argmax(axis=1)
+                    needed = most >= floor[:, None]
+                    is_best = np.zeros(needed.shape, bool)
+                    is_best[np.arange(len(at)), best] = True
+                    row, col = np.nonzero(is_best if first else needed & ~is_best)
+                    out.append((at[row], block[col], floor[row]))
+                rows, block, floor = (np.concatenate(c) for c in zip(*out))
+                take = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(own[rows], pa.int64()), q_ids.take(take), data.take(take), pa.array(floor, pa.int64())],
+                                                 names=["block", "own", "q", "v", "floor"])
+        return run
 
     def solve(batches):
-        """A block of a cell against a block of queries: each query's k + 1 best, none below its floor."""
+        """A block of data against a block of queries: each query's k + 1 best, none below its floor."""
         for batch in in_slices(batches, 1):  # one pair of blocks in memory
             out = []
             for vectors, n, ids, asked_v, q, floor in zip(*(c.to_pylist() for c in batch.columns)):
@@ -199,10 +205,22 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64,
             qs, lists = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(lists, pa.list_(pa.struct([("lost", pa.int64()), ("id", pa.int64())])))], names=["q", "best"])
 
-    units = data_blocks.join(query_blocks, "cell").select("vectors", "n", "ids", "asked", "q", "floor")
-    found = units.mapInArrow(solve, "q long, best array<struct<lost: long, id: long>>")
-    merged = found.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
-    answers = stage(asked.join(merged, "q").select("v", "best"), "answers")
+    def solved(queries: DataFrame, first: bool) -> DataFrame:
+        needed = queries.mapInArrow(replicate(first), "block long, own long, q long, v binary, floor long")
+        units = data_blocks.join(_query_blocks(needed), "block").select("vectors", "n", "ids", "asked", "q", "floor")
+        found = units.mapInArrow(solve, "q long, best array<struct<lost: long, id: long>>")
+        return stage(found, "first-found" if first else "found")
+
+    def merged(found: DataFrame) -> DataFrame:
+        return found.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
+
+    grouped = stage(asked.select("v", "q").mapInArrow(nearest, "q long, v binary, cell long, far double, norm double"), "grouped-queries")
+    no_floor = F.lit(int(np.iinfo("i8").min)).alias("floor")
+    early = solved(grouped.select("q", "v", "cell", no_floor), True)
+    full = merged(early).filter(F.size("best") > k).select("q", (-F.element_at("best", -1)["lost"]).alias("floor"))
+    raised = grouped.join(full, "q", "left").select("q", "v", "cell", F.coalesce("floor", no_floor).alias("floor"))
+    late = solved(raised, False)
+    answers = stage(asked.join(merged(early.unionByName(late)), "q").select("v", "best"), "answers")
     others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
     return (
         queries.withColumnRenamed("id", "query_id").distinct().join(answers, "v")
@@ -211,9 +229,45 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64,
     )
 
 
-def _by_value(numbers: dict[int, int]) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    for key, value in numbers.items():
-        if value > 1:
-            out.setdefault(value, []).append(key)
-    return out
+def _runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
+    """Rows with the same first value, at most ``size`` at a time."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and (len(held) == size or held[0][0] != row[0]):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _rings(placed: DataFrame) -> DataFrame:
+    """block, cell, low, high, largest, vectors, n, ids: each cell's vectors by distance from the pivot, so many at a time."""
+
+    def cut(batches):
+        part = TaskContext.get().partitionId()
+        for number, rows in enumerate(_runs(batches, DATA_BLOCK)):
+            cell, far, norm, v, ids = zip(*rows)
+            yield pa.RecordBatch.from_pylist(
+                [{"block": part << 33 | number, "cell": cell[0], "low": min(far), "high": max(far), "largest": max(norm), "vectors": b"".join(v), "n": len(v), "ids": list(ids)}],
+                schema=pa.schema([("block", pa.int64()), ("cell", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("largest", pa.float64()),
+                                  ("vectors", pa.binary()), ("n", pa.int64()), ("ids", pa.list_(pa.list_(pa.int64())))]))
+
+    dealt = placed.select("cell", "far", "norm", "v", "ids").repartitionByRange("cell", "far").sortWithinPartitions("cell", "far")
+    return dealt.mapInArrow(cut, "block long, cell long, low double, high double, largest double, vectors binary, n long, ids array<array<long>>")
+
+
+def _query_blocks(needed: DataFrame) -> DataFrame:
+    """block, asked, q, floor: the queries that a block of data needs, like ones together, so many at a time."""
+
+    def cut(batches):
+        for rows in _runs(batches, QUERY_BLOCK):
+            block, _, q, v, floor = zip(*rows)
+            yield pa.RecordBatch.from_pylist(
+                [{"block": block[0], "asked": b"".join(v), "q": list(q), "floor": list(floor)}],
+                schema=pa.schema([("block", pa.int64()), ("asked", pa.binary()), ("q", pa.list_(pa.int64())), ("floor", pa.list_(pa.int64()))]))
+
+    # by block and own cell: a block that all queries need is dealt over several tasks
+    dealt = needed.repartitionByRange("block", "own", "q").sortWithinPartitions("block", "own", "q")
+    return dealt.mapInArrow(cut, "block long, asked binary, q array<long>, floor array<long>")

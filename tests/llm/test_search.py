@@ -38,7 +38,7 @@ def test_top_k_equals_brute_force(spark):
 def test_top_k_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(knn, "DATA_BLOCK", 16)
     monkeypatch.setattr(knn, "QUERY_BLOCK", 8)
-    monkeypatch.setattr(knn, "PIVOTS", 4)
+    monkeypatch.setattr(knn, "LEAST_PIVOTS", 4)
     monkeypatch.setattr(knn, "WITNESSES", 12)
     rng = random.Random(4)
     rows = [(i, [rng.choice([-2.0, 2.0]) + rng.gauss(0, 0.05) for _ in range(4)]) for i in range(400)]
@@ -46,6 +46,25 @@ def test_top_k_over_many_blocks(spark, monkeypatch):
     assert {tuple(r) for r in knn.top_k(df, F.col("vec_id") % 3 == 0, k=5).collect()} == brute_force(rows, lambda i: i % 3 == 0, 5)
 
 
+def test_clusters_are_pruned(spark, monkeypatch):
+    """Of clustered vectors few (query, block) pairs survive, and the rows stay exact."""
+    monkeypatch.setattr(knn, "DATA_BLOCK", 32)
+    monkeypatch.setattr(knn, "LEAST_PIVOTS", 64)
+    monkeypatch.setattr(knn, "WITNESSES", 64)
+    rng = random.Random(6)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(24)]
+    rows = [(i, [x + rng.gauss(0, 0.02) for x in centres[i % 24]]) for i in range(2000)]
+    blocks, pairs = [], []
+    rings, query_blocks = knn._rings, knn._query_blocks
+    monkeypatch.setattr(knn, "_rings", lambda placed: blocks.append(rings(placed)) or blocks[0])
+    monkeypatch.setattr(knn, "_query_blocks", lambda needed: pairs.append(needed) or query_blocks(needed))
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=10)
+    assert {tuple(r) for r in got.collect()} == brute_force(rows, lambda i: i % 10 == 0, 10)
+    survive, every = sum(p.count() for p in pairs), 200 * blocks[0].count()
+    print(survive, every)
+    assert survive < 0.2 * every
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert knn.top_k(df, F.col("vec_id") % 5 == 0).count() == 0
