@@ -152,13 +152,14 @@ def prefix_search(queries: DataFrame, unique: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def reduced_states(states: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``(state_id, schema, text)``: each live state as the shortest text that the same tokens may follow.
+    """``(state_id, schema, text, escape)``: each live state as the shortest text that the same tokens may follow.
 
     What may follow a state depends on the keys that are left and on the place
     in the current item, not on the values so far: the head is dropped with its
     keys, a string keeps its quote and an unfinished escape, a number its form,
     runs of white space one space.  ``schema`` lists the (key, type) left, in
-    the order of the keys.  REJECTED states are left out.
+    the order of the keys.  ``escape`` is the unfinished escape of a state within
+    a string value (mostly empty), null for others.  REJECTED states are left out.
     """
     df = S.add_status(attach_schema(states, catalog), keep_head=True, keep_tail=True).where(F.col("status") != S.REJECTED)
     rest = F.col("_rest")
@@ -179,7 +180,41 @@ def reduced_states(states: DataFrame, catalog: DataFrame) -> DataFrame:
     text = F.when(F.col("_head") == "", F.lit("")).otherwise(
         F.concat(F.lit("{"), F.when(F.col("_isti"), item).otherwise(F.col("_tail"))))
     left = F.transform(F.array_sort("_rem"), lambda k: F.struct(k.alias("key"), F.element_at("types", k).alias("type")))
-    return df.select("state_id", left.alias("schema"), text.alias("text"))
+    within = F.col("_isti") & (F.col("_colon") == ":") & rest.rlike(G.open_string)
+    return df.select("state_id", left.alias("schema"), text.alias("text"), F.when(within, escape).alias("escape"))
+
+
+def tokens_in_strings(searched: DataFrame, nodes: DataFrame) -> list[DataFrame]:
+    """``(rid, token_id, ord)`` of reduced states (rid, schema, text, escape) within a string value, in two parts.
+
+    What a token does to an open string depends on the unfinished escape only, so
+    it is worked out once for each token and escape that occurs: it stays within
+    the string, or it closes it and leaves a rest.  Tokens that stay are one set
+    for all states with the escape.  A rest must go on from the closed string;
+    that is checked once for each state and distinct rest, and the tokens with a
+    rest are found by equality.
+    """
+    escapes = [r["escape"] for r in searched.select("escape").distinct().collect()]  # a backslash, u and three hex digits at most
+    if not escapes:
+        return []
+    tokens = nodes.where(F.col("token_id").isNotNull())
+    opened = F.concat(F.lit('"'), F.col("escape"), F.col("prefix"))
+    closed = F.regexp_extract(opened, "\\A" + G.string, 0)
+    effects = tokens.select("prefix", "token_id", F.col("dfs_ord").alias("ord"), F.explode(F.array(*map(F.lit, escapes))).alias("escape")).select(
+        "escape", "token_id", "ord", opened.rlike(G.open_string).alias("stays"),
+        F.when(closed != "", opened.substr(F.length(closed) + 1, F.length(opened))).alias("rest"))
+    # behind a closed string only these go on
+    effects = effects.where(F.col("stays") | F.col("rest").rlike("\\A(?:[ \\t\\n\\r,}]|\\z)")).checkpoint(eager=True)
+    asked = broadcast_if_small(searched.select("rid", "escape"))
+    stay = effects.where("stays").join(asked, "escape").select("rid", "token_id", "ord")
+    rests = effects.where(~F.col("stays")).select("escape", "rest").distinct()
+    before = F.col("text").substr(F.lit(1), F.length("text") - F.length("escape") - 1)  # up to the string's quote
+    goes_on = broadcast_if_small(searched).join(rests, "escape").select(
+        "rid", "escape", "rest", F.transform("schema", lambda x: x["key"]).alias("keys"), F.map_from_entries("schema").alias("types"),
+        F.concat(before, F.lit('""'), "rest").alias("text"))
+    live = S.add_status(goes_on).where(F.col("status") != S.REJECTED).select("rid", "escape", "rest")
+    close = effects.where(~F.col("stays")).join(live, ["escape", "rest"]).select("rid", "token_id", "ord")
+    return [stay, close]
 
 
 def allowed_tokens(states: DataFrame, unique: DataFrame, catalog: DataFrame,
@@ -196,6 +231,9 @@ def allowed_tokens(states: DataFrame, unique: DataFrame, catalog: DataFrame,
     below that node and each candidate gets one full grammar check.  Exact,
     because viability is prefix-closed; the job count is ``walk_depth + 1``
     whatever the token length.
+
+    States within a string value, where most tokens may follow, are not walked:
+    ``tokens_in_strings`` looks their tokens up by what each does to a string.
     """
     spark = states.sparkSession
     ensure_checkpoint_dir(spark)
@@ -206,13 +244,13 @@ def allowed_tokens(states: DataFrame, unique: DataFrame, catalog: DataFrame,
         F.count(F.lit(1)).alias("n"), F.sum(row_bytes).alias("size")).collect()}
     max_depth = max(sizes, default=0)
     reduced = reduced_states(states, catalog).checkpoint(eager=True)
-    searched = reduced.select("schema", "text").distinct().withColumn("rid", F.monotonically_increasing_id()).checkpoint(eager=True)
-    of_state = reduced.join(searched, ["schema", "text"]).select("state_id", "rid")
-    frontier = searched.select(
+    searched = reduced.select("schema", "text", "escape").distinct().withColumn("rid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    of_state = reduced.join(searched.drop("escape"), ["schema", "text"]).select("state_id", "rid")
+    frontier = searched.where(F.col("escape").isNull()).select(
         "rid", F.col("text").alias("state_text"), F.transform("schema", lambda x: x["key"]).alias("keys"),
         F.map_from_entries("schema").alias("types"), F.lit("").alias("node"),
     )
-    outputs = []
+    outputs = tokens_in_strings(searched.where(F.col("escape").isNotNull()), nodes)
     walk = min(walk_depth, max_depth)
     for depth in range(1, walk + 1):
         edges = nodes.where(F.col("depth") == depth).select("parent", "prefix", "token_id", "dfs_ord")
