@@ -103,6 +103,7 @@ def sequences(pieces: DataFrame) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids; at most ``seq_len`` ids each.
 
     Takes ``pack(..., with_ids=True)``; pieces lie gapless, so order by offset.
+    Nulls and repeated rows are pieces like others there; no pieces, no rows.
     """
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return pieces.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))

@@ -353,7 +353,8 @@ def redacted(text: str, w: np.ndarray) -> str:
 def redact(docs: DataFrame, weights: np.ndarray | None = None, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """``docs`` with personal data in the text replaced by its kind in brackets.
 
-    Null texts stay null; all rows and columns stay.  If ``length_col`` is given
+    Null texts stay null and empty ones empty; all rows and columns stay, repeated
+    ones too; an empty table gives no rows.  If ``length_col`` is given
     and there, it is set to the new text's length.
     """
     w = train(docs, text_col) if weights is None else weights

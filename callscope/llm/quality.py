@@ -256,7 +256,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches the threshold; learnt from ``docs`` and ``labels``."""
+    """The rows of ``docs``, all columns, whose score reaches the threshold; learnt from ``docs`` and ``labels``.
+
+    Null texts count as empty; repeated rows stay or go together; without two
+    trusted positives and two unlabelled rows all stay; an empty table gives no rows.
+    """
     model = fit(feature_table(docs, labels, id_col, text_col))
     at = docs.columns.index(text_col)
 

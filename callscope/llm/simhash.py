@@ -214,7 +214,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group of near duplicates one row of ``docs``, all columns: that of the smallest id, nulls last, then text hash."""
+    """Of each group of near duplicates one row of ``docs``, all columns: that of the smallest id, nulls last, then text hash.
+
+    Repeated rows (same id and text) are one; null texts count as empty, and
+    texts without words are near duplicates of each other; an empty table gives
+    no rows.
+    """
     groups = grouped(docs, shingle, max_distance, id_col, text_col)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("best")
     chosen = stage(groups.groupBy("root").agg(best).select("best.doc_id", "best.text_hash"), "chosen")
