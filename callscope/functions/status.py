@@ -223,22 +223,49 @@ def add_status(df, text: str = "text", keys: str = "keys", types: str = "types",
     return with_items(done, text) if with_fields else done
 
 
-def tail_viable(tail: Column, rem: Column, types: Column) -> Column:
-    """Whether ``tail`` can follow a legal head whose remaining keys are ``rem``.
-
-    The tail-only part of :func:`call_status`: empty, an unfinished key that
-    a remaining key starts with, or a remaining key with an optional colon and
-    a value that is growing, complete, or complete and closing the object.
+def add_live_length(df, text: str, rem: str, out: str, types: str = "types"):
+    """How many characters of a refused item are consumed before the one that is refused.
+
+    ``text`` follows a legal head whose remaining keys are ``rem``: an item that
+    breaks a rule, or all that the text still holds.  It is read forward: the
+    quoted key as far as a remaining key begins like it, the colon, the value as
+    far as its type's pattern goes, what may stand behind the value, and the
+    brace if no other key is left.  Each part is one anchored pattern.
     """
-    pk = F.regexp_extract(tail, G.open_key, 1)
-    tk = F.regexp_extract(tail, G.tail_item, 1)
-    colon = F.regexp_extract(tail, G.tail_item, 2)
-    rest = F.regexp_extract(tail, G.tail_item, 3)
-    tt = F.element_at(types, tk)
-    item = tail.rlike(G.tail_item) & F.array_contains(rem, tk) & (
-        (colon == "")
-        | _per_type(tt, G.viable_value, rest)
-        | ((F.size(rem) == 1) & _per_type(tt, G.closing_value, rest))
+    seg, left = F.col(text), F.col(rem)
+    quoted = '\\A"(' + G.key_chars + ')"' + G.ws
+    length = F.length
+
+    def of_type(pattern_of, subject: Column) -> Column:
+        expr = None
+        for t in _CANONICAL_TYPES:
+            found = F.regexp_extract(subject, "\\A(?:" + pattern_of(t) + ")", 0)
+            expr = F.when(F.col("_type") == t, found) if expr is None else expr.when(F.col("_type") == t, found)
+        return F.coalesce(expr, F.lit(""))
+
+    staged = df.withColumns({"_key": F.regexp_extract(seg, quoted, 0), "_name": F.regexp_extract(seg, quoted, 1), "_opened": seg.substr(F.lit(2), length(seg))})
+    known = (F.col("_key") != "") & F.array_contains(left, F.col("_name"))
+    alike = F.array_max(F.transform(left, lambda k: F.size(F.filter(
+        F.sequence(F.lit(0), length(k)), lambda n: F.col("_opened").startswith(F.substring(k, F.lit(1), n))))))  # their common beginning, and one
+    staged = staged.withColumns({
+        "_known": known, "_alike": F.when(~known & (F.size(left) > 0), alike),
+        "_colon": F.regexp_extract(seg.substr(length("_key") + 1, length(seg)), "\\A:" + G.ws, 0),
+        "_type": F.when(known, F.element_at(types, F.col("_name")))})
+    staged = staged.withColumn("_value", seg.substr(length("_key") + length("_colon") + 1, length(seg)))
+    staged = staged.withColumns({"_begun": of_type(G.prefix, F.col("_value")), "_whole": of_type(G.value, F.col("_value"))})
+    staged = staged.withColumn("_behind", F.col("_value").substr(length("_whole") + 1, length(seg)))
+    staged = staged.withColumn("_blank", of_type(G.after, F.col("_behind")))
+    staged = staged.withColumn("_closing", F.col("_behind").substr(length("_blank") + 1, length(seg)))
+    up_to_value = length("_key") + length("_colon")
+    complete = (F.col("_whole") != "") & (length("_whole") >= length("_begun"))  # a number may end in a dot that needs digits
+    up_to_end = up_to_value + length("_whole") + length("_blank")
+    closes = F.col("_closing").startswith("}") & (F.size(left) == 1)
+    live = (
+        F.when((F.size(left) == 0) | ~seg.startswith('"'), 0)
+        .when(~F.col("_known"), F.col("_alike"))
+        .when(F.col("_colon") == "", length("_key"))
+        .when(~complete, up_to_value + length("_begun"))
+        .when(closes, up_to_end + length(F.regexp_extract("_closing", "\\A\\}" + G.ws, 0)))
+        .otherwise(up_to_end)
     )
-    key_part = tail.rlike(G.open_key) & F.exists(rem, lambda k: k.startswith(pk))
-    return F.coalesce((tail == "") | key_part | item, F.lit(False))
+    return staged.withColumn(out, live).drop("_key", "_name", "_opened", "_known", "_alike", "_colon", "_type", "_value", "_begun", "_whole", "_behind", "_blank", "_closing")

@@ -64,10 +64,9 @@ def first_error_position(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     ``key: value ,`` units; the first unit that breaks a rule (key not
     declared or already used, value of the wrong type, comma with no key
     left) is found with array functions.  The refused character lies inside
-    that unit -- or, if every unit is legal, inside the tail -- and is located
-    by binary search over that segment alone (viability is prefix-closed),
-    each probe being the cheap tail-only check.  A text that does not open an
-    object is refused right after its leading whitespace.
+    that unit -- or, if every unit is legal, inside the tail -- where the item
+    is read forward once, part by part, as far as each is live.  A text that
+    does not open an object is refused right after its leading whitespace.
     """
     df = S.add_status(attach_schema(calls, catalog), keep_head=True).where(F.col("status") == S.REJECTED)
     text, keys, types = F.col("text"), F.col("keys"), F.col("types")
@@ -96,21 +95,9 @@ def first_error_position(calls: DataFrame, catalog: DataFrame) -> DataFrame:
         F.when(bad > 0, F.array_except(keys, F.slice("_k", F.lit(1), F.greatest(bad - 1, F.lit(0)))))
         .otherwise(F.array_except(keys, F.col("_k"))).alias("_rem"),
     )
-    seg = F.col("text").substr(F.col("_anchor") + 1, F.col("_seglen"))
-    steps = F.greatest(F.ceil(F.log2(F.col("_seglen") + 1)).cast("int"), F.lit(1))
-
-    def step(acc: Column, _i: Column) -> Column:
-        lo, hi = acc["lo"], acc["hi"]
-        mid = ((lo + hi) / 2).cast("int")
-        ok = S.tail_viable(seg.substr(F.lit(1), mid), F.col("_rem"), types)
-        moved = F.when(ok, F.struct(mid.alias("lo"), hi.alias("hi"))).otherwise(
-            F.struct(lo.alias("lo"), mid.alias("hi")))
-        return F.when(hi - lo > 1, moved).otherwise(acc)
-
-    found = F.aggregate(F.sequence(F.lit(1), steps),
-                        F.struct(F.lit(0).alias("lo"), F.col("_seglen").alias("hi")), step)
+    df = S.add_live_length(df.withColumn("_seg", F.col("text").substr(F.col("_anchor") + 1, F.col("_seglen"))), "_seg", "_rem", "_live")
     lead = F.length(F.regexp_extract(text, G.leading_ws, 0))
-    pos = F.when(F.col("_hlen") == 0, lead).otherwise(F.col("_anchor") + found["lo"])
+    pos = F.when(F.col("_hlen") == 0, lead).otherwise(F.col("_anchor") + F.col("_live"))
     return df.select(
         "call_id", "function",
         pos.cast("int").alias("valid_prefix_len"),
