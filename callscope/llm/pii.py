@@ -95,6 +95,7 @@ def pattern_spans(text: str) -> list[Span]:
 class Graph:
     """Tokens of a document with their observed labels (-1: none), chain edges, and skip edges with a strength from 0 to 2.
 
+    Mentions of under four letters and digits are alike by chance too often, so they get no skip edge.
     Edges in ``far`` join a mention to the nearest observed one, where no skip edge does; training takes no note of them.
     """
 
