@@ -289,7 +289,7 @@ def violation_report(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     same partial aggregation; the share is computed on the small result.
     """
     v = call_violations(calls, catalog)
-    marker = "\u0000calls"
+    marker = "(calls)"  # no violation's name
     rows = v.select("function", F.explode(F.concat("violations", F.array(F.lit(marker)))).alias("violation"))
     agg = rows.groupBy("function", "violation").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     w = Window.partitionBy("function")
