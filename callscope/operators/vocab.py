@@ -197,23 +197,23 @@ def tokens_in_strings(searched: DataFrame, nodes: DataFrame) -> list[DataFrame]:
     escapes = [r["escape"] for r in searched.select("escape").distinct().collect()]  # a backslash, u and three hex digits at most
     if not escapes:
         return []
-    tokens = nodes.where(F.col("token_id").isNotNull())
+    asked = broadcast_if_small(searched)
+    tokens = nodes.where(F.col("token_id").isNotNull()).select("prefix", "token_id", F.col("dfs_ord").alias("ord"))
+    each = F.explode(F.array(*map(F.lit, escapes))).alias("escape")
     opened = F.concat(F.lit('"'), F.col("escape"), F.col("prefix"))
+    stay = tokens.select("*", each).where(opened.rlike(G.open_string)).join(asked.select("rid", "escape"), "escape").select("rid", "token_id", "ord")
+
     closed = F.regexp_extract(opened, "\\A" + G.string, 0)
-    effects = tokens.select("prefix", "token_id", F.col("dfs_ord").alias("ord"), F.explode(F.array(*map(F.lit, escapes))).alias("escape")).select(
-        "escape", "token_id", "ord", opened.rlike(G.open_string).alias("stays"),
-        F.when(closed != "", opened.substr(F.length(closed) + 1, F.length(opened))).alias("rest"))
+    closing = tokens.where(F.col("prefix").contains('"')).select("*", each).withColumn("_closed", closed).where("_closed != ''").select(
+        "escape", "token_id", "ord", opened.substr(F.length("_closed") + 1, F.length(opened)).alias("rest"))
     # behind a closed string only these go on
-    effects = effects.where(F.col("stays") | F.col("rest").rlike("\\A(?:[ \\t\\n\\r,}]|\\z)")).checkpoint(eager=True)
-    asked = broadcast_if_small(searched.select("rid", "escape"))
-    stay = effects.where("stays").join(asked, "escape").select("rid", "token_id", "ord")
-    rests = effects.where(~F.col("stays")).select("escape", "rest").distinct()
+    closing = closing.where(F.col("rest").rlike("\\A(?:[ \\t\\n\\r,}]|\\z)"))
     before = F.col("text").substr(F.lit(1), F.length("text") - F.length("escape") - 1)  # up to the string's quote
-    goes_on = broadcast_if_small(searched).join(rests, "escape").select(
+    goes_on = asked.join(closing.select("escape", "rest").distinct(), "escape").select(
         "rid", "escape", "rest", F.transform("schema", lambda x: x["key"]).alias("keys"), F.map_from_entries("schema").alias("types"),
         F.concat(before, F.lit('""'), "rest").alias("text"))
     live = S.add_status(goes_on).where(F.col("status") != S.REJECTED).select("rid", "escape", "rest")
-    close = effects.where(~F.col("stays")).join(live, ["escape", "rest"]).select("rid", "token_id", "ord")
+    close = closing.join(live, ["escape", "rest"]).select("rid", "token_id", "ord")
     return [stay, close]
 
 
