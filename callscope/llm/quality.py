@@ -18,6 +18,7 @@ the optimiser reads that table and adds up gradients and curvature in Spark.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,7 +123,11 @@ def feature_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def _summed(rows: DataFrame, work) -> np.ndarray:
-    """The sum over all rows of ``work(part, x)``: added up in each task, then in at most 64 groups, then here."""
+    """The sum over all rows of ``work(part, x)``: added up in each task, then in groups, then here.
+
+    There are as many groups as the root of the number of tasks, each of at most
+    twice as many, so neither a group nor the driver holds more than that.
+    """
 
     def partly(batches):
         total = 0.0
@@ -130,7 +135,7 @@ def _summed(rows: DataFrame, work) -> np.ndarray:
             if batch.num_rows:
                 total = total + work(batch.column(0).to_numpy(zero_copy_only=False), _table(batch.column(1)))
         if isinstance(total, np.ndarray):
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64]), pa.array([total.tobytes()], pa.binary())], names=["g", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([math.isqrt(TaskContext.get().partitionId())]), pa.array([total.tobytes()], pa.binary())], names=["g", "s"])
 
     def together(key, table):
         total = sum(np.frombuffer(s) for s in table["s"].to_pylist())
