@@ -148,3 +148,30 @@ def test_items_known_by_construction(spark):
         texts.append(blank() + "{" + (body[:-1] if rng.random() < 0.8 else body) + "}" + rng.choice(["", " ", "x", ', "zz": 1', "}"]))
         known.append([(key, raw) for key, raw, _ in items])
     assert fields_of(spark, texts)[1] == known
+
+
+def test_only_what_follows_the_complete_items_is_scanned(spark):
+    from callscope.functions.items import with_head, with_items
+
+    many = "".join(f'"k{i}": {i}, ' for i in range(300))
+    texts = {"{" + many + '"a": {"x": 1}}': ('"a": {"x": 1}}', [*((f"k{i}", f"{i}") for i in range(300)), ("a", '{"x": 1}')]),
+             "{" + many + "}": ("}", [(f"k{i}", f"{i}") for i in range(300)]),
+             '{"a": "é, ",\n "k": 1}': ('"k": 1}', [("a", '"é, "'), ("k", "1")]),
+             'no {"k": 1, "a": 2}': ('no {"k": 1, "a": 2}', [])}
+    split = with_head(spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string"))
+    assert {r["text"]: r["_tail"] for r in split.collect()} == {None: None} | {t: tail for t, (tail, _) in texts.items()}
+    got = {r["text"]: r["fkeys"] and list(zip(r["fkeys"], r["fvals"], strict=True)) for r in with_items(split).collect()}
+    assert got.pop(None) is None and {t: f or [] for t, f in got.items()} == {t: f for t, (_, f) in texts.items()}
+
+
+def test_typed_parameters_look_for_no_other_calls_fields(spark, calls):
+    df = C.typed_parameters(calls, catalog_df(spark, [FN]))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("aggregate(") < plan.index("explode(CASE WHEN")  # a plan's later lines are worked out first
+    assert plan.count("regexp_extract_all(") < 6  # no stage is worked out twice
+    assert {(r["key"], r["raw_value"]) for r in df.collect()} >= {("a", '"x"'), ("k", "-0")}
+
+
+def test_repeats_are_counted_in_calls_that_have_some(spark, calls):
+    plan = C.duplicate_keys(calls, catalog_df(spark, [FN]))._jdf.queryExecution().executedPlan().toString()
+    assert "size(array_distinct(" in plan
