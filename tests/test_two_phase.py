@@ -174,3 +174,35 @@ def test_whole_prompt_texts(spark):
     _, contradiction, examples = D.FUNCTION_EXAMPLES[0]
     assert texts[2] == (D.EXTRACTOR_HEADER + "Function: fn_reverse_string\n" + contradiction + "Parameters:\n  s (string)\n  n (integer)\n\n"
                         + tail + examples + "\n" + D.EXTRACTOR_REMINDER + 'User: "abc"\nFunction: fn_reverse_string\nOutput:\n')
+
+
+def test_spread_bounds_the_bytes_of_a_task(spark):
+    scan = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(scan).rdd.getNumPartitions() == max(cores, scan.rdd.getNumPartitions())
+    size = scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    tasks = spread(scan, size // (4 * cores)).rdd.getNumPartitions()
+    assert tasks >= 4 * cores and spread(scan, size // (4 * cores)).count() == 15000
+
+
+def test_small_catalog_moves_no_prompt(spark):
+    prompts = prompts_df(spark, 4).withColumn("text", F.lit(""))
+    plan = lambda n: T.lexical_router(catalog_df(spark, many(n)))(prompts)._jdf.queryExecution().executedPlan().toString()
+    outer = lambda text: text.split("Subquery")[0]
+    assert "Join" not in outer(plan(5)) and "Join" in plan(1200)
+
+
+def test_answers_are_checked_once(spark):
+    results, errors = T.run_two_phase(prompts_df(spark, 4), catalog_df(spark, [WEATHER]))
+    for df in (results, errors):
+        assert "RLIKE" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_without_a_status_are_checked_as_they_are_read(spark, tmp_path):
+    folder, prompts, catalog = f"{tmp_path}/run", prompts_df(spark, 4), catalog_df(spark, [WEATHER])
+    router, routings = counting(spark, ROUTE)
+    requests = D.build_router_prompts(prompts.where("prompt_id < 2"), catalog, keep=("prompt",)).withColumn("attempt", F.lit(1))
+    T.RunStore(spark, folder).add("route-1", router(requests))
+    extractor, _ = counting(spark, lambda t, a: '{"location": "x"}')
+    results, errors = T.run_two_phase(prompts, catalog, router, extractor, run_dir=folder)
+    assert results.count() == 4 and errors.count() == 0 and routings.value == 4
