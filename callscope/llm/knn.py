@@ -90,8 +90,9 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64,
     queries = rows.filter("query").select("id", "v")
     asked = stage(queries.select("v").distinct().withColumn("q", F.monotonically_increasing_id()), "distinct-queries")
 
-    pivots = max(LEAST_PIVOTS, math.ceil(PIVOT_SHARE * math.sqrt(data.count())))
-    witnesses = data.orderBy(F.xxhash64("v"), "v").limit(max(WITNESSES, pivots)).collect()
+    data_count = data.count()
+    pivots = max(LEAST_PIVOTS, math.ceil(PIVOT_SHARE * math.sqrt(data_count)))
+    witnesses = _smallest_hashes(data, data_count, max(WITNESSES, pivots))
     known: dict[int, np.ndarray] = {}
     for w in witnesses:
         known.setdefault(len(w["v"]), []).append(w["v"])
@@ -207,7 +208,8 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64,
 
     def solved(queries: DataFrame, first: bool) -> DataFrame:
         needed = queries.mapInArrow(replicate(first), "block long, own long, q long, v binary, floor long")
-        units = data_blocks.join(_query_blocks(needed), "block").select("vectors", "n", "ids", "asked", "q", "floor")
+        # a join's left side streams past the right one's rows of a key, here a single block of data
+        units = _merge_join(_query_blocks(needed), data_blocks, "block").select("vectors", "n", "ids", "asked", "q", "floor")
         found = units.mapInArrow(solve, "q long, best array<struct<lost: long, id: long>>")
         return stage(found, "first-found" if first else "found")
 
@@ -218,17 +220,42 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64,
     no_floor = F.lit(int(np.iinfo("i8").min)).alias("floor")
     early = solved(grouped.select("q", "v", "cell", no_floor), True)
     full = merged(early).filter(F.size("best") > k).select("q", (-F.element_at("best", -1)["lost"]).alias("floor"))
-    raised = grouped.join(full, "q", "left").select("q", "v", "cell", F.coalesce("floor", no_floor).alias("floor"))
+    raised = _merge_join(grouped, full, "q", "left").select("q", "v", "cell", F.coalesce("floor", no_floor).alias("floor"))
     late = solved(raised, False)
-    answers = stage(asked.join(merged(early.unionByName(late)), "q").select("v", "best"), "answers")
+    answers = stage(_merge_join(asked, merged(early.unionByName(late)), "q").select("v", "best"), "answers")
     others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
     return (
-        queries.withColumnRenamed("id", "query_id").distinct().join(answers, "v")
+        _merge_join(queries.withColumnRenamed("id", "query_id").distinct(), answers, "v")
         .select("query_id", F.posexplode(others).alias("at", "b"))
         .select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.lost")).alias("score"))
     )
 
 
+def _merge_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by shuffle, whatever the sides' sizes are taken for.
+
+    Spark takes a stage's output for as large as its compressed files, and what
+    Python makes of it for as many rows as it was given.  Queries replicated to
+    all blocks so pass for a few MB, and would be sent to the driver whole.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
+def _smallest_hashes(data: DataFrame, count: int, n: int) -> list:
+    """The ``n`` of ``count`` vectors with the smallest hashes, in order.
+
+    Each task sends as many as it has of them, up to ``n``, to the driver.  Of a
+    large table only those with a hash that about twice as many have are sorted,
+    and the whole only if they turn out too few.
+    """
+    if count > 4 * n:
+        bound = (1 << 65) * n // count - (1 << 63)
+        found = data.filter(F.xxhash64("v") < bound).orderBy(F.xxhash64("v"), "v").limit(n).collect()
+        if len(found) == n:
+            return found
+    return data.orderBy(F.xxhash64("v"), "v").limit(n).collect()
+
+
 def _runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
     """Rows with the same first value, at most ``size`` at a time."""
     held: list[tuple] = []

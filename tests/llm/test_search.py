@@ -65,6 +65,28 @@ def test_clusters_are_pruned(spark, monkeypatch):
     assert survive < 0.2 * every
 
 
+def test_top_k_broadcasts_nothing(spark, monkeypatch):
+    """However small Spark takes a side for, no join sends it to the driver: it can't tell how often a query is replicated."""
+    plans, stage = [], knn.stage
+    monkeypatch.setattr(knn, "stage", lambda df, name: plans.append((name, df._jdf.queryExecution().toString())) or stage(df, name))
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(4)]) for i in range(200)]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 4 == 0, k=5)
+    plans.append(("result", got._jdf.queryExecution().toString()))
+    assert {tuple(r) for r in got.collect()} == brute_force(rows, lambda i: i % 4 == 0, 5)
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
+    assert {name for name, plan in plans if "SortMergeJoin" in plan} == {"first-found", "found", "answers", "result"}
+
+
+def test_witnesses_are_the_smallest_hashes(spark):
+    rng = random.Random(9)
+    data = spark.createDataFrame([([rng.randrange(-10 ** 6, 10 ** 6) for _ in range(4)], [i]) for i in range(500)], "v array<long>, ids array<long>")
+    want = data.orderBy(F.xxhash64("v"), "v").collect()
+    assert knn._smallest_hashes(data, 500, 20) == want[:20]
+    assert knn._smallest_hashes(data, 10 ** 9, 20) == want[:20]  # none has a hash as small as that
+    assert knn._smallest_hashes(data, 500, 600) == want
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert knn.top_k(df, F.col("vec_id") % 5 == 0).count() == 0
