@@ -35,6 +35,7 @@ from callscope.llm.common import in_slices, stage
 LEAST_PIVOTS, PIVOT_SHARE = 16, 0.25  # pivots: this share of the root of the number of vectors, but at least so many
 WITNESSES = 1024  # data vectors known to every task, or as many as the pivots; the first of them are the pivots
 DATA_BLOCK, QUERY_BLOCK = 2048, 512
+REPLICAS = 8192  # queries replicated to blocks that a worker holds at once, however many blocks there are
 SLACK = 1e-6  # relative, for bounds computed in floating point
 CELL_BITS = 32  # of a cell's number: the pivot, below the vectors' length
 NO_PIVOT = (1 << CELL_BITS) - 1
@@ -177,34 +178,32 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64,
                     is_best[np.arange(len(at)), best] = True
                     row, col = np.nonzero(is_best if first else needed & ~is_best)
                     out.append((at[row], block[col], floor[row]))
-                rows, block, floor = (np.concatenate(c) for c in zip(*out))
-                take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(own[rows], pa.int64()), q_ids.take(take), data.take(take), pa.array(floor, pa.int64())],
-                                                 names=["block", "own", "q", "v", "floor"])
+                every = [np.concatenate(c) for c in zip(*out)]
+                for start in range(0, len(every[0]), REPLICAS):
+                    rows, block, floor = (c[start:start + REPLICAS] for c in every)
+                    take = pa.array(rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(own[rows], pa.int64()), q_ids.take(take), data.take(take), pa.array(floor, pa.int64())],
+                                                     names=["block", "own", "q", "v", "floor"])
         return run
 
     def solve(batches):
         """A block of data against a block of queries: each query's k + 1 best, none below its floor."""
         for batch in in_slices(batches, 1):  # one pair of blocks in memory
-            out = []
-            for vectors, n, ids, asked_v, q, floor in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = np.frombuffer(asked_v, "<i8").reshape(len(q), -1), np.frombuffer(vectors, "<i8").reshape(n, -1)
-                scores = _products(a, b)
-                floors = np.array(floor, "i8")
-                if n > k + 1:
-                    floors = np.maximum(floors, np.partition(scores, n - k - 1, axis=1)[:, n - k - 1])
-                row, col = np.nonzero(scores >= floors[:, None])
-                sizes = np.array([len(x) for x in ids])
-                flat = np.fromiter((i for x in ids for i in x), "i8", int(sizes.sum()))
-                starts = np.cumsum(sizes) - sizes
-                times = sizes[col]
-                inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                rows, best, found = _best(np.repeat(row, times), np.repeat(scores[row, col], times), flat[np.repeat(starts[col], times) + inner], k + 1)
-                for r in np.unique(rows).tolist():
-                    lo, hi = np.searchsorted(rows, [r, r + 1])
-                    out.append((q[r], [{"lost": -s, "id": i} for s, i in zip(best[lo:hi].tolist(), found[lo:hi].tolist())]))
-            qs, lists = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(lists, pa.list_(pa.struct([("lost", pa.int64()), ("id", pa.int64())])))], names=["q", "best"])
+            vectors, n, ids, asked_v, q, floor = batch.columns
+            ids, q, floors = ids.flatten(), q.flatten(), floor.flatten().to_numpy()
+            a, b = np.frombuffer(asked_v[0].as_py(), "<i8").reshape(len(q), -1), np.frombuffer(vectors[0].as_py(), "<i8").reshape(n[0].as_py(), -1)
+            scores = _products(a, b)
+            if len(b) > k + 1:
+                floors = np.maximum(floors, np.partition(scores, len(b) - k - 1, axis=1)[:, len(b) - k - 1])
+            row, col = np.nonzero(scores >= floors[:, None])
+            sizes, flat = pa.compute.list_value_length(ids).to_numpy().astype("i8"), ids.flatten().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            times = sizes[col]
+            inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            rows, best, found = _best(np.repeat(row, times), np.repeat(scores[row, col], times), flat[np.repeat(starts[col], times) + inner], k + 1)
+            some, first_of = np.unique(rows, return_index=True)
+            listed = pa.StructArray.from_arrays([pa.array(-best, pa.int64()), pa.array(found, pa.int64())], ["lost", "id"])
+            yield pa.RecordBatch.from_arrays([q.take(pa.array(some, pa.int64())), pa.ListArray.from_arrays(pa.array([*first_of, len(rows)], pa.int32()), listed)], names=["q", "best"])
 
     def solved(queries: DataFrame, first: bool) -> DataFrame:
         needed = queries.mapInArrow(replicate(first), "block long, own long, q long, v binary, floor long")

@@ -78,6 +78,15 @@ def test_top_k_broadcasts_nothing(spark, monkeypatch):
     assert {name for name, plan in plans if "SortMergeJoin" in plan} == {"first-found", "found", "answers", "result"}
 
 
+def test_queries_are_replicated_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(knn, "DATA_BLOCK", 8)
+    monkeypatch.setattr(knn, "REPLICAS", 7)
+    rng = random.Random(10)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(4)]) for i in range(160)] + [(i, [0.25] * 4) for i in range(160, 200)]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 4 == 0, k=5)
+    assert {tuple(r) for r in got.collect()} == brute_force(rows, lambda i: i % 4 == 0, 5)
+
+
 def test_witnesses_are_the_smallest_hashes(spark):
     rng = random.Random(9)
     data = spark.createDataFrame([([rng.randrange(-10 ** 6, 10 ** 6) for _ in range(4)], [i]) for i in range(500)], "v array<long>, ids array<long>")
